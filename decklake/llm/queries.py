@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, mixing, token_counts
+from . import byte_bpe, exact_dedup, mixing, simhash, syncmers, token_counts
 from .common import table
 
 
@@ -41,4 +41,13 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign_groups(docs).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_token_counts, op7_byte_bpe, op8_exact_dedup)}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_components(table(spark, sf_dir, "documents"), k=3, radius=3)
+    return found.select("doc_id", simhash.as_hex(F.col("code")).alias("fingerprint"), "component_id")
+
+
+def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_token_counts, op6_simhash, op7_byte_bpe, op8_exact_dedup, op10_syncmers)}
