@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, mixing, simhash, syncmers, token_counts
+from . import byte_bpe, exact_dedup, language_id, mixing, pii, simhash, syncmers, token_counts
 from .common import table
 
 
@@ -50,4 +50,12 @@ def op10_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_token_counts, op6_simhash, op7_byte_bpe, op8_exact_dedup, op10_syncmers)}
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii.*")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op3_token_counts, op4_language_id, op5_pii, op6_simhash, op7_byte_bpe, op8_exact_dedup, op10_syncmers)}
