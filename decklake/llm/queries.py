@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, language_id, mixing, pii, simhash, syncmers, token_counts
+from . import byte_bpe, exact_dedup, language_id, mixing, pii, simhash, syncmers, token_counts, toxicity, warc
 from .common import table
 
 
@@ -58,4 +58,14 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op3_token_counts, op4_language_id, op5_pii, op6_simhash, op7_byte_bpe, op8_exact_dedup, op10_syncmers)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predict(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.captures_of_pages(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.transform(F.array_sort(F.map_entries("merged")), lambda e: F.concat(e.key, F.lit(": "), e.value)), "\n")
+    return found.select("record_id", "canonical", "kind", "captured", "refers_to", "status", headers.alias("merged_headers"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_token_counts, op4_language_id, op5_pii, op6_simhash, op7_byte_bpe, op8_exact_dedup, op9_warc_revisits, op10_syncmers)}
