@@ -20,6 +20,7 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import refuse_clash
 from .token_counts import UNIT
 
 #: Encoded units, and pairs of tokens known to stay apart or not, that a worker keeps.
@@ -187,6 +188,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
     whose matches never reach from other characters over into white space.
     """
 
+    refuse_clash(docs, ids_col)
+
     def run(texts: pd.Series) -> pd.Series:
         encoder = _encoder(ranks_path, pattern)
         return pd.Series([np.frombuffer(encoder.encode(text), dtype="<u4").astype(np.int32) for text in texts])
@@ -197,6 +200,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text
 def decode(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """``docs`` with ``bytes_col``: what the ids spell, null for null."""
 
+    refuse_clash(docs, bytes_col)
+
     def run(ids: pd.Series) -> pd.Series:
         encoder = _encoder(ranks_path, pattern)
         return pd.Series([None if x is None else encoder.decode(np.asarray(x, dtype="<u4").tobytes()) for x in ids])
@@ -206,9 +211,7 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids",
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of the round trip through ids; null counts as empty."""
-    for name in ("n_tokens", "ids_sha256", "decoded_sha256", "bpe"):
-        if name in {c.lower() for c in docs.columns}:
-            raise ValueError(f"column {name} is there already")
+    refuse_clash(docs, "n_tokens", "ids_sha256", "decoded_sha256", "bpe")
 
     def work(text: str) -> dict:
         encoder = _encoder(ranks_path, pattern)

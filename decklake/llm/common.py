@@ -49,9 +49,8 @@ def fold_of(doc_id: str | Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")), F.lit(5))
 
 
-def free_name(df: DataFrame, wanted: str) -> str:
-    """``wanted``, lengthened until no column of ``df`` has that name (Spark ignores case)."""
-    taken = {c.lower() for c in df.columns}
-    while wanted.lower() in taken:
-        wanted += "_"
-    return wanted
+def refuse_clash(df: DataFrame, *names: str) -> None:
+    """New columns never overwrite a table's own: clashing names are an error."""
+    clash = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
+    if clash:
+        raise ValueError(f"columns {clash} are there already")

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import written
+from .common import refuse_clash, written
 
 DELETED = b" \t\n\x0b\x0c\r"
 #: A group of equal contents: digest, content, code points and id of the row that stays, rows.
@@ -168,9 +168,7 @@ def _with_groups(members: DataFrame, groups: DataFrame, text_col: str, on: list[
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, digest, digest_column, max_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Documents with their digest, and with ``best_first``: 1 but for rows that repeat id, length and content; and the groups."""
-    for name in ("keep_id", "group_size", "kept", "digest", "best_id", "best_chars", "best_first"):
-        if name in {c.lower() for c in docs.columns}:
-            raise ValueError(f"column {name} is there already")
+    refuse_clash(docs, "keep_id", "group_size", "kept", "digest", "best_id", "best_chars", "best_first")
     text = F.coalesce(F.col(text_col), F.lit(""))
     members = docs.withColumns({"best_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "best_chars": F.length(text), "digest": digest_column(content_of(F.col(text_col)))})
     others = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns if c != text_col], F.lit(0))

@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold_of
+from .common import fold_of, refuse_clash
 
 # First code points of ranges and their scripts, after Unicode's blocks.
 SCRIPTS = (
@@ -185,6 +185,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
     uses follow their neighbours; a text of nothing else scores 1 / languages.
     Null, and texts without a letter, are ``und`` with score 0.
     """
+    refuse_clash(docs, result_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(column: pd.Series) -> pd.DataFrame:

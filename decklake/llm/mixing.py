@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, written
+from .common import WORD, refuse_clash, written
 
 #: Rows of a bucket, about.
 BUCKET_ROWS = 2000
@@ -109,10 +109,7 @@ def mix(docs: DataFrame, schedules, size_col: str = "size", source_col: str = "s
     and a hash of the other columns.  An empty table gives an empty result.
     Reruns agree: nothing depends on partitions.
     """
-    new = ("source_size", "target", "taken", "copies", "positions", "mix_source", "mix_number", "mix_bucket", "mix_at", "mix_order", "mix_first", "source_rows", "weight", "parts", "bucket_start")
-    for name in new:
-        if name in {c.lower() for c in docs.columns}:
-            raise ValueError(f"column {name} is there already")
+    refuse_clash(docs, "source_size", "target", "taken", "copies", "positions", "mix_source", "mix_number", "mix_bucket", "mix_at", "mix_order", "mix_first", "source_rows", "weight", "parts", "bucket_start")
     size = F.col(size_col)
     sources = schedules(source_sizes(docs, source_col, size_col)).withColumn("parts", pieces(F.col("schedule"))).withColumn("weight", integral(F.col("parts")))
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("mix_number")

@@ -19,6 +19,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import refuse_clash
+
 # Fixed values of the contract.
 LISTED = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -305,6 +307,7 @@ def find(docs: DataFrame, text_col: str = "text", model: Crf | None = None, resu
     the four counts are those of base spans and of ``spans`` alike.  Null
     counts as empty: no spans, the hash of ''.
     """
+    refuse_clash(docs, result_col)
     crf = docs.sparkSession.sparkContext.broadcast(model or train(labelled_table()))
 
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -20,7 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import written
+from .common import refuse_clash, written
 from .graph import components
 
 BITS, BLOCKS = 64, 4
@@ -236,3 +236,81 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least, _ = written(known.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id")), "least")
     placed, _ = written(known.select("code", "root").join(least, "root").select("code", "component_id"), "placed")
     return fps.join(placed, "code").select("doc_id", "code", "component_id")
+
+
+#: Candidates for similar texts: bands of this many min-hashes each.  At similarity 0.8 one of 12 bands of 5 agrees with probability 0.99.
+BANDS, BAND_ROWS = 12, 5
+
+
+def min_hash_bands(hashes: list[int], bands: int = BANDS, rows: int = BAND_ROWS) -> list[int]:
+    """A hash of the least values under ``rows`` multiplications, for each band; the same for all texts without shingles."""
+    factor = np.random.default_rng(6).integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    least = np.full(bands * rows, ~np.uint64(0))
+    values = np.unique(np.array(hashes, dtype=np.uint64))
+    for at in range(0, len(values), 1 << 14):
+        mixed = values[None, at : at + (1 << 14)] * factor
+        least = np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(axis=1))
+    return [_signed(xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b)) for b in range(bands)]
+
+
+def similarity(a: str, b: str, k: int) -> float:
+    """Jaccard similarity of the two texts' shingles; 1 for two texts without words."""
+    x, y = set(shingles(a, k)), set(shingles(b, k))
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
+    """Links (a, b) between nodes of ``docs`` whose texts' shingles are ``least`` alike.
+
+    Candidates are fingerprints within ``radius``, and, because texts that are
+    only just alike differ in some ten bits of 64, texts that share a band of
+    min-hashes.  A candidate is compared with the least node of its group;
+    those that aren't alike form a group again, until none is left, so no
+    group is ever compared pair by pair.
+    """
+ 
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        out = [(simhash(h), min_hash_bands(h)) for h in (shingles(t, k) for t in texts)]
+        return pd.DataFrame(out, columns=["code", "bands"])
+
+    sketched = docs.select(F.col(node_col).alias("node"), F.pandas_udf(sketch, "code long, bands array<long>")(F.col(text_col)).alias("s"))
+    sketched, _ = written(sketched.select("node", "s.code", "s.bands"), "sketches")
+    codes, _ = written(sketched.groupBy("code").agg(F.min("node").alias("least")), "codes")
+    linked = hamming_links(codes.select("code"), radius)
+    by_code = linked.join(codes.withColumnsRenamed({"code": "a", "least": "x"}), "a").join(codes.withColumnsRenamed({"code": "b", "least": "y"}), "b")
+    pairs = by_code.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rows = sketched.select("node", F.posexplode("bands").alias("band", "value")).unionByName(sketched.select("node", F.lit(-1).alias("band"), F.col("code").alias("value")))
+    groups = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n")
+    found = None
+    while True:
+        groups, _ = written(groups, "groups")
+        if groups.isEmpty() and found is not None:
+            return found
+        members, _ = written(rows.join(groups, ["band", "value"]).filter("node <> least"), "members")
+        first = members.select(F.col("node").alias("a"), F.col("least").alias("b"))
+        pairs, _ = written((first if pairs is None else first.unionByName(pairs)).filter("a <> b").distinct(), "pairs")
+        texts = docs.select(F.col(node_col).alias("node"), F.col(text_col).alias("text"))
+        both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        alike = F.pandas_udf(lambda x, y: pd.Series([similarity(p, q, k) for p, q in zip(x, y)], dtype="float64"), "double")
+        good, _ = written(both.select("a", "b", alike("text_a", "text_b").alias("j")).filter(F.col("j") >= least).select("a", "b"), "links")
+        found, pairs = good if found is None else found.unionByName(good), None
+        # What was like its group's least node needs no other comparison there.
+        rows, _ = written(members.join(good.withColumnsRenamed({"a": "node", "b": "least"}), ["node", "least"], "left_anti").select("node", "band", "value"), "rest")
+        groups = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
+    """``docs`` without near-duplicates: of each component of ``similar_links`` the smallest id stays (null ids last).
+
+    Null texts count as empty, and texts without words are alike.  Rows that
+    repeat both id and text are one node: all of them stay or go.
+    """
+    node = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(node.alias("node"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rooted, _ = written(components(similar_links(rows, "node", "text", k, least, radius), "a", "b"), "roots")
+    ranked = rooted.join(rows.select("node", "id"), "node").select("node", "root", F.struct(F.col("id").isNull().alias("none"), "id", "node").alias("rank"))
+    ranked, _ = written(ranked, "ranked")
+    best, _ = written(ranked.groupBy("root").agg(F.min("rank").alias("best")), "best")
+    gone, _ = written(ranked.join(best, "root").filter(F.col("node") != F.col("best.node")).select("node").distinct(), "gone")
+    refuse_clash(docs, "node")
+    return docs.withColumn("node", node).join(gone, "node", "left_anti").select(*docs.columns)

@@ -15,4 +15,38 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
 """
 
-ORACLES = {"op8_exact_dedup": OP8}
+OP9 = r"""
+WITH p AS (
+  SELECT page_id, url, md5(coalesce(html, '')) AS tag, strlen(coalesce(html, '')) AS bytes,
+         CAST('0x' || substr(md5(concat_ws('|', url, page_id)), 1, 8) AS BIGINT) AS h
+  FROM pages
+), r AS (
+  SELECT page_id * 2 AS record_id, url, 'response' AS kind, page_id * 10 AS captured, tag AS etag, tag, bytes FROM p
+  UNION ALL
+  SELECT page_id * 2 + 1, url, 'revisit', page_id * 10 + 5 + h % 4000, CASE WHEN h % 8 = 0 THEN md5(tag || '*') ELSE tag END, tag, bytes FROM p
+), b AS (
+  SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM r
+), c AS (
+  SELECT *,
+    regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), ':(80|443)$', ''), '^www\d?\.', '')
+      || regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '')
+      || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '\?(.*)$', 1), '&'),
+           lambda f: f <> '' AND NOT regexp_matches(f, '^(?:utm_[a-z]+|ref|fbclid|gclid)(=|$)'))), '&'), ''), '') AS canonical
+  FROM b
+), l AS (
+  SELECT *, last_value(CASE WHEN kind = 'response' THEN record_id END IGNORE NULLS)
+    OVER (PARTITION BY canonical ORDER BY captured, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM c
+), m AS (
+  SELECT l.*, CASE WHEN l.kind = 'revisit' THEN l.before END AS refers_to, f.etag AS found_etag, f.bytes AS found_bytes
+  FROM l LEFT JOIN r f ON l.kind = 'revisit' AND f.record_id = l.before
+), s AS (
+  SELECT *, CASE WHEN kind <> 'revisit' THEN NULL WHEN refers_to IS NULL THEN 'missing' WHEN etag = found_etag THEN 'resolved' ELSE 'mismatch' END AS status FROM m
+)
+SELECT record_id, canonical, kind, captured, refers_to, status,
+  CASE WHEN status = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || found_bytes || chr(10)
+    || 'content-type: text/html' || chr(10) || 'date: ' || captured || chr(10) || 'etag: ' || etag END AS merged_headers
+FROM s
+"""
+
+ORACLES = {"op8_exact_dedup": OP8, "op9_warc_revisits": OP9}

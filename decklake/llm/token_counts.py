@@ -20,6 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .common import refuse_clash
+
 #: White space of Unicode, so without U+001C to U+001F, which Python's \s has.
 UNIT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 #: Units in a task's summary, in the broadcast table, and in a worker's cache.
@@ -88,8 +90,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     ``docs`` has already are refused by name: give a ``prefix``.
     """
     names = [prefix + x for x in ("n_bytes", "n_tokens", "over_limit")]
-    if set(names) & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns {names} are there already")
+    refuse_clash(docs, *names)
     _, apart, _ = _counter(tokenizer_path)
     units = frequent_units(docs, text_col) if apart else []
     table = dict(zip(units, _counter(tokenizer_path)[0](units))) if units else {}

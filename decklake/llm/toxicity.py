@@ -19,7 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold_of
+from .common import fold_of, refuse_clash
 
 WORDS = re.compile(r"\w+")
 #: Terms, least labelled texts of class 1 with a term, candidates for terms.
@@ -199,6 +199,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "t", result_col: str =
     A text without any term, empty and null ones too, has no neighbour and
     scores as the labelled texts without a term are labelled.
     """
+    refuse_clash(docs, result_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pd.Series) -> pd.DataFrame:

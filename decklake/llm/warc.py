@@ -14,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .common import refuse_clash
+
 # Header fields that a 304 answer carries (RFC 9110, 15.4.5), and query fields that name a campaign, not a page.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
@@ -53,10 +55,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     and ``merged`` (headers of resolved revisits).  Records without a URL or
     time are 'missing' if revisits, and are never referred to.
     """
-    new = ("canonical", "refers_to", "status", "merged", "stretch", "own_rank", "latest", "carried", "found")
-    for name in new:
-        if name in {c.lower() for c in records.columns}:
-            raise ValueError(f"column {name} is there already")
+    refuse_clash(records, "canonical", "refers_to", "status", "merged", "stretch", "own_rank", "latest", "carried", "found")
     rows = records.withColumn("canonical", canonical_url(F.col("url")))
     usable = F.col("canonical").isNotNull() & F.col("captured").isNotNull()
     # What can't be placed is spread over keys of its own.
@@ -97,7 +96,7 @@ def captures_of_pages(pages: DataFrame) -> DataFrame:
     MD5; of one in eight pages it changed in between without a new body being
     stored, so that the revisit doesn't match.
     """
-    h = F.xxhash64("url", "page_id")
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", "url", "page_id")), 1, 8), 16, 10).cast("long")
     etag = F.md5(F.coalesce("html", F.lit("")))
     text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
     base = pages.select("page_id", "url", etag.alias("tag"), h.alias("h"), F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"))
