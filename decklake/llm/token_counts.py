@@ -12,6 +12,7 @@ bounded summary of each is added up.
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -52,6 +53,7 @@ def frequent_units(docs: DataFrame, text_col: str, summary: int = SUMMARY, frequ
 
 def _json_counter(path: str):
     """(encode a list of strings to their counts, whether units may be counted apart, strings that are special)."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
