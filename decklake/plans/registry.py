@@ -1,4 +1,27 @@
 """The registered queries and the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..sources.adapters import Tables, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function from ``Tables`` to a DataFrame, and the SQL over the same views."""
+
+    def add(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: build(Tables(spark, sf_dir))
+        if sql:
+            ORACLES[name] = with_views(sql)
+        return build
+
+    return add
+
+
+from . import catalogue, evaluation, features, ingest, models, text  # noqa: E402, F401  they register their queries
