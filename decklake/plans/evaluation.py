@@ -281,7 +281,7 @@ def card_lift(t: Tables) -> DataFrame:
     return rounded(R.card_lift(t.hand_cards, marked, "game_id", "card_id", "disagree", 20))
 
 
-@query("l1_top_lift", LIFT + "SELECT card_id, round(lift, 6) AS lift, rk FROM (SELECT card_id, lift, row_number() OVER (ORDER BY round(lift, 9) DESC, card_id) AS rk FROM l) WHERE rk <= 15")
+@query("l1_top_lift", LIFT + "SELECT card_id, round(lift, 6) AS lift, CAST(rk AS INT) AS rk FROM (SELECT card_id, lift, row_number() OVER (ORDER BY round(lift, 9) DESC, card_id) AS rk FROM l) WHERE rk <= 15")
 def top_lift(t: Tables) -> DataFrame:
     marked = t.decisions.select("game_id", ((F.col("p_keep") >= 0.5) != F.col("was_kept")).alias("disagree"))
     lift = R.card_lift(t.hand_cards, marked, "game_id", "card_id", "disagree", 20)

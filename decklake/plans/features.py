@@ -1 +1,155 @@
-"""Queries."""
+"""Queries: card statistics, features of decks and hands, trace roll-ups."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..operators import features as E
+from ..sources.adapters import Tables
+from .evaluation import rounded
+from .registry import query
+
+BINS = """
+p AS (SELECT expansion, event_type, avg(gih) AS gih_mean FROM ratings GROUP BY 1, 2),
+b AS (SELECT expansion, event_type, bin, min(play_rate) AS edge, avg(gih) AS mean, count(*) AS n FROM (SELECT *, ntile(10) OVER (PARTITION BY expansion, event_type ORDER BY play_rate, name) AS bin FROM ratings WHERE gih IS NOT NULL AND play_rate IS NOT NULL) GROUP BY 1, 2, 3),
+f AS (SELECT r.expansion, r.event_type, r.name, r.gih, r.pick_count, coalesce((SELECT arg_max(b.mean, b.bin) FROM b WHERE b.expansion = r.expansion AND b.event_type = r.event_type AND (b.edge <= r.play_rate OR b.bin = 1)), p.gih_mean) AS prior FROM ratings r JOIN p ON p.expansion = r.expansion AND p.event_type = r.event_type),
+s AS (SELECT expansion, event_type, name, coalesce(pick_count / (pick_count + 50.0::DOUBLE) * gih + (1 - pick_count / (pick_count + 50.0::DOUBLE)) * prior, prior) AS shrunk_gih FROM f)
+"""
+
+
+@query("d1_format_priors", "SELECT expansion, event_type, round(avg(gih), 6) AS gih_mean, round(avg(oh), 6) AS oh_mean FROM ratings GROUP BY 1, 2")
+def priors(t: Tables) -> DataFrame:
+    return rounded(E.format_priors(t.ratings, ["gih", "oh"]))
+
+
+@query("d2_w1_rate_bins", "WITH" + BINS + "SELECT expansion, event_type, CAST(bin AS INT) AS bin, round(edge, 6) AS edge, round(mean, 6) AS mean, n FROM b")
+def bins(t: Tables) -> DataFrame:
+    return rounded(E.rate_bins(t.ratings, "gih"))
+
+
+@query("d3_c18_shrinkage", "WITH" + BINS + "SELECT expansion, event_type, name, round(shrunk_gih, 6) AS shrunk_gih FROM s")
+def shrinkage(t: Tables) -> DataFrame:
+    return rounded(E.shrunk(t.ratings, ["gih"]))
+
+
+@query("d4_z_scores", "WITH" + BINS + "SELECT expansion, event_type, name, round((shrunk_gih - avg(shrunk_gih) OVER w) / nullif(stddev_pop(shrunk_gih) OVER w, 0), 5) AS z_shrunk_gih FROM s WINDOW w AS (PARTITION BY expansion, event_type)")
+def z_scores(t: Tables) -> DataFrame:
+    out = E.z_scores(E.shrunk(t.ratings, ["gih"]), ["shrunk_gih"])
+    return rounded(out.select("expansion", "event_type", "name", "z_shrunk_gih"), digits=5)
+
+
+@query("c19_library", "SELECT d.game_id, d.card_id, CAST(d.n - coalesce(h.k, 0) AS INT) AS n FROM deck_cards d LEFT JOIN (SELECT game_id, card_id, count(*) AS k FROM hand_cards GROUP BY 1, 2) h USING (game_id, card_id) WHERE d.n - coalesce(h.k, 0) > 0")
+def library(t: Tables) -> DataFrame:
+    return E.library_of(t.deck_cards, t.hand_cards)
+
+
+CARD_RATES = """rates AS (SELECT c.*, r.oh, round((c.card_id * 37 % 100) / 25.0::DOUBLE - 2, 6) AS z FROM cards c LEFT JOIN (SELECT name, avg(oh) AS oh FROM ratings GROUP BY name) r ON r.name = c.name)"""
+
+
+def card_rates(t: Tables) -> DataFrame:
+    oh = t.ratings.groupBy("name").agg(F.avg("oh").alias("oh"))
+    return t.cards.join(oh, "name", "left").withColumn("z", F.round(F.col("card_id") * 37 % 100 / F.lit(25.0) - 2, 6))
+
+
+@query("d5_x21_deck_features", "WITH " + CARD_RATES + """, x AS (SELECT d.game_id, d.n, r.* FROM deck_cards d JOIN rates r USING (card_id)),
+cc AS (SELECT game_id, count(*) FILTER (WHERE k > 3) AS main_colors, count(*) AS colors FROM (SELECT game_id, color, sum(n) AS k FROM x WHERE NOT is_land AND color IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT x.game_id, CAST(sum(n) AS BIGINT) AS cards, round(coalesce(sum(n) FILTER (WHERE is_land), 0) / sum(n)::DOUBLE, 6) AS pct_lands,
+  round(coalesce(coalesce(sum(n) FILTER (WHERE is_creature AND NOT is_land), 0) / nullif(sum(n) FILTER (WHERE NOT is_land), 0)::DOUBLE, 0), 6) AS pct_creatures,
+  round(coalesce(coalesce(sum(n) FILTER (WHERE is_removal AND NOT is_land), 0) / nullif(sum(n) FILTER (WHERE NOT is_land), 0)::DOUBLE, 0), 6) AS pct_removal,
+  round(coalesce(coalesce(sum(n) FILTER (WHERE mana_value <= 2 AND NOT is_land), 0) / nullif(sum(n) FILTER (WHERE NOT is_land), 0)::DOUBLE, 0), 6) AS pct_mv_le2,
+  round(coalesce(coalesce(sum(n) FILTER (WHERE mana_value = 3 AND NOT is_land), 0) / nullif(sum(n) FILTER (WHERE NOT is_land), 0)::DOUBLE, 0), 6) AS pct_mv_3,
+  round(coalesce(coalesce(sum(n) FILTER (WHERE mana_value BETWEEN 4 AND 5 AND NOT is_land), 0) / nullif(sum(n) FILTER (WHERE NOT is_land), 0)::DOUBLE, 0), 6) AS pct_mv_4_5,
+  round(coalesce(coalesce(sum(n) FILTER (WHERE mana_value >= 6 AND NOT is_land), 0) / nullif(sum(n) FILTER (WHERE NOT is_land), 0)::DOUBLE, 0), 6) AS pct_mv_ge6,
+  CAST(coalesce(max(main_colors), 0) AS INT) AS main_colors, CAST(coalesce(max(colors), 0) AS INT) AS colors,
+  round(coalesce(sum(oh * n) FILTER (WHERE NOT is_land) / nullif(sum(n) FILTER (WHERE NOT is_land AND oh IS NOT NULL), 0), 0), 6) AS mean_oh
+FROM x LEFT JOIN cc USING (game_id) GROUP BY x.game_id""")
+def deck_features(t: Tables) -> DataFrame:
+    return rounded(E.deck_features(t.deck_cards, card_rates(t), ["oh"]))
+
+
+GRID_SQL = ",\n  ".join(f"count(*) FILTER (WHERE {cond} AND {mv}) AS {role}_{name}" for role, cond in {"creature": "is_creature AND NOT is_land", "removal": "is_removal AND NOT is_land", "trick": "is_trick AND NOT is_land", "ramp": "is_ramp AND NOT is_land", "pump": "is_trick AND NOT is_creature AND NOT is_land", "other": "NOT (is_land OR is_creature OR is_removal OR is_trick OR is_ramp)"}.items() for name, mv in {"mv_0_2": "mana_value <= 2", "mv_3": "mana_value = 3", "mv_ge4": "mana_value >= 4"}.items())
+
+
+@query("d6_d7_hand_features", "WITH " + CARD_RATES + f""" SELECT h.game_id, count(*) AS cards, count(*) FILTER (WHERE is_land) AS lands, count(*) FILTER (WHERE NOT is_land) AS spells, {GRID_SQL},
+  count(*) FILTER (WHERE z > 1.3 AND NOT is_land) AS z_bomb, count(*) FILTER (WHERE z >= 0.4 AND z <= 1.3 AND NOT is_land) AS z_good, count(*) FILTER (WHERE z >= -0.7 AND z < 0.4 AND NOT is_land) AS z_average, count(*) FILTER (WHERE z < -0.7 AND NOT is_land) AS z_poor,
+  round(coalesce(avg(oh) FILTER (WHERE NOT is_land), 0), 6) AS avg_oh, round(coalesce(max(oh) FILTER (WHERE NOT is_land), 0), 6) AS max_oh, round(coalesce(sum(oh) FILTER (WHERE NOT is_land), 0), 6) AS sum_oh, count(DISTINCT color) FILTER (WHERE NOT is_land) AS colors
+FROM hand_cards h JOIN rates r USING (card_id) GROUP BY h.game_id""")
+def hand_features(t: Tables) -> DataFrame:
+    return rounded(E.hand_features(t.hand_cards, card_rates(t)))
+
+
+ODDS = "(card_id * 13 % 11) / 10.0::DOUBLE"
+
+
+@query("d8_x18_castability", "WITH x AS (SELECT DISTINCT h.game_id, c.*, least((card_id * 13 % 11 + 0) / 10.0::DOUBLE, 1) AS p1, least((card_id * 13 % 11 + 2) / 10.0::DOUBLE, 1) AS p2 FROM hand_cards h JOIN cards c USING (card_id)) SELECT game_id, " + ", ".join(f"round(coalesce(1 - CASE WHEN max({p}) FILTER (WHERE {c}) >= 1 THEN 0 ELSE exp(sum(ln(1 - {p})) FILTER (WHERE {c} AND {p} < 1)) END, 0), 6) AS {n}_any_t{i}, round(coalesce(sum({p}) FILTER (WHERE {c}), 0), 6) AS {n}_count_t{i}" for n, c in {"land": "is_land", "creature": "is_creature AND NOT is_land", "removal": "is_removal AND NOT is_land", "spell": "NOT is_land"}.items() for i, p in ((1, "p1"), (2, "p2"))) + " FROM x GROUP BY game_id")
+def castability(t: Tables) -> DataFrame:
+    p = lambda k: F.least((F.col("card_id") * 13 % 11 + k) / F.lit(10.0), F.lit(1.0))
+    odds = t.cards.select("card_id", p(0).alias("p1"), p(2).alias("p2"))
+    return rounded(E.castability_features(t.hand_cards, t.cards, odds, (1, 2)))
+
+
+@query("d9_context_features", "SELECT game_id, CASE WHEN on_play THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS on_the_play, CASE WHEN event_type = 'PremierDraft' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS event_PremierDraft, CASE WHEN expansion = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS set_BUILDING, CASE WHEN expansion = 'MACHINERY' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS set_MACHINERY FROM decisions")
+def context(t: Tables) -> DataFrame:
+    return E.context_features(t.decisions, "on_play", "event_type", "expansion", ["PremierDraft"], ["BUILDING", "MACHINERY"]).select("game_id", "on_the_play", "event_PremierDraft", "set_BUILDING", "set_MACHINERY")
+
+
+def rollup_sql(by: str) -> str:
+    cols = ", ".join(f"round(count(*) FILTER (WHERE first_in_hand <= {k}) / count(*)::DOUBLE, 6) AS in_hand_t{k}, round(coalesce(count(*) FILTER (WHERE first_in_hand <= {k} AND first_castable <= {k}) / nullif(count(*) FILTER (WHERE first_in_hand <= {k}), 0)::DOUBLE, 0), 6) AS castable_t{k}, round(count(*) FILTER (WHERE first_castable = {k}) / count(*)::DOUBLE, 6) AS first_t{k}" for k in (1, 2, 3, 4))
+    return f"SELECT {by}, count(*) AS instances, {cols}, round(count(*) FILTER (WHERE first_castable > 4) / count(*)::DOUBLE, 6) AS first_later FROM traces GROUP BY {by}"
+
+
+@query("d10_trace_rollup", rollup_sql("name"))
+def trace_rollup(t: Tables) -> DataFrame:
+    return rounded(E.trace_rollup(t.traces, ["name"]))
+
+
+@query("d12_mode_rollup", rollup_sql("name, mode_index"))
+def mode_rollup(t: Tables) -> DataFrame:
+    return rounded(E.trace_rollup(t.traces, ["name", "mode_index"]))
+
+
+@query("d11_snapshot_marginal", "WITH f AS (SELECT run, name, min(first_castable) AS turn FROM traces GROUP BY 1, 2), g AS (SELECT count(DISTINCT run) AS games FROM traces) SELECT name, " + ", ".join(f"round(count(*) FILTER (WHERE turn <= {k}) / max(games)::DOUBLE, 6) AS by_t{k}" for k in (1, 2, 3, 4)) + " FROM f, g GROUP BY name")
+def snapshot(t: Tables) -> DataFrame:
+    return rounded(E.snapshot_marginal(t.traces))
+
+
+@query("d13_game_rollup", "SELECT " + ", ".join([f"round(avg(CASE WHEN turn = {k} THEN CASE WHEN lands >= {k} THEN 1.0 ELSE 0.0 END END), 6) AS lands_t{k}" for k in (2, 3, 4, 5)] + [f"round(avg(CASE WHEN turn = {k} THEN mana END), 6) AS mana_t{k}" for k in (2, 3, 4)]) + " FROM traces")
+def game_rollup(t: Tables) -> DataFrame:
+    return rounded(E.game_rollup(t.traces))
+
+
+@query("d49_hand_explanation", """
+WITH o AS (SELECT name, round(count(*) FILTER (WHERE first_castable <= 2) / count(*)::DOUBLE, 6) AS t2 FROM traces GROUP BY name),
+h AS (SELECT DISTINCT game_id, card_id FROM hand_cards), x AS (SELECT h.game_id, c.is_land, c.is_creature, (c.card_id * 13 % 11) / 11.0::DOUBLE AS p FROM h JOIN cards c USING (card_id))
+SELECT game_id, round(1 - exp(sum(ln(1 - p)) FILTER (WHERE is_creature AND NOT is_land)), 6) AS creature, round(1 - exp(sum(ln(1 - p)) FILTER (WHERE NOT is_creature AND NOT is_land)), 6) AS other_spell,
+  round(1 - exp(coalesce(sum(ln(1 - p)) FILTER (WHERE NOT is_land), 0)), 6) AS any_spell FROM x GROUP BY game_id""")
+def explanation(t: Tables) -> DataFrame:
+    from ..functions.numbers import any_of
+
+    rows = t.hand_cards.select("game_id", "card_id").distinct().join(t.cards, "card_id").withColumn("p", F.col("card_id") * 13 % 11 / F.lit(11.0))
+    spell = ~F.col("is_land")
+    grouped = rows.groupBy("game_id").agg(F.collect_list(F.when(spell & F.col("is_creature"), F.col("p"))).alias("a"), F.collect_list(F.when(spell & ~F.col("is_creature"), F.col("p"))).alias("b"))
+    some = lambda c: F.when(F.size(c) > 0, any_of(F.col(c)))
+    both = any_of(F.array(F.coalesce(some("a"), F.lit(0.0)), F.coalesce(some("b"), F.lit(0.0))))
+    return rounded(grouped.select("game_id", some("a").alias("creature"), some("b").alias("other_spell"), both.alias("any_spell")))
+
+
+HASH = "CAST('0x' || substr(sha256({x}), 1, 16) AS UBIGINT)::DOUBLE / 18446744073709551616.0::DOUBLE"
+
+
+@query("l11_smoothed_hands", f"""
+WITH k AS (SELECT game_id, card_id, is_land, unnest(range(1, n + 1)) AS copy FROM deck_cards JOIN cards USING (card_id)),
+s AS (SELECT game_id, avg(CASE WHEN is_land THEN 1.0 ELSE 0.0 END) AS deck_share FROM k GROUP BY 1),
+d AS (SELECT k.*, c AS candidate, row_number() OVER (PARTITION BY game_id, c ORDER BY {HASH.format(x="concat_ws(':', '0', game_id, c, card_id, copy)")}, card_id, copy) AS rk FROM k, range(1, 4) g(c)),
+h AS (SELECT game_id, candidate, count(*) FILTER (WHERE is_land) AS lands, count(*) AS size, string_agg(CAST(card_id AS STRING), '|' ORDER BY card_id) AS hand FROM d WHERE rk <= 7 GROUP BY 1, 2),
+w AS (SELECT h.*, exp(-pow(lands / size::DOUBLE - deck_share, 2) / 0.015::DOUBLE) AS weight FROM h JOIN s USING (game_id)),
+u AS (SELECT *, sum(weight) OVER (PARTITION BY game_id ORDER BY candidate) AS upto, sum(weight) OVER (PARTITION BY game_id) * {HASH.format(x="concat_ws(':', '0', game_id)")} AS pick FROM w)
+SELECT game_id, CAST(candidate AS INT) AS candidate, lands, hand FROM u WHERE upto > pick AND upto - weight <= pick""")
+def smoothed(t: Tables) -> DataFrame:
+    out = E.smoothed_hands(t.deck_cards, t.cards)
+    return out.select("game_id", "candidate", "lands", F.array_join(F.transform("hand", lambda c: c.cast("string")), "|").alias("hand"))
+
+
+@query("l9_mono_color_decks", "SELECT color, CAST(rk AS INT) AS rk, card_id, name FROM (SELECT *, row_number() OVER (PARTITION BY color ORDER BY mana_value, name, card_id) AS rk, count(*) OVER (PARTITION BY color) AS k FROM cards WHERE NOT is_land AND color IS NOT NULL AND mana_value <= 6) WHERE rk <= 23 AND k >= 23")
+def mono_decks(t: Tables) -> DataFrame:
+    return E.mono_color_decks(t.cards)

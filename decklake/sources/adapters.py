@@ -6,6 +6,8 @@ that queries and their checks start from the same rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -88,8 +90,6 @@ class Tables:
         raise AttributeError(name)
 
     def sql(self, text: str) -> DataFrame:
-        import re
-
         used = {n for n in TABLES if re.search(rf"\b(FROM|JOIN)\s+{n}\b", text)}
         for n in used:
             text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", text)
@@ -98,10 +98,9 @@ class Tables:
 
 def with_views(text: str) -> str:
     """SQL over the views: those that ``text`` names go before it as common table expressions."""
-    import re
-
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", text)]
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in used)
     if not used:
         return text
-    return f"WITH {ctes}, {text.lstrip()[5:]}" if text.lstrip().upper().startswith("WITH ") else f"WITH {ctes} {text}"
+    own = re.match(r"\s*WITH\s", text)
+    return f"WITH {ctes}, {text[own.end() :]}" if own else f"WITH {ctes} {text}"
