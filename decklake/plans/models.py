@@ -1 +1,81 @@
-"""Queries."""
+"""Queries: splits, baseline, boosted trees, calibration, the event stream."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+from ..functions import numbers as N
+from ..operators import metrics as M, models as L
+from ..sources.adapters import Tables
+from .evaluation import rounded
+from .registry import query
+
+UNIT = "CAST('0x' || substr(sha256(concat('17:', draft_id)), 1, 16) AS UBIGINT)::DOUBLE / 18446744073709551616.0::DOUBLE"
+FEATURES = ["p_base", "arm_keep", "arm_mull", "on_play", "opp_mulligans", "win_rate", "margin"]
+
+
+@query("j3_draft_split", f"WITH u AS (SELECT *, {UNIT} AS u FROM decisions) SELECT CASE WHEN u < 0.1 THEN 'val' WHEN u < 0.15 THEN 'calib' WHEN u < 0.3 THEN 'test' ELSE 'train' END AS split, count(*) AS n, count(DISTINCT draft_id) AS drafts FROM u GROUP BY 1")
+def draft_split(t: Tables) -> DataFrame:
+    rows = t.decisions.withColumn("split", L.split_of(F.col("draft_id"), 0.1, 0.15, 0.05))
+    return rows.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct("draft_id").alias("drafts"))
+
+
+@query("j3b_three_way_split", f"WITH u AS (SELECT DISTINCT draft_id, {UNIT} AS u FROM decisions) SELECT draft_id, CASE WHEN u < 0.1 THEN 'val' WHEN u < 0.25 THEN 'test' ELSE 'train' END AS split FROM u")
+def three_way(t: Tables) -> DataFrame:
+    return t.decisions.select("draft_id").distinct().select("draft_id", L.split_of(F.col("draft_id"), 0.1, 0.15).alias("split"))
+
+
+def with_margin(t: Tables) -> DataFrame:
+    rows = t.decisions.withColumns({"wr": N.win_rate_label(F.col("win_rate")), "ng": N.n_games_label(F.col("n_games")), "label": F.col("won").cast("int")})
+    rows = L.checked_split(rows, L.split_of(F.col("draft_id"), 0.15, 0.2, 0.1))
+    known = rows.filter("split = 'train'")
+    return L.baseline_margin(L.baseline(known, ["wr", "ng", "on_play"], "opp_mulligans", "label"), rows, ["wr", "ng", "on_play"], "opp_mulligans")
+
+
+@query("j1_baseline")
+def baseline(t: Tables) -> DataFrame:
+    """Margins of each cell; they follow the cell's own log odds."""
+    return rounded(with_margin(t).groupBy("wr", "ng", "on_play", "opp_mulligans").agg(F.avg("margin").alias("margin"), F.count("*").alias("n")), digits=4)
+
+
+@query("j4_win_model")
+def win_model(t: Tables) -> DataFrame:
+    """Metrics of boosted trees over the baseline's margin, on each split."""
+    rows = with_margin(t)
+    model = L.train_trees(rows, FEATURES, "won", rounds=8, depth=3)
+    return rounded(M.grouped_metrics(L.score(model, rows, FEATURES), "p", "label", ["split"]), digits=4)
+
+
+@query("j5_j6_choice_model")
+def choice_model(t: Tables) -> DataFrame:
+    """Keep probability of each decision, with a feature that the data lacks."""
+    rows = with_margin(t)
+    features = [*FEATURES, "not_there"]
+    model = L.train_trees(rows, features, "was_kept", rounds=8, depth=3)
+    return L.score(model, rows, features).select("game_id", "split", F.round("p", 4).alias("p"), N.banded(F.col("p")).alias("verdict"))
+
+
+@query("j7_j8_j9_calibration")
+def calibration(t: Tables) -> DataFrame:
+    """Raw, Platt-scaled and isotonic probabilities, fitted on one split and compared on another."""
+    rows = with_margin(t).withColumn("y", F.col("was_kept").cast("int"))
+    fit, test = rows.filter("split IN ('train', 'calib')"), rows.filter("split = 'test'")
+    out = L.platt(fit, "p_keep", "y")(test)
+    out = L.isotonic(fit, "p_keep", "y")(out)
+    out = L.isotonic(fit, "p_keep", "y", "p_clamped", 0.02, 0.98)(out)
+    return rounded(L.compare_calibrations(out, {"raw": "p_keep", "platt": "p_platt", "isotonic": "p_isotonic", "clamped": "p_clamped"}, "y"), digits=4)
+
+
+@query("j10_sweep")
+def sweep(t: Tables) -> DataFrame:
+    """Settings compared; the one that is chosen has the least log loss on first decisions of validation."""
+    settings = [{"rounds": 4, "depth": 2}, {"rounds": 6, "depth": 3}]
+    return rounded(L.sweep(with_margin(t), FEATURES, "was_kept", settings, F.col("mulligan_number") == 0, "event_type"), digits=4)
+
+
+@query("s1_s9_live_decisions")
+def live_decisions(t: Tables) -> DataFrame:
+    """The event table as logs, read as a stream until all is processed: typed decisions with resolved hands and decks."""
+    from ..streaming import log
+
+    return log.replay(log.logs_of_events(t.events), t.cards.select(F.col("card_id").cast("int").alias("id"), "name"))
