@@ -165,7 +165,8 @@ def resolved(rows: DataFrame, cards: DataFrame) -> DataFrame:
     )
     out = keyed.join(named, "row", "left").fillna(0, ["hand_unknown", "deck_unknown"])
     what = F.when((F.col("what") == "decision") & (F.col("hand_unknown") > 0), "hand_unresolved").when((F.col("what") == "decision") & (F.col("deck_unknown") > 0), "deck_unresolved").otherwise(F.col("what"))
-    return out.withColumn("what", what).drop("row")
+    none = F.array().cast("array<string>")
+    return out.withColumns({"what": what, "hand_names": F.coalesce("hand_names", none), "deck_names": F.coalesce("deck_names", none)}).drop("row")
 
 
 def read_logs(spark: SparkSession, path: str, marker: str = MARKER) -> DataFrame:
