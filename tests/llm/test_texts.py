@@ -1,0 +1,325 @@
+"""Tokens, languages, personal data, toxicity, fingerprints, mixing and revisits, with odd rows."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from decklake.llm import byte_bpe as B, language_id as L, mixing as M, pii as P, syncmers as Y, token_counts as C, toxicity as T, warc as W
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+SCHEMA = "doc_id long, text string"
+ODD = [None, "", " ", "\n\n  a", "a  b", "it's we'LL 'll", "naïve café 日本語 кот", "x" * 3000, "a\x1cb\x1d! \x85c d", "12345 6.7.8", "<|endoftext|>", "a <|endoftext|> b", "🙂🙂 ok", "tab\tnew\r\nline  ", "é" * 50, " '", "!!!\n\n\nwhat?"]
+
+
+def soup(seed, n=200):
+    rng = random.Random(seed)
+    alphabet = "ab 'st.\n\t1é日\x1c 🙂-THE"
+    return ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 60))) for _ in range(n)]
+
+
+def docs_of(spark, texts, parts=3):
+    return spark.createDataFrame(list(enumerate(texts)), SCHEMA).repartition(parts)
+
+
+def test_token_counts(spark):
+    from tokenizers import Tokenizer
+
+    texts = [*ODD, *soup(1)]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = C.count_tokens(docs_of(spark, texts), path, limit=20).collect()
+    for r in rows:
+        n = len(tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids)
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len((texts[r.doc_id] or "").encode()), n, n > 20)
+    assert C.count_tokens(docs_of(spark, ["a"]).limit(0), path).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "piece_bpe_32k.model"])
+def test_other_tokenizers(spark, name):
+    path = public_tokenizers.path(name)
+    texts = [t for t in ODD if t is None or "endoftext" not in t]
+    count = C._counter(path)[0]
+    got = {r.doc_id: r.n_tokens for r in C.count_tokens(docs_of(spark, texts), path).collect()}
+    assert got == {i: count([t])[0] if t else 0 for i, t in enumerate(texts)}
+
+
+def library():
+    import tiktoken
+
+    ranks = B.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return ranks, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_round_trip(spark):
+    ranks, reference = library()
+    texts = [*ODD, *soup(2)]
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    for r in B.digests(docs_of(spark, texts), path, public_tokenizers.PATTERN).collect():
+        text = texts[r.doc_id] or ""
+        ids = reference.encode_ordinary(text)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    coded = B.decode(B.encode(docs_of(spark, texts), path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN)
+    assert all(bytes(r.decoded) == (texts[r.doc_id] or "").encode() for r in coded.collect())
+
+
+def test_prefixes_appends_and_edits():
+    ranks, reference = library()
+    v = B.Vocabulary(ranks)
+    rng = random.Random(4)
+    for _ in range(200):
+        data = "".join(rng.choice(["the", "ing", "a", "zx", "é", "日", "1", " "]) for _ in range(rng.randrange(1, 30))).encode()
+        coded = B.PrefixEncoding(v)
+        for at in range(0, len(data), 5):
+            coded.append(data[at : at + 5])
+        assert coded.ids() == reference._core_bpe.encode_single_piece(data)
+        a = rng.randrange(len(data) + 1)
+        b = rng.randrange(a, len(data) + 1)
+        coded.replace(a, b, new := b"thing"[: rng.randrange(6)])
+        assert coded.ids() == (reference._core_bpe.encode_single_piece(data[:a] + new + data[b:]) if data[:a] + new + data[b:] else [])
+    long = B.PrefixEncoding(v, b"abcdefgh" * 400)
+    assert long.replace(10, 11, b"z") < 1000 and long.ids() == reference._core_bpe.encode_single_piece(long.data)
+
+
+def brute_spans(text):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 13 <= len(digits(m.group())) <= 19 and P.luhn(digits(m.group()))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m.group())) <= 15]
+
+
+def test_base_spans_are_the_patterns():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice("aB12034559..@@+-_ (%)\né") for _ in range(rng.randrange(40)))
+        if rng.random() < 0.5:
+            text += "4111 1111 1111 1111 +1 (640) 555-0953 a@b.c 1.2.3.4.5.6.7.8"[rng.randrange(30) :]
+        assert P.base_spans(text) == brute_spans(text)
+
+
+def test_personal_data(spark):
+    texts = [None, "", "mail a.b@c.example and 4111-1111-1111-1111, +1 (640) 555-0953; 10.0.0.1", "call 640-555-0953 or (640) 555-0953", "id 123-45-6789.", "see @someone_x", "plain words only", "on 2024-01-02 we had 3.5% of 1200", "é 1.2.3.4"]
+    rows = {r.doc_id: r.pii for r in P.find(docs_of(spark, texts)).collect()}
+    assert rows[0].spans == rows[1].spans == "" and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert (rows[2].n_email, rows[2].n_card, rows[2].n_phone, rows[2].n_ip) == (1, 1, 1, 1)
+    assert [s.split(":")[0] for s in rows[3].spans.split(",")] == ["local_phone", "local_phone"]
+    assert rows[4].spans == "id_number:3:14" and rows[5].spans == "handle:4:14"
+    assert rows[6].spans == rows[7].spans == "" and rows[8].spans == "ip:2:9"
+
+
+def test_crf_on_held_out_runs():
+    model = P.train(P.labelled_table())
+    table = P.labelled_table(seed=99, rows=150)
+    pairs = [(tag, P.TAGS[x]) for row, got in zip(table, model.decode([[w for w, _ in row] for row in table])) for (_, tag), x in zip(row, got)]
+    assert sum(a == b for a, b in pairs) / len(pairs) > 0.97
+
+
+def lang_text(rng, parts, n):
+    return " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+
+SOUNDS = {"aa": ["tha", "sho", "ing", "wh"], "bb": ["eux", "oir", "que", "é"], "cc": ["привет", "кот", "да"]}
+
+
+def test_language_id(spark):
+    rng = random.Random(8)
+    rows = [(i, lang_text(rng, SOUNDS[lang], rng.randrange(3, 60)), lang) for i, lang in enumerate(rng.choice(list(SOUNDS)) for _ in range(600))]
+    odd = [(1000, None, None), (1001, "", "aa"), (1002, "123 !", "bb"), (1003, "日本", None), (1004, lang_text(rng, SOUNDS["aa"], 30) + " " + lang_text(rng, SOUNDS["bb"], 12), None)]
+    docs = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string").repartition(3)
+    got = {r.doc_id: r for r in L.predict(docs).collect()}
+    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r.score <= 1 for i, r in got.items())
+    held = [(lang, got[i].lang_pred) for i, _, lang in rows if got[i].held_out]
+    assert len(held) > 50 and sum(a == b for a, b in held) / len(held) > 0.97
+    assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1003].score < 0.5 and got[1004].lang_pred == "aa"
+    model = L.learn(docs)
+    spans = L.identify(docs.filter("doc_id = 1004"), model, spans=True).first().language.spans
+    assert [s.lang for s in spans] == ["aa", "bb"] and spans[0].start == 0 and spans[1].end == len(odd[4][1])
+    assert L.identify(docs.limit(0), model).count() == 0
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        counts = rng.integers(0, 5, 4)
+        emit = rng.normal(size=(counts.sum(), 3)).astype(np.float32)
+        got, at = L._viterbi(emit, counts, 0.7), 0
+        for n in counts:
+            def cost(path):
+                return sum(emit[at + t, s] for t, s in enumerate(path)) - 0.7 * sum(a != b for a, b in zip(path, path[1:]))
+            paths = np.array(np.meshgrid(*[range(3)] * n)).reshape(n, -1).T if n else [[]]
+            if n:
+                assert cost(got[at : at + n]) == pytest.approx(max(cost(p) for p in paths), abs=1e-4)
+            at += n
+
+
+def test_block_max_finds_the_nearest():
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(500):
+        terms = rng.choice(12, rng.integers(1, 5), replace=False)
+        w = rng.random(len(terms)) + 0.1
+        vectors.append({int(t): float(x) for t, x in zip(terms, w / np.sqrt((w * w).sum()))})
+    index = T.Index(vectors, np.arange(500), np.zeros(500), np.ones(500), 12)
+    for q in vectors[::20]:
+        sims = sorted(((-round(sum(q.get(t, 0) * w for t, w in v.items()), 9), i) for i, v in enumerate(vectors)))
+        want = [i for s, i in sims[:10] if s < 0]
+        assert [i for _, i in index.nearest(q, 10)] == want
+
+
+def test_toxicity(spark):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for i in range(1500):
+        words = [f"w{rng.randrange(300)}" for _ in range(30)]
+        bad = rng.random() < 0.2
+        if bad:
+            words[rng.randrange(30)] = rng.choice(["vile", "rotten"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    rows += [(2000, None), (2001, ""), (2002, "VILE!"), (2002, "VILE!")]
+    docs, marks = spark.createDataFrame(rows, SCHEMA).repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = T.predict(docs, marks).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    truth, by = dict(labels), {r.doc_id: r for r in got}
+    held = [i for i in truth if by[i].held_out]
+    assert sum(by[i].predicted == truth[i] for i in held) / len(held) > 0.97
+    assert by[2000].score == by[2001].score < 0.5 and by[2002].predicted == 1 and by[2002].terms == ["vile"] and by[2002].nearest
+    # Labels of held-out rows are never looked at.
+    flipped = spark.createDataFrame([(i, 1 - y if by[i].held_out else y) for i, y in labels], "doc_id long, toxic int")
+    assert {r.doc_id: r.score for r in T.predict(docs, flipped).collect()} == {i: r.score for i, r in by.items()}
+    assert T.predict(docs.limit(0), marks).count() == 0 and T.predict(docs.limit(3), marks.limit(0)).count() == 3
+
+
+def brute_sketch(spark, texts):
+    return {r.doc_id: r.s for r in Y.with_sketch(docs_of(spark, texts), "text", "s").collect()}
+
+
+def test_fingerprints_of_edits(spark):
+    rng = random.Random(2)
+    ids = rng.sample(range(10_000), 60)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(n))
+    rows = [(i, words(rng.randrange(1, 200))) for i in ids] + [(20_000, None), (20_001, ""), (20_002, "🙂é日本"), (20_003, "x"), (None, "last one")]
+    for k in (3, 7):
+        rows.append((30_000 + k, rows[k][1]))
+    old = Y.BUCKET_ROWS
+    for size in (1500, 7):  # the second one makes many buckets
+        Y.BUCKET_ROWS = size
+        try:
+            got = {r.doc_id: r for r in Y.fingerprint_edits(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+        finally:
+            Y.BUCKET_ROWS = old
+        order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0)))
+        assert len(got) == len(rows)
+        for (i, t), (_, nxt) in zip(order, order[1:] + order[:1]):
+            t, nxt = t or "", nxt or ""
+            edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
+            assert (got[i].n_chars, got[i].edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+            assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+    assert got[30_003].fingerprint == got[rows[3][0]].fingerprint and got[20_000].fingerprint == ""
+    long = [r for r in got.values() if r.n_chars > 300]
+    assert all(r.near_edited > 0.15 > r.near_next for r in long)
+    assert Y.fingerprint_edits(spark.createDataFrame([], SCHEMA)).count() == 0
+    alone = Y.fingerprint_edits(spark.createDataFrame([(1, "only this text")], SCHEMA)).first()
+    assert alone.near_next == 1.0
+
+
+def test_syncmers_by_brute_force(spark):
+    texts = ["abcd efgh ijkl mnop qrst uvwx yz", "one two three four five six seven eight", "a", ""]
+    rows = {r.doc_id: r for r in Y.with_anchors(docs_of(spark, texts), "text", "inner", "places").collect()}
+    for r in rows.values():
+        inner, last = r.inner, Y.K - Y.S
+        want = [i for i in range(len(inner) - last) if min(inner[i : i + last + 1]) in (inner[i], inner[i + last])]
+        assert r.places == want
+    moved = ["zz yy xx " + texts[1], texts[1] + " nine ten"]
+    prints = brute_sketch(spark, [texts[1], *moved])
+    assert len(set(prints[0]) & set(prints[1])) >= len(prints[0]) * 0.5 and len(set(prints[0]) & set(prints[2])) >= len(prints[0]) * 0.8
+    both = [Y.with_anchors(docs_of(spark, [t]), "text", "inner", "places") for t in (texts[1], moved[0])]
+    gaps = [r.place_b - r.place_a for r in Y.matched_places(*both, "doc_id").collect()]
+    assert gaps and max(set(gaps), key=gaps.count) > 0
+
+
+def test_mixing(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["b", "a", None, "c", "hot", "hot", "hot", "hot"]), rng.randrange(0, 60)) for i in range(3000)] + [(4000, "tiny", 10), (4001, "tiny", None), (4002, "none", 0), (None, "a", 5), (7, "a", 5), (7, "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, n int").select("doc_id", "source", F.coalesce("n", F.lit(0)).cast("long").alias("size"))
+    run = lambda d: [tuple(r) for r in M.mix(d, lambda s: M.ranked(s, [5, 2, 1])).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "positions").collect()]
+    got = run(docs.repartition(5))
+    assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, run(docs.repartition(2))))
+    sizes = {}
+    for _, s, n in rows:
+        sizes[s] = sizes.get(s, 0) + (n or 0)
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: [5, 2, 1][k % 3] for k, s in enumerate(names)}
+    target, open_, left = {}, set(names), float(sum(sizes.values()))
+    while open_:  # reshared by weight until none is above
+        level = left / sum(weight[s] for s in open_)
+        above = {s for s in open_ if weight[s] * level > 3 * sizes[s]}
+        for s in above or open_:
+            target[s] = 3.0 * sizes[s] if above else weight[s] * level
+            left -= target[s]
+        open_ -= above or open_
+    for s in names:
+        mine = [r for r in got if r[1] == s]
+        assert mine[0][3] == sizes[s] and mine[0][4] == pytest.approx(target[s]) and sum(r[5] for r in mine) == round(target[s])
+        assert all(r[5] <= 3 * r[2] for r in mine)
+    first = [r[7][0] for r in got]
+    assert first == sorted(first) and 0 <= first[0] and first[-1] <= 1
+    assert run(docs.limit(0)) == []
+    copies = M.materialise(M.mix(docs, lambda s: M.ranked(s, [5, 2, 1])), docs.columns)
+    assert copies.columns == docs.columns and copies.filter("source = 'tiny'").count() == 3
+
+
+def test_inverse_of_the_integral(spark):
+    knots = [(0.0, 4.0), (0.3, 1.0), (0.3001, 0.0), (0.8, 0.0), (1.0, 2.0)]
+    df = spark.range(21).select(F.array(*[F.struct(F.lit(a).alias("at"), F.lit(w).alias("weight")) for a, w in knots]).alias("s"), "id").withColumn("p", M.pieces(F.col("s")))
+    rows = df.select(M.integral(F.col("p")).alias("whole"), M.inverse(F.col("p"), M.integral(F.col("p")) * F.col("id") / 20).alias("x"), "id").collect()
+    grid = np.linspace(0, 1, 400_001)
+    density = np.interp(grid, *zip(*knots))
+    area = np.concatenate(([0], np.cumsum((density[1:] + density[:-1]) / 2 * np.diff(grid))))
+    for r in rows:
+        assert np.interp(r.x, grid, area) == pytest.approx(r.whole * r.id / 20, abs=1e-5)
+
+
+def record(i, url, at, kind, etag=None, headers=None, modified=None):
+    return (i, url, at, kind, etag, modified, None, headers or {})
+
+
+RECORD = "record_id long, url string, captured long, kind string, etag string, last_modified string, digest string, headers map<string,string>"
+
+
+def test_revisits(spark):
+    rows = [
+        record(1, "http://www.A.com:80/x/?b=2&a=1&utm_source=q#f", 10, "response", "e1", {"Content-Type": "text/html", "ETag": "e1", "Date": "10"}),
+        record(2, "https://a.com/x?a=1&b=2", 20, "revisit", "e1", {"Date": "20", "Content-Type": "no", "Expires": "9"}),
+        record(3, "https://a.com/x?a=1&b=2", 5, "revisit", "e1"), record(4, "https://a.com/x?a=1&b=2", 30, "revisit", "e2"), record(5, "https://a.com/x?a=1&b=2", 30, "response", "e3"),
+        record(6, "https://a.com/x?a=1&b=2", 31, "revisit", None), record(7, None, 40, "revisit", "e1"), record(8, "b.com", None, "response", "e1"), record(9, "b.com", 50, "revisit", "e1"), record(10, "a.com/x?b=2&a=1", 60, "metadata"),
+        record(11, "c.com", 1, "response", None, {}, "mon"), record(12, "c.com", 1, "revisit", None, None, "mon"),
+    ]
+    got = {r.record_id: r for r in W.resolve_revisits(spark.createDataFrame(rows, RECORD)).collect()}
+    assert {i: (r.status, r.refers_to) for i, r in got.items() if r.kind == "revisit"} == {2: ("resolved", 1), 3: ("missing", None), 4: ("mismatch", 1), 6: ("mismatch", 5), 7: ("missing", None), 9: ("missing", None), 12: ("resolved", 11)}
+    assert got[2].merged == {"content-type": "text/html", "etag": "e1", "date": "20", "expires": "9"} and got[10].status is None and len(got) == len(rows)
+    assert got[1].canonical == "a.com/x?a=1&b=2" == got[10].canonical
+
+
+def test_hot_url_is_cut_into_stretches(spark):
+    rng = random.Random(5)
+    rows = [record(i, "http://hot.com" if rng.random() < 0.8 else f"http://h{rng.randrange(30)}.com", rng.randrange(3000), rng.choice(["response", "revisit", "revisit"]), f"e{rng.randrange(2)}") for i in range(3000)]
+    got = {r.record_id: r.refers_to for r in W.resolve_revisits(spark.createDataFrame(rows, RECORD).repartition(4)).collect()}
+    latest = {}
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        if r[3] == "response":
+            latest[r[1]] = r[0]
+        else:
+            assert got[r[0]] == latest.get(r[1])
+
+
+def test_ranks_file_is_read():
+    ranks = B.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    assert len(ranks) == 50_256 and ranks[base64.b64decode("IQ==")] == 0
