@@ -77,12 +77,12 @@ def type_lines(t: Tables) -> DataFrame:
     return rows.select("card_id", *[F.array_join(f"l.{c}", "|").alias(c) for c in ("supertypes", "types", "subtypes")])
 
 
-RULES = [(r"(?i)idiot|stupid|moron", "insult"), (r"\d{3}", "number"), (r"(?i)\bthe\b", "article"), (r"(?i)\b(der|die|das)\b", "artikel")]
+RULES = [(r"(?i)idiot|stupid|moron", "insult"), (r"\d{3}", "number"), (r"(?i)(^|[^\p{L}])the($|[^\p{L}])", "article"), (r"(?i)(^|[^\p{L}])(der|die|das)($|[^\p{L}])", "artikel")]
 
 
 @query("x12_rule_tags", r"""
 WITH c AS (SELECT doc_id, trim(unnest(regexp_split_to_array(text, '[.\n]'))) AS chunk FROM documents),
-g AS (SELECT doc_id, CASE WHEN regexp_matches(chunk, '(?i)idiot|stupid|moron') THEN 'insult' WHEN regexp_matches(chunk, '\d{3}') THEN 'number' WHEN regexp_matches(chunk, '(?i)\bthe\b') THEN 'article' WHEN regexp_matches(chunk, '(?i)\b(der|die|das)\b') THEN 'artikel' END AS tag FROM c WHERE chunk <> '')
+g AS (SELECT doc_id, CASE WHEN regexp_matches(chunk, '(?i)idiot|stupid|moron') THEN 'insult' WHEN regexp_matches(chunk, '\d{3}') THEN 'number' WHEN regexp_matches(chunk, '(?i)(^|[^\p{L}])the($|[^\p{L}])') THEN 'article' WHEN regexp_matches(chunk, '(?i)(^|[^\p{L}])(der|die|das)($|[^\p{L}])') THEN 'artikel' END AS tag FROM c WHERE chunk <> '')
 SELECT doc_id, bool_or(coalesce(tag = 'insult', false)) AS insult, bool_or(coalesce(tag = 'number', false)) AS number, bool_or(coalesce(tag = 'article', false)) AS article, bool_or(coalesce(tag = 'artikel', false)) AS artikel, count(*) FILTER (WHERE tag IS NULL) AS untagged FROM g GROUP BY doc_id""")
 def rule_tags(t: Tables) -> DataFrame:
     return X.role_flags(X.tag_chunks(t.documents, RULES, "doc_id", "text"), "doc_id", [n for _, n in RULES])
