@@ -105,20 +105,22 @@ def mix(docs: DataFrame, schedules, size_col: str = "size", source_col: str = "s
     the repeats begin.  Documents without words take nothing and stand at the
     end of their source's first pass.
 
-    Null and repeated ids are rows like any other, ordered by hash, id, size
-    and a hash of the other columns.  An empty table gives an empty result.
+    A null size is 0.  Null and repeated ids are rows like any other, ordered
+    by hash, id, size and a hash of the other columns.  An empty table gives an empty result.
     Reruns agree: nothing depends on partitions.
     """
     refuse_clash(docs, "source_size", "target", "taken", "copies", "positions", "mix_source", "mix_number", "mix_bucket", "mix_at", "mix_order", "mix_first", "source_rows", "weight", "parts", "bucket_start")
+    docs = docs.withColumn(size_col, F.coalesce(F.col(size_col), F.lit(0)).cast("long"))
     size = F.col(size_col)
     sources = schedules(source_sizes(docs, source_col, size_col)).withColumn("parts", pieces(F.col("schedule"))).withColumn("weight", integral(F.col("parts")))
     number = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())).alias("mix_number")
     sources, _ = written(targets(sources, max_repeats).select(number, F.col("source").alias("mix_source"), "source_size", "source_rows", "target", "weight", "parts"), "sources")
     few = sources.count() <= MOST_BROADCAST
-    order = F.xxhash64(F.lit(seed), F.col(id_col), size)
+    # 60 bits of a hash that SQL engines share.
+    order = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col), size)), 1, 15), 16, 10).cast("long")
     rows = docs.withColumn("mix_order", order).join(F.broadcast(sources) if few else sources, F.col(source_col).eqNullSafe(F.col("mix_source")))
     buckets = F.ceil(F.col("source_rows") / BUCKET_ROWS)
-    rows = rows.withColumn("mix_bucket", F.pmod(F.shiftrightunsigned(F.col("mix_order"), 1), buckets))
+    rows = rows.withColumn("mix_bucket", F.pmod(F.col("mix_order"), buckets))
     sums = rows.groupBy("mix_number", "mix_bucket").agg(F.sum(size_col).alias("bucket_size"))
     before = Window.partitionBy("mix_number").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("mix_number", "mix_bucket", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("bucket_start"))

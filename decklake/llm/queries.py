@@ -23,7 +23,7 @@ def bpe_pattern() -> str:
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(docs, lambda s: mixing.ranked(s, [5, 2, 1]), max_repeats=3)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "positions")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", F.round(F.element_at("positions", 1), 9).alias("position"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

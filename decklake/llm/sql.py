@@ -49,4 +49,33 @@ SELECT record_id, canonical, kind, captured, refers_to, status,
 FROM s
 """
 
-ORACLES = {"op8_exact_dedup": OP8, "op9_warc_revisits": OP9}
+OP1 = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rk FROM d GROUP BY source
+), w AS (
+  SELECT *, CASE rk % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS weight, source_size * 3.0::DOUBLE AS cap FROM s
+), o AS (
+  SELECT *, cap / weight AS ratio, coalesce(sum(cap) OVER b, 0) AS capped, coalesce(sum(weight) OVER b, 0) AS heavier, CAST(sum(source_size) OVER () AS DOUBLE) AS words, sum(weight) OVER () AS weights
+  FROM w WINDOW b AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), l AS (
+  SELECT *, (words - capped) / (weights - heavier) AS lev FROM o
+), f AS (
+  SELECT *, (SELECT arg_min(lev, ratio) FROM l WHERE lev <= ratio) AS level FROM l
+), t AS (
+  SELECT *, CASE WHEN level IS NULL THEN cap ELSE least(cap, greatest(level, 0) * weight) END AS target FROM f
+), h AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.rk, t.weight, CAST('0x' || substr(md5(concat_ws('|', 0, d.doc_id, d.size)), 1, 15) AS BIGINT) AS h, CAST(ceil(t.n / 2000.0) AS BIGINT) AS buckets
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY rk ORDER BY h % buckets, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, CAST(round(target) AS BIGINT) AS cut FROM h
+)
+SELECT doc_id, size, source_size, target,
+  CAST(greatest(0, least(start + size, cut) - start) + greatest(0, least(start + source_size + size, cut) - start - source_size) + greatest(0, least(start + 2 * source_size + size, cut) - start - 2 * source_size) AS BIGINT) AS taken,
+  CAST((size > 0 AND start + size / 2 < target)::INT + (size > 0 AND start + source_size + size / 2 < target)::INT + (size > 0 AND start + 2 * source_size + size / 2 < target)::INT AS INT) AS copies,
+  CASE WHEN target > 0 AND size > 0 AND start < cut THEN
+    round(least(1.0, 2 * (start / target * weight) / (weight * lo + sqrt(weight * lo * (weight * lo) + 2 * (weight * hi - weight * lo) * (start / target * weight)))), 9) ELSE 1.0 END::DOUBLE AS position
+FROM (SELECT *, CASE WHEN rk % 2 = 0 THEN 1.5 ELSE 0.5 END::DOUBLE AS lo, CASE WHEN rk % 2 = 0 THEN 0.5 ELSE 1.5 END::DOUBLE AS hi FROM c)
+"""
+
+ORACLES = {"op1_mixing": OP1, "op8_exact_dedup": OP8, "op9_warc_revisits": OP9}
