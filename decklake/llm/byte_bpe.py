@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -23,8 +24,8 @@ from pyspark.sql import DataFrame, functions as F
 from .common import refuse_clash
 from .token_counts import UNIT
 
-#: Encoded units, and pairs of tokens known to stay apart or not, that a worker keeps.
-CACHED, PAIRS = 150_000, 1_000_000
+#: Encoded units, prefixes with their last token, and pairs of tokens known to stay apart or not, that a worker keeps; longest prefix kept.
+CACHED, PREFIXES, PAIRS, LONGEST_PREFIX = 150_000, 250_000, 400_000, 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,7 +59,7 @@ class Vocabulary:
         self.spelt: dict[int, bytes] = {rank: token for token, rank in ranks.items()}
         self.halves = _halves(ranks)
         self.longest = max(map(len, ranks))
-        self._apart: dict[tuple[int, int], bool] = {}
+        self.known: dict[tuple[int, int], bool] = {}
 
     def own(self, token: int) -> bool:
         """Whether the token's bytes are encoded as this token."""
@@ -71,7 +72,7 @@ class Vocabulary:
         merges that made them; a merge across the border is done if it comes
         before the merge last taken back.
         """
-        known = self._apart.get((left, right))
+        known = self.known.get((left, right))
         if known is not None:
             return known
         a, b, spelt, ranks, halves = left, right, self.spelt, self.ranks, self.halves
@@ -86,33 +87,47 @@ class Vocabulary:
                 bound, a = a, halves[a][1]  # among equal ranks the left one is merged first
             else:
                 bound, b = b + 1 if a != b else b, halves[b][0]
-        if len(self._apart) >= PAIRS:
-            self._apart.clear()
-        self._apart[(left, right)] = found
+        if len(self.known) >= PAIRS:
+            self.known.clear()
+        self.known[(left, right)] = found
         return found
 
 
 class PrefixEncoding:
-    """The valid last token of every prefix of some bytes."""
+    """The valid last token of every prefix of some bytes; ``shared`` keeps those of short prefixes for other bytes."""
 
-    def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.vocabulary, self.data, self.last = vocabulary, b"", []
+    def __init__(self, vocabulary: Vocabulary, data: bytes = b"", shared: dict[bytes, int] | None = None):
+        self.vocabulary, self.data, self.last, self.shared = vocabulary, b"", [], {} if shared is None else shared
         self.append(data)
 
     def _last(self, end: int) -> int:
         v, data, last = self.vocabulary, self.data, self.last
-        for start in range(max(0, end - v.longest), end):  # the longest first
-            token = v.ranks.get(data[start:end])
-            if token is not None and (v.apart(last[start - 1], token) if start else v.own(token)):
-                return token
+        token_of, known = v.ranks.get, v.known.get
+        for start in range(end - v.longest if end > v.longest else 0, end):  # the longest first
+            token = token_of(data[start:end])
+            if token is not None:
+                if not start:
+                    if v.own(token):
+                        return token
+                else:
+                    left = last[start - 1]
+                    fits = known((left, token))
+                    if v.apart(left, token) if fits is None else fits:
+                        return token
         raise ValueError("a byte without a token")
 
     def append(self, more: bytes) -> None:
         """Nothing that is stored changes."""
-        begin = len(self.data)
-        self.data += more
-        for end in range(begin + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+        begin, shared, last = len(self.data), self.shared, self.last
+        data = self.data = self.data + more
+        for end in range(begin + 1, len(data) + 1):
+            if end > LONGEST_PREFIX:
+                last.append(self._last(end))
+                continue
+            token = shared.get(prefix := data[:end])
+            if token is None:
+                token = shared[prefix] = self._last(end)
+            last.append(token)
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Put ``new`` in place of data[start:end]; the number of entries that were worked out."""
@@ -145,22 +160,37 @@ class Encoder:
         self.vocabulary = Vocabulary(ranks)
         self.split = regex.compile(pattern)
         self.units: dict[str, bytes] = {}
+        self.pieces: dict[str, list[int]] = {}
+        self.prefixes: dict[bytes, int] = {}
+
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            if len(self.prefixes) > PREFIXES:
+                self.prefixes.clear()
+            ids = PrefixEncoding(self.vocabulary, piece.encode("utf-8"), self.prefixes).ids()
+            if len(self.pieces) >= CACHED:
+                self.pieces.clear()
+            if len(piece) <= 64:
+                self.pieces[piece] = ids
+        return ids
 
     def _unit(self, unit: str) -> bytes:
-        ids = [i for piece in self.split.findall(unit) for i in PrefixEncoding(self.vocabulary, piece.encode("utf-8")).ids()]
+        ids = [i for piece in self.split.findall(unit) for i in self._piece(piece)]
         if len(self.units) >= CACHED:
             self.units.clear()
         if len(unit) <= 64:
-            self.units[unit] = np.array(ids, dtype="<u4").tobytes()
+            self.units[unit] = array("I", ids).tobytes()
             return self.units[unit]
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         parts = UNIT.findall(text)
         found = list(map(self.units.get, parts))
         if None in found:
-            found = [self._unit(u) if x is None else x for u, x in zip(parts, found)]
+            # A unit that a text repeats is encoded once.
+            found = [(self.units.get(u) or self._unit(u)) if x is None else x for u, x in zip(parts, found)]
         return b"".join(found)
 
     def decode(self, ids: bytes) -> bytes:
