@@ -127,6 +127,7 @@ class Model:
     def __init__(self, terms: list[str], idf: np.ndarray, index: Index, steps: tuple[np.ndarray, np.ndarray], without: float):
         self.at = {w: k for k, w in enumerate(terms)}
         self.terms, self.idf, self.index, self.steps, self.without = terms, idf, index, steps, without
+        self.known: dict = {}
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of class 1 among the nearest, weighted by similarity and by how many texts an example stands for."""
@@ -203,10 +204,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "t", result_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pd.Series) -> pd.DataFrame:
-        model, known, out = shared.value, _known, []
+        model, out = shared.value, []
+        known = model.known  # texts with the same terms as often have the same score
         for text in texts:
             bag = _bag(text, model.at)
-            key = (id(model), tuple(sorted(bag.items())))
+            key = tuple(sorted(bag.items()))
             if key not in known:
                 if len(known) > 50_000:
                     known.clear()
@@ -219,9 +221,6 @@ def score(docs: DataFrame, model: Model, text_col: str = "t", result_col: str =
     return docs.withColumn(result_col, F.pandas_udf(run, kind)(F.coalesce(F.col(text_col), F.lit(""))))
 
 
-_known: dict = {}
-
-
 def predict(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, terms, nearest) of each row of ``docs`` (doc_id, text); see ``learn`` and ``score``.
 
