@@ -242,15 +242,19 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BANDS, BAND_ROWS = 12, 5
 
 
-def min_hash_bands(hashes: list[int], bands: int = BANDS, rows: int = BAND_ROWS) -> list[int]:
-    """A hash of the least values under ``rows`` multiplications, for each band; the same for all texts without shingles."""
+def min_hashes(hashes: list[int], bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """The least value of all shingles under each of ``bands * rows`` multiplications; the same for all texts without shingles."""
     factor = np.random.default_rng(6).integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     least = np.full(bands * rows, ~np.uint64(0))
     values = np.unique(np.array(hashes, dtype=np.uint64))
     for at in range(0, len(values), 1 << 14):
         mixed = values[None, at : at + (1 << 14)] * factor
         least = np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(axis=1))
-    return [_signed(xxhash.xxh64_intdigest(least[b * rows : (b + 1) * rows].tobytes(), b)) for b in range(bands)]
+    return least
+
+
+def band_values(least: np.ndarray, rows: int = BAND_ROWS) -> list[int]:
+    return [_signed(xxhash.xxh64_intdigest(least[at : at + rows].tobytes(), at)) for at in range(0, len(least), rows)]
 
 
 def similarity(a: str, b: str, k: int) -> float:
@@ -259,44 +263,98 @@ def similarity(a: str, b: str, k: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
+#: Rounds in which groups are compared with their least node; rows of a block of what is then left; how far a min-hash estimate may be below the similarity (over two standard deviations).
+ROUNDS, BLOCK_ROWS, SLACK = 2, 1000, 0.12
+
+
+def _likely_pairs(least: float):
+    """Rows (unit, side, node, root, mins) sorted by unit to pairs of its two sides that are likely to be alike, but for those of one root."""
+
+    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+        mins = np.frombuffer(b"".join(rows["mins"]), dtype="<u4").reshape(len(rows), -1)
+        side, node, root = (rows[c].to_numpy() for c in ("side", "node", "root"))
+        left = np.flatnonzero(side != 1)
+        right = np.flatnonzero(side != 0)
+        found_a, found_b = [], []
+        for at in range(0, len(left), 64):
+            part = left[at : at + 64]
+            share = (mins[part][:, None, :] == mins[right][None, :, :]).mean(axis=2)
+            i, j = np.nonzero((share >= least - SLACK) & (root[part][:, None] != root[right][None, :]) & ((side[part] != 2)[:, None] | (node[part][:, None] < node[right][None, :])))
+            found_a.append(node[part[i]])
+            found_b.append(node[right[j]])
+        return pd.DataFrame({"a": np.concatenate(found_a) if found_a else [], "b": np.concatenate(found_b) if found_b else []}, dtype="int64")
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            for unit, part in batch.groupby("unit", sort=False):
+                if held and held[0]["unit"].iat[0] != unit:
+                    yield pairs(pd.concat(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield pairs(pd.concat(held))
+
+    return run
+
+
+def _blockwise(rest: DataFrame, sketched: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """Likely pairs (a, b) within the groups of ``rest`` (band, value, node): each group's blocks meet two at a time, in tasks of their own."""
+    sizes = rest.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = rest.join(sizes, ["band", "value"]).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    unit = F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select("node", unit.alias("unit"), side.alias("side")).join(sketched.select("node", "mins"), "node").join(roots.select("node", "root"), "node", "left")
+    rows = rows.withColumn("root", F.coalesce("root", "node"))
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(_likely_pairs(least), "a long, b long")
+
+
 def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """Links (a, b) between nodes of ``docs`` whose texts' shingles are ``least`` alike.
 
     Candidates are fingerprints within ``radius``, and, because texts that are
     only just alike differ in some ten bits of 64, texts that share a band of
-    min-hashes.  A candidate is compared with the least node of its group;
-    those that aren't alike form a group again, until none is left, so no
-    group is ever compared pair by pair.
+    min-hashes.  A candidate is first compared with the least node of its
+    group; those that aren't alike form a group again.  What is left after
+    ``ROUNDS`` of this, and isn't one component by then, is compared in blocks
+    by its min-hashes.  Every link is checked on the whole texts.
     """
- 
+
     def sketch(texts: pd.Series) -> pd.DataFrame:
-        out = [(simhash(h), min_hash_bands(h)) for h in (shingles(t, k) for t in texts)]
-        return pd.DataFrame(out, columns=["code", "bands"])
+        out = []
+        for text in texts:
+            hashes = shingles(text, k)
+            mins = min_hashes(hashes)
+            out.append((simhash(hashes), band_values(mins), (mins >> np.uint64(32)).astype("<u4").tobytes()))
+        return pd.DataFrame(out, columns=["code", "bands", "mins"])
+
+    texts = docs.select(F.col(node_col).alias("node"), F.col(text_col).alias("text"))
+    alike = F.pandas_udf(lambda x, y: pd.Series([similarity(p, q, k) for p, q in zip(x, y)], dtype="float64"), "double")
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs, _ = written(pairs.filter("a <> b").distinct(), "pairs")
+        both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
+        return written(both.select("a", "b", alike("text_a", "text_b").alias("j")).filter(F.col("j") >= least).select("a", "b"), "links")[0]
 
-    sketched = docs.select(F.col(node_col).alias("node"), F.pandas_udf(sketch, "code long, bands array<long>")(F.col(text_col)).alias("s"))
-    sketched, _ = written(sketched.select("node", "s.code", "s.bands"), "sketches")
+    sketched = docs.select(F.col(node_col).alias("node"), F.pandas_udf(sketch, "code long, bands array<long>, mins binary")(F.col(text_col)).alias("s"))
+    sketched, _ = written(sketched.select("node", "s.code", "s.bands", "s.mins"), "sketches")
     codes, _ = written(sketched.groupBy("code").agg(F.min("node").alias("least")), "codes")
     linked = hamming_links(codes.select("code"), radius)
     by_code = linked.join(codes.withColumnsRenamed({"code": "a", "least": "x"}), "a").join(codes.withColumnsRenamed({"code": "b", "least": "y"}), "b")
     pairs = by_code.select(F.col("x").alias("a"), F.col("y").alias("b"))
     rows = sketched.select("node", F.posexplode("bands").alias("band", "value")).unionByName(sketched.select("node", F.lit(-1).alias("band"), F.col("code").alias("value")))
-    groups = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n")
     found = None
-    while True:
-        groups, _ = written(groups, "groups")
-        if groups.isEmpty() and found is not None:
-            return found
+    for _ in range(ROUNDS):
+        groups, _ = written(rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n"), "groups")
         members, _ = written(rows.join(groups, ["band", "value"]).filter("node <> least"), "members")
         first = members.select(F.col("node").alias("a"), F.col("least").alias("b"))
-        pairs, _ = written((first if pairs is None else first.unionByName(pairs)).filter("a <> b").distinct(), "pairs")
-        texts = docs.select(F.col(node_col).alias("node"), F.col(text_col).alias("text"))
-        both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-        alike = F.pandas_udf(lambda x, y: pd.Series([similarity(p, q, k) for p, q in zip(x, y)], dtype="float64"), "double")
-        good, _ = written(both.select("a", "b", alike("text_a", "text_b").alias("j")).filter(F.col("j") >= least).select("a", "b"), "links")
-        found, pairs = good if found is None else found.unionByName(good), None
+        good = checked(first if found is not None else first.unionByName(pairs))
+        found = good if found is None else found.unionByName(good)
         # What was like its group's least node needs no other comparison there.
         rows, _ = written(members.join(good.withColumnsRenamed({"a": "node", "b": "least"}), ["node", "least"], "left_anti").select("node", "band", "value"), "rest")
-        groups = rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n")
+    roots, _ = written(components(found, "a", "b"), "roots")
+    return found.unionByName(checked(_blockwise(rows, sketched, roots, least)))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
