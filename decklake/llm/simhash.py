@@ -267,47 +267,72 @@ def similarity(a: str, b: str, k: int) -> float:
 ROUNDS, BLOCK_ROWS, SLACK = 2, 1000, 0.12
 
 
-def _likely_pairs(least: float):
-    """Rows (unit, side, node, root, mins) sorted by unit to pairs of its two sides that are likely to be alike, but for those of one root."""
+def _unit_links(least: float, k: int):
+    """Rows (unit, side, node, root, mins, text) sorted by unit to links between its two sides that join different roots.
 
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    Pairs that the min-hashes call likely are compared on their whole texts,
+    the likeliest first; a pair whose roots are joined by then is passed over,
+    so that a unit gives fewer links than it has rows.
+    """
+
+    def links(rows: pd.DataFrame) -> pd.DataFrame:
         mins = np.frombuffer(b"".join(rows["mins"]), dtype="<u4").reshape(len(rows), -1)
-        side, node, root = (rows[c].to_numpy() for c in ("side", "node", "root"))
-        left = np.flatnonzero(side != 1)
-        right = np.flatnonzero(side != 0)
-        found_a, found_b = [], []
+        side, node, root, texts = (rows[c].to_numpy() for c in ("side", "node", "root", "text"))
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        parent: dict[int, int] = {}
+        sets: dict[int, np.ndarray] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = np.unique(np.array(shingles(texts[i], k), dtype=np.uint64))
+            return sets[i]
+
+        found = []
         for at in range(0, len(left), 64):
             part = left[at : at + 64]
             share = (mins[part][:, None, :] == mins[right][None, :, :]).mean(axis=2)
             i, j = np.nonzero((share >= least - SLACK) & (root[part][:, None] != root[right][None, :]) & ((side[part] != 2)[:, None] | (node[part][:, None] < node[right][None, :])))
-            found_a.append(node[part[i]])
-            found_b.append(node[right[j]])
-        return pd.DataFrame({"a": np.concatenate(found_a) if found_a else [], "b": np.concatenate(found_b) if found_b else []}, dtype="int64")
+            for n in np.argsort(-share[i, j], kind="stable"):
+                a, b = int(part[i[n]]), int(right[j[n]])
+                x, y = find(int(root[a])), find(int(root[b]))
+                if x == y:
+                    continue
+                both = len(np.intersect1d(set_of(a), set_of(b), assume_unique=True))
+                if both >= least * (len(sets[a]) + len(sets[b]) - both):
+                    parent[max(x, y)] = min(x, y)
+                    found.append((int(node[a]), int(node[b])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for batch in batches:
             for unit, part in batch.groupby("unit", sort=False):
                 if held and held[0]["unit"].iat[0] != unit:
-                    yield pairs(pd.concat(held))
+                    yield links(pd.concat(held))
                     held = []
                 held.append(part)
         if held:
-            yield pairs(pd.concat(held))
+            yield links(pd.concat(held))
 
     return run
 
 
-def _blockwise(rest: DataFrame, sketched: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """Likely pairs (a, b) within the groups of ``rest`` (band, value, node): each group's blocks meet two at a time, in tasks of their own."""
+def _blockwise(rest: DataFrame, sketched: DataFrame, roots: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
+    """Links (a, b) within the groups of ``rest`` (band, value, node): each group's blocks meet two at a time, in tasks of their own."""
     sizes = rest.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
     rows = rest.join(sizes, ["band", "value"]).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     unit = F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select("node", unit.alias("unit"), side.alias("side")).join(sketched.select("node", "mins"), "node").join(roots.select("node", "root"), "node", "left")
+    rows = rows.select("node", unit.alias("unit"), side.alias("side")).join(sketched.select("node", "mins"), "node").join(roots.select("node", "root"), "node", "left").join(texts.select("node", "text"), "node")
     rows = rows.withColumn("root", F.coalesce("root", "node"))
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(_likely_pairs(least), "a long, b long")
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(_unit_links(least, k), "a long, b long")
 
 
 def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
@@ -354,7 +379,7 @@ def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, lea
         # What was like its group's least node needs no other comparison there.
         rows, _ = written(members.join(good.withColumnsRenamed({"a": "node", "b": "least"}), ["node", "least"], "left_anti").select("node", "band", "value"), "rest")
     roots, _ = written(components(found, "a", "b"), "roots")
-    return found.unionByName(checked(_blockwise(rows, sketched, roots, least)))
+    return found.unionByName(_blockwise(rows, sketched, roots, texts, least, k))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:

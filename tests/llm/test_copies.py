@@ -173,3 +173,39 @@ def test_one_of_near_stays(spark):
                 root[max(find(a), find(b))] = min(find(a), find(b))
     assert kept == sorted({find(i) for i in want})
     assert SPACE
+
+
+@pytest.mark.parametrize("block", [1000, 5])
+def test_families_that_are_hardly_alike(spark, monkeypatch, block):
+    """Copies with one to six edits: many are alike only through others, or not at all."""
+    monkeypatch.setattr(S, "BLOCK_ROWS", block)
+    rng = random.Random(12)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(25):
+            copy = list(base)
+            for at in rng.sample(range(200), rng.randrange(3, 7)):
+                copy[at] = f"e{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    links = S.similar_links(docs, "doc_id", "text")
+    sets = [set(S.shingles(t, 5)) for _, t in rows]
+    alike = {(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    got = [(r.a, r.b) for r in links.collect()]
+    assert {(max(p), min(p)) for p in got} <= alike and len(got) < 6 * len(rows)
+    roots = {}
+    for pairs, name in ((alike, "all"), (got, "found")):
+        root = list(range(len(rows)))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in pairs:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+        roots[name] = [find(i) for i in range(len(rows))]
+    same = sum(a == b for a, b in zip(roots["all"], roots["found"]))
+    assert 3 < len(set(roots["all"])) and same >= 0.97 * len(rows)
