@@ -263,24 +263,29 @@ def similarity(a: str, b: str, k: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-#: Rounds in which groups are compared with their least node; rows of a block of what is then left; how far a min-hash estimate may be below the similarity (over two standard deviations).
-ROUNDS, BLOCK_ROWS, SLACK = 2, 1000, 0.12
+#: Rounds in which groups are compared with their least node; rows of a block of the groups that still hold several components.
+ROUNDS, BLOCK_ROWS = 2, 1000
 
 
 def _unit_links(least: float, k: int):
-    """Rows (unit, side, node, root, mins, text) sorted by unit to links between its two sides that join different roots.
+    """Rows (unit, side, node, root, text) sorted by unit to links between its two sides that join different roots.
 
-    Pairs that the min-hashes call likely are compared on their whole texts,
-    the likeliest first; a pair whose roots are joined by then is passed over,
-    so that a unit gives fewer links than it has rows.
+    The shingles shared with each text of the right side are counted at once;
+    a pair whose roots are joined by then is passed over, so that a unit gives
+    fewer links than it has rows.
     """
 
-    def links(rows: pd.DataFrame) -> pd.DataFrame:
-        mins = np.frombuffer(b"".join(rows["mins"]), dtype="<u4").reshape(len(rows), -1)
-        side, node, root, texts = (rows[c].to_numpy() for c in ("side", "node", "root", "text"))
+    def links(side: np.ndarray, node: np.ndarray, root: np.ndarray, text: np.ndarray) -> list[tuple[int, int]]:
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        sets = [np.unique(np.array(shingles(text[i], k), dtype=np.uint64)) for i in right]
+        size = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        holder = np.repeat(np.arange(len(right)), size)[order]
+        known, start = np.unique(flat[order], return_index=True)
+        count = np.diff(np.append(start, len(flat)))
+        own = {int(i): x for i, x in zip(right, sets)}
         parent: dict[int, int] = {}
-        sets: dict[int, np.ndarray] = {}
 
         def find(x: int) -> int:
             while parent.get(x, x) != x:
@@ -288,51 +293,68 @@ def _unit_links(least: float, k: int):
                 x = parent[x]
             return x
 
-        def set_of(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = np.unique(np.array(shingles(texts[i], k), dtype=np.uint64))
-            return sets[i]
-
         found = []
-        for at in range(0, len(left), 64):
-            part = left[at : at + 64]
-            share = (mins[part][:, None, :] == mins[right][None, :, :]).mean(axis=2)
-            i, j = np.nonzero((share >= least - SLACK) & (root[part][:, None] != root[right][None, :]) & ((side[part] != 2)[:, None] | (node[part][:, None] < node[right][None, :])))
-            for n in np.argsort(-share[i, j], kind="stable"):
-                a, b = int(part[i[n]]), int(right[j[n]])
-                x, y = find(int(root[a])), find(int(root[b]))
-                if x == y:
-                    continue
-                both = len(np.intersect1d(set_of(a), set_of(b), assume_unique=True))
-                if both >= least * (len(sets[a]) + len(sets[b]) - both):
+        for i in left.tolist():
+            other = root[right] != root[i]
+            if side[i] == 2:
+                other &= node[right] > node[i]
+            if not other.any() or not len(known):
+                continue
+            mine = own[i] if i in own else np.unique(np.array(shingles(text[i], k), dtype=np.uint64))
+            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            at = at[known[at] == mine]
+            reach = count[at]
+            where = np.repeat(start[at] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
+            both = np.bincount(holder[where], minlength=len(right))
+            for j in np.flatnonzero(other & (both > 0) & (both / np.maximum(len(mine) + size - both, 1) >= least)).tolist():
+                x, y = find(int(root[i])), find(int(root[right[j]]))
+                if x != y:
                     parent[max(x, y)] = min(x, y)
-                    found.append((int(node[a]), int(node[b])))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+                    found.append((int(node[i]), int(node[right[j]])))
+        return found
+
+    names = ("side", "node", "root", "text")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
+        held: list[list[np.ndarray]] = []
+        open_unit = None
         for batch in batches:
-            for unit, part in batch.groupby("unit", sort=False):
-                if held and held[0]["unit"].iat[0] != unit:
-                    yield links(pd.concat(held))
+            if not len(batch):
+                continue
+            unit, columns = batch["unit"].to_numpy(), [batch[c].to_numpy() for c in names]
+            edges = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+            found = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if held and unit[a] != open_unit:
+                    found += links(*(np.concatenate(c) for c in zip(*held)))
                     held = []
-                held.append(part)
+                open_unit = unit[a]
+                held.append([c[a:b] for c in columns])
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
         if held:
-            yield links(pd.concat(held))
+            yield pd.DataFrame(links(*(np.concatenate(c) for c in zip(*held))), columns=["a", "b"], dtype="int64")
 
     return run
 
 
-def _blockwise(rest: DataFrame, sketched: DataFrame, roots: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
-    """Links (a, b) within the groups of ``rest`` (band, value, node): each group's blocks meet two at a time, in tasks of their own."""
-    sizes = rest.groupBy("band", "value").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = rest.join(sizes, ["band", "value"]).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+def _several_roots(rows: DataFrame) -> DataFrame:
+    """``rows`` (value, node, root) of the values that hold more than one root; of values with the same nodes, one."""
+    several = rows.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
+    rows, _ = written(rows.join(several, "value", "left_semi"), "several")
+    total = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(20,0)"))
+    sets = rows.groupBy("value").agg(F.count("*").alias("n"), total(1).alias("x"), total(2).alias("y"))
+    once, _ = written(sets.groupBy("n", "x", "y").agg(F.min("value").alias("value")).select("value", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "once")
+    return rows.join(once, "value")
+
+
+def _blockwise(rows: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
+    """Links (a, b) between different roots of the same value in ``rows`` (value, node, root): each group's blocks meet two at a time, in tasks of their own."""
+    rows = _several_roots(rows).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    unit = F.xxhash64("band", "value", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select("node", unit.alias("unit"), side.alias("side")).join(sketched.select("node", "mins"), "node").join(roots.select("node", "root"), "node", "left").join(texts.select("node", "text"), "node")
-    rows = rows.withColumn("root", F.coalesce("root", "node"))
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(_unit_links(least, k), "a long, b long")
+    unit = F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other"))
+    rows = rows.select("node", "root", unit.alias("unit"), side.alias("side")).join(texts.select("node", "text"), "node")
+    return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(_unit_links(least, k), "a long, b long").distinct()
 
 
 def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
@@ -341,9 +363,9 @@ def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, lea
     Candidates are fingerprints within ``radius``, and, because texts that are
     only just alike differ in some ten bits of 64, texts that share a band of
     min-hashes.  A candidate is first compared with the least node of its
-    group; those that aren't alike form a group again.  What is left after
-    ``ROUNDS`` of this, and isn't one component by then, is compared in blocks
-    by its min-hashes.  Every link is checked on the whole texts.
+    group; those that aren't alike form a group again.  After ``ROUNDS`` of
+    this, every group that isn't one component by then is compared in blocks,
+    with all its members.  Every link is checked on the whole texts.
     """
 
     def sketch(texts: pd.Series) -> pd.DataFrame:
@@ -351,8 +373,8 @@ def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, lea
         for text in texts:
             hashes = shingles(text, k)
             mins = min_hashes(hashes)
-            out.append((simhash(hashes), band_values(mins), (mins >> np.uint64(32)).astype("<u4").tobytes()))
-        return pd.DataFrame(out, columns=["code", "bands", "mins"])
+            out.append((simhash(hashes), band_values(mins)))
+        return pd.DataFrame(out, columns=["code", "bands"])
 
     texts = docs.select(F.col(node_col).alias("node"), F.col(text_col).alias("text"))
     alike = F.pandas_udf(lambda x, y: pd.Series([similarity(p, q, k) for p, q in zip(x, y)], dtype="float64"), "double")
@@ -362,13 +384,14 @@ def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, lea
         both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
         return written(both.select("a", "b", alike("text_a", "text_b").alias("j")).filter(F.col("j") >= least).select("a", "b"), "links")[0]
 
-    sketched = docs.select(F.col(node_col).alias("node"), F.pandas_udf(sketch, "code long, bands array<long>, mins binary")(F.col(text_col)).alias("s"))
-    sketched, _ = written(sketched.select("node", "s.code", "s.bands", "s.mins"), "sketches")
+    sketched = docs.select(F.col(node_col).alias("node"), F.pandas_udf(sketch, "code long, bands array<long>")(F.col(text_col)).alias("s"))
+    sketched, _ = written(sketched.select("node", "s.code", "s.bands"), "sketches")
     codes, _ = written(sketched.groupBy("code").agg(F.min("node").alias("least")), "codes")
     linked = hamming_links(codes.select("code"), radius)
     by_code = linked.join(codes.withColumnsRenamed({"code": "a", "least": "x"}), "a").join(codes.withColumnsRenamed({"code": "b", "least": "y"}), "b")
     pairs = by_code.select(F.col("x").alias("a"), F.col("y").alias("b"))
     rows = sketched.select("node", F.posexplode("bands").alias("band", "value")).unionByName(sketched.select("node", F.lit(-1).alias("band"), F.col("code").alias("value")))
+    everyone = rows.select("node", F.xxhash64("band", "value").alias("value"))
     found = None
     for _ in range(ROUNDS):
         groups, _ = written(rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n"), "groups")
@@ -376,10 +399,11 @@ def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, lea
         first = members.select(F.col("node").alias("a"), F.col("least").alias("b"))
         good = checked(first if found is not None else first.unionByName(pairs))
         found = good if found is None else found.unionByName(good)
-        # What was like its group's least node needs no other comparison there.
+        # What was like its group's least node is a partner again in the blocks.
         rows, _ = written(members.join(good.withColumnsRenamed({"a": "node", "b": "least"}), ["node", "least"], "left_anti").select("node", "band", "value"), "rest")
     roots, _ = written(components(found, "a", "b"), "roots")
-    return found.unionByName(_blockwise(rows, sketched, roots, texts, least, k))
+    everyone = everyone.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
+    return found.unionByName(_blockwise(everyone, texts, least, k))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:

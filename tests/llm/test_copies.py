@@ -209,3 +209,35 @@ def test_families_that_are_hardly_alike(spark, monkeypatch, block):
         roots[name] = [find(i) for i in range(len(rows))]
     same = sum(a == b for a, b in zip(roots["all"], roots["found"]))
     assert 3 < len(set(roots["all"])) and same >= 0.97 * len(rows)
+
+
+def edited(rng, words, edits):
+    copy = list(words)
+    for at in rng.sample(range(len(copy)), edits):
+        copy[at] = f"e{rng.randrange(10**9)}"
+    return copy
+
+
+def sketch_of(words):
+    hashes = S.shingles(" ".join(words), 5)
+    return set(enumerate(S.band_values(S.min_hashes(hashes)))), S.simhash(hashes), set(hashes)
+
+
+def jaccard(x, y):
+    return len(x[2] & y[2]) / len(x[2] | y[2])
+
+
+def test_link_through_a_text_that_left_its_group(spark):
+    """A is like both L and B, B isn't like L, and wherever A and B share a band the least node L is in it."""
+    rng = random.Random(3)
+    rows = []
+    while len(rows) < 9:
+        middle = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        l, b = (edited(rng, middle, rng.randrange(3, 5)) for _ in range(2))
+        x, y, z = (sketch_of(t) for t in (l, middle, b))
+        far = min((p[1] ^ q[1]).bit_count() for p, q in ((x, y), (y, z), (x, z))) > 3
+        if far and jaccard(x, y) >= 0.8 and jaccard(y, z) >= 0.8 > jaccard(x, z) and x[0] & y[0] and y[0] & z[0] and y[0] & z[0] <= x[0]:
+            rows += [(len(rows), " ".join(l)), (len(rows) + 1, " ".join(middle)), (len(rows) + 2, " ".join(b))]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    roots = {r.node: r.root for r in graph.components(S.similar_links(docs, "doc_id", "text"), "a", "b").collect()}
+    assert roots == {i: i // 3 * 3 for i in range(9)}
