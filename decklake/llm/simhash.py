@@ -238,7 +238,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(placed, "code").select("doc_id", "code", "component_id")
 
 
-#: Candidates for similar texts: bands of this many min-hashes each.  At similarity 0.8 one of 12 bands of 5 agrees with probability 0.99.
+#: First candidates for similar texts: bands of this many min-hashes each.  At similarity 0.8 one of 12 bands of 5 agrees with probability 0.99.
 BANDS, BAND_ROWS = 12, 5
 
 
@@ -265,6 +265,39 @@ def similarity(a: str, b: str, k: int) -> float:
 
 #: Rounds in which groups are compared with their least node; rows of a block of the groups that still hold several components.
 ROUNDS, BLOCK_ROWS = 2, 1000
+#: Texts whose shingles are counted, about, and shingles called common at most: both only decide in which order shingles are taken.
+COUNTED, COMMON = 10_000, 50_000
+
+
+def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of some ``COUNTED`` texts have, sorted, and how many have them."""
+    step = max(1, round(texts.count() / COUNTED))
+
+    def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for at in range(0, len(batch), 256):
+                found = [np.unique(np.array(shingles(t, k), dtype=np.uint64)) for t in batch["text"].iloc[at : at + 256]]
+                yield pd.DataFrame({"shingle": np.concatenate(found).view(np.int64)})
+
+    counted = texts.filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(step)) == 0).select("text").mapInPandas(each, "shingle long")
+    top = counted.groupBy("shingle").count().filter("count > 2").orderBy(F.desc("count"), "shingle").limit(COMMON).collect()
+    value, count = np.array([r[0] for r in top], dtype=np.int64).view(np.uint64), np.array([r[1] for r in top], dtype=np.int64)
+    order = np.argsort(value)
+    return value[order], count[order]
+
+
+def prefix(hashes: list[int], least: float, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """So many of the distinct shingles, rare ones first, that texts ``least`` alike must share one.
+
+    Of n shingles at least ceil(least * n) are shared; the first of the shared
+    ones in an order that holds for all texts is then among the first
+    n - ceil(least * n) + 1 of both.
+    """
+    values = np.unique(np.array(hashes, dtype=np.uint64))
+    if len(common) and len(values):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        values = values[np.argsort(np.where(common[at] == values, count[at], 0), kind="stable")]
+    return values[: len(values) - int(np.ceil(least * len(values) - 1e-9)) + 1]
 
 
 def _unit_links(least: float, k: int):
@@ -338,17 +371,19 @@ def _unit_links(least: float, k: int):
 
 
 def _several_roots(rows: DataFrame) -> DataFrame:
-    """``rows`` (value, node, root) of the values that hold more than one root; of values with the same nodes, one."""
+    """``rows`` (value, length, node, root) in groups (value, blocks) of the same value and like lengths that hold more than one root; of groups of the same nodes, one."""
     several = rows.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
-    rows, _ = written(rows.join(several, "value", "left_semi"), "several")
+    # Lengths that differ by one at most meet under the greater one.
+    rows = rows.join(several, "value", "left_semi").select("node", "root", "value", F.explode(F.array("length", F.col("length") + 1)).alias("length"))
+    rows, _ = written(rows.select("node", "root", F.xxhash64("value", "length").alias("value")), "several")
     total = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(20,0)"))
-    sets = rows.groupBy("value").agg(F.count("*").alias("n"), total(1).alias("x"), total(2).alias("y"))
+    sets = rows.groupBy("value").agg(F.count("*").alias("n"), total(1).alias("x"), total(2).alias("y"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
     once, _ = written(sets.groupBy("n", "x", "y").agg(F.min("value").alias("value")).select("value", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "once")
     return rows.join(once, "value")
 
 
 def _blockwise(rows: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
-    """Links (a, b) between different roots of the same value in ``rows`` (value, node, root): each group's blocks meet two at a time, in tasks of their own."""
+    """Links (a, b) between different roots of the same value in ``rows`` (value, length, node, root): each group's blocks meet two at a time, in tasks of their own."""
     rows = _several_roots(rows).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
@@ -364,8 +399,10 @@ def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, lea
     only just alike differ in some ten bits of 64, texts that share a band of
     min-hashes.  A candidate is first compared with the least node of its
     group; those that aren't alike form a group again.  After ``ROUNDS`` of
-    this, every group that isn't one component by then is compared in blocks,
-    with all its members.  Every link is checked on the whole texts.
+    this, most components are there, but some links are not: texts that share a
+    shingle of their prefixes, as all pairs that are ``least`` alike do, are
+    compared in blocks unless they are one component.  Every link is checked on
+    the whole texts, and the components are those of all pairs.
     """
 
     def sketch(texts: pd.Series) -> pd.DataFrame:
@@ -391,7 +428,6 @@ def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, lea
     by_code = linked.join(codes.withColumnsRenamed({"code": "a", "least": "x"}), "a").join(codes.withColumnsRenamed({"code": "b", "least": "y"}), "b")
     pairs = by_code.select(F.col("x").alias("a"), F.col("y").alias("b"))
     rows = sketched.select("node", F.posexplode("bands").alias("band", "value")).unionByName(sketched.select("node", F.lit(-1).alias("band"), F.col("code").alias("value")))
-    everyone = rows.select("node", F.xxhash64("band", "value").alias("value"))
     found = None
     for _ in range(ROUNDS):
         groups, _ = written(rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n"), "groups")
@@ -399,10 +435,23 @@ def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, lea
         first = members.select(F.col("node").alias("a"), F.col("least").alias("b"))
         good = checked(first if found is not None else first.unionByName(pairs))
         found = good if found is None else found.unionByName(good)
-        # What was like its group's least node is a partner again in the blocks.
+        # What was like its group's least node leaves these rounds; it is a partner again in the blocks.
         rows, _ = written(members.join(good.withColumnsRenamed({"a": "node", "b": "least"}), ["node", "least"], "left_anti").select("node", "band", "value"), "rest")
     roots, _ = written(components(found, "a", "b"), "roots")
-    everyone = everyone.join(roots, "node", "left").select("value", "node", F.coalesce("root", "node").alias("root"))
+    common, count = _common(texts, k)
+    width = -np.log(least) * (1 + 1e-9) or 1.0
+
+    def first_shingles(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            hashes = shingles(text, k)
+            # The length is the distinct shingles' number in steps of 1 / ``least``: of texts that are alike it differs by one at most.
+            out.append((int(np.log(max(len(set(hashes)), 1)) / width), prefix(hashes, least, common, count).view(np.int64)))
+        return pd.DataFrame(out, columns=["length", "prefix"])
+
+    prefixes = texts.select("node", F.pandas_udf(first_shingles, "length int, prefix array<long>")("text").alias("p"))
+    prefixes, _ = written(prefixes.select("node", "p.length", "p.prefix"), "prefixes")
+    everyone = prefixes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "length", F.explode("prefix").alias("value"))
     return found.unionByName(_blockwise(everyone, texts, least, k))
 
 

@@ -241,3 +241,32 @@ def test_link_through_a_text_that_left_its_group(spark):
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     roots = {r.node: r.root for r in graph.components(S.similar_links(docs, "doc_id", "text"), "a", "b").collect()}
     assert roots == {i: i // 3 * 3 for i in range(9)}
+
+
+def test_pairs_without_a_common_band(spark):
+    """Texts 0.8 alike or a little more of which no band agrees, nor nearly the fingerprints; 28 of 35 shingles count as 0.8."""
+    rng = random.Random(4)
+    rows = []
+    while len(rows) < 12:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        b = edited(rng, a, 4)
+        x, y = sketch_of(a), sketch_of(b)
+        if 0.8 <= jaccard(x, y) and not x[0] & y[0] and (x[1] ^ y[1]).bit_count() > 3:
+            rows += [(len(rows), " ".join(a)), (len(rows) + 1, " ".join(b))]
+    longer = [f"v{n}" for n in range(39)]
+    rows += [(12, " ".join(longer)), (13, " ".join(longer[7:]))]
+    got = {r.node: r.root for r in graph.components(S.similar_links(spark.createDataFrame(rows, SCHEMA).repartition(3), "doc_id", "text"), "a", "b").collect()}
+    assert got == {i: i // 2 * 2 for i in range(14)}
+
+
+def test_prefixes_of_alike_sets_meet():
+    rng = random.Random(5)
+    for n in range(1, 60):
+        x = rng.sample(range(10**9), n)
+        common = np.unique(np.array(rng.sample(x, n // 2), dtype=np.uint64))
+        count = np.array([rng.randrange(3, 9) for _ in common], dtype=np.int64)
+        gone = rng.randrange(0, n // 5 + 1)
+        y = rng.sample(x, n - gone)
+        assert set(S.prefix(x, 0.8, common, count).tolist()) & set(S.prefix(y, 0.8, common, count).tolist())
+        assert len(S.prefix(x, 0.8, common, count)) == n - -(-4 * n // 5) + 1
+    assert len(S.prefix([], 0.8, common, count)) == 0
