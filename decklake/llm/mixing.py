@@ -93,7 +93,7 @@ def targets(sources: DataFrame, max_repeats: float, budget: Column | None = None
     return rows.withColumn("target", F.when(found.isNull(), cap).otherwise(F.least(cap, F.greatest(found, F.lit(0.0)) * weight))).drop("ratio", "capped", "heavier", "words", "weights", "level")
 
 
-def mix(docs: DataFrame, schedules, size_col: str = "size", source_col: str = "source", id_col: str = "doc_id", max_repeats: int = 3, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, schedules, size_col: str = "size", source_col: str = "source", id_col: str = "doc_id", max_repeats: int = 3, seed: int = 0, in_order: bool = True) -> DataFrame:
     """``docs`` with ``source_size``, ``target``, ``taken``, ``copies`` and ``positions``, range-sorted by first position.
 
     ``schedules`` takes the table (source, source_size, source_rows), null a
@@ -107,7 +107,8 @@ def mix(docs: DataFrame, schedules, size_col: str = "size", source_col: str = "s
 
     A null size is 0.  Null and repeated ids are rows like any other, ordered
     by hash, id, size and a hash of the other columns.  An empty table gives an empty result.
-    Reruns agree: nothing depends on partitions.
+    Reruns agree: nothing depends on partitions.  ``in_order`` false leaves out
+    the range sort, for ``materialise`` sorts anyway.
     """
     refuse_clash(docs, "source_size", "target", "taken", "copies", "positions", "mix_source", "mix_number", "mix_bucket", "mix_at", "mix_order", "mix_first", "source_rows", "weight", "parts", "bucket_start")
     docs = docs.withColumn(size_col, F.coalesce(F.col(size_col), F.lit(0)).cast("long"))
@@ -138,9 +139,17 @@ def mix(docs: DataFrame, schedules, size_col: str = "size", source_col: str = "s
     rows = rows.withColumns({"taken": taken, "copies": copies})
     positions = F.when((F.col("target") > 0) & (F.col("taken") > 0), F.transform(F.filter(passes, lambda k: start(k) < cut), where)).otherwise(F.array(F.lit(1.0)))
     rows = rows.withColumn("positions", positions).withColumn("mix_first", F.element_at("positions", 1))
-    return rows.repartitionByRange(F.col("mix_first"), F.col("mix_order")).sortWithinPartitions("mix_first", "mix_order").select(*docs.columns, "source_size", "target", "taken", "copies", "positions")
+    if in_order:
+        rows = rows.repartitionByRange(F.col("mix_first"), F.col("mix_order")).sortWithinPartitions("mix_first", "mix_order")
+    return rows.select(*docs.columns, "source_size", "target", "taken", "copies", "positions")
 
 
 def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each copy that the mix takes, with ``columns``."""
-    return mixed.filter("copies > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*columns)
+    """One row for each copy that the mix takes, with ``columns``, range-sorted by the copies' own positions.
+
+    The copies are a document's first passes, each at the position at which it begins.
+    """
+    refuse_clash(mixed, "mix_copy", "mix_tie")
+    taken = F.slice("positions", F.lit(1), F.col("copies"))
+    copies = mixed.filter("copies > 0").select(*columns, F.explode(taken).alias("mix_copy")).withColumn("mix_tie", F.xxhash64(*columns))
+    return copies.repartitionByRange(F.col("mix_copy"), F.col("mix_tie")).sortWithinPartitions("mix_copy", "mix_tie").select(*columns)

@@ -32,7 +32,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, up to 3 times, in the order of training."""
     sized = docs.withColumn("size", mixing.word_count(F.col("text")))
-    mixed = mixing.mix(sized, lambda s: mixing.ranked(s, [5, 2, 1]), max_repeats=3)
+    mixed = mixing.mix(sized, lambda s: mixing.ranked(s, [5, 2, 1]), max_repeats=3, in_order=False)
     return mixing.materialise(mixed, docs.columns)
 
 

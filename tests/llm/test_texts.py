@@ -323,3 +323,22 @@ def test_hot_url_is_cut_into_stretches(spark):
 def test_ranks_file_is_read():
     ranks = B.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     assert len(ranks) == 50_256 and ranks[base64.b64decode("IQ==")] == 0
+
+
+def test_copies_stand_at_their_own_positions(spark):
+    rng = random.Random(2)
+    rows = [(i, "big" if i % 20 else "a", 1 + rng.randrange(40)) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    mixed = M.mix(docs.repartition(4), lambda s: M.ranked(s, [5, 2, 1]))
+    wanted = [(r.positions[k], r.doc_id) for r in mixed.collect() for k in range(r.copies)]
+    got = [r.doc_id for r in M.materialise(mixed, docs.columns).collect()]
+    at = {}
+    for p, i in sorted(wanted):
+        at.setdefault(i, []).append(p)
+    assert sorted(got) == sorted(i for _, i in wanted)
+    seen = [at[i].pop(0) for i in got]
+    assert seen == sorted(seen)
+    assert [r.doc_id for r in M.materialise(M.mix(docs, lambda s: M.ranked(s, [5, 2, 1]), in_order=False), docs.columns).collect()] == got
+    # The small source is taken three times: a third of its copies each, pass after pass.
+    small = [i for i in got if i % 20 == 0]
+    assert len(small) == 300 and all(sorted(small[n : n + 100]) == list(range(0, 2000, 20)) for n in (0, 100, 200))
