@@ -23,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     if found is None:
         held = sc._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
+    if found is None and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if found is None:
         found = "file://" + tempfile.mkdtemp(prefix="decklake-")
         sc.setCheckpointDir(found)
@@ -46,11 +48,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 def fold_of(doc_id: str | Column) -> Column:
     """crc32 of the id's text modulo 5; 0 is held out.  A null id counts as the text ''."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")), F.lit(5))
-
-
-def refuse_clash(df: DataFrame, *names: str) -> None:
-    """New columns never overwrite a table's own: clashing names are an error."""
-    clash = sorted({c.lower() for c in df.columns} & {n.lower() for n in names})
-    if clash:
-        raise ValueError(f"columns {clash} are there already")
+    return F.pmod(F.crc32(F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5))
+
+
+def make_room(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with every column that has one of ``names`` (in any case) under ``<name>_in``, or the first free ``<name>_in2``, ``_in3``, ..."""
+    taken, wanted = {c.lower() for c in df.columns}, {n.lower() for n in names}
+    moved = {}
+    for column in df.columns:
+        if column.lower() in wanted:
+            tries = (f"{column}_in{k if k > 1 else ''}" for k in range(1, len(df.columns) + len(names) + 2))
+            moved[column] = next(x for x in tries if x.lower() not in taken | wanted)
+            taken.add(moved[column].lower())
+    return df.withColumnsRenamed(moved) if moved else df

@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import refuse_clash, written
+from .common import make_room, written
 
 DELETED = b" \t\n\x0b\x0c\r"
 #: A group of equal contents: digest, content, code points and id of the row that stays, rows.
@@ -166,9 +166,11 @@ def _with_groups(members: DataFrame, groups: DataFrame, text_col: str, on: list[
     return joined
 
 
+NAMES = ("keep_id", "group_size", "kept", "digest", "content", "best_id", "best_chars", "best_first", "own_best_id", "own_best_chars")
+
+
 def _prepared(docs: DataFrame, id_col: str, text_col: str, digest, digest_column, max_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with their digest, and with ``best_first``: 1 but for rows that repeat id, length and content; and the groups."""
-    refuse_clash(docs, "keep_id", "group_size", "kept", "digest", "best_id", "best_chars", "best_first")
+    """Documents (with room for ``NAMES``) with their digest, and with ``best_first``: 1 but for rows that repeat id, length and content; and the groups."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     members = docs.withColumns({"best_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "best_chars": F.length(text), "digest": digest_column(content_of(F.col(text_col)))})
     others = F.xxhash64(*[F.col(c).cast("string") for c in docs.columns if c != text_col], F.lit(0))
@@ -185,13 +187,14 @@ def assign_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     row with the most code points in the original text stays, then the
     smallest id, ids that are null last (``keep_id`` is then null).  Of rows
     that repeat the id and length of the one that stays, the first by a hash
-    of the other columns stays.  An empty table gives an empty result.  New
-    columns that ``docs`` has already are refused by name.
+    of the other columns stays.  An empty table gives an empty result.  Columns
+    of ``docs`` with the name of a new one go on as ``<name>_in``.  Ids are
+    whole numbers; others are an error of the cast.
 
     A digest that several contents share (``digest`` and ``digest_column`` are
     one function, weak in tests) is told apart by the complete contents.
     """
-    members, groups = _prepared(docs, id_col, text_col, digest, digest_column, max_bytes)
+    members, groups = _prepared(make_room(docs, *NAMES), id_col, text_col, digest, digest_column, max_bytes)
     found = groups.withColumnsRenamed({"best_id": "own_best_id", "best_chars": "own_best_chars"})
     joined = _with_groups(members, found, text_col, ["digest"])
     best = (F.col("best_id") == F.col("own_best_id")) & (F.col("best_chars") == F.col("own_best_chars")) & (F.col("best_first") == 1)
@@ -204,5 +207,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", di
     The join is by digest, id and length, so that a large group of copies
     sends no more than its own rows to any task.
     """
-    members, groups = _prepared(docs, id_col, text_col, digest, digest_column, max_bytes)
-    return _with_groups(members, groups.drop("group_size"), text_col, ["digest", "best_id", "best_chars"]).filter("best_first = 1").select(*docs.columns)
+    room = make_room(docs, *NAMES)
+    members, groups = _prepared(room, id_col, text_col, digest, digest_column, max_bytes)
+    return _with_groups(members, groups.drop("group_size"), text_col, ["digest", "best_id", "best_chars"]).filter("best_first = 1").select(*room.columns).toDF(*docs.columns)

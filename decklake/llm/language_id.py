@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold_of, refuse_clash
+from .common import fold_of, make_room
 
 # First code points of ranges and their scripts, after Unicode's blocks.
 SCRIPTS = (
@@ -34,6 +34,8 @@ SCRIPT_OF = np.array([NAMES.index(name) for _, name in SCRIPTS], dtype=np.uint8)
 
 #: Bins of letter pairs and triples; learning texts of each language, about; cost of a switch; least share of its letters that makes a script one of a language's.
 BINS, LEARN_ROWS, SWITCH, SCRIPT_SHARE = 1 << 16, 4000, 12.0, 0.005
+#: Evidence of a word against a language that doesn't use its script.
+NOT_ITS_SCRIPT = -1e4
 #: Code points that are scored at a time.
 CHUNK = 1_500_000
 
@@ -138,7 +140,7 @@ class Model:
         allowed = self.uses[script[begins]]
         none = ~allowed.any(axis=1)
         emit -= np.where(allowed, emit, -np.inf).max(axis=1, initial=-1e30, keepdims=True) if len(begins) else 0
-        emit = np.where(allowed, np.maximum(emit, -60), -60).astype(np.float32)
+        emit = np.where(allowed, emit, NOT_ITS_SCRIPT).astype(np.float32)
         emit[none] = 0  # no language that was learnt uses the script: no evidence
         count = np.bincount(text, minlength=len(texts))
         return text, place, letters, _viterbi(emit, count, SWITCH), ~none
@@ -174,40 +176,44 @@ def _viterbi(emit: np.ndarray, count: np.ndarray, switch: float) -> np.ndarray:
     return label
 
 
-RESULT = "lang_pred string, score double"
+RESULT = "lang_pred string, score double, known double"
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool = False, result_col: str = "language") -> DataFrame:
-    """``docs`` with ``result_col``: lang_pred, score and, if asked for, spans (start, end, lang) in code points.
+    """``docs`` with ``result_col``: lang_pred, score, known and, if asked for, spans (start, end, lang) in code points.
 
     The language is the one of most letters, of ties the first by name; the
     score is its share of the letters.  Letters of scripts that no language
     uses follow their neighbours; a text of nothing else scores 1 / languages.
-    Null, and texts without a letter, are ``und`` with score 0.
+    ``known`` is the share of letters in scripts that some language uses.
+    Null, and texts without a letter, are ``und`` with score 0.  Repeated rows
+    are labelled each; an empty table gives an empty one.  A column of ``docs``
+    with the new one's name goes on as ``<name>_in``.
     """
-    refuse_clash(docs, result_col)
+    docs = make_room(docs, result_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(column: pd.Series) -> pd.DataFrame:
         model, texts = shared.value, column.tolist()
-        lang, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+        lang, score, known = np.full(len(texts), "und", dtype=object), np.zeros(len(texts)), np.zeros(len(texts))
         marks: list = [[] for _ in texts]
         for part in _chunks(texts) if model.langs else []:
             text, place, letters, label, evident = model.label([texts[k] for k in part])
             n = len(model.langs)
             share = np.bincount(text * n + label, weights=letters, minlength=len(part) * n).reshape(-1, n)
-            total, seen = share.sum(axis=1), np.bincount(text, weights=evident, minlength=len(part)) > 0
+            total, seen = share.sum(axis=1), np.bincount(text, weights=evident * letters, minlength=len(part))
             top = share.argmax(axis=1)
             for i, k in enumerate(part):
                 if total[i]:
                     lang[k] = model.langs[top[i]]
                     score[k] = share[i, top[i]] / total[i] if seen[i] else 1 / n
+                    known[k] = seen[i] / total[i]
             if spans and len(text):
                 cut = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (label[1:] != label[:-1]))))
                 ends = np.concatenate((cut[1:], [len(text)])) - 1
                 for a, b in zip(cut, ends):
                     marks[part[text[a]]].append((int(place[a]), int(place[b] + letters[b]), model.langs[label[a]]))
-        out = {"lang_pred": lang, "score": score}
+        out = {"lang_pred": lang, "score": score, "known": known}
         return pd.DataFrame(out | ({"spans": marks} if spans else {}))
 
     kind = RESULT + (", spans array<struct<start:int,end:int,lang:string>>" if spans else "")
@@ -215,8 +221,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", spans: bool
 
 
 def predict(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score): learnt from the rows of fold 1 to 4 whose language is known."""
+    """(doc_id, held_out, lang_pred, score, known, spans): learnt from the rows of fold 1 to 4 whose language is known."""
     fold = fold_of(id_col)
     model = learn(docs.filter(fold != 0), id_col, text_col, lang_col)
-    found = identify(docs.select(F.col(id_col).alias("doc_id"), (fold == 0).alias("held_out"), F.col(text_col).alias("text")), model)
-    return found.select("doc_id", "held_out", "language.lang_pred", "language.score")
+    found = identify(docs.select(F.col(id_col).alias("doc_id"), (fold == 0).alias("held_out"), F.col(text_col).alias("text")), model, spans=True)
+    return found.select("doc_id", "held_out", "language.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, refuse_clash, written
+from .common import WORD, make_room, written
 
 #: Rows of a bucket, about.
 BUCKET_ROWS = 2000
@@ -106,11 +106,13 @@ def mix(docs: DataFrame, schedules, size_col: str = "size", source_col: str = "s
     end of their source's first pass.
 
     A null size is 0.  Null and repeated ids are rows like any other, ordered
-    by hash, id, size and a hash of the other columns.  An empty table gives an empty result.
+    by hash, id, size and a hash of the other columns.  An empty table gives an
+    empty result.  Columns of ``docs`` with the name of a new one go on as
+    ``<name>_in``.
     Reruns agree: nothing depends on partitions.  ``in_order`` false leaves out
     the range sort, for ``materialise`` sorts anyway.
     """
-    refuse_clash(docs, "source_size", "target", "taken", "copies", "positions", "mix_source", "mix_number", "mix_bucket", "mix_at", "mix_order", "mix_first", "source_rows", "weight", "parts", "bucket_start")
+    docs = make_room(docs, "source_size", "target", "taken", "copies", "positions", "mix_source", "mix_number", "mix_bucket", "mix_at", "mix_order", "mix_first", "source_rows", "weight", "parts", "bucket_start")
     docs = docs.withColumn(size_col, F.coalesce(F.col(size_col), F.lit(0)).cast("long"))
     size = F.col(size_col)
     sources = schedules(source_sizes(docs, source_col, size_col)).withColumn("parts", pieces(F.col("schedule"))).withColumn("weight", integral(F.col("parts")))
@@ -149,7 +151,6 @@ def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
 
     The copies are a document's first passes, each at the position at which it begins.
     """
-    refuse_clash(mixed, "mix_copy", "mix_tie")
     taken = F.slice("positions", F.lit(1), F.col("copies"))
-    copies = mixed.filter("copies > 0").select(*columns, F.explode(taken).alias("mix_copy")).withColumn("mix_tie", F.xxhash64(*columns))
-    return copies.repartitionByRange(F.col("mix_copy"), F.col("mix_tie")).sortWithinPartitions("mix_copy", "mix_tie").select(*columns)
+    copies = mixed.filter("copies > 0").select(F.struct(*columns).alias("own"), F.explode(taken).alias("at"), F.xxhash64(*columns).alias("tie"))
+    return copies.repartitionByRange(F.col("at"), F.col("tie")).sortWithinPartitions("at", "tie").select("own.*")

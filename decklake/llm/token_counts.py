@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import refuse_clash
+from .common import make_room
 
 #: White space of Unicode, so without U+001C to U+001F, which Python's \s has.
 UNIT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
@@ -88,11 +88,13 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     the whole text without special tokens added; special strings in a text are
     what the library makes of them.  Null counts as empty: no bytes, no
     tokens.  Texts that hold a special string, and all texts where the
-    library's pre-tokenizer isn't byte-level, are encoded whole.  Columns that
-    ``docs`` has already are refused by name: give a ``prefix``.
+    library's pre-tokenizer isn't byte-level, are encoded whole.  Repeated rows
+    are counted each; an empty table gives an empty one.  Columns of ``docs``
+    with the name of a new one go on as ``<name>_in``; ``prefix`` stands
+    before the new names.
     """
     names = [prefix + x for x in ("n_bytes", "n_tokens", "over_limit")]
-    refuse_clash(docs, *names)
+    docs = make_room(docs, *names)
     _, apart, _ = _counter(tokenizer_path)
     units = frequent_units(docs, text_col) if apart else []
     table = dict(zip(units, _counter(tokenizer_path)[0](units))) if units else {}
