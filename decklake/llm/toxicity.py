@@ -1,12 +1,13 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine (operator 2).
 
-Terms are the words that labelled texts of class 1 have more often than the
-others do.  Examples are stored in a block-max inverted index: each term's
-postings are cut into blocks of examples, with the largest weight of each
-block.  A query adds up these largest weights into a bound for each block and
-opens blocks from the highest bound down, until no bound reaches the k-th
-similarity found.  The votes of the nearest examples, weighted by similarity,
-are calibrated on the examples themselves, each left out of its own vote.
+Terms are all words that labelled texts of one class have more often than
+those of the other, beyond chance and by a factor that matters.  Examples are
+stored in a block-max inverted index: each term's postings are cut into blocks
+of examples, with the largest weight of each block.  A query adds up these
+largest weights into a bound for each block and opens blocks from the highest
+bound down, until no bound reaches the k-th similarity found.  The votes of
+the nearest examples, weighted by similarity, are calibrated on the examples
+themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import fold_of, refuse_clash
+from .common import drop_path, fold_of, make_room, written
 
 WORDS = re.compile(r"\w+")
-#: Terms, least labelled texts of class 1 with a term, candidates for terms.
-TERMS, LEAST, CANDIDATES = 300, 3, 50_000
+#: A word is a term if labels parted at random would give it so one-sided a share of its texts with less than this probability, and if one class has it so many times as often.
+LEVEL, LIFT = 1e-6, 2.0
 #: Examples of each class in the index at most (drawn by a hash of the id), nearest ones that vote, examples of a block.
 EXAMPLES, NEAREST, BLOCK = 12_000, 25, 64
 #: Labelled ids up to this number are broadcast; beyond, they are joined by a shuffle.
@@ -42,44 +43,46 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.filter(fold_of("i") != 0).join(rows, F.col("i") == F.col("doc_id")).select("i", F.coalesce("t", F.lit("")).alias("t"), "y")
 
 
-def _word_texts(rows: DataFrame, keep: set[str] | None) -> DataFrame:
-    """(word, n): texts with each word, added up in each task first."""
+def _word_texts(rows: DataFrame) -> DataFrame:
+    """(word, a, b): texts of class 1 and of class 0 with each word, added up in each task first."""
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def rows() -> pd.DataFrame:
+            words = list(seen[0].keys() | seen[1].keys())
+            return pd.DataFrame({"word": pd.Series(words, dtype=object), "a": pd.Series([seen[1][w] for w in words], dtype="int64"), "b": pd.Series([seen[0][w] for w in words], dtype="int64")})
+
         for batch in batches:
-            for text in batch["t"]:
-                words = set(WORDS.findall(text.lower()))
-                seen.update(words if keep is None else words & keep)
-            if len(seen) > 200_000:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                seen.clear()
-        yield pd.DataFrame({"word": pd.Series(list(seen), dtype=object), "n": pd.Series(list(seen.values()), dtype="int64")})
+            for text, y in zip(batch["t"], batch["y"]):
+                seen[y].update(set(WORDS.findall(text.lower())))
+                if len(seen[0]) + len(seen[1]) > 200_000:
+                    yield rows()
+                    seen[0].clear()
+                    seen[1].clear()
+        yield rows()
 
-    return rows.select("t").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return rows.select("t", "y").mapInPandas(count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def choose_terms(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+def choose_terms(rows: DataFrame, level: float = LEVEL, lift: float = LIFT) -> tuple[list[str], np.ndarray]:
     """Terms and their inverse document frequencies among all labelled texts.
 
-    Words are counted in all texts of class 1; of those in ``LEAST`` or more,
-    the commonest ``CANDIDATES`` are counted in all others.  The terms are
-    those with the largest chi-square among the words commoner in class 1.
+    Of the texts with a word, a share ``p`` would be of class 1 by chance; that
+    so many or few are has at most the probability exp(-KL), by Chernoff's
+    bound, which holds at every size.
     """
     sizes = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
-    top = _word_texts(rows.filter("y = 1"), None).filter(F.col("n") >= LEAST).orderBy(F.desc("n"), "word").limit(CANDIDATES)
-    in_ones = {r[0]: r[1] for r in top.collect()}
-    if not in_ones or not zeros:
+    if not ones or not zeros:
         return [], np.zeros(0)
-    in_zeros = {r[0]: r[1] for r in _word_texts(rows.filter("y = 0"), set(in_ones)).collect()}
-    words = sorted(in_ones)
-    a, b = np.array([in_ones[w] for w in words], float), np.array([in_zeros.get(w, 0) for w in words], float)
-    n = ones + zeros
-    chi = n * (a * (zeros - b) - b * (ones - a)) ** 2 / ((a + b) * (n - a - b + 1e-9) * ones * zeros)
-    good = np.flatnonzero((a / ones > b / zeros) & (chi > 30))
-    good = sorted(good, key=lambda k: (-chi[k], words[k]))[:TERMS]
-    return [words[k] for k in good], np.array([np.log((1 + n) / (1 + a[k] + b[k])) + 1 for k in good])
+    n, a, b = ones + zeros, F.col("a"), F.col("b")
+    part = lambda x, share: F.when(x > 0, x * F.log(x / ((a + b) * F.lit(share)))).otherwise(F.lit(0.0))
+    chance = part(a, ones / n) + part(b, zeros / n)
+    more, less = (a + 0.5) / (ones + 1), (b + 0.5) / (zeros + 1)
+    terms = _word_texts(rows).filter((chance >= -np.log(level)) & (F.greatest(more / less, less / more) >= lift)).select("word", (a + b).alias("n")).collect()
+    terms.sort(key=lambda r: r.word)
+    return [r.word for r in terms], np.array([np.log((1 + n) / (1 + r.n)) + 1 for r in terms])
 
 
 class Index:
@@ -87,34 +90,47 @@ class Index:
 
     def __init__(self, vectors: list[dict[int, float]], ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, terms: int):
         self.ids, self.labels, self.weights, self.size = ids, labels, weights, len(ids)
-        blocks = -(-max(1, self.size) // BLOCK)
-        self.most = np.zeros((terms, blocks), dtype=np.float64)
+        self.blocks = -(-max(1, self.size) // BLOCK)
         postings: list[list] = [[] for _ in range(terms)]
         for doc, vector in enumerate(vectors):
             for term, w in vector.items():
                 postings[term].append((doc, w))
-                self.most[term, doc // BLOCK] = max(self.most[term, doc // BLOCK], w)
-        self.docs = [np.array([d for d, _ in p], dtype=np.int64) for p in postings]
+        self.docs = [np.array([d for d, _ in p], dtype=np.int32) for p in postings]
         self.w = [np.array([w for _, w in p]) for p in postings]
-        self.cut = [np.searchsorted(d, np.arange(blocks + 1) * BLOCK) for d in self.docs]
+        # Of each term, the blocks that have it, the first posting of each, and its largest weight there.
+        self.held, self.first = zip(*(np.unique(d // BLOCK, return_index=True) for d in self.docs)) if terms else ((), ())
+        self.most = [np.maximum.reduceat(w, f) if len(w) else w for w, f in zip(self.w, self.first)]
 
-    def nearest(self, query: dict[int, float], k: int, skip: int = -1) -> list[tuple[float, int]]:
+    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
         """(similarity, example) of the ``k`` most similar ones, of ties the smallest id; only similarities above 0."""
         if not query or not self.size:
             return []
-        bound = sum(q * self.most[t] for t, q in query.items())
-        found: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(found) >= k and bound[block] < found[k - 1][0] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
+        bound = np.zeros(self.blocks)
+        for t, q in query.items():
+            bound[self.held[t]] += q * self.most[t]
+        bound = np.round(bound, 9)
+        order = np.lexsort((np.arange(self.blocks), -bound))
+        order = order[bound[order] > 0]
+        sims, ids = np.zeros(0), np.zeros(0, dtype=np.int64)
+        at, step = 0, 4
+        while at < len(order):
+            if len(ids) == k:
+                # Blocks of equal bounds stand in order of their examples.
+                best, block = bound[order[at]], order[at]
+                if best < sims[-1] or best == sims[-1] and block * BLOCK > ids[-1]:
+                    break
+            opened = np.zeros(self.blocks, dtype=bool)
+            opened[order[at : at + step]] = True
+            at, step = at + step, step * 2
+            sums = np.zeros(self.blocks * BLOCK)
             for t, q in query.items():
-                a, b = self.cut[t][block], self.cut[t][block + 1]
-                sums[self.docs[t][a:b] - block * BLOCK] += q * self.w[t][a:b]
+                here = opened[self.docs[t] // BLOCK]
+                sums[self.docs[t][here]] += q * self.w[t][here]
             hit = np.flatnonzero(sums > 0)
-            found += [(float(sums[i]), int(i + block * BLOCK)) for i in hit if i + block * BLOCK != skip]
-            found = sorted(found, key=lambda x: (-round(x[0], 9), x[1]))[:k]
-        return found
+            sims, ids = np.concatenate((sims, np.round(sums[hit], 9))), np.concatenate((ids, hit))
+            first = np.lexsort((ids, -sims))[:k]
+            sims, ids = sims[first], ids[first]
+        return list(zip(sims.tolist(), ids.tolist()))
 
 
 def unit(bag: Counter, idf: np.ndarray) -> dict[int, float]:
@@ -136,8 +152,7 @@ class Model:
         w = s * self.index.weights[i]
         return float((w * self.index.labels[i]).sum() / w.sum())
 
-    def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        bag = _bag(text, self.at)
+    def score(self, bag: Counter) -> tuple[float, list[tuple[float, int]]]:
         near = self.index.nearest(unit(bag, self.idf), NEAREST) if bag else []
         if not near:
             return self.without, near
@@ -173,11 +188,12 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
             out = [(i, y, sorted(bag), [bag[k] for k in sorted(bag)]) for i, y, bag in ((i, y, _bag(t, at)) for i, t, y in zip(batch["i"], batch["t"], batch["y"]))]
             yield pd.DataFrame(out, columns=["i", "y", "terms", "n"])
 
-    schema = "i long, y int, terms array<int>, n array<int>"
-    bags = rows.mapInPandas(vectors, schema) if terms else rows.select("i", "y", F.array().cast("array<int>").alias("terms"), F.array().cast("array<int>").alias("n"))
+    bags, bags_path = written(rows.mapInPandas(vectors, "i long, y int, terms array<int>, n array<int>"), "bags")
     counts = {(r[0], r[1]): r[2] for r in bags.groupBy("y", (F.size("terms") > 0).alias("has")).count().collect()}
     share = F.when(F.col("y") == 1, F.lit(min(1.0, EXAMPLES / max(1, counts.get((1, True), 1))))).otherwise(F.lit(min(1.0, EXAMPLES / max(1, counts.get((0, True), 1)))))
     drawn = bags.filter((F.size("terms") > 0) & (F.pmod(F.xxhash64("i", F.lit("toxic")), F.lit(1 << 30)) < share * (1 << 30)))
+    # Rows that repeat an id are one example: the first by its terms.
+    drawn = drawn.groupBy("i").agg(F.min(F.struct("y", "terms", "n")).alias("x")).select("i", "x.*")
     found = sorted(drawn.collect(), key=lambda r: r.i) if terms else []
     labels_of = np.array([r.y for r in found], float)
     weights = np.array([counts[(r.y, True)] for r in found], float)
@@ -188,19 +204,47 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     ones, zeros = counts.get((1, False), 0), counts.get((0, False), 0)
     without = (ones + 0.05) / (ones + zeros + 1.0)
     model = Model(terms, idf, index, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), without)
-    votes = [(model.vote(near), labels_of[k], weights[k]) for k, near in ((k, index.nearest(u, NEAREST, skip=k)) for k, u in enumerate(units)) if near]
-    if votes:
-        model.steps = isotonic(*map(np.array, zip(*votes)))
+    if found:
+        votes = _left_out_votes(drawn, model).toArrow().to_pandas()
+        votes = votes[votes["vote"].notna()].sort_values(["vote", "label", "weight"])
+        if len(votes):
+            model.steps = isotonic(votes["vote"].to_numpy(), votes["label"].to_numpy(), votes["weight"].to_numpy())
+    drop_path(docs.sparkSession, bags_path)
     return model
 
 
+def _left_out_votes(drawn: DataFrame, model: Model) -> DataFrame:
+    """(vote, label, weight): what an example's nearest others say of it; examples with the same terms and label have the same nearest ones but for themselves."""
+    shared = drawn.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        index = model.index
+        for batch in batches:
+            out = []
+            for terms, n, ids in zip(batch["terms"], batch["n"], batch["ids"]):
+                near = index.nearest(unit(Counter(dict(zip(map(int, terms), map(int, n)))), model.idf), NEAREST + 1)
+                own = np.searchsorted(index.ids, np.sort(np.asarray(ids, dtype=np.int64)))
+                inside = {k for _, k in near}
+                out += [(k, [x for x in near if x[1] != k][:NEAREST]) for k in own.tolist() if k in inside]
+                out += [(k, near[:NEAREST]) for k in own.tolist() if k not in inside]
+            rows = [(model.vote(near) if near else None, float(index.labels[k]), float(index.weights[k])) for k, near in out]
+            yield pd.DataFrame(rows, columns=["vote", "label", "weight"], dtype=float)
+
+    # Ids of an equal bag are dealt out a thousand at a time, so that no bag is a single row.
+    bags = drawn.groupBy("terms", "n", F.pmod(F.xxhash64("i"), F.lit(1 + EXAMPLES // 1000)).alias("part")).agg(F.collect_set("i").alias("ids"))
+    return bags.select("terms", "n", "ids").mapInPandas(run, "vote double, label double, weight double")
+
+
 def score(docs: DataFrame, model: Model, text_col: str = "t", result_col: str = "toxicity", evidence: int = 5) -> DataFrame:
     """``docs`` with ``result_col``: score (0 to 1), and the evidence: the terms found, and ids and similarities of the nearest examples.
 
     A text without any term, empty and null ones too, has no neighbour and
-    scores as the labelled texts without a term are labelled.
+    scores as the labelled texts without a term are labelled.  Repeated rows
+    are scored each; an empty table gives an empty one.  A column of ``docs``
+    with the new one's name goes on as ``<name>_in``.
     """
-    refuse_clash(docs, result_col)
+    docs = make_room(docs, result_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -212,7 +256,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "t", result_col: str =
             if key not in known:
                 if len(known) > 50_000:
                     known.clear()
-                value, near = model.score(text)
+                value, near = model.score(bag)
                 known[key] = {"score": value, "terms": [model.terms[t] for t in sorted(bag)], "nearest": [{"doc_id": int(model.index.ids[i]), "similarity": s} for s, i in near[:evidence]]}
             out.append(known[key])
         return pd.DataFrame(out, columns=["score", "terms", "nearest"])
