@@ -2,24 +2,30 @@
 
 The patterns find e-mail and IP addresses, card and phone numbers.  A
 conditional random field over word shapes adds kinds that no fixed pattern
-tells apart by itself: phone numbers without a country code, identity numbers
-and handles.  It is trained from a small labelled table.  A word without a
-digit or ``@`` can only be labelled O, so a text's best path falls apart into
-those of its runs of other words; all runs of a batch go through Viterbi
-together, those of one length at a time.
+tells apart by itself: phone numbers without a country code, identity numbers,
+handles, and secrets such as keys and passwords.  It is trained from a small
+labelled table (``pii_examples``), whose lines are repeated with other digits
+and letters.  The model labels words with a digit, ``@`` or 16 capitals in a row and words
+that name a secret, with ``BEFORE`` words before and ``AFTER`` words after them; all
+others are O by definition, so a text's best path falls apart into those of
+such runs.  All runs of a batch go through Viterbi together, those of one
+length at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import refuse_clash
+from .common import make_room
+from .pii_examples import LINES
 
 # Fixed values of the contract.
 LISTED = ("email", "ip", "card", "phone")
@@ -30,14 +36,20 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 #: Kinds that the model adds, after the listed ones.
-ADDED = ("local_phone", "id_number", "handle")
+ADDED = ("local_phone", "id_number", "handle", "secret")
 KINDS = LISTED + ADDED
 #: B- and I- of each added kind; what the patterns find is one more kind to the model, so that it isn't taken for another.
 TAGS = ("O", *(f"{p}-{k}" for k in (*ADDED, "listed") for p in "BI"))
 SPACES = " \t\n\x0b\x0c\r"
-MARK = re.compile(r"[0-9@]")
-NEXT_SPACE = re.compile(r"[\x20\x09-\x0D]")
-EDGE = ".,;:!?\"'<>[]{}"
+DIGIT = re.compile(r"[0-9]")
+# Words that name a secret, in the languages of the labelled table.
+NAMES = "password passwd passwort pwd passphrase kennwort contraseña mot de passe secret token api key api_key api-key bearer pin"
+MARK = re.compile(r"[0-9@]|(?-i:[A-Z]{16,})|\b(?:" + "|".join(sorted({re.escape(w) for w in NAMES.split() if w not in ("mot", "de", "api", "key")} | {"api.?key", "mot de passe", "key"}, key=lambda w: (-len(w), w))) + r")\b", re.I)
+BEFORE, AFTER = 2, 3
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Tokens of the model: words, cut at = and :.
+TOKEN = re.compile(r"[=:]|[^\x20\x09-\x0D=:]+")
+EDGE = ".,;!?\"'<>[]{}"
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -72,7 +84,7 @@ def _digits(text: str) -> str:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by kind as listed, then start, in code points."""
     found = [("email", a, b) for a, b in emails(text)]
-    if MARK.search(text):
+    if DIGIT.search(text):
         for m in IP.finditer(text):
             if all(len(part.lstrip("0")) <= 3 and int(part.lstrip("0") or 0) <= 255 for part in m.group().split(".")):
                 found.append(("ip", *m.span()))
@@ -86,39 +98,89 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def marked_words(text: str) -> list[tuple[int, int]]:
-    """Words with a digit or @, cut at white space, without punctuation at their edges."""
-    found, hit = [], MARK.search(text)
-    while hit:
-        start = hit.start()
+def _word_at(text: str, at: int) -> tuple[int, int]:
+    """The word around ``at``, which is none of white space."""
+    start = at
+    while start and text[start - 1] not in SPACES:
+        start -= 1
+    return start, WORD.match(text, at).end()
+
+
+def _stretch(text: str, start: int, end: int) -> tuple[int, int]:
+    """From ``BEFORE`` words before to ``AFTER`` words after text[start:end]."""
+    for _ in range(BEFORE):
+        while start and text[start - 1] in SPACES:
+            start -= 1
         while start and text[start - 1] not in SPACES:
             start -= 1
-        stop = NEXT_SPACE.search(text, hit.end())
-        end = stop.start() if stop else len(text)
-        a, b = start, end
-        while a < b and text[a] in EDGE:
-            a += 1
-        while b > a and text[b - 1] in EDGE:
-            b -= 1
-        found.append((a, b))
-        hit = MARK.search(text, end)
-    return found
+    for _ in range(AFTER):
+        following = WORD.search(text, end)
+        end = following.end() if following else end
+    return start, end
+
+
+def runs_of(text: str) -> Iterator[list[tuple[int, int]]]:
+    """Tokens of each run that the model labels: start and end, without punctuation at the edges."""
+    hit, held = MARK.search(text), None
+    while hit or held:
+        reach = None
+        if hit:
+            start, end = _word_at(text, hit.start())
+            end = max(end, hit.end())
+            reach = _stretch(text, start, end)
+            hit = MARK.search(text, end)
+        if held and reach and reach[0] <= held[1]:
+            held = held[0], max(held[1], reach[1])
+            continue
+        if held:
+            run = []
+            for m in TOKEN.finditer(text, *held):
+                a, b = m.span()
+                while a < b and text[a] in EDGE:
+                    a += 1
+                while b > a and text[b - 1] in EDGE:
+                    b -= 1
+                if a < b:
+                    run.append((a, b))
+            if run:
+                yield run
+        held = reach
+
+
+def _bucket(n: int) -> int:
+    """Up to 4 as it is, then the next power of two."""
+    return n if n <= 4 else 1 << (n - 1).bit_length()
 
 
-def shape(word: str) -> str:
-    """Letters as a or A, digits as d, others as they are; beyond 24 characters runs are cut to three."""
-    s = "".join("d" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in word[:200])
-    return s if len(s) <= 24 else re.sub(r"(.)\1{3,}", r"\1\1\1", s)[:60]
+@lru_cache(maxsize=50_000)
+def shapes(word: str) -> tuple[str, str, int]:
+    """The runs of letters (A, a), digits (d) and others with their lengths, the runs alone, and how many there are."""
+    runs = [(k, len(list(g))) for k, g in groupby("d" if "0" <= c <= "9" else "A" if c.isupper() else "a" if c.isalpha() else c for c in word)]
+    return "".join(f"{k}{_bucket(n)}" for k, n in runs), "".join(k for k, _ in runs), len(runs)
 
 
-def short_shape(word: str) -> str:
-    return re.sub(r"(.)\1+", r"\1", shape(word))
+def _beside(word: str) -> str:
+    """What a neighbour sees of a word: the word itself if it has no digit."""
+    if not DIGIT.search(word):
+        return word.lower()
+    long, short, runs = shapes(word)
+    return short if runs <= 6 else f"{runs > 6}{''.join(sorted(set(short)))}"
 
 
 @lru_cache(maxsize=50_000)
 def features(word: str) -> tuple[str, ...]:
-    digits = len(_digits(word))
-    return (f"s={shape(word)}", f"c={short_shape(word)}", f"n={min(digits, 20)}", f"l={min(len(word), 40)}", f"@={word[:1] == '@'}{word.count('@')}", f"k={'a' in short_shape(word).lower()}")
+    long, short, runs = shapes(word)
+    kinds, digits = "".join(sorted(set(short))), len(_digits(word))
+    out = [f"k={kinds}", f"l={_bucket(len(word))}", f"n={_bucket(digits)}", f"r={_bucket(runs)}{kinds}", f"@={word[:1] == '@'}{word.count('@') if word.count('@') < 2 else 2}"]
+    if runs <= 12:
+        out += [f"s={long}", f"c={short}"]
+    if not digits:
+        out.append(f"w={word.lower()}")
+    if len(word) >= 8 and not word.strip("0123456789abcdef"):
+        out.append(f"h={_bucket(len(word))}{digits > 0}")
+    if len(word) >= 12 and kinds in ("A", "Ad"):
+        out += [f"u={_bucket(len(word))}", f"b={word[:4]}"]
+    return tuple(out)
 
 
 class Crf:
@@ -151,10 +213,12 @@ class Crf:
 
 
 def _around(words: list[str], k: int) -> list[str]:
-    own = list(features(words[k]))
-    before = f"p={short_shape(words[k - 1])}" if k else "p=^"
-    after = f"f={short_shape(words[k + 1])}" if k + 1 < len(words) else "f=$"
-    return [*own, before, after, f"{before}|{own[1]}", f"{after}|{own[1]}"]
+    own = features(words[k])
+    before = _beside(words[k - 1]) if k else "^"
+    before2 = _beside(words[k - 2]) if k > 1 else "^"
+    after = _beside(words[k + 1]) if k + 1 < len(words) else "$"
+    about = f"{own[0]}{own[1]}"
+    return [*own, f"p={before}", f"q={before2}|{before}", f"f={after}", f"p={before}|{about}", f"q={before2}|{before}|{own[0]}", f"f={after}|{own[0]}", f"p={before in '=:'}|{about}"]
 
 
 def _viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
@@ -173,53 +237,63 @@ def _viterbi(emit: np.ndarray, move: np.ndarray) -> np.ndarray:
     return tags
 
 
-def labelled_table(seed: int = 7, rows: int = 400) -> list[list[tuple[str, str]]]:
-    """A small labelled table: runs of words with their tags, from patterns of each kind and of what is none."""
+SPAN = re.compile(r"\{(\w+)\|([^}]*)\}")
+
+
+def parsed(line: str) -> list[list[tuple[str, str]]]:
+    """The runs of a marked line as (token, tag)."""
+    text, spans, at = "", [], 0
+    for m in SPAN.finditer(line):
+        text += line[at : m.start()]
+        spans.append((m.group(1), len(text), len(text) + len(m.group(2))))
+        text, at = text + m.group(2), m.end()
+    text += line[at:]
+    tagged = []
+    for run in runs_of(text):
+        tags = []
+        for a, b in run:
+            kind, start = next(((k, x) for k, x, y in spans if a < y and x < b), ("", 0))
+            tags.append((text[a:b], f"{'B' if a <= start else 'I'}-{kind}" if kind else "O"))
+        tagged.append(tags)
+    return tagged
+
+
+def varied(line: str, rng: np.random.Generator) -> str:
+    """``line`` with other digits, and with other letters in its words that have digits."""
+    draw = lambda letters: letters[rng.integers(0, len(letters))]
+    digits, low, high = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+    def other(m: re.Match) -> str:
+        word = m.group()
+        if not DIGIT.search(word):
+            return word
+        if len(word) >= 16 and not word.strip(digits + "abcdef"):
+            return "".join(draw(digits + "abcdef") for _ in word)
+        if len(word) >= 16 and not word.strip(digits + high):
+            return word[:4] + "".join(draw(high + digits) for _ in word[4:])
+        return "".join(draw(digits) if c in digits else draw(low) if c in low and len(word) >= 16 else draw(high) if c in high and len(word) >= 16 else c for c in word)
+
+    return re.sub(r"[0-9A-Za-z]+", other, line)
+
+
+def labelled_table(lines: list[str] | tuple[str, ...] = tuple(LINES), copies: int = 4, seed: int = 7) -> list[list[tuple[str, str]]]:
+    """The runs of the labelled lines, and of ``copies - 1`` variations of each."""
     rng = np.random.default_rng(seed)
-    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    letters = lambda a, b: "".join(chr(97 + x) for x in rng.integers(0, 26, rng.integers(a, b)))
-    hexes = lambda n: "".join("0123456789abcdef"[x] for x in rng.integers(0, 16, n))
-    pick = lambda *x: x[rng.integers(0, len(x))]
-
-    def entity() -> list[tuple[str, str]]:
-        kind = pick("tel", "tel", "tel2", "tel2", "id", "id", "handle", "email", "ip", "card", "card4", "phone")
-        if kind == "tel":
-            return [(f"{digits(3)}{(s := pick('-', '.'))}{digits(3)}{s}{digits(4)}", "B-local_phone")]
-        if kind == "tel2":
-            return [(f"({digits(3)})", "B-local_phone"), (f"{digits(3)}-{digits(4)}", "I-local_phone")]
-        if kind == "id":
-            return [(f"{digits(3)}-{digits(2)}-{digits(4)}", "B-id_number")]
-        if kind == "handle":
-            return [("@" + letters(3, 12) + pick("", digits(2), "_" + letters(2, 4)), "B-handle")]
-        if kind == "email":
-            return [(f"{letters(2, 8)}{pick('', '.', digits(2))}{letters(1, 5)}@{letters(3, 9)}.{pick('com', 'org', 'example')}", "B-listed")]
-        if kind == "ip":
-            return [(".".join(str(rng.integers(0, 256)) for _ in range(4)), "B-listed")]
-        if kind == "card":
-            return [(digits(16), "B-listed")]
-        if kind == "card4":
-            return [(digits(4), "B-listed"), *[(digits(4), "I-listed")] * 3]
-        return [(f"+{digits(rng.integers(1, 3))}", "B-listed"), (f"({digits(3)})", "I-listed"), (f"{digits(3)}-{digits(4)}", "I-listed")]
-
-    def other() -> list[tuple[str, str]]:
-        n = rng.integers(1, 4)
-        make = (lambda: digits(rng.integers(1, 9)), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(2)}.{digits(2)}.{digits(4)}", lambda: f"{digits(1)}.{digits(rng.integers(1, 3))}", lambda: hexes(pick(8, 32, 40)), lambda: letters(1, 5) + digits(2), lambda: "$" + digits(3), lambda: f"{digits(2)}:{digits(2)}", lambda: digits(2) + "%", lambda: f"{digits(3)}-{digits(3)}", lambda: "(" + digits(4) + ")", lambda: digits(rng.integers(10, 30)), lambda: "@", lambda: f"v{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(1)}-{digits(2)}", lambda: f"({digits(rng.integers(1, 3))})", lambda: f"({digits(3)})")
-        return [(make[rng.integers(0, len(make))](), "O") for _ in range(n)]
-
-    return [[x for part in [pick(entity, other) for _ in range(rng.integers(1, 4))] for x in part()] for _ in range(rows)]
-
-
-def train(table: list[list[tuple[str, str]]], rounds: int = 120, ridge: float = 0.02) -> Crf:
+    return [run for line in lines for k in range(copies) for run in parsed(varied(line, rng) if k else line)]
+
+
+def train(table: list[list[tuple[str, str]]], rounds: int = 100, ridge: float = 0.02) -> Crf:
     """Maximum likelihood with a ridge, by AdaGrad over the whole table: gradients from forward and backward sums."""
     words = [[w for w, _ in row] for row in table]
     names = {n: i for i, n in enumerate(sorted({n for run in words for k in range(len(run)) for n in _around(run, k)}))}
     n, length, tags = len(table), max(map(len, table)), len(TAGS)
-    width = len(_around(["1"], 0))
+    width = max(len(_around(run, k)) for run in words for k in range(len(run)))
     used = np.full((n, length, width), len(names))
     gold, real = np.zeros((n, length), dtype=int), np.zeros((n, length), dtype=bool)
     for i, row in enumerate(table):
         for k, (_, tag) in enumerate(row):
-            used[i, k] = [names[x] for x in _around(words[i], k)]
+            own = [names[x] for x in _around(words[i], k)]
+            used[i, k, : len(own)] = own
             gold[i, k], real[i, k] = TAGS.index(tag), True
     gold_one = np.eye(tags)[gold] * real[..., None]
     emit, move = np.zeros((len(names) + 1, tags)), np.zeros((tags, tags))
@@ -270,15 +344,9 @@ def added_spans(model: Crf, texts: list[str], base: list[list[tuple[str, int, in
     """The model's spans of each text, without those that overlap a base span."""
     runs, where = [], []
     for k, text in enumerate(texts):
-        words = marked_words(text)
-        at = 0
-        while at < len(words):
-            end = at + 1
-            while end < len(words) and not text[words[end - 1][1] : words[end][0]].strip(SPACES + EDGE):
-                end += 1
-            runs.append([text[a:b] for a, b in words[at:end]])
-            where.append((k, words[at:end]))
-            at = end
+        for run in runs_of(text):
+            runs.append([text[a:b] for a, b in run])
+            where.append((k, run))
     out: list = [[] for _ in texts]
     for (k, words), tags in zip(where, model.decode(runs)):
         at = 0
@@ -300,14 +368,16 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find(docs: DataFrame, text_col: str = "text", model: Crf | None = None, result_col: str = "pii") -> DataFrame:
-    """``docs`` with ``result_col``: n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """``docs`` with ``result_col``: n_email, n_ip, n_card, n_phone, base_sha256, spans, and n_added, the number of the model's spans.
 
     Base spans come from the patterns of the contract; the model's are of
     kinds of their own, follow in ``spans`` and never overlap a base span, so
     the four counts are those of base spans and of ``spans`` alike.  Null
-    counts as empty: no spans, the hash of ''.
+    counts as empty: no spans, the hash of ''.  Repeated rows are read each; an
+    empty table gives an empty one.  A column of ``docs`` with the new one's
+    name goes on as ``<name>_in``.
     """
-    refuse_clash(docs, result_col)
+    docs = make_room(docs, result_col)
     crf = docs.sparkSession.sparkContext.broadcast(model or train(labelled_table()))
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -319,8 +389,8 @@ def find(docs: DataFrame, text_col: str = "text", model: Crf | None = None, resu
             row = {f"n_{kind}": sum(k == kind for k, _, _ in own) for kind in LISTED}
             listed = _joined(own)
             new.sort(key=lambda s: (KINDS.index(s[0]), s[1]))
-            rows.append(row | {"base_sha256": hashlib.sha256(listed.encode()).hexdigest(), "spans": _joined(own + new)})
+            rows.append(row | {"base_sha256": hashlib.sha256(listed.encode()).hexdigest(), "spans": _joined(own + new), "n_added": len(new)})
         return pd.DataFrame(rows)
 
-    result = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    result = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     return docs.withColumn(result_col, F.pandas_udf(run, result)(F.coalesce(F.col(text_col), F.lit(""))))
