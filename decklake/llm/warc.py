@@ -5,23 +5,21 @@ resolved by an as-of join to the latest earlier full response of the same
 canonical URL, if the validators of both agree; the headers that a 304 answer
 may carry then replace the response's.
 
-A URL that is captured very often is no single group: its captures are cut
-into stretches of time, in each of which a window finds the latest response;
-what a stretch starts with is carried over from the ones before.
+A URL that is captured very often is no single group: all captures are cut at
+quantiles of URL, time and record into stretches, in each of which a window
+finds the latest response; what a stretch starts with is carried over from the
+ones before.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import refuse_clash
+from .common import make_room, written
 
 # Header fields that a 304 answer carries (RFC 9110, 15.4.5), and query fields that name a campaign, not a page.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)"
-#: Captures of one stretch, about.
-STRETCH_ROWS = 500
-
 
 def canonical_url(url: Column) -> Column:
     """Without scheme, ``www.``, default port, fragment, tracking fields and a slash at the end; the host in lower case; query fields sorted.
@@ -36,56 +34,62 @@ def canonical_url(url: Column) -> Column:
 
 
 def merged_headers(response: Column, revisit: Column) -> Column:
-    """The response's headers, with the revisit's permitted ones in their place; names in lower case."""
-    low = lambda m: F.transform_keys(m, lambda k, _: F.lower(k))
+    """The response's headers, with the revisit's permitted ones in their place; names in lower case, of those that differ in case only the last."""
+
+    def low(m: Column) -> Column:
+        names, size = F.transform(F.map_keys(m), lambda k: F.lower(k)), F.size(m)
+        places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+        last = F.filter(places, lambda i: ~F.array_contains(F.slice(names, i + 2, size), F.get(names, i)))
+        return F.map_from_arrays(F.transform(last, lambda i: F.get(names, i)), F.transform(last, lambda i: F.get(F.map_values(m), i)))
+
     allowed = F.map_filter(low(revisit), lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
     return F.map_concat(F.map_filter(low(response), lambda k, _: ~F.array_contains(F.map_keys(allowed), k)), allowed)
 
 
+HELD = ("captured", "record_id", "etag", "last_modified", "digest", "headers")
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """``records`` with the response that each revisit refers to.
 
     Columns needed: record_id (distinct), url, captured (timestamp or number),
-    kind ('response', 'revisit'; others pass through), etag, last_modified,
-    digest, headers (map<string, string>).  New columns: ``canonical``,
-    ``refers_to`` (the latest earlier full response of the canonical URL;
-    captures at the same time go by record id), ``status`` ('resolved',
-    'mismatch' if a validator that both have differs or they share none,
-    'missing' if there is no earlier response, null for what is no revisit)
-    and ``merged`` (headers of resolved revisits).  Records without a URL or
-    time are 'missing' if revisits, and are never referred to.
+    kind ('response', 'revisit'; others, null too, pass through), etag,
+    last_modified, digest, headers (map<string, string>).  New columns:
+    ``canonical``, ``refers_to`` (the latest earlier full response of the
+    canonical URL; captures at the same time go by record id), ``status``
+    ('resolved', 'mismatch' if a validator that both have differs or they
+    share none, 'missing' if there is no earlier response, null for what is no
+    revisit) and ``merged`` (headers of resolved revisits).  Records without a
+    URL or time are 'missing' if revisits, and are never referred to; their
+    ``canonical`` is null.  Repeated rows stay.  An empty table gives an empty
+    result.  Columns with a new one's name go on as ``<name>_in``.
     """
-    refuse_clash(records, "canonical", "refers_to", "status", "merged", "stretch", "own_rank", "latest", "carried", "found")
+    records = make_room(records, "canonical", "refers_to", "status", "merged", "stretch", "latest", "carried", "found")
+    revisit = F.col("kind").eqNullSafe("revisit")
     rows = records.withColumn("canonical", canonical_url(F.col("url")))
     usable = F.col("canonical").isNotNull() & F.col("captured").isNotNull()
-    # What can't be placed is spread over keys of its own.
-    rows = rows.withColumn("canonical", F.when(usable, F.col("canonical")))
-    key = F.coalesce("canonical", F.concat(F.lit("\x00"), F.col("record_id").cast("string")))
-    at = F.col("captured").cast("double")
-    span = rows.filter("canonical is not null").groupBy("canonical").agg(F.min(at).alias("low"), F.max(at).alias("high"), F.count("*").alias("captures")).filter(F.col("captures") > STRETCH_ROWS)
-    cut = rows.join(span, "canonical", "left")
-    stretches = F.ceil(F.col("captures") / STRETCH_ROWS)
-    stretch = F.coalesce(F.floor((at - F.col("low")) / (F.col("high") - F.col("low") + 1e-9) * stretches), F.lit(0)).cast("long")
-    cut = cut.withColumns({"stretch": stretch, "own_key": key}).drop("low", "high", "captures")
-    full = (F.col("kind") == "response") & F.col("canonical").isNotNull()
-    held = F.when(full, F.struct("captured", "record_id", "etag", "last_modified", "digest", "headers"))
-    within = Window.partitionBy("own_key", "stretch").orderBy("captured", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("latest", F.last(held, ignorenulls=True).over(within))
-    ends = cut.filter(full).groupBy("own_key", "stretch").agg(F.max(F.struct("captured", "record_id", "etag", "last_modified", "digest", F.to_json("headers").alias("headers"))).alias("end"))
-    # Stretches are few beside captures, and their window holds one row each.
-    all_stretches = cut.filter(F.col("kind") == "revisit").select("own_key", "stretch").distinct().join(ends, ["own_key", "stretch"], "full")
-    before = Window.partitionBy("own_key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carried = all_stretches.select("own_key", "stretch", F.last("end", ignorenulls=True).over(before).alias("carried")).filter("carried is not null")
-    cut = cut.join(carried, ["own_key", "stretch"], "left")
-    back = F.struct(*[F.col(f"carried.{c}").alias(c) for c in ("captured", "record_id", "etag", "last_modified", "digest")], F.from_json("carried.headers", "map<string,string>").alias("headers"))
-    cut = cut.withColumn("found", F.when(F.col("kind") == "revisit", F.coalesce("latest", F.when(F.col("carried").isNotNull(), back))))
+    # Ranges are neighbours in this order, so that a stretch is all that lies between two cuts; they are drawn by sampling, so the rows are written once.
+    ranged = rows.filter(usable).repartitionByRange("canonical", "captured", "record_id").withColumn("stretch", F.spark_partition_id())
+    cut, _ = written(ranged, "stretches")
+    full = F.col("kind") == "response"
+    within = Window.partitionBy("canonical", "stretch").orderBy("captured", "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    ends = cut.filter(full).groupBy("canonical", "stretch").agg(F.max_by(F.struct(*HELD), F.struct("captured", "record_id")).alias("end"))
+    # A URL has as many of these rows as stretches, and only what lies in several needs them.
+    several = cut.groupBy("canonical").agg(F.min("stretch").alias("low"), F.max("stretch").alias("high")).filter("low < high")
+    spans = several.select("canonical", F.explode(F.sequence("low", "high")).alias("stretch")).join(ends, ["canonical", "stretch"], "left")
+    before = Window.partitionBy("canonical").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spans.select("canonical", "stretch", F.last("end", ignorenulls=True).over(before).alias("carried")).filter("carried is not null")
+    cut = cut.withColumn("latest", F.last(F.when(full, F.struct(*HELD)), ignorenulls=True).over(within)).join(carried, ["canonical", "stretch"], "left")
+    cut = cut.withColumn("found", F.when(revisit, F.coalesce("latest", "carried")))
     same = lambda c: F.col(c) == F.col(f"found.{c}")  # noqa: E731  null if either lacks it
     agree = F.coalesce(same("etag") | same("last_modified") | same("digest"), F.lit(False))
     differ = F.coalesce(~same("etag"), F.lit(False)) | F.coalesce(~same("last_modified"), F.lit(False)) | F.coalesce(~same("digest"), F.lit(False))
-    status = F.when(F.col("kind") != "revisit", F.lit(None).cast("string")).when(F.col("found").isNull(), "missing").when(agree & ~differ, "resolved").otherwise("mismatch")
-    cut = cut.withColumns({"status": status, "refers_to": F.col("found.record_id")})
-    cut = cut.withColumn("merged", F.when(F.col("status") == "resolved", merged_headers(F.col("found.headers"), F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))))
-    return cut.select(*records.columns, "canonical", "refers_to", "status", "merged")
+    cut = cut.withColumns({"status": F.when(~revisit, F.lit(None).cast("string")).when(F.col("found").isNull(), "missing").when(agree & ~differ, "resolved").otherwise("mismatch"), "refers_to": F.col("found.record_id")})
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    cut = cut.withColumn("merged", F.when(F.col("status") == "resolved", merged_headers(F.coalesce("found.headers", none), F.coalesce("headers", none))))
+    rest = rows.filter(~usable).withColumns({"canonical": F.lit(None).cast("string"), "refers_to": F.lit(None).cast(records.schema["record_id"].dataType), "status": F.when(revisit, "missing"), "merged": F.lit(None).cast("map<string,string>")})
+    out = [*records.columns, "canonical", "refers_to", "status", "merged"]
+    return cut.select(*out).unionByName(rest.select(*out))
 
 
 def captures_of_pages(pages: DataFrame) -> DataFrame:
