@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 PIECE = r"[^\x20\x09-\x0D]{1,4}"
-#: Pieces of a k-mer, pieces of an inner run, and anchors that a fingerprint holds.
-K, S, SKETCH = 4, 2, 64
+#: Pieces of a k-mer, and pieces of an inner run.
+K, S = 4, 2
+#: A fingerprint holds so many anchors at least, if there are so many, and one of so many of a text's.
+SKETCH, SHARE = 64, 8
 #: Rows of a bucket of the order by id, about, and the most buckets.
 BUCKET_ROWS, MOST_BUCKETS = 1500, 65_536
 FIRST = -(1 << 63)
@@ -59,11 +61,12 @@ def with_anchors(docs: DataFrame, text_col: str, inner_col: str, places_col: str
     return docs.withColumn(places_col, anchor_places(F.col(inner_col), k, s))
 
 
-def with_sketch(docs: DataFrame, text_col: str, sketch_col: str, k: int = K, s: int = S, keep: int = SKETCH) -> DataFrame:
-    """``docs`` with the ``keep`` smallest distinct anchor hashes."""
+def with_sketch(docs: DataFrame, text_col: str, sketch_col: str, k: int = K, s: int = S, keep: int = SKETCH, share: int = SHARE) -> DataFrame:
+    """``docs`` with the smallest distinct anchor hashes: one of ``share``, but ``keep`` at least."""
     anchored = with_anchors(docs, text_col, "own_inner", "own_places", k, s)
     hashes = F.array_sort(F.array_distinct(anchor_hashes(F.col("own_inner"), F.col("own_places"), k, s)))
-    return anchored.withColumn(sketch_col, F.slice(hashes, 1, keep)).drop("own_inner", "own_places")
+    anchored = anchored.withColumn(sketch_col, hashes).drop("own_inner", "own_places")
+    return anchored.withColumn(sketch_col, F.slice(sketch_col, F.lit(1), F.greatest(F.lit(keep), F.ceil(F.size(sketch_col) / share).cast("int"))))
 
 
 def fingerprint(sketch: Column) -> Column:
@@ -72,8 +75,9 @@ def fingerprint(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, keep: int = SKETCH) -> Column:
-    """Share of the smallest hashes of both sketches that both hold; 1 for two empty ones."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, keep)
+    """Share of the smallest hashes of both sketches that both hold, as many as the smaller sketch could; 1 for two empty ones."""
+    room = lambda x: F.greatest(F.lit(keep), F.size(x))
+    both = F.slice(F.array_sort(F.array_union(a, b)), F.lit(1), F.least(room(a), room(b)))
     shared = F.size(F.array_intersect(F.array_intersect(both, a), b))
     return F.when(F.size(both) == 0, F.lit(1.0)).otherwise(shared / F.size(both))
 
@@ -91,11 +95,13 @@ def matched_places(left: DataFrame, right: DataFrame, on: str, inner_a: str = "i
 def with_next(docs: DataFrame, id_col: str, order: Column, columns: list[str]) -> DataFrame:
     """``docs`` with ``next_<c>`` of the following row by descending id, after the last one the first; null ids come last.
 
-    Rows of equal ids go by ``order``.  The order is cut at ids that exist, so
+    Rows of equal ids go by ``order``, a column of longs; ids are whole numbers above
+    -2 ** 62, and null ones stand below, also by ``order``.  The order is cut at ids that exist, so
     a bucket's first row is known before anything is sorted; it also goes, as
     a guard, to the end of the bucket above.  So no bucket needs another one.
     """
-    rows = docs.withColumn("own_key", F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST)))
+    # Falling in the key is rising in the order.
+    rows = docs.withColumn("own_key", F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST) + F.shiftrightunsigned(F.bitwise_not(order.bitwiseXOR(F.lit(FIRST))), 2)))
     n = rows.agg(F.count("*")).first()[0]
     buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
     shares = [(i + 1) / buckets for i in range(buckets)]
@@ -122,8 +128,8 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     first as many (or all) of the next document, by descending id; after the
     last comes the first, so a single document follows itself.  Null texts
     count as empty, with an empty fingerprint; two empty fingerprints are
-    alike.  Repeated ids are ordered by a hash of the text, null ids come
-    last.  An empty table gives an empty result.  Other columns are dropped.
+    alike.  Repeated ids are ordered by a hash of the text; null ids come
+    last, by that hash too.  An empty table gives an empty result.  Other columns are dropped.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = with_sketch(rows, "text", "sketch")
