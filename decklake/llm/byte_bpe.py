@@ -24,14 +24,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 from .common import make_room
 from .token_counts import UNIT
 
 #: Encoded units, and pairs of tokens known to stay apart or not, that a worker keeps; longest unit kept, and longest piece, in bytes, that goes with others.
-CACHED, PAIRS, LONGEST, TOGETHER = 160_000, 400_000, 48, 32
+CACHED, PAIRS, LONGEST, TOGETHER = 120_000, 300_000, 48, 32
 #: Characters of text that are encoded and handed back at a time; pieces that go through the entries together.
-SLICE, PIECES = 1 << 21, 32_768
+SLICE, PIECES = 1 << 20, 32_768
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -87,6 +88,13 @@ class Vocabulary:
         return self.size[token] == 1 or self.first[token] >= 0
 
     def apart(self, left: int, right: int) -> bool:
+        """``separate``, remembered."""
+        if len(self.known) >= 20_000:
+            self.known.clear()
+        found = self.known[left << 32 | right] = self.separate(left, right)
+        return found
+
+    def separate(self, left: int, right: int) -> bool:
         """Whether no merge crosses the border of two tokens that stand side by side.
 
         The two are taken apart along the border in the reverse order of the
@@ -105,9 +113,6 @@ class Vocabulary:
                 bound, a = a, second[a]  # among equal ranks the left one is merged first
             else:
                 bound, b = b + 1 if a != b else b, first[b]
-        if len(self.known) >= PAIRS:
-            self.known.clear()
-        self.known[left << 32 | right] = found
         return found
 
 
@@ -239,7 +244,7 @@ class Automaton:
         self.step.put(np.array([a << 8 | b for a, b in below], dtype=np.int64), np.array(list(below.values()), dtype=np.int32))
         self.size, self.shorter = np.array(v.size, dtype=np.int32), np.array(v.shorter, dtype=np.int32)
         self.own = np.array([v.own(k) for k in range(len(v.size))])
-        self.pairs = IntTable((4 * PAIRS).bit_length())
+        self.pairs = IntTable((2 * PAIRS).bit_length())
 
     def fits(self, left: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Whether the tokens stay apart; what isn't known yet is worked out once for each pair."""
@@ -248,9 +253,9 @@ class Automaton:
         new = np.flatnonzero(found < 0)
         if len(new):
             pairs, where = np.unique(keys[new], return_inverse=True)
-            apart = np.array([self.vocabulary.apart(k >> 32, k & 0xFFFFFFFF) for k in pairs.tolist()], dtype=np.int32)
-            if self.pairs.held + len(pairs) > 2 * PAIRS:
-                self.pairs = IntTable(max(self.pairs.bits, (4 * len(pairs)).bit_length()))
+            apart = np.array([self.vocabulary.separate(k >> 32, k & 0xFFFFFFFF) for k in pairs.tolist()], dtype=np.int32)
+            if self.pairs.held + len(pairs) > PAIRS:
+                self.pairs = IntTable(max(self.pairs.bits, (2 * len(pairs)).bit_length()))
             self.pairs.put(pairs, apart)
             found[new] = apart[where]
         return found == 1
@@ -420,18 +425,26 @@ def decode(docs: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids",
 
 
 def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", same_col: str = "round_trip") -> DataFrame:
-    """``docs`` with ``ids_col`` as ``encode`` gives it, and whether the ids decode to the text, in one pass: no decoded text leaves the worker."""
-    docs = make_room(docs, ids_col, same_col, "bpe")
+    """``docs`` with ``ids_col`` as ``encode`` gives it in place of the text, and whether the ids decode to that text.
 
-    def run(texts: pa.Array) -> pa.Array:
-        encoder, ids, same = _encoder(ranks_path, pattern), [], []
-        for some, coded in _sliced(texts, encoder):
-            ids.append(_lists(coded))
-            same += [encoder.decode(x) == text.encode("utf-8") for text, x in zip(some, coded)]
-        return pa.StructArray.from_arrays([_joined(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["ids", "same"])
-
-    coded = docs.withColumn("bpe", F.arrow_udf(run, "ids array<int>, same boolean")(F.coalesce(F.col(text_col), F.lit(""))))
-    return coded.withColumns({ids_col: F.col("bpe.ids"), same_col: F.col("bpe.same")}).drop("bpe")
+    Both in one pass: no decoded text leaves the worker, and rows leave it some
+    ``SLICE`` characters of text at a time.
+    """
+    docs = make_room(docs, ids_col, same_col)
+    others = [c for c in docs.columns if c != text_col]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(ranks_path, pattern)
+        for batch in batches:
+            at = 0
+            for some, coded in _sliced(batch.column("own_text"), encoder):
+                part, at = batch.slice(at, len(some)), at + len(some)
+                same = [encoder.decode(x) == text.encode("utf-8") for text, x in zip(some, coded)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), _lists(coded), pa.array(same, pa.bool_())], [*others, ids_col, same_col])
+
+    rows = docs.select(*others, F.coalesce(F.col(text_col), F.lit("")).alias("own_text"))
+    schema = StructType([*docs.select(*others).schema, StructField(ids_col, ArrayType(IntegerType())), StructField(same_col, BooleanType())])
+    return rows.mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:

@@ -37,15 +37,19 @@ BINS, LEARN_ROWS, SWITCH, SCRIPT_SHARE = 1 << 16, 4000, 12.0, 0.005
 #: Evidence of a word against a language that doesn't use its script.
 NOT_ITS_SCRIPT = -1e4
 #: Code points that are scored at a time.
-CHUNK = 1_500_000
+CHUNK = 400_000
 
 
 def _tables(held: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  once a worker
     """Whether each code point is a letter, and its lower case where that is one code point."""
     if not held:
-        every = [chr(i) for i in range(0x110000)]
-        low = [c.lower() for c in every]
-        held["t"] = (np.array([c.isalpha() for c in every]), np.array([ord(b) if len(b) == 1 else ord(a) for a, b in zip(every, low)], dtype=np.uint32))
+        letter, low = np.zeros(0x110000, dtype=bool), np.arange(0x110000, dtype=np.uint32)
+        for i in range(0x110000):
+            c = chr(i)
+            if c.isalpha():
+                letter[i], small = True, c.lower()
+                low[i] = ord(small) if len(small) == 1 else i
+        held["t"] = (letter, low)
     return held["t"]
 
 

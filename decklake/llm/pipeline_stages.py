@@ -19,6 +19,14 @@ from .queries import bpe_pattern, tokenizer
 OWN = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents go if less than this share of their letters is in scripts and words of languages that were learnt.
 LEAST_SHARE = 0.4
+#: Bytes of a batch that goes to a Python worker, about.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Python workers get texts some megabytes at a time, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def passing_others(stage: Callable) -> Callable:
@@ -26,6 +34,7 @@ def passing_others(stage: Callable) -> Callable:
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
         names = [c if c in OWN else f"other_{k}" for k, c in enumerate(docs.columns)]
         return stage(spark, docs.toDF(*names), sf_dir).select(*names).toDF(*docs.columns)
 
@@ -68,6 +77,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     is that of its range, and the row within.  Columns with the name of a new
     one go on as ``<name>_in``.
     """
+    bound_batches(spark)
     path, pattern = tokenizer("byte_bpe_50k.tiktoken"), bpe_pattern()
     docs = make_room(docs, "n_tokens", "ids", "round_trip", "training_file", "training_row", "bpe")
     others = [c for c in docs.columns if c != "text"]
