@@ -14,13 +14,15 @@ and leaves a whole node as soon as they exceed the radius.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import refuse_clash, written
+from .common import drop_path, written
 from .graph import components
 
 BITS, BLOCKS = 64, 4
@@ -43,9 +45,9 @@ def shingles(text: str | None, k: int) -> list[int]:
     return [digest(joined[a:b], 42) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())]
 
 
-def simhash(hashes: list[int]) -> int:
+def simhash(hashes: list[int] | np.ndarray) -> int:
     """A bit is 1 if it is set in over half of the hashes; 0 for none.  Signed, as Spark's longs are."""
-    if not hashes:
+    if not len(hashes):
         return 0
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 16):
@@ -229,26 +231,79 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest.  Repeated rows stay.  An empty table gives an empty result.
     """
     fps, _ = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), k).alias("code")), "fingerprints")
-    codes, _ = written(fps.groupBy("code").agg(F.min("doc_id").alias("least")), "codes")
-    rooted, _ = written(components(hamming_links(codes.select("code"), radius, group), "a", "b").withColumnRenamed("node", "code"), "roots")
+    codes, codes_path = written(fps.groupBy("code").agg(F.min("doc_id").alias("least")), "codes")
+    rooted, rooted_path = written(components(hamming_links(codes.select("code"), radius, group), "a", "b").withColumnRenamed("node", "code"), "roots")
     known = codes.join(rooted, "code", "left").withColumn("root", F.coalesce("root", "code"))
     # Most roots have one code: only the others are added up.
-    least, _ = written(known.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    least, least_path = written(known.filter(F.col("root").isNotNull()).groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    paths = (codes_path, rooted_path, least_path)
     placed, _ = written(known.select("code", "root").join(least, "root").select("code", "component_id"), "placed")
+    for done in paths:
+        drop_path(docs.sparkSession, done)
     return fps.join(placed, "code").select("doc_id", "code", "component_id")
 
 
 #: First candidates for similar texts: bands of this many min-hashes each.  At similarity 0.8 one of 12 bands of 5 agrees with probability 0.99.
 BANDS, BAND_ROWS = 12, 5
+#: Words that are hashed at a time, and the longest run of bytes that goes through the tables of powers.
+WORDS_AT_ONCE, LONGEST_RUN = 20_000, 1 << 22
 
 
-def min_hashes(hashes: list[int], bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+class _Powers:
+    """Powers of an odd number and of its inverse, modulo 2 ** 64, as far as they are needed; and a number for each byte."""
+
+    base = 0x9E3779B97F4A7C15
+    of_byte = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def reach(self, n: int) -> None:
+        if len(self.up) < n:
+            n = 1 << (n - 1).bit_length()
+            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))), dtype=np.uint64) for x in (self.base, pow(self.base, -1, 1 << 64)))
+
+
+_powers = _Powers()
+
+
+def shingle_set(text: str, k: int) -> np.ndarray:
+    """The distinct shingles of ``shingles``, by 64-bit hashes of their bytes, sorted.
+
+    The hash of a run of bytes is the difference of two running sums, so all
+    runs of ``k`` words cost one pass over the text.
+    """
+    words = text.encode("utf-8").lower().split()
+    n, found = min(k, len(words)), []
+    for at in range(0, len(words) - n + 1 if words else 0, WORDS_AT_ONCE):
+        part = words[at : at + WORDS_AT_ONCE + n - 1]
+        run = b" ".join(part)
+        if len(run) > LONGEST_RUN:
+            found.append(np.array([xxhash.xxh64_intdigest(b" ".join(part[i : i + n]), 42) for i in range(len(part) - n + 1)], dtype=np.uint64))
+            continue
+        letters = np.frombuffer(run, dtype=np.uint8)
+        _powers.reach(len(letters) + 1)
+        sums = np.zeros(len(letters) + 1, dtype=np.uint64)
+        np.cumsum(_powers.of_byte[letters] * _powers.up[: len(letters)], out=sums[1:])
+        gaps = np.flatnonzero(letters == 32)
+        starts, ends = np.concatenate(([0], gaps + 1))[: len(part) - n + 1], np.concatenate((gaps, [len(letters)]))[n - 1 :]
+        mixed = (sums[ends] - sums[starts]) * _powers.down[starts]
+        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+        found.append(mixed ^ mixed >> np.uint64(29))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+
+
+@lru_cache
+def _factors(n: int) -> np.ndarray:
+    return np.random.default_rng(6).integers(0, 1 << 63, (n, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def min_hashes(values: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
     """The least value of all shingles under each of ``bands * rows`` multiplications; the same for all texts without shingles."""
-    factor = np.random.default_rng(6).integers(0, 1 << 63, (bands * rows, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factor = _factors(bands * rows)
     least = np.full(bands * rows, ~np.uint64(0))
-    values = np.unique(np.array(hashes, dtype=np.uint64))
-    for at in range(0, len(values), 1 << 14):
-        mixed = values[None, at : at + (1 << 14)] * factor
+    for at in range(0, len(values), 256):  # small enough for the caches
+        mixed = values[None, at : at + 256] * factor
         least = np.minimum(least, (mixed ^ mixed >> np.uint64(29)).min(axis=1))
     return least
 
@@ -263,8 +318,10 @@ def similarity(a: str, b: str, k: int) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-#: Rounds in which groups are compared with their least node; rows of a block of the groups that still hold several components.
-ROUNDS, BLOCK_ROWS = 2, 1000
+#: A block of a group holds about so many rows, and shingles, at most.
+BLOCK_ROWS, BLOCK_SHINGLES = 1000, 600_000
+#: Rows that are broadcast to find their texts, at most; beyond, texts are shuffled.
+MOST_BROADCAST = 3_000_000
 #: Texts whose shingles are counted, about, and shingles called common at most: both only decide in which order shingles are taken.
 COUNTED, COMMON = 10_000, 50_000
 
@@ -276,7 +333,7 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     def each(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
-                found = [np.unique(np.array(shingles(t, k), dtype=np.uint64)) for t in batch["text"].iloc[at : at + 256]]
+                found = [shingle_set(t, k) for t in batch["text"].iloc[at : at + 256]]
                 yield pd.DataFrame({"shingle": np.concatenate(found).view(np.int64)})
 
     counted = texts.filter(F.pmod(F.xxhash64("node", F.lit(7)), F.lit(step)) == 0).select("text").mapInPandas(each, "shingle long")
@@ -286,20 +343,116 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return value[order], count[order]
 
 
-def prefix(hashes: list[int], least: float, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+def prefix(values: np.ndarray, least: float, common: np.ndarray, count: np.ndarray) -> np.ndarray:
     """So many of the distinct shingles, rare ones first, that texts ``least`` alike must share one.
 
     Of n shingles at least ceil(least * n) are shared; the first of the shared
     ones in an order that holds for all texts is then among the first
     n - ceil(least * n) + 1 of both.
     """
-    values = np.unique(np.array(hashes, dtype=np.uint64))
     if len(common) and len(values):
         at = np.minimum(np.searchsorted(common, values), len(common) - 1)
         values = values[np.argsort(np.where(common[at] == values, count[at], 0), kind="stable")]
     return values[: len(values) - int(np.ceil(least * len(values) - 1e-9)) + 1]
 
 
+def _by_unit(work, names: tuple[str, ...], out: list[str]):
+    """``work`` over the arrays ``names`` of each unit; rows come sorted by unit, which may go over several batches."""
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[list[np.ndarray]] = []
+        open_unit = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            unit, columns = batch["unit"].to_numpy(), [batch[c].to_numpy() for c in names]
+            edges = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
+            found = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                if held and unit[a] != open_unit:
+                    found += work(open_unit, *(np.concatenate(c) for c in zip(*held)))
+                    held = []
+                open_unit = unit[a]
+                held.append([c[a:b] for c in columns])
+            yield pd.DataFrame(found, columns=out, dtype="int64")
+        if held:
+            yield pd.DataFrame(work(open_unit, *(np.concatenate(c) for c in zip(*held))), columns=out, dtype="int64")
+
+    return run
+
+
+class _Shared:
+    """Counts how many values each of some sets shares with another set."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.holder = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.known, self.start = np.unique(flat[order], return_index=True)
+        self.count = np.diff(np.append(self.start, len(flat)))
+
+    def _common(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(set, value) of all values that a set shares."""
+        if not len(self.known) or not len(values):
+            return np.zeros(0, dtype=np.int64), self.known[:0]
+        at = np.minimum(np.searchsorted(self.known, values), len(self.known) - 1)
+        at = at[self.known[at] == values]
+        reach = self.count[at]
+        where = np.repeat(self.start[at] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
+        return self.holder[where], np.repeat(self.known[at], reach)
+
+    def with_(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self._common(values)[0], minlength=len(self.size))
+
+    def least_with(self, values: np.ndarray, salt: int) -> np.ndarray:
+        """The least shared value after ``salt`` is added bit by bit."""
+        holder, value = self._common(values)
+        out = np.full(len(self.size), np.iinfo(np.int64).max)
+        np.minimum.at(out, holder, value ^ np.int64(salt))
+        return out
+
+
+def _others(side: np.ndarray, node: np.ndarray, root: np.ndarray, i: int, right: np.ndarray) -> np.ndarray:
+    """Which of the right side row ``i`` has to meet: other roots, each pair of a block once."""
+    other = root[right] != root[i]
+    return other & (node[right] > node[i]) if side[i] == 2 else other
+
+
+def _live(least: float):
+    """Rows (unit, value, side, node, root, size, length, prefix) to those (unit, side, node, root) that some other root's row may be alike to, by their prefixes.
+
+    What two sets share is either in both prefixes, or in the rest of the one
+    whose prefix ends first.  A pair that shares several values is taken up in
+    the group of the least one alone.
+    """
+
+    def work(unit: int, value: np.ndarray, side: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, length: np.ndarray, prefix: np.ndarray) -> list[tuple[int, ...]]:
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(left) or not len(right):
+            return []
+        shared = _Shared([prefix[i] for i in right])
+        rest = size - np.array([len(p) for p in prefix])
+        live = np.zeros(len(side), dtype=bool)
+        for i in left.tolist():
+            other = _others(side, node, root, i, right)
+            if not other.any():
+                continue
+            most = shared.with_(prefix[i]) + np.maximum(rest[i], rest[right])
+            hit = other & (most * (1 + least) + 1e-6 >= least * (size[i] + size[right]))
+            if hit.any():
+                first = np.full(len(right), np.iinfo(np.int64).max)
+                for met in (length[i], length[i] + 1):
+                    np.minimum(first, shared.least_with(prefix[i], int(met) << 56), out=first, where=(length[right] == met) | (length[right] + 1 == met))
+                hit &= first == value[0]
+            if hit.any():
+                live[i] = True
+                live[right[hit]] = True
+        return [(unit, int(side[i]), int(node[i]), int(root[i])) for i in np.flatnonzero(live)]
+
+    return _by_unit(work, ("value", "side", "node", "root", "size", "length", "prefix"), ["unit", "side", "node", "root"])
+
+
 def _unit_links(least: float, k: int):
     """Rows (unit, side, node, root, text) sorted by unit to links between its two sides that join different roots.
 
@@ -308,16 +461,12 @@ def _unit_links(least: float, k: int):
     fewer links than it has rows.
     """
 
-    def links(side: np.ndarray, node: np.ndarray, root: np.ndarray, text: np.ndarray) -> list[tuple[int, int]]:
+    def links(unit: int, side: np.ndarray, node: np.ndarray, root: np.ndarray, text: np.ndarray) -> list[tuple[int, int]]:
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        sets = [np.unique(np.array(shingles(text[i], k), dtype=np.uint64)) for i in right]
-        size = np.array([len(x) for x in sets])
-        flat = np.concatenate(sets)
-        order = np.argsort(flat, kind="stable")
-        holder = np.repeat(np.arange(len(right)), size)[order]
-        known, start = np.unique(flat[order], return_index=True)
-        count = np.diff(np.append(start, len(flat)))
-        own = {int(i): x for i, x in zip(right, sets)}
+        if not len(left) or not len(right):
+            return []
+        sets = [shingle_set(text[i], k) for i in right]
+        shared, own = _Shared(sets), {int(i): x for i, x in zip(right, sets)}
         parent: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -328,138 +477,149 @@ def _unit_links(least: float, k: int):
 
         found = []
         for i in left.tolist():
-            other = root[right] != root[i]
-            if side[i] == 2:
-                other &= node[right] > node[i]
-            if not other.any() or not len(known):
+            other = _others(side, node, root, i, right)
+            if not other.any():
                 continue
-            mine = own[i] if i in own else np.unique(np.array(shingles(text[i], k), dtype=np.uint64))
-            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-            at = at[known[at] == mine]
-            reach = count[at]
-            where = np.repeat(start[at] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
-            both = np.bincount(holder[where], minlength=len(right))
-            for j in np.flatnonzero(other & (both > 0) & (both / np.maximum(len(mine) + size - both, 1) >= least)).tolist():
+            mine = own[i] if i in own else shingle_set(text[i], k)
+            both = shared.with_(mine)
+            either = len(mine) + shared.size - both
+            alike = np.where(either > 0, both / np.maximum(either, 1), 1.0) >= least
+            for j in np.flatnonzero(other & alike).tolist():
                 x, y = find(int(root[i])), find(int(root[right[j]]))
                 if x != y:
                     parent[max(x, y)] = min(x, y)
                     found.append((int(node[i]), int(node[right[j]])))
         return found
 
-    names = ("side", "node", "root", "text")
+    return _by_unit(links, ("side", "node", "root", "text"), ["a", "b"])
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[list[np.ndarray]] = []
-        open_unit = None
-        for batch in batches:
-            if not len(batch):
-                continue
-            unit, columns = batch["unit"].to_numpy(), [batch[c].to_numpy() for c in names]
-            edges = [0, *(np.flatnonzero(unit[1:] != unit[:-1]) + 1).tolist(), len(unit)]
-            found = []
-            for a, b in zip(edges[:-1], edges[1:]):
-                if held and unit[a] != open_unit:
-                    found += links(*(np.concatenate(c) for c in zip(*held)))
-                    held = []
-                open_unit = unit[a]
-                held.append([c[a:b] for c in columns])
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        if held:
-            yield pd.DataFrame(links(*(np.concatenate(c) for c in zip(*held))), columns=["a", "b"], dtype="int64")
 
-    return run
+def _compared(rows: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
+    """Links (a, b) within the units of ``rows`` (unit, side, node, root), each unit in one task.
 
-
-def _several_roots(rows: DataFrame) -> DataFrame:
-    """``rows`` (value, length, node, root) in groups (value, blocks) of the same value and like lengths that hold more than one root; of groups of the same nodes, one."""
+    Only texts that a unit needs cross the shuffle: the rows are broadcast to
+    the texts unless there are too many.
+    """
+    rows, path = written(rows, "units")
+    few = rows.count() <= MOST_BROADCAST
+    with_text = texts.select("node", "text").join(F.broadcast(rows) if few else rows, "node")
+    dealt = with_text.repartition("unit").sortWithinPartitions("unit")
+    links, _ = written(dealt.mapInPandas(_unit_links(least, k), "a long, b long").distinct(), "links")
+    drop_path(rows.sparkSession, path)
+    return links
+
+
+def _stars(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
+    """Links among ``pairs`` (a, b) of nodes: each b meets its a's, in blocks of a bounded number of shingles."""
+    pairs, path = written(pairs.filter("a <> b").distinct(), "pairs")
+    sized = pairs.join(sizes.withColumnsRenamed({"node": "a"}), "a")
+    blocks = sized.groupBy("b").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    blocks, blocks_path = written(blocks.withColumn("blocks", F.greatest("blocks", F.lit(1))), "blocks")
+    unit = lambda block: F.xxhash64("b", block).alias("unit")
+    members = pairs.join(blocks, "b").select(unit(F.pmod(F.hash("a"), F.col("blocks"))), F.lit(0).alias("side"), F.col("a").alias("node"), F.col("a").alias("root"))
+    centres = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(unit(F.col("block")), F.lit(1).alias("side"), F.col("b").alias("node"), F.col("b").alias("root"))
+    links = _compared(members.unionByName(centres), texts, least, k)
+    for done in (path, blocks_path):
+        drop_path(pairs.sparkSession, done)
+    return links
+
+
+def _several_roots(rows: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(value, node, root, blocks): of ``rows`` (node, root, value) those in groups of like sizes that hold more than one root; of groups of the same nodes, one."""
+    spark = rows.sparkSession
     several = rows.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
+    several, path = written(several, "several")
+    few = several.count() <= MOST_BROADCAST
+    # What every row has of its node comes back only to the rows that are left.
+    left, left_path = written(rows.select("node", "value").join(F.broadcast(several) if few else several, "value", "left_semi"), "left")
     # Lengths that differ by one at most meet under the greater one.
-    rows = rows.join(several, "value", "left_semi").select("node", "root", "value", F.explode(F.array("length", F.col("length") + 1)).alias("length"))
-    rows, _ = written(rows.select("node", "root", F.xxhash64("value", "length").alias("value")), "several")
+    left = left.join(sizes, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    left = left.withColumn("length", F.explode(F.array("length", F.col("length") + 1))).select("node", "root", "size", F.col("value").bitwiseXOR(F.shiftleft(F.col("length").cast("long"), 56)).alias("value"))
+    left, met_path = written(left, "met")
     total = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(20,0)"))
-    sets = rows.groupBy("value").agg(F.count("*").alias("n"), total(1).alias("x"), total(2).alias("y"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    once, _ = written(sets.groupBy("n", "x", "y").agg(F.min("value").alias("value")).select("value", F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("blocks")), "once")
-    return rows.join(once, "value")
+    sets = left.groupBy("value").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), total(1).alias("x"), total(2).alias("y"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
+    once, _ = written(sets.groupBy("n", "shingles", "x", "y").agg(F.min("value").alias("value")).select("value", blocks.alias("blocks")), "once")
+    out, _ = written(left.join(once, "value").drop("size"), "grouped")
+    for done in (path, left_path, met_path):
+        drop_path(spark, done)
+    return out
 
 
-def _blockwise(rows: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
-    """Links (a, b) between different roots of the same value in ``rows`` (value, length, node, root): each group's blocks meet two at a time, in tasks of their own."""
-    rows = _several_roots(rows).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+def _blockwise(rows: DataFrame, sizes: DataFrame, roots: DataFrame, sketched: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
+    """Links (a, b) between different roots of the same value in ``rows``: each group's blocks meet two at a time, in tasks of their own.
+
+    They first meet by their prefixes; only texts that may be alike to another
+    one of the unit are then compared.
+    """
+    rows = _several_roots(rows, sizes, roots).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     unit = F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other"))
-    rows = rows.select("node", "root", unit.alias("unit"), side.alias("side")).join(texts.select("node", "text"), "node")
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(_unit_links(least, k), "a long, b long").distinct()
+    rows, path = written(rows.select(unit.alias("unit"), "value", side.alias("side"), "node", "root"), "met-units")
+    few = rows.count() <= MOST_BROADCAST
+    dealt = sketched.select("node", "size", "length", "prefix").join(F.broadcast(rows) if few else rows, "node").repartition("unit").sortWithinPartitions("unit")
+    live, live_path = written(dealt.mapInPandas(_live(least), "unit long, side int, node long, root long"), "live")
+    links = _compared(live, texts, least, k)
+    for done in (path, live_path):
+        drop_path(sketched.sparkSession, done)
+    return links
 
 
 def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
-    """Links (a, b) between nodes of ``docs`` whose texts' shingles are ``least`` alike.
+    """Links (a, b) between nodes of ``docs`` whose texts' shingles are ``least`` alike; their components are those of all such pairs.
 
     Candidates are fingerprints within ``radius``, and, because texts that are
     only just alike differ in some ten bits of 64, texts that share a band of
-    min-hashes.  A candidate is first compared with the least node of its
-    group; those that aren't alike form a group again.  After ``ROUNDS`` of
-    this, most components are there, but some links are not: texts that share a
+    min-hashes.  Each is compared with the least node of its group, which
+    joins most of what belongs together but not all: texts that share a
     shingle of their prefixes, as all pairs that are ``least`` alike do, are
-    compared in blocks unless they are one component.  Every link is checked on
-    the whole texts, and the components are those of all pairs.
+    then compared in blocks unless they are one component by now.  Every link
+    is checked on the whole texts.
     """
-
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for text in texts:
-            hashes = shingles(text, k)
-            mins = min_hashes(hashes)
-            out.append((simhash(hashes), band_values(mins)))
-        return pd.DataFrame(out, columns=["code", "bands"])
-
+    spark = docs.sparkSession
     texts = docs.select(F.col(node_col).alias("node"), F.col(text_col).alias("text"))
-    alike = F.pandas_udf(lambda x, y: pd.Series([similarity(p, q, k) for p, q in zip(x, y)], dtype="float64"), "double")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        pairs, _ = written(pairs.filter("a <> b").distinct(), "pairs")
-        both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(texts.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
-        return written(both.select("a", "b", alike("text_a", "text_b").alias("j")).filter(F.col("j") >= least).select("a", "b"), "links")[0]
-
-    sketched = docs.select(F.col(node_col).alias("node"), F.pandas_udf(sketch, "code long, bands array<long>")(F.col(text_col)).alias("s"))
-    sketched, _ = written(sketched.select("node", "s.code", "s.bands"), "sketches")
-    codes, _ = written(sketched.groupBy("code").agg(F.min("node").alias("least")), "codes")
-    linked = hamming_links(codes.select("code"), radius)
-    by_code = linked.join(codes.withColumnsRenamed({"code": "a", "least": "x"}), "a").join(codes.withColumnsRenamed({"code": "b", "least": "y"}), "b")
-    pairs = by_code.select(F.col("x").alias("a"), F.col("y").alias("b"))
-    rows = sketched.select("node", F.posexplode("bands").alias("band", "value")).unionByName(sketched.select("node", F.lit(-1).alias("band"), F.col("code").alias("value")))
-    found = None
-    for _ in range(ROUNDS):
-        groups, _ = written(rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n"), "groups")
-        members, _ = written(rows.join(groups, ["band", "value"]).filter("node <> least"), "members")
-        first = members.select(F.col("node").alias("a"), F.col("least").alias("b"))
-        good = checked(first if found is not None else first.unionByName(pairs))
-        found = good if found is None else found.unionByName(good)
-        # What was like its group's least node leaves these rounds; it is a partner again in the blocks.
-        rows, _ = written(members.join(good.withColumnsRenamed({"a": "node", "b": "least"}), ["node", "least"], "left_anti").select("node", "band", "value"), "rest")
-    roots, _ = written(components(found, "a", "b"), "roots")
     common, count = _common(texts, k)
     width = -np.log(least) * (1 + 1e-9) or 1.0
 
-    def first_shingles(texts: pd.Series) -> pd.DataFrame:
-        out = []
+    def sketch(texts: pa.Array) -> pa.Array:
+        columns: dict[str, list] = {"code": [], "bands": [], "size": [], "length": [], "prefix": []}
         for text in texts:
-            hashes = shingles(text, k)
-            # The length is the distinct shingles' number in steps of 1 / ``least``: of texts that are alike it differs by one at most.
-            out.append((int(np.log(max(len(set(hashes)), 1)) / width), prefix(hashes, least, common, count).view(np.int64)))
-        return pd.DataFrame(out, columns=["length", "prefix"])
-
-    prefixes = texts.select("node", F.pandas_udf(first_shingles, "length int, prefix array<long>")("text").alias("p"))
-    prefixes, _ = written(prefixes.select("node", "p.length", "p.prefix"), "prefixes")
-    everyone = prefixes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "length", F.explode("prefix").alias("value"))
-    return found.unionByName(_blockwise(everyone, texts, least, k))
+            values = shingle_set(text.as_py(), k)
+            columns["code"].append(simhash(values))
+            columns["bands"].append(band_values(min_hashes(values)))
+            columns["size"].append(len(values))
+            # The length is the shingles' number in steps of 1 / ``least``: of texts that are alike it differs by one at most.
+            columns["length"].append(int(np.log(max(len(values), 1)) / width))
+            columns["prefix"].append(prefix(values, least, common, count).view(np.int64))
+        ends = np.cumsum([0, *map(len, columns["prefix"])]).astype(np.int32)
+        prefixes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *columns["prefix"]])))
+        return pa.StructArray.from_arrays([pa.array(columns["code"], pa.int64()), pa.array(columns["bands"], pa.list_(pa.int64())), pa.array(columns["size"], pa.int32()), pa.array(columns["length"], pa.int32()), prefixes], list(columns))
+
+    sketched = texts.select("node", F.arrow_udf(sketch, "code long, bands array<long>, size int, length int, prefix array<long>")("text").alias("s"))
+    sketched, sketched_path = written(sketched.select("node", "s.*"), "sketches")
+    sizes = sketched.select("node", "size", "length")
+    codes, codes_path = written(sketched.groupBy("code").agg(F.min("node").alias("least")), "codes")
+    by_code = hamming_links(codes.select("code"), radius).join(codes.withColumnsRenamed({"code": "a", "least": "x"}), "a").join(codes.withColumnsRenamed({"code": "b", "least": "y"}), "b")
+    pairs = by_code.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    rows = sketched.select("node", F.posexplode("bands").alias("band", "value")).unionByName(sketched.select("node", F.lit(-1).alias("band"), F.col("code").alias("value")))
+    groups, groups_path = written(rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n"), "groups")
+    first = rows.join(groups, ["band", "value"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    found = _stars(first.unionByName(pairs), sizes, texts, least, k)
+    roots, roots_path = written(components(found, "a", "b"), "roots")
+    everyone = sketched.select("node", "prefix").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("value"))
+    found = found.unionByName(_blockwise(everyone, sizes, roots, sketched, texts, least, k))
+    for done in (sketched_path, codes_path, groups_path, roots_path):
+        drop_path(spark, done)
+    return found
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, least: float = 0.8, radius: int = 3) -> DataFrame:
     """``docs`` without near-duplicates: of each component of ``similar_links`` the smallest id stays (null ids last).
 
     Null texts count as empty, and texts without words are alike.  Rows that
-    repeat both id and text are one node: all of them stay or go.
+    repeat both id and text are one node: all of them stay or go.  An empty
+    table gives an empty result; any other columns are passed on.
     """
     node = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(node.alias("node"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -467,6 +627,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     ranked = rooted.join(rows.select("node", "id"), "node").select("node", "root", F.struct(F.col("id").isNull().alias("none"), "id", "node").alias("rank"))
     ranked, _ = written(ranked, "ranked")
     best, _ = written(ranked.groupBy("root").agg(F.min("rank").alias("best")), "best")
-    gone, _ = written(ranked.join(best, "root").filter(F.col("node") != F.col("best.node")).select("node").distinct(), "gone")
-    refuse_clash(docs, "node")
-    return docs.withColumn("node", node).join(gone, "node", "left_anti").select(*docs.columns)
+    gone, _ = written(ranked.join(best, "root").filter(F.col("node") != F.col("best.node")).select(F.col("node").alias("gone_node")).distinct(), "gone")
+    return docs.join(gone, node == gone["gone_node"], "left_anti")
