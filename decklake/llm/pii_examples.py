@@ -30,6 +30,11 @@ cc {handle|@li_wei} {handle|@sam88}
 {handle|@moderator} please close this thread
 Danke an {handle|@kaffeekatze} für den Tipp!
 gracias {handle|@rutas_del_sur} por compartir
+posted by {handle|@greenpixel} on Friday
+as {handle|@tom_w} and {handle|@zoe} said before
+via {handle|@daily_map_3}
+photo: {handle|@ines.b}, edited by {handle|@ute}
+we asked {handle|@kai7} about it
 Write to {listed|maria.lopez@example.com} for the slides.
 My address is {listed|t.baker99@mail.example.org}, the old one is dead.
 {listed|info@museum.example} answers within a day

@@ -106,12 +106,18 @@ def with_next(docs: DataFrame, id_col: str, order: Column, columns: list[str]) -
     buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
     shares = [(i + 1) / buckets for i in range(buckets)]
     cuts = rows.agg(F.percentile_approx("own_key", F.array(*map(F.lit, shares)), max(10_000, 20 * buckets)), F.max("own_key")).first()
-    bounds = sorted({*(cuts[0] or []), *([cuts[1]] if cuts[1] is not None else [])})
+    rough = sorted({*(cuts[0] or []), *([cuts[1]] if cuts[1] is not None else [])})
+
+    def below(bounds: list[int]) -> Column:
+        """Binary search: the number of bounds below the id."""
+        held = F.lit(bounds) if bounds else F.array().cast("array<bigint>")
+        steps = [1 << i for i in reversed(range(max(1, len(bounds)).bit_length()))]
+        return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, step: F.when(F.coalesce(F.get(held, lo + step - 1) < F.col("own_key"), F.lit(False)), lo + step).otherwise(lo))
+
+    # Quantiles are worked out in floating point: each bound becomes the largest id that is there.
+    bounds = sorted(r[0] for r in rows.groupBy(below(rough).alias("bucket")).agg(F.max("own_key").alias("bound")).select("bound").collect())
     held = F.lit(bounds) if bounds else F.array().cast("array<bigint>")
-    steps = [1 << i for i in reversed(range(max(1, len(bounds)).bit_length()))]
-    # Binary search: the number of bounds below the id.
-    below = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda lo, step: F.when(F.coalesce(F.get(held, lo + step - 1) < F.col("own_key"), F.lit(False)), lo + step).otherwise(lo))
-    rows = rows.withColumn("own_bucket", below)
+    rows = rows.withColumn("own_bucket", below(bounds))
     is_bound = F.get(held, F.col("own_bucket")) == F.col("own_key")
     at = lambda bucket, guard: F.struct(bucket.alias("bucket"), F.lit(guard).alias("guard"))
     here, above = at(F.col("own_bucket"), 0), at((F.col("own_bucket") + 1) % max(1, len(bounds)), 1)

@@ -34,13 +34,14 @@ def canonical_url(url: Column) -> Column:
 
 
 def merged_headers(response: Column, revisit: Column) -> Column:
-    """The response's headers, with the revisit's permitted ones in their place; names in lower case, of those that differ in case only the last."""
+    """The response's headers, with the revisit's permitted ones in their place; names in lower case, of those that differ in case only the last by code point."""
 
     def low(m: Column) -> Column:
-        names, size = F.transform(F.map_keys(m), lambda k: F.lower(k)), F.size(m)
+        entries, size = F.array_sort(F.map_entries(F.transform_values(m, lambda _, v: F.struct(v.alias("text"))))), F.size(m)
+        names = F.transform(entries, lambda e: F.lower(e.key))
         places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
         last = F.filter(places, lambda i: ~F.array_contains(F.slice(names, i + 2, size), F.get(names, i)))
-        return F.map_from_arrays(F.transform(last, lambda i: F.get(names, i)), F.transform(last, lambda i: F.get(F.map_values(m), i)))
+        return F.map_from_arrays(F.transform(last, lambda i: F.get(names, i)), F.transform(last, lambda i: F.get(entries, i)["value"]["text"]))
 
     allowed = F.map_filter(low(revisit), lambda k, v: k.isin(*PERMITTED) & v.isNotNull())
     return F.map_concat(F.map_filter(low(response), lambda k, _: ~F.array_contains(F.map_keys(allowed), k)), allowed)
