@@ -3,22 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.cards import fold_name, front_face
 
 
-def categories(c=F.col) -> dict[str, Column]:
-    """Boolean columns of a catalogue with kind, is_land, is_creature, is_removal, is_trick, is_ramp, color, mana_value.
+#: Roles that a flat catalogue has as boolean columns, and the field of the nested role features that each comes from.
+ROLES = ("destroy_or_exile", "burn", "bounce", "top_library", "removal_aura", "counterspell", "punch_fight", "trick", "pump_aura", "equipment", "vehicle", "saga", "class_card", "planeswalker", "draw", "makes_creatures")
+#: Ways in which a mode puts a land onto the battlefield.
+ONTO_BATTLEFIELD = ("battlefield_tapped", "battlefield_untapped")
+
+
+def flat_roles(cards: DataFrame) -> DataFrame:
+    """A nested catalogue with the flat columns that ``categories`` reads.
 
-    What is none of the others is ``other``.
+    Nested are types and supertypes (arrays), mana_cost (cmc, color_pips: a
+    map), modes (arrays of effects with kind and destination), mana_abilities
+    (an array) and role_features: flags, and numbers and lists that count as
+    set if they aren't null, 0 or empty.
     """
+    role = lambda name: F.coalesce(F.col(f"role_features.{name}"), F.lit(False))
+    amount = lambda name: F.coalesce(F.col(f"role_features.{name}") > 0, F.lit(False))
+    given = lambda name: F.col(f"role_features.{name}").isNotNull()
+    some = lambda name: F.coalesce(F.size(f"role_features.{name}") > 0, F.lit(False))
+    fetches = F.exists("modes", lambda m: F.exists(m.effects, lambda e: (e.kind == "fetch_land") & e.destination.isin(*ONTO_BATTLEFIELD)))
+    pips = F.col("mana_cost.color_pips")
+    flags = {
+        "is_land": F.array_contains("types", "Land"), "is_basic": F.array_contains("supertypes", "Basic"), "is_creature": role("is_creature"),
+        "destroy_or_exile": role("removal_destroy_or_exile"), "burn": given("removal_burn_damage"), **{r: role(f"is_{r}") for r in ("bounce", "top_library", "removal_aura", "counterspell", "punch_fight", "pump_aura", "equipment", "vehicle", "saga", "planeswalker")},
+        "class_card": role("is_class"), "trick": given("combat_trick_power") | given("combat_trick_toughness") | some("combat_trick_granted_keywords"), "draw": amount("cards_drawn") | amount("cards_manipulated"),
+        "makes_creatures": some("creates_creatures"), "alt_mode": F.coalesce(F.size("modes") > 1, F.lit(False)), "mana_ability": F.coalesce(F.size("mana_abilities") > 0, F.lit(False)), "fetches_land": F.coalesce(fetches, F.lit(False)), "is_other": role("is_other"),
+    }
+    colors = F.coalesce(F.array_sort(F.map_keys(pips)), F.array().cast("array<string>"))
+    return cards.withColumns({**flags, "mana_value": F.col("mana_cost.cmc"), "colors": colors, "double_pip": F.coalesce(F.exists(F.map_values(pips), lambda n: n >= 2), F.lit(False))})
+
+
+def categories(c=F.col) -> dict[str, Column]:
+    """Boolean columns of a flat catalogue (see ``flat_roles``); a card's own ``is_other`` says that it is none of the others."""
     land = c("is_land")
-    own = {
-        "land": land, "spell": ~land, "nonbasic_land": land & (c("kind") != "ECONOMY"), "creature": c("is_creature") & ~land, "removal": c("is_removal") & ~land,
-        "trick": c("is_trick") & ~land, "ramp": c("is_ramp") & ~land, "pump": c("is_trick") & ~c("is_creature") & ~land,
+    removal = c("destroy_or_exile") | c("burn") | c("bounce") | c("top_library") | c("removal_aura") | c("counterspell")
+    return {
+        "land": land, "spell": ~land, "nonbasic_land": land & ~c("is_basic"), "creature": c("is_creature"), "creature_or_tokens": c("is_creature") | c("makes_creatures"), "removal": removal,
+        "trick": c("trick"), "pump": c("trick") | c("pump_aura"), "equipment_or_vehicle": c("equipment") | c("vehicle"), "card_manipulation": c("draw"), "alt_mode": c("alt_mode"),
+        "mana_ability": c("mana_ability"), "fetches_land": c("fetches_land"), "ramp": c("mana_ability") | c("fetches_land"), "other": c("is_other"),
     }
-    known = land | c("is_creature") | c("is_removal") | c("is_trick") | c("is_ramp")
-    return own | {"other": ~known}
 
 
 # Buckets of the mana value, both ends included.
@@ -110,6 +138,16 @@ def search(cards: DataFrame, flags: dict[str, Column], *, contains: str = "", st
     return rows.orderBy("name", "card_id").limit(limit).crossJoin(F.broadcast(total))  # one row
 
 
+def filter_raw(cards: DataFrame, layouts: list[str] | None = None, languages: list[str] | None = None, sets: list[str] | None = None, layout: str = "layout", language: str = "lang", set_code: str = "set_code") -> DataFrame:
+    """Raw cards of the given layouts, languages and sets; what isn't given lets all through, null is in no list."""
+    asked = {layout: layouts, language: languages, set_code: sets}
+    cond = F.lit(True)
+    for column, values in asked.items():
+        if values is not None:
+            cond &= F.col(column).isin(*values)
+    return cards.filter(cond)
+
+
 def encoding_offenders(cards: DataFrame, decks: DataFrame) -> DataFrame:
     """(game_id, offenders): decks with a card that isn't ready, and why."""
     why = F.when(F.col("status").startswith("needs_"), F.concat(F.lit("status "), F.col("status"))).when(~F.col("is_land") & F.col("mana_value").isNull(), "no modes")
@@ -117,9 +155,9 @@ def encoding_offenders(cards: DataFrame, decks: DataFrame) -> DataFrame:
     return decks.join(bad, "card_id").groupBy("game_id").agg(F.array_join(F.array_sort(F.collect_set("message")), "; ").alias("offenders"))
 
 
-def with_invariants(cards: DataFrame) -> DataFrame:
-    """Flags that follow from the type are set; ``is_other`` holds where no other flag does; costed cards without modes get one."""
-    creature = F.col("is_creature") | F.col("kind").isin("STANDARD")
+def with_invariants(cards: DataFrame, creature_kinds: list[str]) -> DataFrame:
+    """Flags that follow from the type are set (``creature_kinds`` are creatures); ``is_other`` holds where no other flag does; costed cards without modes get one."""
+    creature = F.col("is_creature") | F.col("kind").isin(*creature_kinds)
     rows = cards.withColumn("is_creature", creature)
     other = ~(F.col("is_creature") | F.col("is_removal") | F.col("is_trick") | F.col("is_ramp") | F.col("is_land"))
     return rows.withColumns({"is_other": other, "modes": F.when(~F.col("is_land"), F.array(F.lit("cast"))).otherwise(F.array().cast("array<string>"))})
@@ -143,10 +181,18 @@ def merge_catalogue(prior: DataFrame, fresh: DataFrame, key: str, reparse: bool
     return rows.select(key, action.alias("action"), F.coalesce("new.arena_id", F.when(action == "kept", F.col("old.arena_id"))).alias("arena_id"), *[pick(c).alias(c) for c in others])
 
 
+def _merged(old: Column, new: Column, kind) -> Column:
+    """``new`` over ``old``: structs field by field, anything else whole, null changes nothing."""
+    if not isinstance(kind, StructType):
+        return F.coalesce(new, old)
+    fields = [F.coalesce(new[f.name], old[f.name]).alias(f.name) for f in kind]
+    return F.when(new.isNull(), old).otherwise(F.struct(*fields))
+
+
 def apply_patches(cards: DataFrame, patches: DataFrame, key: list[str], fields: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Patched cards (a patch's non-null fields replace the card's), and patches without a card."""
+    """Patched cards (a patch's non-null fields replace the card's, one level deep in structs), and patches without a card."""
     p = patches.select(*key, *[F.col(f).alias(f"own_{f}") for f in fields])
-    rows = cards.join(p, key, "left").withColumns({f: F.coalesce(f"own_{f}", f) for f in fields}).select(*cards.columns)
+    rows = cards.join(p, key, "left").withColumns({f: _merged(F.col(f), F.col(f"own_{f}"), cards.schema[f].dataType) for f in fields}).select(*cards.columns)
     return rows, patches.join(cards, key, "left_anti")
 
 

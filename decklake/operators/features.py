@@ -35,10 +35,10 @@ def shrunk(ratings: DataFrame, fields: list[str], k: float = 50.0) -> DataFrame:
     """
     if k < 0:
         raise ValueError("k is negative")
-    rows = ratings.join(F.broadcast(format_priors(ratings, fields)), FORMAT, "left")  # a row a format
+    rows = ratings.join(format_priors(ratings, fields), FORMAT, "left")
     for field in fields:
         bins = rate_bins(ratings, field).groupBy(*FORMAT).agg(F.array_sort(F.collect_list(F.struct("bin", "edge", "mean"))).alias("b")).select(*FORMAT, F.col("b.edge").alias(f"{field}_edges"), F.col("b.mean").alias(f"{field}_means"))
-        rows = rows.join(F.broadcast(bins), FORMAT, "left")  # ten numbers a format
+        rows = rows.join(bins, FORMAT, "left")
         prior = F.coalesce(F.when(F.col("play_rate").isNotNull(), prior_at(F.col(f"{field}_edges"), F.col(f"{field}_means"), F.col("play_rate"))), F.col(f"{field}_mean"))
         w = F.coalesce(F.try_divide(F.col("pick_count").cast("double"), F.col("pick_count") + F.lit(float(k))), F.lit(0.0))
         rows = rows.withColumn(f"shrunk_{field}", F.coalesce(w * F.col(field) + (1 - w) * prior, prior))
@@ -57,29 +57,49 @@ def library_of(decks: DataFrame, hands: DataFrame) -> DataFrame:
     return decks.join(drawn, ["game_id", "card_id"], "left").withColumn("n", F.greatest(F.col("n") - F.coalesce("drawn", F.lit(0)), F.lit(0))).filter("n > 0").select("game_id", "card_id", "n")
 
 
-def deck_features(decks: DataFrame, cards: DataFrame, rates: list[str] = ()) -> DataFrame:
-    """Shares of lands, roles and mana buckets, colours, and mean rates of a deck's spells.
+def _flags(cards: DataFrame, wanted: dict[str, Column], values: list[str]) -> DataFrame:
+    """``card_id``, ``values`` and the flags ``is_<name>``: worked out once for each card, before the long join."""
+    return cards.select("card_id", *values, *[F.coalesce(c, F.lit(False)).alias(f"is_{n}") for n, c in wanted.items()])
 
-    One aggregate over the long deck: per-card attributes times copies.
+
+def _and(*conds: Column) -> Column:
+    out = conds[0]
+    for c in conds[1:]:
+        out = out & c
+    return out
+
+
+COLORS = ("W", "U", "B", "R", "G")
+CURVE = ("mv_le2", "mv_3", "mv_4_5", "mv_ge6")
+RATES = ("oh", "gd", "gih")
+
+
+def deck_features(decks: DataFrame, cards: DataFrame) -> DataFrame:
+    """Sixteen features of each deck, and its size: lands, roles and curve as shares, colours, mean rates of spells.
+
+    ``decks``: game_id, card_id, n.  ``cards``: a flat catalogue with its
+    colours and the rates ``RATES``; a rate that is null doesn't count.
+    Shares but that of lands are of spells.  A main colour is required by more
+    than three copies.
     """
-    rows = decks.join(cards, "card_id")
-    n, cat = F.col("n"), categories()
-    spell = cat["spell"]
-    count = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
-    share = lambda cond: F.coalesce(F.try_divide(count(cond & spell).cast("double"), count(spell)), F.lit(0.0))
-    by_color = {c: F.coalesce(F.sum(F.when((F.col("color") == c) & spell, n)), F.lit(0)) for c in "WUBRG"}
-    main = sum((F.when(v > 3, 1).otherwise(0) for v in by_color.values()), F.lit(0))
-    colors = sum((F.when(v > 0, 1).otherwise(0) for v in by_color.values()), F.lit(0))
-    buckets = {k: v for k, v in mana_buckets(F.col("mana_value")).items() if k in ("mv_le2", "mv_3", "mv_4_5", "mv_ge6")}
+    cat, buckets = categories(), mana_buckets(F.col("mana_value"))
+    spell, creature = cat["spell"], cat["creature"] & cat["spell"]
+    wanted = {"land": cat["land"], "spell": spell, "creature": creature, "removal": cat["removal"] & spell, **{f"{b}_spell": buckets[b] & spell for b in CURVE}, **{f"{b}_creature": buckets[b] & creature for b in CURVE}, **{f"color_{c}": F.array_contains("colors", c) & spell for c in COLORS}}
+    rows = decks.join(_flags(cards, wanted, list(RATES)), "card_id")
+    n, flag = F.col("n"), lambda name: F.col(f"is_{name}")
+    count = lambda name: F.coalesce(F.sum(F.when(flag(name), n)), F.lit(0))
+    share = lambda name: F.coalesce(F.try_divide(count(name).cast("double"), count("spell")), F.lit(0.0))
+    colors = lambda more: sum((F.when(count(f"color_{c}") > more, 1).otherwise(0) for c in COLORS), F.lit(0))
+    mean = lambda r: F.coalesce(F.try_divide(F.sum(F.when(flag("spell"), F.col(r) * n)), F.sum(F.when(flag("spell") & F.col(r).isNotNull(), n))), F.lit(0.0))
     return rows.groupBy("game_id").agg(
-        F.sum("n").alias("cards"), F.try_divide(count(cat["land"]).cast("double"), F.sum("n")).alias("pct_lands"), share(cat["creature"]).alias("pct_creatures"), share(cat["removal"]).alias("pct_removal"),
-        *[share(v).alias(f"pct_{k}") for k, v in buckets.items()], main.alias("main_colors"), colors.alias("colors"),
-        *[F.coalesce(F.try_divide(F.sum(F.when(spell, F.col(r) * n)), F.sum(F.when(spell & F.col(r).isNotNull(), n))), F.lit(0.0)).alias(f"mean_{r}") for r in rates],
+        F.sum("n").alias("cards"), F.coalesce(F.try_divide(count("land").cast("double"), F.sum("n")), F.lit(0.0)).alias("pct_lands"), share("creature").alias("pct_creatures"), share("removal").alias("pct_removal"),
+        *[share(f"{b}_spell").alias(f"pct_{b}") for b in CURVE], *[share(f"{b}_creature").alias(f"pct_creatures_{b}") for b in CURVE], colors(3).alias("main_colors"), colors(0).alias("colors"), *[mean(r).alias(f"mean_{r}") for r in RATES],
     )
 
 
-ROLES = ("creature", "removal", "trick", "ramp", "pump", "other")
-GRID = ("mv_0_2", "mv_3", "mv_ge4")
+#: Roles and buckets of the hand's grid.
+GRID_ROLES = ("destroy_or_exile", "burn", "bounce", "top_library", "removal_aura", "punch_fight", "trick", "pump_aura", "equipment", "vehicle", "saga", "class_card", "planeswalker", "card_manipulation")
+GRID = ("mv_0_2", "mv_3", "mv_4_5")
 # Bands of z-scores, lower ends included but for the top one.
 Z_BANDS = {"bomb": (1.3, None), "good": (0.4, 1.3), "average": (-0.7, 0.4), "poor": (None, -0.7)}
 
@@ -94,21 +114,32 @@ def z_band(z: Column, name: str) -> Column:
     return cond
 
 
-def hand_features(hands: DataFrame, cards: DataFrame, oh: str = "oh", z: str = "z") -> DataFrame:
-    """Counts of lands and roles, a role by mana-value grid, z bands, rates and colours of each hand.
+def hand_features(hands: DataFrame, cards: DataFrame) -> DataFrame:
+    """Seventy-one features of each hand: counts, a role by mana-value grid, z bands, rates and colours; the mulligan number is the caller's.
 
-    One aggregate over the long hand; averages, maxima and sums of nothing are 0.
+    ``hands``: game_id and card_id, a row a copy.  ``cards``: a flat catalogue
+    with colours, double_pip, rates, weight, z_oh and z_gd.  One aggregate
+    over the long hand; means, maxima and sums of nothing are 0, and null
+    rates and z-scores don't count.
     """
-    rows = hands.join(cards, "card_id")
-    cat, buckets = categories(), mana_buckets(F.col("mana_value"))
-    n = lambda cond: F.count_if(F.coalesce(cond, F.lit(False)))
-    grid = [n(cat[r] & buckets[b]).alias(f"{r}_{b}") for r in ROLES for b in GRID]
-    bands = [n(z_band(F.col(z), b) & cat["spell"]).alias(f"z_{b}") for b in Z_BANDS]
-    spell_rate = F.when(cat["spell"], F.col(oh))
+    cat, buckets, value = categories(), mana_buckets(F.col("mana_value")), F.coalesce("mana_value", F.lit(0))
+    spell = cat["spell"]
+    creature = cat["creature"] & spell
+    role = {r: cat.get(r, F.col(r)) & spell for r in GRID_ROLES}
+    wanted = {
+        "land": cat["land"], "nonbasic_land": cat["nonbasic_land"], "spell": spell, "ramp": cat["ramp"] & spell, "multi_modal": cat["alt_mode"] & spell, "heavy_one_mode": buckets["mv_ge6"] & spell & ~cat["alt_mode"], "heavy_alt_mode": buckets["mv_ge6"] & spell & cat["alt_mode"],
+        "creature_mv_le2": creature & buckets["mv_le2"], "creature_mv_3": creature & buckets["mv_3"], "creature_mv_4": creature & (value == 4), "creature_mv_5": creature & (value == 5), "creature_mv_ge6": creature & buckets["mv_ge6"],
+        **{f"{r}_{b}": role[r] & buckets[b] for r in GRID_ROLES for b in GRID}, **{f"{z}_{b}": z_band(F.col(z), b) & spell for z in ("z_oh", "z_gd") for b in Z_BANDS}, "double_pip": F.col("double_pip") & spell,
+    }
+    rows = hands.join(_flags(cards, wanted, [*RATES, "weight", "colors"]), "card_id")
+    of_spells = lambda c: F.when(F.col("is_spell"), c)
+    rate = lambda f, c: F.coalesce(f(of_spells(c)), F.lit(0.0))
+    names = {"land": "lands", "nonbasic_land": "nonbasic_lands", "spell": "spells", "ramp": "ramp_spells"}
+    colors = sum((F.coalesce(F.max(of_spells(F.array_contains("colors", c).cast("int"))), F.lit(0)) for c in COLORS), F.lit(0))
     return rows.groupBy("game_id").agg(
-        F.count("*").alias("cards"), n(cat["land"]).alias("lands"), n(cat["spell"]).alias("spells"), *grid, *bands,
-        F.coalesce(F.avg(spell_rate), F.lit(0.0)).alias("avg_oh"), F.coalesce(F.max(spell_rate), F.lit(0.0)).alias("max_oh"), F.coalesce(F.sum(spell_rate), F.lit(0.0)).alias("sum_oh"),
-        F.count_distinct(F.when(cat["spell"], F.col("color"))).alias("colors"),
+        *[F.count_if(F.col(f"is_{w}")).alias(names.get(w, w)) for w in wanted],
+        rate(F.avg, F.col("gih")).alias("avg_gih"), rate(F.max, F.col("oh")).alias("max_oh"), rate(F.max, F.col("gd")).alias("max_gd"), rate(F.sum, F.col("gih")).alias("sum_gih"), rate(F.avg, F.col("oh") - F.col("gd")).alias("avg_earliness"), rate(F.max, F.col("gih")).alias("max_gih"), rate(F.avg, F.col("weight")).alias("avg_weight"),
+        colors.alias("distinct_colors"),
     )
 
 
@@ -118,25 +149,71 @@ def context_features(df: DataFrame, on_play: str, event: str, expansion: str, ev
     return df.withColumns({"on_the_play": F.col(on_play).cast("double"), **{f"event_{e}": hot(event, e) for e in events}, **{f"set_{s}": hot(expansion, s) for s in sets}})
 
 
-def product_of_misses(p: Column) -> Column:
-    """Product of 1 - p over a group; 0 as soon as one p is 1, 1 for an empty group."""
-    sure = F.max(F.when(p >= 1, 1).otherwise(0)) == 1
-    return F.when(sure, 0.0).otherwise(F.exp(F.coalesce(F.sum(F.when(p < 1, F.log1p(-p))), F.lit(0.0))))
+#: z-score of the opening-hand rate above which a card counts as strong.
+STRONG = 0.5
+
 
+def castable_sets(turn: int, cat: dict[str, Column], buckets: dict[str, Column]) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The sets of spells whose odds a turn has: broad ones, also for strong cards alone, and narrow ones, from turn 2 on."""
+    creature, spell = cat["creature_or_tokens"], F.lit(True)
+    cuts = {1: {"": None}, 2: {"": None}, 3: {"_mv_0_2": "mv_0_2", "_mv_3p": "mv_ge3"}, 4: {"_mv_0_2": "mv_0_2", "_mv_3": "mv_3", "_mv_4p": "mv_ge4"}}[turn]
+    broad = {f"{n}{suffix}": c if b is None else c & buckets[b] for n, c in (("spell", spell), ("creature", creature)) for suffix, b in cuts.items()} | {"removal": cat["removal"]}
+    narrow = {n: cat[n] for n in ("pump", "equipment_or_vehicle", "card_manipulation", "other", "alt_mode")} if turn > 1 else {}
+    return broad, narrow
 
-def castability_features(hands: DataFrame, cards: DataFrame, odds: DataFrame, turns=(1, 2, 3, 4)) -> DataFrame:
-    """For each category and turn: probability that any distinct card can be cast, and the mean number.
 
-    ``odds``: card_id and p1..p4.
+def castability_features(decks: DataFrame, cards: DataFrame, key: str = "name") -> DataFrame:
+    """Ninety-six features of each deck: by turn and set of spells, the odds that any can be cast, and the mean number that can.
+
+    ``decks``: game_id and card_id.  ``cards``: a flat catalogue with z_oh and
+    the odds ``c1`` to ``c4`` of a game in which some copy could be cast by
+    that turn; null odds are 0.  Copies of a name count once; names are taken
+    as independent: 1 - the product of 1 - p, 0 for an empty set.
+    """
+    cat, buckets = categories(), mana_buckets(F.col("mana_value"))
+    strong = F.col("z_oh") > STRONG
+    wanted, out = {}, []
+    for turn in (1, 2, 3, 4):
+        broad, narrow = castable_sets(turn, cat, buckets)
+        sets = {n + s: c & strong if s else c for n, c in broad.items() for s in ("", "_strong")} | narrow
+        p = F.coalesce(f"c{turn}", F.lit(0.0))
+        for name, cond in sets.items():
+            wanted[name] = cond
+            flag = F.col(f"is_{name}")
+            out.append((1 - F.coalesce(F.product(F.when(flag, 1 - p)), F.lit(1.0))).alias(f"any_{name}_t{turn}"))
+            if turn > 1:
+                out.append(F.coalesce(F.sum(F.when(flag, p)), F.lit(0.0)).alias(f"count_{name}_t{turn}"))
+    spells = _flags(cards.filter(cat["spell"]), wanted, [key, "c1", "c2", "c3", "c4"])
+    rows = decks.select("game_id", "card_id").join(spells, "card_id").dropDuplicates(["game_id", key])
+    return decks.select("game_id").distinct().join(rows.groupBy("game_id").agg(*out), "game_id", "left").fillna(0.0)
+
+
+def castable_by_turn_four(decks: DataFrame, hands: DataFrame, cards: DataFrame) -> DataFrame:
+    """Mean odds ``c4`` over the spells of each deck (by copies) and of each hand; null odds are 0."""
+    spells = cards.select("card_id", F.coalesce("c4", F.lit(0.0)).alias("p"), (~F.col("is_land")).alias("spell"))
+    mean = lambda rows, n, name: rows.join(spells, "card_id").groupBy("game_id").agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("spell"), F.col("p") * n)), F.sum(F.when(F.col("spell"), n))), F.lit(0.0)).alias(name))
+    return mean(decks, F.col("n"), "deck_castable_t4").join(mean(hands, F.lit(1), "hand_castable_t4"), "game_id", "full")
+
+
+def simulation_features(decks: DataFrame, hands: DataFrame, cards: DataFrame, games: DataFrame) -> DataFrame:
+    """The ninety-six odds, the two means by turn 4, and the seven of lands and mana (``games``: game_id beside ``game_rollup``'s columns)."""
+    return castability_features(decks, cards).join(castable_by_turn_four(decks, hands, cards), "game_id", "left").join(games, "game_id", "left")
+
+
+def hand_explanation(hands: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What a verdict on a hand rests on: a row for each card, and one for each hand.
+
+    Cards: land or not, mana value, odds by turn, opening-hand rate.  Hands:
+    by turn, the odds of casting a creature, another spell, and any spell, put
+    together from both by 1 - the product of 1 - p.
     """
-    rows = hands.select("game_id", "card_id").distinct().join(cards, "card_id").join(odds, "card_id", "left")
-    cat = categories()
-    out = []
-    for role in ("land", "creature", "removal", "spell"):
-        for turn in turns:
-            p = F.when(cat[role], F.coalesce(F.col(f"p{turn}"), F.lit(0.0)))
-            out += [(1 - product_of_misses(p)).alias(f"{role}_any_t{turn}"), F.coalesce(F.sum(p), F.lit(0.0)).alias(f"{role}_count_t{turn}")]
-    return rows.groupBy("game_id").agg(*out)
+    rows = hands.join(cards, "card_id")
+    shown = rows.select("game_id", "card_id", "name", "is_land", F.coalesce("mana_value", F.lit(0)).alias("mana_value"), *[F.coalesce(f"c{t}", F.lit(0.0)).alias(f"castable_t{t}") for t in (1, 2, 3, 4)], "oh")
+    creature, spell = F.col("is_creature") | F.col("makes_creatures"), ~F.col("is_land")
+    miss = lambda cond, t: F.coalesce(F.product(F.when(cond, 1 - F.coalesce(f"c{t}", F.lit(0.0)))), F.lit(1.0))
+    odds = rows.dropDuplicates(["game_id", "name"]).groupBy("game_id").agg(*[m.alias(n) for t in (1, 2, 3, 4) for n, m in ((f"a{t}", miss(spell & creature, t)), (f"b{t}", miss(spell & ~creature, t)))])
+    lands = rows.groupBy("game_id").agg(F.count_if("is_land").alias("lands"))
+    return shown, lands.join(odds, "game_id").select("game_id", "lands", *[c for t in (1, 2, 3, 4) for c in ((1 - F.col(f"a{t}")).alias(f"creature_t{t}"), (1 - F.col(f"b{t}")).alias(f"other_t{t}"), (1 - F.col(f"a{t}") * F.col(f"b{t}")).alias(f"spell_t{t}"))])
 
 
 def trace_rollup(instances: DataFrame, by: list[str], turns=(1, 2, 3, 4)) -> DataFrame:
@@ -157,10 +234,10 @@ def snapshot_marginal(castability: DataFrame, turns=(1, 2, 3, 4)) -> DataFrame:
     return first.crossJoin(F.broadcast(games)).groupBy("name").agg(*[(F.count_if(F.col("turn") <= t) / F.max("games")).alias(f"by_t{t}") for t in turns])
 
 
-def game_rollup(turns: DataFrame) -> DataFrame:
-    """P(at least N lands after turn N), and mean mana of turns 2 to 4; turns that a game lacks don't count."""
+def game_rollup(turns: DataFrame, by: list[str] = ()) -> DataFrame:
+    """P(at least N lands after turn N), and mean mana of turns 2 to 4, overall or by ``by``; turns that a game lacks don't count."""
     at = lambda n, c: F.avg(F.when(F.col("turn") == n, c))
-    return turns.agg(*[at(n, (F.col("lands") >= n).cast("double")).alias(f"lands_t{n}") for n in (2, 3, 4, 5)], *[at(n, F.col("mana").cast("double")).alias(f"mana_t{n}") for n in (2, 3, 4)])
+    return turns.groupBy(*by).agg(*[at(n, (F.col("lands") >= n).cast("double")).alias(f"lands_t{n}") for n in (2, 3, 4, 5)], *[at(n, F.col("mana").cast("double")).alias(f"mana_t{n}") for n in (2, 3, 4)])
 
 
 def smoothed_hands(decks: DataFrame, cards: DataFrame, candidates: int = 3, hand: int = 7, seed: int = 0, strength: float = 0.015) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import clip
-from .ranks import average_ranks, positions
+from .ranks import average_ranks, positions, quantiles, ranked_values
 
 
 def log_loss(p: Column, y: Column, eps: float = 1e-7) -> Column:
@@ -47,7 +47,7 @@ def grouping_set_metrics(df: DataFrame, p: str, y: str, dimensions: list[str]) -
 
 def quantile_bins(df: DataFrame, p: str, bins: int, name: str = "bin") -> DataFrame:
     """Bins between exact quantiles, equal edges merged; a value on an inner edge belongs to the lower bin."""
-    edges = df.agg(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("e")).select(F.array_distinct("e").alias("edges"))
+    edges = quantiles(df, p, [i / bins for i in range(bins + 1)], name="e").select(F.array_distinct("e").alias("edges"))
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     return df.crossJoin(F.broadcast(edges)).withColumn(name, F.size(F.filter(inner, lambda e: e < F.col(p)))).drop("edges")  # one row of edges
 
@@ -112,21 +112,14 @@ def break_even(sweep: DataFrame, baseline: float, least: int = 100) -> DataFrame
 
 def auc(df: DataFrame, p: str, y: str) -> DataFrame:
     """Area under the curve from average ranks; null if there is one class only."""
-    values = df.groupBy(p).agg(F.sum(y).alias("ones"))
-    ranked = average_ranks(df, p).join(values, p)
-    sums = ranked.agg(F.sum(F.col("rank") * F.col("ones")).alias("r"), F.sum("ones").cast("double").alias("a"), F.sum("n").cast("double").alias("n"))
-    return sums.select(F.try_divide(F.col("r") - F.col("a") * (F.col("a") + 1) / 2, F.col("a") * (F.col("n") - F.col("a"))).alias("auc"))
+    return grouped_auc(df, p, y, [])
 
 
-def grouped_auc(df: DataFrame, p: str, y: str, by: str) -> DataFrame:
+def grouped_auc(df: DataFrame, p: str, y: str, by: list[str]) -> DataFrame:
     """Area under the curve of each group, ties counting half."""
-    from pyspark.sql import Window
-
-    values = df.groupBy(by, p).agg(F.count("*").alias("n"), F.sum(y).alias("ones"))
-    before = Window.partitionBy(by).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
-    rank = F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2
-    sums = values.withColumn("rank", rank).groupBy(by).agg(F.sum(F.col("rank") * F.col("ones")).alias("r"), F.sum("ones").cast("double").alias("a"), F.sum("n").cast("double").alias("n"))
-    return sums.select(by, F.try_divide(F.col("r") - F.col("a") * (F.col("a") + 1) / 2, F.col("a") * (F.col("n") - F.col("a"))).alias("auc"))
+    values = ranked_values(df, p, by, ones=F.sum(y))
+    sums = values.withColumn("rank", F.col("before") + (F.col("n") + 1) / 2).groupBy(*by).agg(F.sum(F.col("rank") * F.col("ones")).alias("r"), F.sum("ones").cast("double").alias("a"), F.sum("n").cast("double").alias("n"))
+    return sums.select(*by, F.try_divide(F.col("r") - F.col("a") * (F.col("a") + 1) / 2, F.col("a") * (F.col("n") - F.col("a"))).alias("auc"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -136,8 +129,8 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(a, b).join(left, a).join(right, b).agg(F.corr("rank_a", "rank_b").alias("spearman"))
 
 
-def rate_threshold(df: DataFrame, p: str, ties: list[str], rate: float) -> DataFrame:
+def rate_threshold(df: DataFrame, p: str, rate: float) -> DataFrame:
     """The k-th smallest p (from 0), with k = round(rate * n)."""
     k = F.least(F.floor(F.col("total") * rate + 0.5), F.col("total") - 1)
-    total = df.agg(F.count("*").alias("total"))
-    return positions(df, p, ties).crossJoin(F.broadcast(total)).filter(F.col("position") == k).select(F.col(p).alias("threshold"), F.col("position").alias("k"))
+    held = ranked_values(df, p).filter((F.col("before") <= k) & (k < F.col("before") + F.col("n")))
+    return held.select(F.col(p).alias("threshold"), k.alias("k"))

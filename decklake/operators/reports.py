@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import LOWEST_VERDICT, VERDICTS
 from .metrics import grouped_auc, log_loss, spearman
+from .ranks import beside, joined, positions, quantiles
 
 # What makes a player elite in each event: games, win rate, ranks (none asked for if empty).
 ELITE = {"PremierDraft": (500, 0.62, ("diamond", "mythic")), "TradDraft": (500, 0.68, ())}
@@ -93,7 +94,7 @@ def residual_lift(df: DataFrame, p_full: str, p_base: str, y: str) -> DataFrame:
 def slice_residuals(df: DataFrame, p_full: str, p_base: str, y: str, by: str) -> DataFrame:
     p, b, label = F.col(p_full), F.col(p_base), F.col(y)
     flat = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(p - b).alias("mean_delta"), F.avg(label - b).alias("mean_resid"), (F.avg(p) - F.avg(label)).alias("gap"))
-    return flat.join(grouped_auc(df, p_full, y, by).withColumnRenamed("auc", "auc_full"), by, "left")
+    return flat.join(grouped_auc(df, p_full, y, [by]).withColumnRenamed("auc", "auc_full"), by, "left")
 
 
 def card_lift(hands: DataFrame, marked: DataFrame, game: str, card: str, disagree: str, least: int) -> DataFrame:
@@ -114,24 +115,26 @@ QUANTILES = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p9
 
 
 def quantile_summary(df: DataFrame, p: str, by: list[str]) -> DataFrame:
-    out = df.groupBy(*by).agg(F.percentile(p, F.array(*map(F.lit, QUANTILES.values()))).alias("q"), F.min(p).alias("low"), F.max(p).alias("high"), F.avg(p).alias("mean"))
-    return out.select(*by, *[F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES)], "low", "high", "mean")
+    out = quantiles(df, p, list(QUANTILES.values()), by)
+    rest = df.groupBy(*by).agg(F.min(p).alias("low"), F.max(p).alias("high"), F.avg(p).alias("mean"))
+    return joined(out, rest, by).select(*by, *[F.col("q")[i].alias(name) for i, name in enumerate(QUANTILES)], "low", "high", "mean")
 
 
 def repeat_variance(df: DataFrame, combo: list[str], setting: str, p: str) -> DataFrame:
     """Spread of repeats of each combination, summed up by setting; single repeats have no spread."""
     spread = df.groupBy(*combo, setting).agg(F.stddev_samp(p).alias("sd"))
-    return spread.groupBy(setting).agg(F.count("sd").alias("groups"), F.avg("sd").alias("mean_sd"), F.median("sd").alias("median_sd"), F.max("sd").alias("max_sd"), F.min("sd").alias("min_sd"))
+    rest = spread.groupBy(setting).agg(F.count("sd").alias("groups"), F.avg("sd").alias("mean_sd"), F.max("sd").alias("max_sd"), F.min("sd").alias("min_sd"))
+    return rest.join(quantiles(spread, "sd", [0.5], [setting]), setting, "left").select(setting, "groups", "mean_sd", F.col("q")[0].alias("median_sd"), "max_sd", "min_sd")
 
 
 def floored_mean(df: DataFrame, arm: list[str], p: str, deeper: str) -> DataFrame:
     """Mean of ``p`` with the arm's mean of ``deeper`` as a floor under each value."""
-    rows = df.withColumn("floor_p", F.avg(deeper).over(Window.partitionBy(*arm)))
+    rows = beside(df, arm, floor_p=F.avg(deeper))
     return rows.groupBy(*arm).agg(F.avg(F.greatest(p, "floor_p")).alias("floored"), F.avg(p).alias("raw"), F.count_if(F.col(p) < F.col("floor_p")).alias("below"))
 
 
 def floor_diagnostics(df: DataFrame, arm: list[str], by: list[str], arm_key: str, keep_arm: str, mull_arm: str) -> DataFrame:
-    rows = df.withColumn("floor_p", F.avg(keep_arm).over(Window.partitionBy(*arm)))
+    rows = beside(df, arm, floor_p=F.avg(keep_arm))
     m, f = F.col(mull_arm), F.col("floor_p")
     bump = F.greatest(f - m, F.lit(0.0))
     return rows.groupBy(*by).agg(F.count_distinct(arm_key).alias("arms"), F.avg((m < f).cast("double")).alias("clamped"), F.avg(bump).alias("mean_bump"), F.max(bump).alias("max_bump"), F.avg((F.col(keep_arm) < F.greatest(m, f)).cast("double")).alias("should_mull"))
@@ -139,7 +142,7 @@ def floor_diagnostics(df: DataFrame, arm: list[str], by: list[str], arm_key: str
 
 def flag_comparison(df: DataFrame, by: list[str], keep_arm: str, mull_arm: str, won: str) -> DataFrame:
     """Flags from each row's own arm against the group's usual one: counts and win rates of the 2 x 2."""
-    rows = df.withColumn("usual", F.avg(mull_arm).over(Window.partitionBy(*by)))
+    rows = beside(df, by, usual=F.avg(mull_arm))
     rows = rows.withColumns({"per_deck": F.col(keep_arm) < F.col(mull_arm), "usual_flag": F.col(keep_arm) < F.col("usual")})
     return rows.groupBy("per_deck", "usual_flag").agg(F.count("*").alias("n"), F.avg(F.col(won).cast("double")).alias("win_rate"))
 
@@ -157,8 +160,9 @@ def models_side_by_side(df: DataFrame, models: dict[str, str], y: str, subset: s
 
 
 def absolute_delta(df: DataFrame, a: str, b: str) -> DataFrame:
-    gap = F.abs(F.col(a) - F.col(b))
-    return df.agg(F.avg(gap).alias("mean"), F.median(gap).alias("median"), F.max(gap).alias("max"))
+    gaps = df.select(F.abs(F.col(a) - F.col(b)).alias("gap"))
+    rest = gaps.agg(F.avg("gap").alias("mean"), F.max("gap").alias("max"))
+    return rest.crossJoin(F.broadcast(quantiles(gaps, "gap", [0.5]))).select("mean", F.col("q")[0].alias("median"), "max")  # one row each
 
 
 def transfer(df: DataFrame, p: str, y: str, domain: str, home: str, by: str) -> DataFrame:
@@ -177,7 +181,7 @@ def always_keep(df: DataFrame, p: str, kept: str, by: list[str]) -> DataFrame:
 def lowest_tail(df: DataFrame, p: str, ties: list[str], least: int = 50, share: int = 50) -> DataFrame:
     """The lowest max(``least``, n // ``share``) rows."""
     n = df.count()
-    return df.orderBy(p, *ties).limit(max(least, n // share))
+    return positions(df, p, ties).filter(F.col("position") < max(least, n // share)).drop("position")
 
 
 def most_divergent(flags: DataFrame, key: str, n: int) -> DataFrame:

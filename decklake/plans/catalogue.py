@@ -10,34 +10,66 @@ from ..sources.adapters import Tables
 from .registry import query
 
 
-@query("b22_b23_categories", """SELECT card_id, is_land AS land, NOT is_land AS spell, is_land AND kind <> 'ECONOMY' AS nonbasic_land, is_creature AND NOT is_land AS creature, is_removal AND NOT is_land AS removal,
-  is_trick AND NOT is_land AS trick, is_ramp AND NOT is_land AS ramp, is_trick AND NOT is_creature AND NOT is_land AS pump, NOT (is_land OR is_creature OR is_removal OR is_trick OR is_ramp) AS other,
-  coalesce(mana_value, 0) <= 2 AS mv_le2, coalesce(mana_value, 0) = 3 AS mv_3, coalesce(mana_value, 0) BETWEEN 4 AND 5 AS mv_4_5, coalesce(mana_value, 0) >= 6 AS mv_ge6, coalesce(mana_value, 0) <= 2 AS mv_0_2, coalesce(mana_value, 0) >= 3 AS mv_ge3, coalesce(mana_value, 0) >= 4 AS mv_ge4 FROM cards""")
+CATEGORIES = {
+    "land": "is_land", "spell": "NOT is_land", "nonbasic_land": "is_land AND NOT is_basic", "creature": "is_creature", "creature_or_tokens": "is_creature OR makes_creatures", "removal": "destroy_or_exile OR burn OR bounce OR top_library OR removal_aura OR counterspell",
+    "trick": "trick", "pump": "trick OR pump_aura", "equipment_or_vehicle": "equipment OR vehicle", "card_manipulation": "draw", "alt_mode": "alt_mode", "mana_ability": "mana_ability", "fetches_land": "fetches_land", "ramp": "mana_ability OR fetches_land", "other": "is_other",
+    "mv_le2": "coalesce(mana_value, 0) <= 2", "mv_3": "coalesce(mana_value, 0) = 3", "mv_4_5": "coalesce(mana_value, 0) BETWEEN 4 AND 5", "mv_ge6": "coalesce(mana_value, 0) >= 6", "mv_0_2": "coalesce(mana_value, 0) <= 2", "mv_ge3": "coalesce(mana_value, 0) >= 3", "mv_ge4": "coalesce(mana_value, 0) >= 4",
+}
+
+
+def nested(t: Tables) -> DataFrame:
+    """The view of roles as a nested catalogue."""
+    c, flag = F.col, lambda name: F.col(name)
+    given = lambda name, value: F.when(c(name), value)
+    pips = F.map_filter(F.create_map(*[x for k in "WUBRG" for x in (F.lit(k), c(f"pip_{k.lower()}"))]), lambda _, n: n > 0)
+    effect = lambda kind, to: F.struct(F.lit(kind).alias("kind"), to.alias("destination"))
+    mode = lambda kind, *effects: F.struct(F.lit(kind).alias("kind"), F.array(*effects).alias("effects"))
+    fetch = effect("fetch_land", F.when(c("fetches_land"), F.when(c("card_id") % 2 == 0, "battlefield_tapped").otherwise("battlefield_untapped")).otherwise("hand"))
+    cast, cycle = mode("cast", effect("damage", F.lit(None).cast("string")), fetch), mode("cycle", effect("fetch_land", F.lit("hand")))
+    keyword = F.array(F.lit("flying"))
+    roles = {
+        "is_creature": flag("is_creature"), "removal_destroy_or_exile": flag("destroy_or_exile"), "removal_burn_damage": given("burn", c("card_id") % 4), **{f"is_{r}": flag(r) for r in ("bounce", "top_library", "removal_aura", "counterspell", "punch_fight", "pump_aura", "equipment", "vehicle", "saga", "planeswalker")}, "is_class": flag("class_card"),
+        "combat_trick_power": F.when(c("trick") & (c("card_id") % 3 == 0), F.lit(0)), "combat_trick_toughness": F.when(c("trick") & (c("card_id") % 3 == 1), F.lit(2)), "combat_trick_granted_keywords": F.when(c("trick") & (c("card_id") % 3 == 2), keyword).otherwise(F.slice(keyword, 1, 0)),
+        "cards_drawn": F.when(c("draw") & (c("card_id") % 2 == 0), 2).otherwise(0), "cards_manipulated": F.when(c("draw") & (c("card_id") % 2 == 1), 1).otherwise(0), "creates_creatures": given("makes_creatures", keyword), "is_other": flag("is_other"),
+    }
+    none = F.slice(F.array(F.lit("")), 1, 0)
+    return t.role_cards.select(
+        "card_id", "name", F.array(F.when(c("is_land"), "Land").otherwise("Sorcery")).alias("types"), F.when(c("is_basic"), F.array(F.lit("Basic"))).otherwise(none).alias("supertypes"),
+        F.when(~c("is_land"), F.struct(c("mana_value").alias("cmc"), pips.alias("color_pips"))).alias("mana_cost"), F.when(c("alt_mode"), F.array(cast, cycle)).otherwise(F.array(cast)).alias("modes"),
+        F.when(c("mana_ability"), F.array(F.lit("G"))).otherwise(none).alias("mana_abilities"), F.struct(*[v.alias(k) for k, v in roles.items()]).alias("role_features"),
+    )
+
+
+@query("b22_b23_categories", "SELECT card_id, " + ", ".join(f"({cond}) AS {name}" for name, cond in CATEGORIES.items()) + ", CASE WHEN is_land THEN 0 ELSE " + " + ".join(f"CAST(pip_{c} > 0 AS INT)" for c in "wubrg") + " END AS colors, coalesce(NOT is_land AND greatest(pip_w, pip_u, pip_b, pip_r, pip_g) >= 2, FALSE) AS double_pip FROM role_cards")
 def categories(t: Tables) -> DataFrame:
-    return t.cards.select("card_id", *[c.alias(n) for n, c in (C.categories() | C.mana_buckets(F.col("mana_value"))).items()])
+    """From the nested catalogue to flags."""
+    flat = C.flat_roles(nested(t))
+    return flat.select("card_id", *[c.alias(n) for n, c in (C.categories() | C.mana_buckets(F.col("mana_value"))).items()], F.size("colors").alias("colors"), "double_pip")
 
 
 @query("b24_invariants", "SELECT card_id, (is_creature OR kind = 'STANDARD') AS is_creature, NOT (is_creature OR kind = 'STANDARD' OR is_removal OR is_trick OR is_ramp OR is_land) AS is_other, CASE WHEN is_land THEN 0 ELSE 1 END AS modes FROM cards")
 def invariants(t: Tables) -> DataFrame:
-    return C.with_invariants(t.cards).select("card_id", "is_creature", "is_other", F.size("modes").alias("modes"))
+    return C.with_invariants(t.cards, ["STANDARD"]).select("card_id", "is_creature", "is_other", F.size("modes").alias("modes"))
 
 
 @query("b19_search", "SELECT card_id, name, total FROM (SELECT *, count(*) OVER () AS total FROM cards WHERE lower(name) LIKE '%i%' AND status = 'parsed' AND color IS NULL AND is_removal AND NOT is_land ORDER BY name, card_id LIMIT 200)")
 def search(t: Tables) -> DataFrame:
-    return C.search(t.cards, C.categories(), contains="I", status="parsed", colors=["C"], having=["removal", "no such flag"]).select("card_id", "name", "total")
+    return C.search(t.cards, {"removal": F.col("is_removal") & ~F.col("is_land")}, contains="I", status="parsed", colors=["C"], having=["removal", "no such flag"]).select("card_id", "name", "total")
 
 
-@query("b20_filter_raw", "SELECT card_id FROM cards WHERE kind IN ('ECONOMY', 'PROMO') AND set_code IN ('Brand#1', 'Brand#2', 'Brand#3')")
+@query("b20_filter_raw", "SELECT card_id FROM cards WHERE kind IN ('ECONOMY', 'PROMO') AND set_code IN ('Brand#1', 'Brand#2', 'Brand#3') AND card_id % 4 <> 2")
 def filter_raw(t: Tables) -> DataFrame:
-    return t.cards.filter(F.col("kind").isin("ECONOMY", "PROMO") & F.col("set_code").isin("Brand#1", "Brand#2", "Brand#3")).select("card_id")
+    raw = t.cards.withColumn("lang", F.when(F.col("card_id") % 4 == 2, "ja").when(F.col("card_id") % 4 == 1, "de").otherwise("en"))
+    return C.filter_raw(raw, ["ECONOMY", "PROMO"], ["en", "de"], ["Brand#1", "Brand#2", "Brand#3"], layout="kind").select("card_id")
 
 
 @query("b21_encoding_offenders", """
-WITH bad AS (SELECT card_id, concat(name, ': status ', status) AS message FROM cards WHERE status LIKE 'needs%'),
+WITH bad AS (SELECT card_id, concat(name, CASE WHEN status LIKE 'needs%' THEN concat(': status ', status) ELSE ': no modes' END) AS message FROM cards WHERE status LIKE 'needs%' OR (NOT is_land AND card_id % 21 = 4)),
 d AS (SELECT DISTINCT game_id, message FROM deck_cards JOIN bad USING (card_id))
 SELECT game_id, string_agg(message, '; ' ORDER BY message) AS offenders FROM d GROUP BY game_id""")
 def offenders(t: Tables) -> DataFrame:
-    return C.encoding_offenders(t.cards, t.deck_cards)
+    cards = t.cards.withColumn("mana_value", F.when(F.col("card_id") % 21 != 4, F.col("mana_value")))
+    return C.encoding_offenders(cards, t.deck_cards)
 
 
 @query("b30_d24_keep_rate_by_lands", """
@@ -148,6 +180,15 @@ def patches(t: Tables) -> DataFrame:
     return C.apply_patches(t.cards, p, ["card_id"], ["status", "mana_value"])[0].select("card_id", "status", "mana_value")
 
 
+@query("c16c_nested_patches", "SELECT card_id, CASE WHEN card_id % 19 = 2 THEN 'patched' ELSE status END AS status, CASE WHEN card_id % 38 = 2 THEN 9 ELSE mana_value END AS mana_value, kind FROM cards")
+def nested_patches(t: Tables) -> DataFrame:
+    """A patch of one field of a struct leaves the others."""
+    info = lambda status, value, kind: F.struct(status.cast("string").alias("status"), value.cast("int").alias("mana_value"), kind.cast("string").alias("kind")).alias("info")
+    cards = t.cards.select("card_id", info(F.col("status"), F.col("mana_value"), F.col("kind")))
+    p = t.cards.filter("card_id % 19 = 2").select("card_id", info(F.lit("patched"), F.when(F.col("card_id") % 38 == 2, 9), F.lit(None)))
+    return C.apply_patches(cards, p, ["card_id"], ["info"])[0].select("card_id", "info.*")
+
+
 @query("c16b_patches_skipped", "SELECT card_id + 1 AS card_id FROM cards WHERE card_id % 19 = 2 AND card_id + 1 NOT IN (SELECT card_id FROM cards WHERE card_id % 2 = 1)")
 def skipped(t: Tables) -> DataFrame:
     p = t.cards.filter("card_id % 19 = 2").select((F.col("card_id") + 1).alias("card_id"), F.lit("patched").alias("status"))
@@ -216,10 +257,12 @@ def reuse(t: Tables) -> DataFrame:
 
 
 @query("d41_dropped_text_census", r"""
-WITH r AS (SELECT source AS site, regexp_replace(trim(regexp_replace(coalesce(split_part(text, '.', 1), ''), '\s+', ' ', 'g')), '^ +| +$', '', 'g') AS c, doc_id FROM documents),
+WITH p AS (SELECT source AS site, doc_id, unnest(string_split(coalesce(text, ''), '.')) AS piece FROM documents),
+r AS (SELECT site, regexp_replace(trim(regexp_replace(piece, '\s+', ' ', 'g')), '^ +| +$', '', 'g') AS c, doc_id FROM p),
 k AS (SELECT site, CASE WHEN length(c) > 100 THEN substr(c, 1, 99) || '…' ELSE c END AS chunk, CAST(doc_id AS STRING) AS name FROM r),
 o AS (SELECT site, chunk, name, count(*) AS n, row_number() OVER (PARTITION BY site, chunk ORDER BY name) AS rk FROM k GROUP BY 1, 2, 3)
 SELECT site, chunk, CAST(sum(n) AS BIGINT) AS n, string_agg(name, '; ' ORDER BY name) FILTER (WHERE rk <= 3) AS examples FROM o GROUP BY 1, 2""")
 def census(t: Tables) -> DataFrame:
-    rows = t.documents.select("source", F.coalesce(F.split_part("text", F.lit("."), F.lit(1)), F.lit("")).alias("piece"), F.col("doc_id").cast("string").alias("name"))
+    """All sentences of all texts."""
+    rows = t.documents.select("source", F.explode(F.split(F.coalesce("text", F.lit("")), "\\.", -1)).alias("piece"), F.col("doc_id").cast("string").alias("name"))
     return C.dropped_text_census(rows, "source", "piece", "name")

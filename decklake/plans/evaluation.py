@@ -240,7 +240,7 @@ def break_even(t: Tables) -> DataFrame:
 WITH x AS (SELECT p_keep, row_number() OVER (ORDER BY p_keep, game_id) - 1 AS pos, count(*) OVER () AS total FROM decisions)
 SELECT round(p_keep, 9) AS threshold, pos AS k FROM x WHERE pos = floor(total * CAST(0.12 AS DOUBLE) + 0.5)""")
 def rate_threshold(t: Tables) -> DataFrame:
-    return rounded(M.rate_threshold(t.decisions, "p_keep", ["game_id"], 0.12), digits=9)
+    return rounded(M.rate_threshold(t.decisions, "p_keep", 0.12), digits=9)
 
 
 @query("d29_w5_residual_lift", """

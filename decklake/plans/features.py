@@ -43,49 +43,82 @@ def library(t: Tables) -> DataFrame:
     return E.library_of(t.deck_cards, t.hand_cards)
 
 
-CARD_RATES = """rates AS (SELECT c.*, r.oh, round((c.card_id * 37 % 100) / 25.0::DOUBLE - 2, 6) AS z FROM cards c LEFT JOIN (SELECT name, avg(oh) AS oh FROM ratings GROUP BY name) r ON r.name = c.name)"""
-
-
-def card_rates(t: Tables) -> DataFrame:
-    oh = t.ratings.groupBy("name").agg(F.avg("oh").alias("oh"))
-    return t.cards.join(oh, "name", "left").withColumn("z", F.round(F.col("card_id") * 37 % 100 / F.lit(25.0) - 2, 6))
-
-
-@query("d5_x21_deck_features", "WITH " + CARD_RATES + """, x AS (SELECT d.game_id, d.n, r.* FROM deck_cards d JOIN rates r USING (card_id)),
-cc AS (SELECT game_id, count(*) FILTER (WHERE k > 3) AS main_colors, count(*) AS colors FROM (SELECT game_id, color, sum(n) AS k FROM x WHERE NOT is_land AND color IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
-SELECT x.game_id, CAST(sum(n) AS BIGINT) AS cards, round(coalesce(sum(n) FILTER (WHERE is_land), 0) / sum(n)::DOUBLE, 6) AS pct_lands,
-  round(coalesce(coalesce(sum(n) FILTER (WHERE is_creature AND NOT is_land), 0) / nullif(sum(n) FILTER (WHERE NOT is_land), 0)::DOUBLE, 0), 6) AS pct_creatures,
-  round(coalesce(coalesce(sum(n) FILTER (WHERE is_removal AND NOT is_land), 0) / nullif(sum(n) FILTER (WHERE NOT is_land), 0)::DOUBLE, 0), 6) AS pct_removal,
-  round(coalesce(coalesce(sum(n) FILTER (WHERE mana_value <= 2 AND NOT is_land), 0) / nullif(sum(n) FILTER (WHERE NOT is_land), 0)::DOUBLE, 0), 6) AS pct_mv_le2,
-  round(coalesce(coalesce(sum(n) FILTER (WHERE mana_value = 3 AND NOT is_land), 0) / nullif(sum(n) FILTER (WHERE NOT is_land), 0)::DOUBLE, 0), 6) AS pct_mv_3,
-  round(coalesce(coalesce(sum(n) FILTER (WHERE mana_value BETWEEN 4 AND 5 AND NOT is_land), 0) / nullif(sum(n) FILTER (WHERE NOT is_land), 0)::DOUBLE, 0), 6) AS pct_mv_4_5,
-  round(coalesce(coalesce(sum(n) FILTER (WHERE mana_value >= 6 AND NOT is_land), 0) / nullif(sum(n) FILTER (WHERE NOT is_land), 0)::DOUBLE, 0), 6) AS pct_mv_ge6,
-  CAST(coalesce(max(main_colors), 0) AS INT) AS main_colors, CAST(coalesce(max(colors), 0) AS INT) AS colors,
-  round(coalesce(sum(oh * n) FILTER (WHERE NOT is_land) / nullif(sum(n) FILTER (WHERE NOT is_land AND oh IS NOT NULL), 0), 0), 6) AS mean_oh
-FROM x LEFT JOIN cc USING (game_id) GROUP BY x.game_id""")
+#: Categories of the view of roles, as SQL.
+SPELL, LAND = "NOT is_land", "is_land"
+CREATURE, TOKENS = "(is_creature AND NOT is_land)", "(is_creature OR makes_creatures)"
+REMOVAL = "(destroy_or_exile OR burn OR bounce OR top_library OR removal_aura OR counterspell)"
+MV = {"mv_le2": "coalesce(mana_value, 0) <= 2", "mv_0_2": "coalesce(mana_value, 0) <= 2", "mv_3": "mana_value = 3", "mv_4_5": "mana_value BETWEEN 4 AND 5", "mv_ge6": "mana_value >= 6", "mv_3p": "mana_value >= 3", "mv_4p": "mana_value >= 4"}
+
+
+def with_colors(t: Tables) -> DataFrame:
+    """The view of roles with the colours that a cost requires."""
+    pips = {c: F.col(f"pip_{c.lower()}") for c in E.COLORS}
+    colors = F.array_compact(F.array(*[F.when(n > 0, F.lit(c)) for c, n in pips.items()]))
+    return t.role_cards.withColumns({"colors": colors, "double_pip": F.greatest(*pips.values()) >= 2})
+
+
+def deck_sql() -> str:
+    share = lambda cond: f"round(coalesce(coalesce(sum(n) FILTER (WHERE {cond}), 0) / nullif(sum(n) FILTER (WHERE {SPELL}), 0)::DOUBLE, 0), 6)"
+    parts = [f"{share(CREATURE)} AS pct_creatures", f"{share(f'{REMOVAL} AND {SPELL}')} AS pct_removal"]
+    parts += [f"{share(f'{MV[b]} AND {SPELL}')} AS pct_{b}" for b in E.CURVE] + [f"{share(f'{MV[b]} AND {CREATURE}')} AS pct_creatures_{b}" for b in E.CURVE]
+    for name, more in (("main_colors", 3), ("colors", 0)):
+        parts.append("CAST(" + " + ".join(f"CASE WHEN coalesce(sum(n) FILTER (WHERE pip_{c} > 0 AND {SPELL}), 0) > {more} THEN 1 ELSE 0 END" for c in "wubrg") + f" AS INT) AS {name}")
+    parts += [f"round(coalesce(sum({r} * n) FILTER (WHERE {SPELL}) / nullif(sum(n) FILTER (WHERE {SPELL} AND {r} IS NOT NULL), 0), 0), 6) AS mean_{r}" for r in E.RATES]
+    return f"SELECT game_id, CAST(sum(n) AS BIGINT) AS cards, round(coalesce(sum(n) FILTER (WHERE is_land), 0) / nullif(sum(n), 0)::DOUBLE, 6) AS pct_lands, {', '.join(parts)} FROM deck_cards JOIN role_cards USING (card_id) GROUP BY game_id"
+
+
+@query("d5_x21_deck_features", deck_sql())
 def deck_features(t: Tables) -> DataFrame:
-    return rounded(E.deck_features(t.deck_cards, card_rates(t), ["oh"]))
+    return rounded(E.deck_features(t.deck_cards, with_colors(t)))
 
 
-GRID_SQL = ",\n  ".join(f"count(*) FILTER (WHERE {cond} AND {mv}) AS {role}_{name}" for role, cond in {"creature": "is_creature AND NOT is_land", "removal": "is_removal AND NOT is_land", "trick": "is_trick AND NOT is_land", "ramp": "is_ramp AND NOT is_land", "pump": "is_trick AND NOT is_creature AND NOT is_land", "other": "NOT (is_land OR is_creature OR is_removal OR is_trick OR is_ramp)"}.items() for name, mv in {"mv_0_2": "mana_value <= 2", "mv_3": "mana_value = 3", "mv_ge4": "mana_value >= 4"}.items())
+def hand_sql() -> str:
+    n = lambda cond, name: f"count(*) FILTER (WHERE {cond}) AS {name}"
+    ramp = "(mana_ability OR fetches_land)"
+    parts = [n(LAND, "lands"), n("is_land AND NOT is_basic", "nonbasic_lands"), n(SPELL, "spells"), n(f"{ramp} AND {SPELL}", "ramp_spells"), n(f"alt_mode AND {SPELL}", "multi_modal"), n(f"{MV['mv_ge6']} AND {SPELL} AND NOT alt_mode", "heavy_one_mode"), n(f"{MV['mv_ge6']} AND {SPELL} AND alt_mode", "heavy_alt_mode")]
+    parts += [n(f"{CREATURE} AND {cond}", f"creature_{b}") for b, cond in (("mv_le2", MV["mv_le2"]), ("mv_3", MV["mv_3"]), ("mv_4", "mana_value = 4"), ("mv_5", "mana_value = 5"), ("mv_ge6", MV["mv_ge6"]))]
+    parts += [n(f"{'draw' if r == 'card_manipulation' else r} AND {SPELL} AND {MV[b]}", f"{r}_{b}") for r in E.GRID_ROLES for b in E.GRID]
+    for z in ("z_oh", "z_gd"):
+        parts += [n(f"{cond} AND {SPELL}", f"{z}_{b}") for b, cond in (("bomb", f"{z} > 1.3"), ("good", f"{z} >= 0.4 AND {z} <= 1.3"), ("average", f"{z} >= -0.7 AND {z} < 0.4"), ("poor", f"{z} < -0.7"))]
+    parts.append(n(f"greatest(pip_w, pip_u, pip_b, pip_r, pip_g) >= 2 AND {SPELL}", "double_pip"))
+    rate = lambda f, c, name: f"round(coalesce({f}({c}) FILTER (WHERE {SPELL}), 0), 6) AS {name}"
+    parts += [rate("avg", "gih", "avg_gih"), rate("max", "oh", "max_oh"), rate("max", "gd", "max_gd"), rate("sum", "gih", "sum_gih"), rate("avg", "oh - gd", "avg_earliness"), rate("max", "gih", "max_gih"), rate("avg", "weight", "avg_weight")]
+    parts.append("CAST(" + " + ".join(f"coalesce(max(CASE WHEN pip_{c} > 0 THEN 1 ELSE 0 END) FILTER (WHERE {SPELL}), 0)" for c in "wubrg") + " AS INT) AS distinct_colors")
+    return f"WITH h AS (SELECT game_id, {', '.join(parts)} FROM hand_cards JOIN role_cards USING (card_id) GROUP BY game_id) SELECT h.*, CAST(d.mulligan_number AS DOUBLE) AS mulligan_number FROM h JOIN decisions d USING (game_id)"
 
 
-@query("d6_d7_hand_features", "WITH " + CARD_RATES + f""" SELECT h.game_id, count(*) AS cards, count(*) FILTER (WHERE is_land) AS lands, count(*) FILTER (WHERE NOT is_land) AS spells, {GRID_SQL},
-  count(*) FILTER (WHERE z > 1.3 AND NOT is_land) AS z_bomb, count(*) FILTER (WHERE z >= 0.4 AND z <= 1.3 AND NOT is_land) AS z_good, count(*) FILTER (WHERE z >= -0.7 AND z < 0.4 AND NOT is_land) AS z_average, count(*) FILTER (WHERE z < -0.7 AND NOT is_land) AS z_poor,
-  round(coalesce(avg(oh) FILTER (WHERE NOT is_land), 0), 6) AS avg_oh, round(coalesce(max(oh) FILTER (WHERE NOT is_land), 0), 6) AS max_oh, round(coalesce(sum(oh) FILTER (WHERE NOT is_land), 0), 6) AS sum_oh, count(DISTINCT color) FILTER (WHERE NOT is_land) AS colors
-FROM hand_cards h JOIN rates r USING (card_id) GROUP BY h.game_id""")
+@query("d6_d7_hand_features", hand_sql())
 def hand_features(t: Tables) -> DataFrame:
-    return rounded(E.hand_features(t.hand_cards, card_rates(t)))
+    return rounded(E.hand_features(t.hand_cards, with_colors(t)).join(t.decisions.select("game_id", F.col("mulligan_number").cast("double").alias("mulligan_number")), "game_id"))
 
 
-ODDS = "(card_id * 13 % 11) / 10.0::DOUBLE"
+def odds_sql() -> str:
+    sets = {1: {"spell": "TRUE", "creature": TOKENS}, 2: {"spell": "TRUE", "creature": TOKENS}}
+    sets |= {t: {f"{n}_{b}": f"{c} AND coalesce({MV[b]}, FALSE)" for n, c in (("spell", "TRUE"), ("creature", TOKENS)) for b in bs} for t, bs in ((3, ("mv_0_2", "mv_3p")), (4, ("mv_0_2", "mv_3", "mv_4p")))}
+    narrow = {"pump": "(trick OR pump_aura)", "equipment_or_vehicle": "(equipment OR vehicle)", "card_manipulation": "draw", "other": "is_other", "alt_mode": "alt_mode"}
+    out = []
+    for t, broad in sets.items():
+        broad = {**broad, "removal": REMOVAL}
+        every = {n + s: f"{c} AND z_oh > 0.5" if s else c for n, c in broad.items() for s in ("", "_strong")} | (narrow if t > 1 else {})
+        for n, c in every.items():
+            out.append(f"round(coalesce(1 - product(1 - c{t}) FILTER (WHERE is_land = FALSE AND {c}), 0), 6) AS any_{n}_t{t}")
+            if t > 1:
+                out.append(f"round(coalesce(sum(c{t}) FILTER (WHERE is_land = FALSE AND {c}), 0), 6) AS count_{n}_t{t}")
+    return ", ".join(out)
 
 
-@query("d8_x18_castability", "WITH x AS (SELECT DISTINCT h.game_id, c.*, least((card_id * 13 % 11 + 0) / 10.0::DOUBLE, 1) AS p1, least((card_id * 13 % 11 + 2) / 10.0::DOUBLE, 1) AS p2 FROM hand_cards h JOIN cards c USING (card_id)) SELECT game_id, " + ", ".join(f"round(coalesce(1 - CASE WHEN max({p}) FILTER (WHERE {c}) >= 1 THEN 0 ELSE exp(sum(ln(1 - {p})) FILTER (WHERE {c} AND {p} < 1)) END, 0), 6) AS {n}_any_t{i}, round(coalesce(sum({p}) FILTER (WHERE {c}), 0), 6) AS {n}_count_t{i}" for n, c in {"land": "is_land", "creature": "is_creature AND NOT is_land", "removal": "is_removal AND NOT is_land", "spell": "NOT is_land"}.items() for i, p in ((1, "p1"), (2, "p2"))) + " FROM x GROUP BY game_id")
+GAMES = [f"lands_t{k}" for k in (2, 3, 4, 5)] + [f"mana_t{k}" for k in (2, 3, 4)]
+TURNS = [f"avg(CASE WHEN turn = {k} THEN CASE WHEN lands >= {k} THEN 1.0 ELSE 0.0 END END) AS lands_t{k}" for k in (2, 3, 4, 5)] + [f"avg(CASE WHEN turn = {k} THEN mana END) AS mana_t{k}" for k in (2, 3, 4)]
+
+
+@query("d8_x18_castability", f"""
+WITH x AS (SELECT game_id, n, r.* FROM deck_cards JOIN role_cards r USING (card_id)), o AS (SELECT game_id, {odds_sql()}, round(coalesce(sum(c4 * n) FILTER (WHERE NOT is_land) / nullif(sum(n) FILTER (WHERE NOT is_land), 0), 0), 6) AS deck_castable_t4 FROM x GROUP BY game_id),
+h AS (SELECT game_id, round(coalesce(avg(c4) FILTER (WHERE NOT is_land), 0), 6) AS hand_castable_t4 FROM hand_cards JOIN role_cards USING (card_id) GROUP BY game_id),
+g AS (SELECT run, {", ".join(TURNS)} FROM traces GROUP BY run)
+SELECT o.*, h.hand_castable_t4, {", ".join(f"round(g.{c}, 6) AS {c}" for c in GAMES)} FROM o LEFT JOIN h USING (game_id) LEFT JOIN g ON g.run = o.game_id""")
 def castability(t: Tables) -> DataFrame:
-    p = lambda k: F.least((F.col("card_id") * 13 % 11 + k) / F.lit(10.0), F.lit(1.0))
-    odds = t.cards.select("card_id", p(0).alias("p1"), p(2).alias("p2"))
-    return rounded(E.castability_features(t.hand_cards, t.cards, odds, (1, 2)))
+    games = E.game_rollup(t.traces, ["run"]).withColumnRenamed("run", "game_id")
+    return rounded(E.simulation_features(t.deck_cards, t.hand_cards, t.role_cards, games))
 
 
 @query("d9_context_features", "SELECT game_id, CASE WHEN on_play THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS on_the_play, CASE WHEN event_type = 'PremierDraft' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS event_PremierDraft, CASE WHEN expansion = 'BUILDING' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS set_BUILDING, CASE WHEN expansion = 'MACHINERY' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS set_MACHINERY FROM decisions")
@@ -118,20 +151,20 @@ def game_rollup(t: Tables) -> DataFrame:
     return rounded(E.game_rollup(t.traces))
 
 
-@query("d49_hand_explanation", """
-WITH o AS (SELECT name, round(count(*) FILTER (WHERE first_castable <= 2) / count(*)::DOUBLE, 6) AS t2 FROM traces GROUP BY name),
-h AS (SELECT DISTINCT game_id, card_id FROM hand_cards), x AS (SELECT h.game_id, c.is_land, c.is_creature, (c.card_id * 13 % 11) / 11.0::DOUBLE AS p FROM h JOIN cards c USING (card_id))
-SELECT game_id, round(1 - exp(sum(ln(1 - p)) FILTER (WHERE is_creature AND NOT is_land)), 6) AS creature, round(1 - exp(sum(ln(1 - p)) FILTER (WHERE NOT is_creature AND NOT is_land)), 6) AS other_spell,
-  round(1 - exp(coalesce(sum(ln(1 - p)) FILTER (WHERE NOT is_land), 0)), 6) AS any_spell FROM x GROUP BY game_id""")
+MISS = lambda cond, t: f"coalesce(product(1 - c{t}) FILTER (WHERE NOT is_land AND {cond}), 1)"
+
+
+@query("d49_hand_explanation", f"""
+WITH r AS (SELECT game_id, x.* FROM hand_cards JOIN role_cards x USING (card_id)), d AS (SELECT DISTINCT * FROM r), l AS (SELECT game_id, count(*) FILTER (WHERE is_land) AS lands FROM r GROUP BY game_id),
+m AS (SELECT game_id, {", ".join(f"{MISS(TOKENS, t)} AS a{t}, {MISS('NOT ' + TOKENS, t)} AS b{t}" for t in (1, 2, 3, 4))} FROM d GROUP BY game_id)
+SELECT game_id, lands, {", ".join(f"round(1 - a{t}, 6) AS creature_t{t}, round(1 - b{t}, 6) AS other_t{t}, round(1 - a{t} * b{t}, 6) AS spell_t{t}" for t in (1, 2, 3, 4))} FROM l JOIN m USING (game_id)""")
 def explanation(t: Tables) -> DataFrame:
-    from ..functions.numbers import any_of
-
-    rows = t.hand_cards.select("game_id", "card_id").distinct().join(t.cards, "card_id").withColumn("p", F.col("card_id") * 13 % 11 / F.lit(11.0))
-    spell = ~F.col("is_land")
-    grouped = rows.groupBy("game_id").agg(F.collect_list(F.when(spell & F.col("is_creature"), F.col("p"))).alias("a"), F.collect_list(F.when(spell & ~F.col("is_creature"), F.col("p"))).alias("b"))
-    some = lambda c: F.when(F.size(c) > 0, any_of(F.col(c)))
-    both = any_of(F.array(F.coalesce(some("a"), F.lit(0.0)), F.coalesce(some("b"), F.lit(0.0))))
-    return rounded(grouped.select("game_id", some("a").alias("creature"), some("b").alias("other_spell"), both.alias("any_spell")))
+    return rounded(E.hand_explanation(t.hand_cards, t.role_cards)[1])
+
+
+@query("d49b_card_explanation", "SELECT game_id, card_id, name, is_land, coalesce(mana_value, 0) AS mana_value, " + ", ".join(f"round(c{t}, 6) AS castable_t{t}" for t in (1, 2, 3, 4)) + ", round(oh, 6) AS oh FROM hand_cards JOIN role_cards USING (card_id)")
+def card_explanation(t: Tables) -> DataFrame:
+    return rounded(E.hand_explanation(t.hand_cards, t.role_cards)[0])
 
 
 HASH = "CAST('0x' || substr(sha256({x}), 1, 16) AS UBIGINT)::DOUBLE / 18446744073709551616.0::DOUBLE"

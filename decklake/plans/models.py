@@ -78,4 +78,34 @@ def live_decisions(t: Tables) -> DataFrame:
     """The event table as logs, read as a stream until all is processed: typed decisions with resolved hands and decks."""
     from ..streaming import log
 
-    return log.replay(log.logs_of_events(t.events), t.cards.select(F.col("card_id").cast("int").alias("id"), "name"))
+    return log.live(log.logs_of_events(t.events), t.cards.select(F.col("card_id").cast("int").alias("id"), "name"))
+
+
+REPLAY = """
+WITH e AS (SELECT user_id, ts, event_type AS kind, CAST(json_extract_string(props, '$.k') AS INT) AS n FROM events WHERE event_type <> 'error'),
+s AS (SELECT *, count(*) FILTER (WHERE kind NOT IN ('purchase', 'click', 'view')) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS game FROM e),
+m AS (
+  SELECT *, lag(n % 190) OVER (PARTITION BY user_id, kind ORDER BY ts) AS before_deck, last_value(CASE WHEN kind = 'purchase' THEN n END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS deck,
+    first_value(CASE WHEN kind IN ('click', 'view') THEN n % 2 END IGNORE NULLS) OVER (PARTITION BY user_id, game ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first,
+    lag((n % 3) * 1000 + n * 3 % 210) OVER (PARTITION BY user_id, game, kind ORDER BY ts) AS before_mark, (n % 3) * 1000 + n * 3 % 210 AS mark
+  FROM s),
+o AS (
+  SELECT user_id, ts, kind, n, deck, first,
+    CASE WHEN kind NOT IN ('purchase', 'click', 'view') THEN 'match_ended' WHEN kind = 'purchase' AND before_deck IS DISTINCT FROM n % 190 THEN 'deck_submitted'
+      WHEN kind = 'view' AND before_mark IS DISTINCT FROM mark THEN CASE WHEN deck IS NULL THEN 'no_deck' ELSE 'decision' END END AS what FROM m),
+c AS (SELECT max(card_id) AS most FROM (SELECT p_partkey AS card_id FROM part))
+SELECT CAST(user_id AS VARCHAR) AS source, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS at, what,
+  CASE WHEN kind = 'view' THEN n % 3 END AS mulligan_count, CASE WHEN kind = 'view' THEN first = 0 END AS on_the_play, CASE WHEN kind = 'view' AND first = 1 THEN n % 2 END AS opp_mulligan_count,
+  CASE WHEN kind = 'view' THEN 7 ELSE 0 END AS hand_size, CASE WHEN what IN ('decision', 'deck_submitted') THEN 36 ELSE 0 END AS deck_size
+FROM o, c WHERE what IS NOT NULL
+"""
+
+
+@query("s9_batch_replay", REPLAY)
+def batch_replay(t: Tables) -> DataFrame:
+    """The same logs as a finished table: one row for each typed decision."""
+    from ..streaming import log
+
+    found = log.replay(log.logs_of_events(t.events), t.cards.select(F.col("card_id").cast("int").alias("id"), "name"))
+    what = F.when(F.col("what").endswith("_unresolved"), "decision").otherwise(F.col("what"))
+    return found.select("source", "at", what.alias("what"), "mulligan_count", "on_the_play", "opp_mulligan_count", F.coalesce(F.size("hand"), F.lit(0)).alias("hand_size"), F.coalesce(F.size("deck"), F.lit(0)).alias("deck_size"))

@@ -1,8 +1,9 @@
 """A live event log as a stream: framing, typed events, keyed state, decisions.
 
-Blocks of a log follow a marker; each has a header line with its time, and
-JSON after it.  Files land in a folder, cut at markers.  Order holds within a
-source only, by the header's time and the place in the block.
+Blocks of a log follow a marker: a header, with the time or without, and JSON
+on the same line or after it.  Files land in a folder, cut at markers.  Order
+holds within a source only: by the file's number, the block's place in the
+file, and the place in the block.  Times are texts that are passed on.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 # Fixed values of the log's format.
 MARKER = "[UnityCrossThreadLogger]"
 MOST_BLOCK = 2_000_000
-HEADER = r"^(\d[^\n]*)\n"
+TIME = r"^\s*(\d[^\n{=<]*)"
+ORDER = ["part", "block", "place", "message"]
 
-EVENT = "source string, at string, place int, kind string, objects array<struct<instanceId:int,grpId:int>>, hand array<int>, owner int, local_seat int, seat int, mulligans int, opp_mulligans int, pending boolean, active_player int, deck array<int>"
-OUT = "source string, at string, what string, seat_id int, mulligan_count int, on_the_play boolean, opp_mulligan_count int, hand array<int>, deck array<int>"
+EVENT = "source string, part long, block int, place int, message int, at string, kind string, objects array<struct<instanceId:int,grpId:int>>, hand array<int>, owner int, local_seat int, seat int, mulligans int, opp_mulligans int, pending boolean, active_player int, deck array<int>"
+OUT = "source string, seq long, at string, what string, seat_id int, mulligan_count int, on_the_play boolean, opp_mulligan_count int, hand array<int>, deck array<int>"
 
 
 def json_objects(text: str) -> list[str]:
@@ -38,11 +40,10 @@ def json_objects(text: str) -> list[str]:
     return found
 
 
-def blocks(lines: DataFrame) -> DataFrame:
-    """(source, at, block) from text rows split at the marker: what has no header is junk before the first one or cut off."""
-    at = F.regexp_extract("value", HEADER, 1)
-    whole = lines.filter((at != "") & (F.length("value") <= MOST_BLOCK))
-    return whole.select("source", at.alias("at"), F.regexp_replace("value", HEADER, "").alias("block"))
+def blocks(files: DataFrame, marker: str = MARKER) -> DataFrame:
+    """(source, part, block, at, text) from whole files (source, part, value): what stands before the first marker is junk; ``at`` is null without a time."""
+    cut = files.select("source", "part", F.posexplode(F.split("value", "\\Q" + marker + "\\E", -1)).alias("block", "text")).filter("block > 0")
+    return cut.withColumn("at", F.nullif(F.trim(F.regexp_extract("text", TIME, 1)), F.lit("")))
 
 
 MESSAGES = """struct<greToClientEvent:struct<greToClientMessages:array<struct<type:string,systemSeatIds:array<int>,gameStateMessage:struct<gameObjects:array<struct<instanceId:int,grpId:int>>,
@@ -50,25 +51,29 @@ zones:array<struct<type:string,ownerSeatId:int,objectInstanceIds:array<int>>>,pl
 matchGameRoomStateChangedEvent:struct<gameRoomInfo:struct<stateType:string>>>"""
 
 
-def typed_events(framed: DataFrame) -> DataFrame:
-    """Rows of ``EVENT`` from blocks: game states, deck submissions and match ends; other shapes give none."""
+def typed_events(framed: DataFrame, most: int = MOST_BLOCK) -> DataFrame:
+    """Rows of ``EVENT`` from blocks: game states, deck submissions and match ends, and a failure for each block of over ``most`` characters; other shapes give none."""
     from ..functions.text import search_json
 
     objects = F.pandas_udf(lambda texts: pd.Series([json_objects(t) for t in texts]), "array<string>")
-    rows = framed.select("source", "at", F.posexplode(objects("block")).alias("place", "text")).withColumn("m", F.from_json("text", MESSAGES))
+    head = ["source", "part", "block", "place", "at"]
+    large = F.length("text") > most
+    rows = framed.filter(~large).select("source", "part", "block", "at", F.posexplode(objects("text")).alias("place", "text")).withColumn("m", F.from_json("text", MESSAGES))
     none = lambda kind: F.lit(None).cast(kind)
     blank = {"objects": none("array<struct<instanceId:int,grpId:int>>"), "hand": none("array<int>"), "owner": none("int"), "local_seat": none("int"), "seat": none("int"), "mulligans": none("int"), "opp_mulligans": none("int"), "pending": none("boolean"), "active_player": none("int"), "deck": none("array<int>")}
     order = [c.split()[0] for c in EVENT.split(", ")]
+    blank |= {"message": F.lit(0), "place": F.lit(0)}
     fill = lambda df, kind: df.withColumns({"kind": F.lit(kind), **{k: v for k, v in blank.items() if k not in df.columns}}).select(*order)
 
-    messages = rows.select("source", "at", "place", F.explode("m.greToClientEvent.greToClientMessages").alias("g")).select("source", "at", "place", F.element_at("g.systemSeatIds", 1).alias("local_seat"), F.col("g.gameStateMessage").alias("s")).filter("s IS NOT NULL")
+    messages = rows.select(*head, F.posexplode("m.greToClientEvent.greToClientMessages").alias("message", "g")).select(*head, "message", F.element_at("g.systemSeatIds", 1).alias("local_seat"), F.col("g.gameStateMessage").alias("s")).filter("s IS NOT NULL")
     zone = F.get(F.filter("s.zones", lambda z: (z.type == "ZoneType_Hand") & (z.ownerSeatId == F.col("local_seat"))), F.lit(0))
     mine = F.get(F.filter("s.players", lambda p: p.systemSeatNumber == F.col("local_seat")), F.lit(0))
     theirs = F.get(F.filter("s.players", lambda p: p.systemSeatNumber != F.col("local_seat")), F.lit(0))
-    states = messages.select("source", "at", "place", "local_seat", F.col("s.gameObjects").alias("objects"), zone.objectInstanceIds.alias("hand"), zone.ownerSeatId.alias("owner"), mine.systemSeatNumber.alias("seat"), F.coalesce(mine.mulliganCount, F.lit(0)).alias("mulligans"), theirs.mulliganCount.alias("opp_mulligans"), F.coalesce(mine.pendingMessageType == "ClientMessageType_MulliganResp", F.lit(False)).alias("pending"), F.col("s.turnInfo.activePlayer").alias("active_player"))
-    decks = rows.filter(F.col("text").contains("MainDeck")).select("source", "at", "place", F.explode(search_json("MainDeck")("text")).alias("deck")).withColumn("deck", F.col("deck").cast("array<int>"))
-    ends = rows.filter(F.col("m.matchGameRoomStateChangedEvent.gameRoomInfo.stateType") == "MatchGameRoomStateType_MatchCompleted").select("source", "at", "place")
-    return fill(states, "state").unionByName(fill(decks, "deck")).unionByName(fill(ends, "end"))
+    states = messages.select(*head, "message", "local_seat", F.col("s.gameObjects").alias("objects"), zone.objectInstanceIds.alias("hand"), zone.ownerSeatId.alias("owner"), mine.systemSeatNumber.alias("seat"), F.coalesce(mine.mulliganCount, F.lit(0)).alias("mulligans"), theirs.mulliganCount.alias("opp_mulligans"), F.coalesce(mine.pendingMessageType == "ClientMessageType_MulliganResp", F.lit(False)).alias("pending"), F.col("s.turnInfo.activePlayer").alias("active_player"))
+    decks = rows.filter(F.col("text").contains("MainDeck")).select(*head, F.posexplode(search_json("MainDeck")("text")).alias("message", "deck")).withColumn("deck", F.col("deck").cast("array<int>"))
+    ends = rows.filter(F.col("m.matchGameRoomStateChangedEvent.gameRoomInfo.stateType") == "MatchGameRoomStateType_MatchCompleted").select(*head)
+    failures = framed.filter(large).select("source", "part", "block", "at")
+    return fill(states, "state").unionByName(fill(decks, "deck")).unionByName(fill(ends, "end")).unionByName(fill(failures, "failure"))
 
 
 def advance(state: dict, event: dict) -> list[dict]:
@@ -79,6 +84,8 @@ def advance(state: dict, event: dict) -> list[dict]:
     out unless it has the same cards as the last one.  A match's end empties
     all but the deck.
     """
+    if event["kind"] == "failure":
+        return [{"what": "oversized_block"}]
     if event["kind"] == "deck":
         same = sorted(event["deck"]) == sorted(state.get("deck", []))
         state["deck"] = list(event["deck"])
@@ -127,23 +134,47 @@ def _plain(value):
 
 
 def _rows(frame: pd.DataFrame) -> list[dict]:
-    return [{k: _plain(v) for k, v in row.items()} for row in frame.sort_values(["at", "place"], kind="stable").to_dict("records")]
+    return [{k: _plain(v) for k, v in row.items()} for row in frame.to_dict("records")]
 
 
-def _stateful(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = json.loads(state.get[0]) if state.exists else {}
-    events = pd.concat(list(frames), ignore_index=True)
-    out = []
-    for event in _rows(events):
-        for made in advance(held, event):
-            out.append({"source": key[0], "at": event["at"], **made})
-    state.update((json.dumps(held),))
+def _framed(out: list[dict]) -> pd.DataFrame:
     names = [c.split()[0] for c in OUT.split(", ")]
     frame = pd.DataFrame({n: pd.Series([row.get(n) for row in out], dtype=object) for n in names})
+    frame["seq"] = frame["seq"].astype("Int64")
     for c in ("seat_id", "mulligan_count", "opp_mulligan_count"):
         frame[c] = frame[c].astype("Int32")
     frame["on_the_play"] = frame["on_the_play"].astype("boolean")
-    yield frame
+    return frame
+
+
+def _stateful(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    held = json.loads(state.get[0]) if state.exists else {"made": 0, "state": {}}
+    events = pd.concat(list(frames), ignore_index=True)
+    out = []
+    for event in _rows(events.sort_values(ORDER, kind="stable")):
+        out += _made(held, key[0], event)
+    state.update((json.dumps(held),))
+    yield _framed(out)
+
+
+def _made(held: dict, source: str, event: dict) -> list[dict]:
+    out = []
+    for made in advance(held["state"], event):
+        held["made"] += 1
+        out.append({"source": source, "seq": held["made"], "at": event["at"], **made})
+    return out
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same over rows sorted by source and order: of a source, only its state is held."""
+    source, held = None, {"made": 0, "state": {}}
+    for frame in frames:
+        out = []
+        for event in _rows(frame):
+            if event["source"] != source:
+                source, held = event["source"], {"made": 0, "state": {}}
+            out += _made(held, source, event)
+        yield _framed(out)
 
 
 def decisions(events: DataFrame) -> DataFrame:
@@ -157,43 +188,63 @@ def resolved(rows: DataFrame, cards: DataFrame) -> DataFrame:
     ``cards``: (id, name).  ``what`` becomes hand_unresolved or
     deck_unresolved where a decision has unknown ids.
     """
-    keyed = rows.withColumn("row", F.sha2(F.concat_ws("|", "source", "at", "what", F.col("hand").cast("string"), F.col("deck").cast("string")), 256)).dropDuplicates(["row"])
-    ids = keyed.select("row", F.explode(F.array(F.struct(F.lit("hand").alias("part"), F.coalesce("hand", F.array().cast("array<int>")).alias("ids")), F.struct(F.lit("deck").alias("part"), F.coalesce("deck", F.array().cast("array<int>")).alias("ids")))).alias("p")).select("row", "p.part", F.posexplode("p.ids").alias("pos", "id"))
-    named = ids.join(cards, "id", "left").groupBy("row").agg(
+    ids = rows.select("source", "seq", F.explode(F.array(F.struct(F.lit("hand").alias("part"), F.coalesce("hand", F.array().cast("array<int>")).alias("ids")), F.struct(F.lit("deck").alias("part"), F.coalesce("deck", F.array().cast("array<int>")).alias("ids")))).alias("p")).select("source", "seq", "p.part", F.posexplode("p.ids").alias("pos", "id"))
+    named = ids.join(cards, "id", "left").groupBy("source", "seq").agg(
         *[F.transform(F.array_sort(F.collect_list(F.when((F.col("part") == part) & F.col("name").isNotNull(), F.struct("pos", "name")))), lambda x: x["name"]).alias(f"{part}_names") for part in ("hand", "deck")],
         *[F.count_if((F.col("part") == part) & F.col("name").isNull()).alias(f"{part}_unknown") for part in ("hand", "deck")],
     )
-    out = keyed.join(named, "row", "left").fillna(0, ["hand_unknown", "deck_unknown"])
+    out = rows.join(named, ["source", "seq"], "left").fillna(0, ["hand_unknown", "deck_unknown"])
     what = F.when((F.col("what") == "decision") & (F.col("hand_unknown") > 0), "hand_unresolved").when((F.col("what") == "decision") & (F.col("deck_unknown") > 0), "deck_unresolved").otherwise(F.col("what"))
     none = F.array().cast("array<string>")
-    return out.withColumns({"what": what, "hand_names": F.coalesce("hand_names", none), "deck_names": F.coalesce("deck_names", none)}).drop("row")
+    return out.withColumns({"what": what, "hand_names": F.coalesce("hand_names", none), "deck_names": F.coalesce("deck_names", none)})
 
 
-def read_logs(spark: SparkSession, path: str, marker: str = MARKER) -> DataFrame:
-    """Streaming rows (source, value) of landed log files: a folder ``source=<name>`` for each source."""
-    schema = "value string, source string"
-    return spark.readStream.format("text").schema(schema).option("lineSep", marker).load(path)
+def decisions_in_batch(events: DataFrame) -> DataFrame:
+    """What ``decisions`` gives, of a finished table: each source's events go through a task in order, one batch after the other."""
+    return events.repartition("source").sortWithinPartitions("source", *ORDER).mapInPandas(_in_order, OUT)
 
 
-def replay(logs: DataFrame, cards: DataFrame, folder: str | None = None) -> DataFrame:
-    """All logs through the stream until nothing is left: the same logic as live, with a trigger that ends.
+def read_logs(spark: SparkSession, path: str, most_files: int | None = None) -> DataFrame:
+    """Streaming rows (source, part, value) of landed log files: ``source=<name>/part=<number>``, a file each.
 
-    ``logs``: (source, value), each value a whole log's text.
+    Within a batch files go by number; ``most_files`` bounds a batch where they
+    land in that order.
+    """
+    reader = spark.readStream.format("text").schema("value string, source string, part long").option("wholetext", True)
+    return (reader.option("maxFilesPerTrigger", most_files) if most_files else reader).load(path)
+
+
+def _parts(logs: DataFrame) -> DataFrame:
+    return logs if "part" in logs.columns else logs.withColumn("part", F.lit(0).cast("long"))
+
+
+def live(logs: DataFrame, cards: DataFrame, folder: str | None = None, most_block: int = MOST_BLOCK) -> DataFrame:
+    """All logs through the stream until nothing is left.
+
+    ``logs``: (source, value) and, where a source has several files, part.
     """
     spark = logs.sparkSession
-    root = f"{folder or _shared(spark)}/replay-{uuid.uuid4().hex}"
-    logs.write.partitionBy("source").option("lineSep", "\n").text(f"{root}/logs")
+    root = f"{folder or _shared(spark)}/live-{uuid.uuid4().hex}"
+    _parts(logs).write.partitionBy("source", "part").option("lineSep", "\n").text(f"{root}/logs")
 
     def sink(batch: DataFrame, number: int) -> None:
         resolved(batch, cards).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
 
-    stream = decisions(typed_events(blocks(read_logs(spark, f"{root}/logs"))))
+    stream = decisions(typed_events(blocks(read_logs(spark, f"{root}/logs")), most_block))
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out").drop("batch")
 
 
+def replay(logs: DataFrame, cards: DataFrame, most_block: int = MOST_BLOCK) -> DataFrame:
+    """The same logic over logs that are all there, without a stream."""
+    return resolved(decisions_in_batch(typed_events(blocks(_parts(logs)), most_block)), cards)
+
+
 def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where there is no other machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return found or "file://" + tempfile.mkdtemp(prefix="decklake-")
 
 
@@ -211,4 +262,4 @@ def logs_of_events(events: DataFrame) -> DataFrame:
     body = F.when(c("event_type") == "purchase", deck).when(c("event_type").isin("click", "view"), game).when(c("event_type") == "error", F.lit('{"broken": ')).otherwise(end)
     block = F.concat(F.lit(MARKER), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("\n"), body, F.lit("\n"))
     # A log is cut into files of an hour's blocks.
-    return events.withColumn("b", block).groupBy(c("user_id").alias("source"), F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "b"))).alias("x")).select(F.concat(F.lit("junk\n"), F.array_join("x.b", "")).alias("value"), c("source").cast("string").alias("source"))
+    return events.withColumn("b", block).groupBy(c("user_id").alias("source"), F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "b"))).alias("x")).select(F.concat(F.lit("junk\n"), F.array_join("x.b", "")).alias("value"), c("source").cast("string").alias("source"), F.unix_timestamp("hour").alias("part"))

@@ -94,8 +94,8 @@ def test_positions_and_ranks(spark):
     rows = [(i, rng.choice([0.1, 0.2, 0.2, 0.7, rng.random()])) for i in range(500)]
     df = spark.createDataFrame(rows, "i int, p double")
     want = {i: k for k, (i, _) in enumerate(sorted(rows, key=lambda r: (r[1], r[0])))}
-    assert {r.i: r.position for r in ranks.positions(df, "p", ["i"], buckets=16).collect()} == want
-    got = {r.p: r["rank"] for r in ranks.average_ranks(df, "p", buckets=16).collect()}
+    assert {r.i: r.position for r in ranks.positions(df, "p", ["i"], bucket_rows=40).collect()} == want
+    got = {r.p: r["rank"] for r in ranks.average_ranks(df, "p", bucket_rows=40).collect()}
     for p in (0.1, 0.2, 0.7):
         places = [want[i] + 1 for i, q in rows if q == p]
         assert got[p] == sum(places) / len(places)

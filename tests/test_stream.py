@@ -22,7 +22,10 @@ def text(*objects):
 def replay(spark, logs, tmp_path):
     cards = spark.createDataFrame([(10, "Ten"), (20, "Twenty")], "id int, name string")
     df = spark.createDataFrame([(s, t) for s, t in logs.items()], "source string, value string")
-    return sorted(log.replay(df, cards, f"file://{tmp_path}").collect(), key=lambda r: (r.source, r.at))
+    key = lambda r: (r.source, r.at or "", r.what)
+    live, batch = (sorted(d.collect(), key=key) for d in (log.live(df, cards, f"file://{tmp_path}", 5000), log.replay(df, cards, 5000)))
+    assert [r.asDict() for r in live] == [{k: r[k] for k in live[0].asDict()} for r in batch]
+    return live
 
 
 def test_decisions(spark, tmp_path):
@@ -46,3 +49,18 @@ def test_decisions(spark, tmp_path):
 def test_json_objects():
     assert log.json_objects('a {bad {"x": {"y": 1}} {"z": 2}') == ['{"x": {"y": 1}}', '{"z": 2}']
     assert log.json_objects("") == []
+
+
+def test_order_is_the_files_not_the_times(spark, tmp_path):
+    """Times without leading zeros, across noon and midnight, several blocks in a second, and headers of every kind."""
+    block = lambda at, body: f"{log.MARKER}{at}\n{json.dumps(body)}\n"
+    times = ["3/15/2026 9:59:58 AM", "3/15/2026 10:00:01 AM", "3/15/2026 12:30:00 PM", "3/15/2026 12:30:00 PM", "3/15/2026 1:05:00 PM", "3/16/2026 12:00:01 AM"]
+    bodies = [DECK, state(mulligans=0), state(mulligans=1), state(mulligans=2), END, state(mulligans=0, active=2)]
+    whole = "junk {}\n" + "".join(map(block, times, bodies))
+    odd = f"{log.MARKER}3/15/2026 7:23:00 PM {json.dumps(DECK)}\n{log.MARKER}==> Request 5 {json.dumps(state(mulligans=3))}\n{log.MARKER}: Match to X {json.dumps(END)}{log.MARKER}3/15/2026 8:00:00 PM\n{'x' * 6000}\n"
+    rows = replay(spark, {"a": whole, "b": odd}, tmp_path)
+    got = {(r.source, r.what, r.mulligan_count, r.on_the_play, r.at) for r in rows}
+    assert got == {
+        ("a", "deck_submitted", None, None, times[0]), *(("a", "decision", k, True, times[k + 1]) for k in range(3)), ("a", "match_ended", None, None, times[4]), ("a", "decision", 0, False, times[5]),
+        ("b", "deck_submitted", None, None, "3/15/2026 7:23:00 PM"), ("b", "decision", 3, True, None), ("b", "match_ended", None, None, None), ("b", "oversized_block", None, None, "3/15/2026 8:00:00 PM"),
+    }
