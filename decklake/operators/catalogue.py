@@ -225,6 +225,13 @@ def status_counts(cards: DataFrame, statuses: list[str]) -> DataFrame:
     return F.broadcast(listed).join(cards.groupBy("status").agg(F.count("*").alias("n")), "status", "left").fillna(0, ["n"])
 
 
+def games_with(decks: DataFrame, cards: DataFrame, affected: DataFrame) -> DataFrame:
+    """(game_id): games whose deck holds a card with the front face of an affected one."""
+    fronts = affected.select(front_face(F.col("name")).alias("front")).distinct()
+    named = decks.join(cards.select("card_id", front_face(F.col("name")).alias("front")), "card_id")
+    return named.join(fronts, "front", "left_semi").select("game_id").distinct()
+
+
 def primary_set(decks: DataFrame, cards: DataFrame, basic_sets: list[str]) -> DataFrame:
     """(game_id, set_code): the set of most copies outside ``basic_sets``, of ties the first by name; null if none."""
     counted = decks.join(cards.select("card_id", "set_code"), "card_id").groupBy("game_id", "set_code").agg(F.sum("n").alias("n"))

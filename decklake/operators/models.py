@@ -10,6 +10,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import clip, hash_unit, logit
+from ..sources.materialise import held
 from .metrics import metric_columns
 
 #: Columns of a feature table that are no features.
@@ -111,7 +112,8 @@ def sweep(rows: DataFrame, features: list[str], label: str, settings: list[dict]
     out, losses = None, {}
     for k, setting in enumerate(settings):
         model = train_trees(rows, features, label, **setting)
-        scored = score(model, rows.filter(F.col("split").isin("val", "test")), features).withColumn("own_y", F.col(label).cast("double")).persist()
+        scored = score(model, rows.filter(F.col("split").isin("val", "test")), features).withColumn("own_y", F.col(label).cast("double"))
+        scored = held(scored, "scored")
         losses[k] = scored.filter((F.col("split") == "val") & subset).agg(log_loss(F.col("p"), F.col("own_y"))).first()[0]
         part = scored.filter(F.col("split") == "test").groupBy(by).agg(*metric_columns(F.col("p"), F.col("own_y"))).withColumn("setting", F.lit(k))
         out = part if out is None else out.unionByName(part)

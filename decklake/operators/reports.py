@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import LOWEST_VERDICT, VERDICTS
-from .metrics import grouped_auc, log_loss, spearman
+from .metrics import equal_count_bins, grouped_auc, grouped_metrics, log_loss, spearman
 from .ranks import beside, joined, positions, quantiles
 
 # What makes a player elite in each event: games, win rate, ranks (none asked for if empty).
@@ -64,6 +64,12 @@ def presets(kept: str = "was_kept", p_keep: str = "p_keep") -> dict[str, Column]
     }
 
 
+def hard_disagreement(verdict: str, kept: str, cohort: str, name: str) -> Column:
+    """A clear verdict that a player of one cohort went against."""
+    v, k = F.col(verdict), F.col(kept)
+    return (F.col(cohort) == name) & (((v == "clear_keep") & ~k) | ((v == "clear_mulligan") & k))
+
+
 def disagreements(df: DataFrame, votes: DataFrame, key: list[str], chosen: dict[str, Column] | None = None) -> DataFrame:
     """Rows of each preset, without those voted on, in order of their decision key."""
     marks = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in (chosen or presets()).items()]))
@@ -92,18 +98,71 @@ def residual_lift(df: DataFrame, p_full: str, p_base: str, y: str) -> DataFrame:
 
 
 def slice_residuals(df: DataFrame, p_full: str, p_base: str, y: str, by: str) -> DataFrame:
+    """Mean difference and residual of two models by slice, the gaps of mean and log loss, and both areas under the curve."""
     p, b, label = F.col(p_full), F.col(p_base), F.col(y)
-    flat = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(p - b).alias("mean_delta"), F.avg(label - b).alias("mean_resid"), (F.avg(p) - F.avg(label)).alias("gap"))
-    return flat.join(grouped_auc(df, p_full, y, [by]).withColumnRenamed("auc", "auc_full"), by, "left")
+    flat = df.groupBy(by).agg(F.count("*").alias("n"), F.avg(p - b).alias("mean_delta"), F.avg(label - b).alias("mean_resid"), (F.avg(p) - F.avg(label)).alias("gap"), (log_loss(b, label) - log_loss(p, label)).alias("ll_gap"))
+    for name, column in (("auc_base", p_base), ("auc_full", p_full)):
+        flat = joined(flat, grouped_auc(df, column, y, [by]).withColumnRenamed("auc", name), [by])
+    return flat
+
+
+def card_lift(hands: DataFrame, marked: DataFrame, game: str, card: str, disagree: str, least: int, by: list[str] = (), least_group: int = 0) -> DataFrame:
+    """Share of hands with a card among those that disagree and those that agree, and the ratio of both.
+
+    ``marked`` has a row a game, or, with ``by``, a row for each game and group
+    that it is in; cards in fewer than ``least`` hands of a group are left
+    out, and so are groups that lack ``least_group`` hands on either side.
+    """
+    by, d = list(by), F.col(disagree)
+    totals = marked.groupBy(*by).agg(F.count_if(d).alias("nd"), F.count_if(~d).alias("na")).filter((F.col("nd") >= least_group) & (F.col("na") >= least_group))
+    counts = hands.select(game, card).distinct().join(marked, game).groupBy(*by, card).agg(F.count("*").alias("n"), F.count_if(d).alias("d"), F.count_if(~d).alias("a")).filter(F.col("n") >= least)
+    shares = joined(counts, totals, by).withColumns({"p_disagree": F.try_divide("d", "nd"), "p_agree": F.try_divide("a", "na")})
+    return shares.select(*by, card, "n", "p_disagree", "p_agree", F.when(F.col("a") == 0, F.lit(float("inf"))).otherwise(F.col("p_disagree") / F.col("p_agree")).alias("lift"))
+
+
+def outcome_groups(df: DataFrame, kept: str) -> DataFrame:
+    """Each row twice: in the slice overall, and in kept or mulled."""
+    return df.withColumn("slice", F.explode(F.array(F.lit("overall"), F.when(F.col(kept), "kept").otherwise("mulled"))))
+
+
+def verdict_shares(df: DataFrame, verdict: str, kept: str) -> DataFrame:
+    """Of each verdict, overall: rows, their share, and the share of players who did what it says; null for what says nothing."""
+    v, k = F.col(verdict), F.col(kept)
+    agree = F.when(v.endswith("keep"), k).when(v.endswith("mulligan"), ~k)
+    counts = df.groupBy(v.alias("verdict")).agg(F.count("*").alias("n"), F.avg(agree.cast("double")).alias("agreement"))
+    return joined(counts, df.agg(F.count("*").alias("total")), []).withColumn("share", F.col("n") / F.col("total")).drop("total")
+
+
+def bands(column: Column, cuts: list[float], name: str) -> dict[str, Column]:
+    """Half-open bands between cuts, open at both ends; null and NaN are in none."""
+    known = ~F.isnan(column.cast("double"))
+    edges = [None, *cuts, None]
+    out = {}
+    for low, high in zip(edges, edges[1:]):
+        label = f"{name} < {high:g}" if low is None else f"{name} >= {low:g}" if high is None else f"{low:g} <= {name} < {high:g}"
+        cond = known
+        cond = cond if low is None else cond & (column >= low)
+        out[label] = cond if high is None else cond & (column < high)
+    return out
+
+
+def counted(column: Column, most: int, name: str, least: int = 0) -> dict[str, Column]:
+    """One slice for each number from ``least`` up to ``most``, the last with what is above."""
+    return {f"{k}{'+' if k == most else ''} {name}": column >= k if k == most else column == k for k in range(least, most + 1)}
+
 
+def hand_slices(roles: dict[str, list[str]]) -> dict[str, Column]:
+    """Slices of a table with the features of decks and hands: colours, lands, roles, pips, land drops, mana and best rates.
 
-def card_lift(hands: DataFrame, marked: DataFrame, game: str, card: str, disagree: str, least: int) -> DataFrame:
-    """Share of hands with a card among those that disagree and those that agree, and the ratio of both."""
-    d = F.col(disagree)
-    totals = marked.agg(F.count_if(d).alias("nd"), F.count_if(~d).alias("na"))
-    counts = hands.select(game, card).distinct().join(marked, game).groupBy(card).agg(F.count("*").alias("n"), F.count_if(d).alias("d"), F.count_if(~d).alias("a")).filter(F.col("n") >= least)
-    shares = counts.crossJoin(F.broadcast(totals)).withColumns({"p_disagree": F.try_divide("d", "nd"), "p_agree": F.try_divide("a", "na")})
-    return shares.select(card, "n", "p_disagree", "p_agree", F.when(F.col("a") == 0, F.lit(float("inf"))).otherwise(F.col("p_disagree") / F.col("p_agree")).alias("lift"))
+    ``roles``: the columns whose sum says whether a hand has a role.
+    """
+    c = F.col
+    out = counted(c("main_colors"), 4, "main colors", 1) | counted(c("deck_colors"), 4, "total colors", 1) | counted(c("lands"), 5, "lands")
+    for role, columns in roles.items():
+        n = sum((F.coalesce(c(x), F.lit(0)) for x in columns), F.lit(0))
+        out |= {f"has {role}": n > 0, f"no {role}": n == 0}
+    out |= counted(c("double_pip"), 3, "double pips") | counted(c("distinct_colors"), 3, "colors needed") | bands(c("lands_t3"), [0.5, 0.7, 0.85, 0.95], "p land drop t3") | bands(c("mana_t4"), [3.0, 3.5, 4.0], "mana t4")
+    return out | {"no spells": c("spells") == 0} | {k: v & (c("spells") > 0) for k, v in bands(c("max_gih"), [0.48, 0.52, 0.56, 0.6], "max gih").items()}
 
 
 def top_n(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -165,11 +224,18 @@ def absolute_delta(df: DataFrame, a: str, b: str) -> DataFrame:
     return rest.crossJoin(F.broadcast(quantiles(gaps, "gap", [0.5]))).select("mean", F.col("q")[0].alias("median"), "max")  # one row each
 
 
-def transfer(df: DataFrame, p: str, y: str, domain: str, home: str, by: str) -> DataFrame:
-    """Log loss outside the home domain, and against the loss at home."""
+def transfer(df: DataFrame, p: str, y: str, domain: str, home: str, mulligan: str, ties: list[str]) -> DataFrame:
+    """Metrics away from the home domain: overall, by mulligan number and by deciles of first decisions, each beside the difference of its log loss to the one at home."""
+    away = df.filter(F.col(domain) != home)
     at_home = df.filter(F.col(domain) == home).agg(log_loss(F.col(p), F.col(y)).alias("home"))
-    away = df.filter(F.col(domain) != home).groupBy(domain, by).agg(F.count("*").alias("n"), log_loss(F.col(p), F.col(y)).alias("log_loss"))
-    return away.crossJoin(F.broadcast(at_home)).withColumn("against_home", F.col("log_loss") - F.col("home")).drop("home")
+    parts = [away.withColumns({"section": F.lit("overall"), "value": F.lit("all")}), away.withColumns({"section": F.lit("mulligan"), "value": F.col(mulligan).cast("string")})]
+    deciles = equal_count_bins(away.filter(F.col(mulligan) == 0), p, ties, 10, "own_bin")
+    parts.append(deciles.withColumns({"section": F.lit("decile"), "value": F.col("own_bin").cast("string")}).drop("own_bin"))
+    out = None
+    for part in parts:
+        found = grouped_metrics(part, p, y, ["section", "value"])
+        out = found if out is None else out.unionByName(found)
+    return joined(out, at_home, []).withColumn("against_home", F.col("log_loss") - F.col("home")).drop("home")
 
 
 def always_keep(df: DataFrame, p: str, kept: str, by: list[str]) -> DataFrame:

@@ -233,14 +233,32 @@ def stats_coverage(t: Tables) -> DataFrame:
     return t.deck_cards.join(cards, "card_id").groupBy("game_id").agg(F.sum(F.when(F.col("has"), F.col("n")).otherwise(0)).alias("matched"), F.sum("n").alias("total"))
 
 
-@query("c9_invalidation", """
-WITH bad AS (SELECT DISTINCT game_id FROM deck_cards JOIN cards USING (card_id) WHERE split_part(name, ' // ', 1) IN (SELECT split_part(name, ' // ', 1) FROM cards WHERE card_id % 97 = 5))
-SELECT d.game_id FROM decisions d WHERE d.game_id NOT IN (SELECT game_id FROM bad)""")
+AFFECTED = """
+bad AS (SELECT DISTINCT game_id FROM deck_cards JOIN cards USING (card_id) WHERE split_part(name, ' // ', 1) IN (SELECT split_part(name, ' // ', 1) FROM cards WHERE card_id % 97 = 5))
+"""
+
+
+def affected_games(t: Tables) -> DataFrame:
+    return C.games_with(t.deck_cards, t.cards, t.cards.filter("card_id % 97 = 5"))
+
+
+def invalidated(t: Tables) -> tuple[str, DataFrame]:
+    from ..sources import materialise as W
+
+    path = W.scratch(t.spark, "shards")
+    t.decisions.select("game_id", "expansion", "event_type").write.partitionBy(*W.PARTITION).parquet(path)
+    return path, W.invalidate(t.spark, path, affected_games(t), ["game_id"])
+
+
+@query("c9_invalidation", f"WITH {AFFECTED} SELECT d.game_id FROM decisions d WHERE d.game_id NOT IN (SELECT game_id FROM bad)")
 def invalidation(t: Tables) -> DataFrame:
-    affected = t.cards.filter("card_id % 97 = 5").select(K.front_face(F.col("name")).alias("front")).distinct()
-    named = t.deck_cards.join(t.cards.select("card_id", K.front_face(F.col("name")).alias("front")), "card_id")
-    games = named.join(affected, "front", "left_semi").select("game_id").distinct()
-    return t.decisions.select("game_id").join(games, "game_id", "left_anti")
+    """What a stored dataset holds after the games with an affected card were deleted."""
+    return t.spark.read.parquet(invalidated(t)[0]).select("game_id")
+
+
+@query("c9b_invalidation_report", f"WITH {AFFECTED} SELECT expansion, event_type, count(*) FILTER (WHERE b.game_id IS NOT NULL) AS deleted, count(*) FILTER (WHERE b.game_id IS NULL) AS kept FROM decisions d LEFT JOIN bad b USING (game_id) GROUP BY 1, 2 HAVING count(b.game_id) > 0")
+def invalidation_report(t: Tables) -> DataFrame:
+    return invalidated(t)[1]
 
 
 @query("c7_c8_reuse_and_resume", """

@@ -109,6 +109,15 @@ def disagreements(t: Tables) -> DataFrame:
     return R.disagreements(rows, votes, ["draft_id", "game_id"]).select("preset", "game_id", "decision_key")
 
 
+@query("b16b_hard_disagreements", f"""
+WITH x AS (SELECT *, {COHORT} AS cohort, {VERDICT} AS verdict FROM decisions WHERE mulligan_number = 0)
+SELECT 'elite' AS preset, game_id FROM x WHERE cohort = 'elite' AND ((verdict = 'clear_keep' AND NOT was_kept) OR (verdict = 'clear_mulligan' AND was_kept)) AND game_id % 20 <> 0""")
+def hard_disagreements(t: Tables) -> DataFrame:
+    rows = t.decisions.filter("mulligan_number = 0").withColumns({"cohort": R.cohort(F.col("event_type"), F.col("win_rate"), F.col("n_games"), F.col("player_rank")), "verdict": N.banded(F.col("p_keep")), "decision_key": F.col("game_id")})
+    chosen = {"elite": R.hard_disagreement("verdict", "was_kept", "cohort", "elite")}
+    return R.disagreements(rows, t.decisions.filter("game_id % 20 = 0"), ["game_id"], chosen).select("preset", "game_id")
+
+
 @query("b26_b27_conditional_and_vocabulary", "SELECT expansion, count(*) AS n, CAST(sum(CASE WHEN NOT on_play THEN opp_mulligans END) AS BIGINT) AS opp_on_draw FROM decisions WHERE expansion NOT IN ('BUILDING', 'MACHINERY') GROUP BY expansion ORDER BY n DESC")
 def vocabulary(t: Tables) -> DataFrame:
     rows = t.decisions.withColumn("opp", F.when(~F.col("on_play"), F.col("opp_mulligans")))
@@ -253,8 +262,10 @@ def residual_lift(t: Tables) -> DataFrame:
 
 @query("d30_slice_residuals", """
 WITH x AS (SELECT expansion, p_keep, p_base, CASE WHEN was_kept THEN 1 ELSE 0 END AS y FROM decisions),
-r AS (SELECT *, rank() OVER (PARTITION BY expansion ORDER BY p_keep) + (count(*) OVER (PARTITION BY expansion, p_keep) - 1) / 2.0 AS rk FROM x)
+r AS (SELECT *, rank() OVER (PARTITION BY expansion ORDER BY p_keep) + (count(*) OVER (PARTITION BY expansion, p_keep) - 1) / 2.0 AS rk, rank() OVER (PARTITION BY expansion ORDER BY p_base) + (count(*) OVER (PARTITION BY expansion, p_base) - 1) / 2.0 AS rb FROM x)
 SELECT expansion, count(*) AS n, round(avg(p_keep - p_base), 6) AS mean_delta, round(avg(y - p_base), 6) AS mean_resid, round(avg(p_keep) - avg(y), 6) AS gap,
+  round(avg(-(y * ln(p_base) + (1 - y) * ln(1 - p_base))) - avg(-(y * ln(p_keep) + (1 - y) * ln(1 - p_keep))), 6) AS ll_gap,
+  round(CAST(sum(rb * y) - sum(y) * (sum(y) + 1) / 2.0 AS DOUBLE) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) AS auc_base,
   round(CAST(sum(rk * y) - sum(y) * (sum(y) + 1) / 2.0 AS DOUBLE) / nullif(sum(y) * (count(*) - sum(y)), 0), 6) AS auc_full FROM r GROUP BY expansion""")
 def slice_residuals(t: Tables) -> DataFrame:
     return rounded(R.slice_residuals(scored(t), "p_keep", "p_base", "y", "expansion"))
@@ -281,11 +292,30 @@ def card_lift(t: Tables) -> DataFrame:
     return rounded(R.card_lift(t.hand_cards, marked, "game_id", "card_id", "disagree", 20))
 
 
-@query("l1_top_lift", LIFT + "SELECT card_id, round(lift, 6) AS lift, CAST(rk AS INT) AS rk FROM (SELECT card_id, lift, row_number() OVER (ORDER BY round(lift, 9) DESC, card_id) AS rk FROM l) WHERE rk <= 15")
+GROUPED_LIFT = """
+WITH h AS (SELECT DISTINCT game_id, card_id FROM hand_cards), y AS (SELECT game_id, expansion, was_kept, (p_keep >= 0.5) <> was_kept AS disagree FROM decisions),
+x AS (SELECT *, 'overall' AS slice FROM y UNION ALL SELECT *, CASE WHEN was_kept THEN 'kept' ELSE 'mulled' END FROM y),
+tot AS (SELECT expansion, slice, count(*) FILTER (WHERE disagree) AS nd, count(*) FILTER (WHERE NOT disagree) AS na FROM x GROUP BY 1, 2 HAVING nd >= 5 AND na >= 5),
+c AS (SELECT expansion, slice, card_id, count(*) AS n, count(*) FILTER (WHERE disagree) AS d, count(*) FILTER (WHERE NOT disagree) AS a FROM h JOIN x USING (game_id) GROUP BY 1, 2, 3),
+l AS (SELECT expansion, slice, card_id, n, d / nd::DOUBLE AS p_disagree, a / na::DOUBLE AS p_agree, CASE WHEN a = 0 THEN 'Infinity'::DOUBLE ELSE (d / nd::DOUBLE) / (a / na::DOUBLE) END AS lift FROM c JOIN tot USING (expansion, slice) WHERE n >= 5)
+"""
+
+
+def grouped_lift(t: Tables) -> DataFrame:
+    marked = R.outcome_groups(t.decisions.select("game_id", "expansion", "was_kept", ((F.col("p_keep") >= 0.5) != F.col("was_kept")).alias("disagree")), "was_kept").drop("was_kept")
+    return R.card_lift(t.hand_cards, marked, "game_id", "card_id", "disagree", 5, ["expansion", "slice"], 5)
+
+
+@query("d32b_grouped_lift", GROUPED_LIFT + "SELECT expansion, slice, card_id, n, round(p_disagree, 6) AS p_disagree, round(p_agree, 6) AS p_agree, round(lift, 6) AS lift FROM l")
+def lift_by_group(t: Tables) -> DataFrame:
+    return rounded(grouped_lift(t))
+
+
+@query("l1_top_lift", GROUPED_LIFT + "SELECT expansion, slice, card_id, round(lift, 6) AS lift, CAST(rk AS INT) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY expansion, slice ORDER BY round(lift, 9) DESC, card_id) AS rk FROM l) WHERE rk <= 15")
 def top_lift(t: Tables) -> DataFrame:
-    marked = t.decisions.select("game_id", ((F.col("p_keep") >= 0.5) != F.col("was_kept")).alias("disagree"))
-    lift = R.card_lift(t.hand_cards, marked, "game_id", "card_id", "disagree", 20)
-    return rounded(R.top_n(lift.withColumn("all", F.lit(1)), ["all"], [F.round("lift", 9).desc(), F.col("card_id")], 15).select("card_id", "lift", "rk"))
+    """The cards of most lift in each set and slice: of a group's few hundred cards."""
+    top = R.top_n(grouped_lift(t), ["expansion", "slice"], [F.round("lift", 9).desc(), F.col("card_id")], 15)
+    return rounded(top.select("expansion", "slice", "card_id", "lift", "rk"))
 
 
 @query("d33_quantile_summary", "SELECT event_type, round(quantile_cont(p_keep, 0.01), 6) AS p01, round(quantile_cont(p_keep, 0.05), 6) AS p05, round(quantile_cont(p_keep, 0.25), 6) AS p25, round(quantile_cont(p_keep, 0.5), 6) AS p50, round(quantile_cont(p_keep, 0.75), 6) AS p75, round(quantile_cont(p_keep, 0.95), 6) AS p95, round(quantile_cont(p_keep, 0.99), 6) AS p99, round(min(p_keep), 6) AS low, round(max(p_keep), 6) AS high, round(avg(p_keep), 6) AS mean FROM decisions GROUP BY event_type")
@@ -301,6 +331,13 @@ def verdict_distribution(t: Tables) -> DataFrame:
     return rows.groupBy("event_type", "mulligan_number").pivot("v", [n for _, n in N.VERDICTS] + [N.LOWEST_VERDICT]).count().fillna(0)
 
 
+@query("d34b_verdict_shares", f"""
+WITH x AS (SELECT {VERDICT} AS verdict, was_kept FROM decisions)
+SELECT verdict, count(*) AS n, round(count(*) / (SELECT count(*) FROM x)::DOUBLE, 6) AS share, round(avg(CASE WHEN verdict LIKE '%keep' THEN CASE WHEN was_kept THEN 1.0 ELSE 0.0 END WHEN verdict LIKE '%mulligan' THEN CASE WHEN was_kept THEN 0.0 ELSE 1.0 END END), 6) AS agreement FROM x GROUP BY verdict""")
+def verdict_shares(t: Tables) -> DataFrame:
+    return rounded(R.verdict_shares(t.decisions.withColumn("v", N.banded(F.col("p_keep"))), "v", "was_kept"))
+
+
 @query("d35_repeat_variance", """
 WITH v AS (SELECT draft_id, mulligan_number, count(*) AS runs, avg(p_keep) AS mean, stddev_samp(p_keep) AS sd, min(p_keep) AS low, max(p_keep) AS high FROM decisions GROUP BY 1, 2)
 SELECT mulligan_number, count(sd) AS groups, round(avg(sd), 6) AS mean_sd, round(median(sd), 6) AS median_sd, round(max(sd), 6) AS max_sd, round(min(sd), 6) AS min_sd FROM v GROUP BY 1""")
@@ -351,11 +388,12 @@ def ab_delta(t: Tables) -> DataFrame:
 
 
 @query("d48_transfer", f"""
-WITH x AS (SELECT *, CASE WHEN was_kept THEN 1 ELSE 0 END AS y FROM decisions),
-a AS (SELECT avg(-(y * ln(p_keep) + (1 - y) * ln(1 - p_keep))) AS ll FROM x WHERE expansion = 'BUILDING')
-SELECT expansion, mulligan_number, count(*) AS n, round(avg(-(y * ln(p_keep) + (1 - y) * ln(1 - p_keep))), 6) AS log_loss, round(avg(-(y * ln(p_keep) + (1 - y) * ln(1 - p_keep))) - max(ll), 6) AS against_home FROM x, a WHERE expansion <> 'BUILDING' GROUP BY 1, 2""")
+WITH x AS (SELECT *, CASE WHEN was_kept THEN 1 ELSE 0 END AS y FROM decisions), a AS (SELECT avg(-(y * ln(p_keep) + (1 - y) * ln(1 - p_keep))) AS home FROM x WHERE expansion = 'BUILDING'),
+w AS (SELECT * FROM x WHERE expansion <> 'BUILDING'), p AS (SELECT *, row_number() OVER (ORDER BY p_keep, game_id) - 1 AS pos, count(*) OVER () AS total FROM w WHERE mulligan_number = 0),
+s AS (SELECT 'overall' AS section, 'all' AS value, p_keep, y FROM w UNION ALL SELECT 'mulligan', CAST(mulligan_number AS STRING), p_keep, y FROM w UNION ALL SELECT 'decile', CAST(((pos + 1) * 10 - 1) // total AS STRING), p_keep, y FROM p)
+SELECT section, value, {sql_metrics('p_keep', 'y')}, round(avg(-(y * ln(p_keep) + (1 - y) * ln(1 - p_keep))) - max(home), 6) AS against_home FROM s, a GROUP BY 1, 2""")
 def transfer(t: Tables) -> DataFrame:
-    return rounded(R.transfer(scored(t), "p_keep", "y", "expansion", "BUILDING", "mulligan_number"))
+    return rounded(R.transfer(scored(t), "p_keep", "y", "expansion", "BUILDING", "mulligan_number", ["game_id"]))
 
 
 @query("d50_always_keep", "SELECT event_type, round(avg(CASE WHEN was_kept THEN 1.0 ELSE 0.0 END), 6) AS always_keep, round(avg(CASE WHEN (p_keep >= 0.5) = was_kept THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN was_kept THEN 1.0 ELSE 0.0 END), 6) AS lift, round(count(*) FILTER (WHERE p_keep < 0.5 AND NOT was_kept) / nullif(count(*) FILTER (WHERE NOT was_kept), 0)::DOUBLE, 6) AS mull_recall, round(count(*) FILTER (WHERE p_keep < 0.5 AND NOT was_kept) / nullif(count(*) FILTER (WHERE p_keep < 0.5), 0)::DOUBLE, 6) AS mull_precision FROM decisions GROUP BY event_type")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import features as E
+from ..operators import features as E, metrics as M, reports as R
 from ..sources.adapters import Tables
-from .evaluation import rounded
+from .evaluation import rounded, sql_metrics
 from .registry import query
 
 BINS = """
@@ -92,6 +92,35 @@ def hand_features(t: Tables) -> DataFrame:
     return rounded(E.hand_features(t.hand_cards, with_colors(t)).join(t.decisions.select("game_id", F.col("mulligan_number").cast("double").alias("mulligan_number")), "game_id"))
 
 
+ROLE_COLUMNS = {r: [f"{r}_{b}" for b in E.GRID] for r in E.GRID_ROLES} | {"ramp spell": ["ramp_spells"], "multi-modal spell": ["multi_modal"]} | {f"{k}-drop creature": [f"creature_{b}"] for k, b in (("2", "mv_le2"), ("3", "mv_3"), ("4", "mv_4"), ("5", "mv_5"), ("6+", "mv_ge6"))}
+
+
+def slices_sql() -> str:
+    """(label, condition) of each slice of hands, written out."""
+    out = [(f"{k}{'+' if k == most else ''} {label}", f"{c} {'>=' if k == most else '='} {k}") for label, c, least, most in (("main colors", "main_colors", 1, 4), ("total colors", "deck_colors", 1, 4), ("lands", "lands", 0, 5), ("double pips", "double_pip", 0, 3), ("colors needed", "distinct_colors", 0, 3)) for k in range(least, most + 1)]
+    for role, columns in ROLE_COLUMNS.items():
+        out += [(f"has {role}", f"{' + '.join(columns)} > 0"), (f"no {role}", f"{' + '.join(columns)} = 0")]
+    for name, c, cuts, more in (("p land drop t3", "lands_t3", ("0.5", "0.7", "0.85", "0.95"), ""), ("mana t4", "mana_t4", ("3", "3.5", "4"), ""), ("max gih", "max_gih", ("0.48", "0.52", "0.56", "0.6"), " AND spells > 0")):
+        out += [(f"{name} < {cuts[0]}", f"{c} < {cuts[0]}{more}"), *[(f"{a} <= {name} < {b}", f"{c} >= {a} AND {c} < {b}{more}") for a, b in zip(cuts, cuts[1:])], (f"{name} >= {cuts[-1]}", f"{c} >= {cuts[-1]}{more}")]
+    return ", ".join(f"CASE WHEN {cond} THEN '{label}' END" for label, cond in [*out, ("no spells", "spells = 0")])
+
+
+TURNS = [f"avg(CASE WHEN turn = {k} THEN CASE WHEN lands >= {k} THEN 1.0 ELSE 0.0 END END) AS lands_t{k}" for k in (2, 3, 4, 5)] + [f"avg(CASE WHEN turn = {k} THEN mana END) AS mana_t{k}" for k in (2, 3, 4)]
+
+
+@query("b29b_hand_slices", f"""
+WITH hf AS ({hand_sql().replace("WITH h AS", "SELECT * FROM (WITH h AS", 1)})), df AS ({deck_sql()}), g AS (SELECT run, {", ".join(TURNS)} FROM traces GROUP BY run),
+x AS (SELECT hf.*, df.main_colors, df.colors AS deck_colors, g.lands_t3, g.mana_t4, d.p_keep, CASE WHEN d.was_kept THEN 1 ELSE 0 END AS y FROM hf JOIN df USING (game_id) JOIN decisions d USING (game_id) LEFT JOIN g ON g.run = hf.game_id),
+s AS (SELECT unnest([{slices_sql()}]) AS slice, p_keep, y FROM x)
+SELECT slice, {sql_metrics("p_keep", "y")} FROM s WHERE slice IS NOT NULL GROUP BY slice""")
+def hand_slices(t: Tables) -> DataFrame:
+    """Metrics of every slice of hands, those that have rows."""
+    cards, games = with_colors(t), E.game_rollup(t.traces, ["run"]).withColumnRenamed("run", "game_id")
+    decks = E.deck_features(t.deck_cards, cards).select("game_id", "main_colors", F.col("colors").alias("deck_colors"))
+    rows = E.hand_features(t.hand_cards, cards).join(decks, "game_id").join(t.decisions.select("game_id", "p_keep", F.col("was_kept").cast("int").alias("y")), "game_id").join(games, "game_id", "left")
+    return rounded(M.slice_metrics(rows, "p_keep", "y", R.hand_slices(ROLE_COLUMNS)).filter("n > 0"))
+
+
 def odds_sql() -> str:
     sets = {1: {"spell": "TRUE", "creature": TOKENS}, 2: {"spell": "TRUE", "creature": TOKENS}}
     sets |= {t: {f"{n}_{b}": f"{c} AND coalesce({MV[b]}, FALSE)" for n, c in (("spell", "TRUE"), ("creature", TOKENS)) for b in bs} for t, bs in ((3, ("mv_0_2", "mv_3p")), (4, ("mv_0_2", "mv_3", "mv_4p")))}
@@ -108,9 +137,6 @@ def odds_sql() -> str:
 
 
 GAMES = [f"lands_t{k}" for k in (2, 3, 4, 5)] + [f"mana_t{k}" for k in (2, 3, 4)]
-TURNS = [f"avg(CASE WHEN turn = {k} THEN CASE WHEN lands >= {k} THEN 1.0 ELSE 0.0 END END) AS lands_t{k}" for k in (2, 3, 4, 5)] + [f"avg(CASE WHEN turn = {k} THEN mana END) AS mana_t{k}" for k in (2, 3, 4)]
-
-
 @query("d8_x18_castability", f"""
 WITH x AS (SELECT game_id, n, r.* FROM deck_cards JOIN role_cards r USING (card_id)), o AS (SELECT game_id, {odds_sql()}, round(coalesce(sum(c4 * n) FILTER (WHERE NOT is_land) / nullif(sum(n) FILTER (WHERE NOT is_land), 0), 0), 6) AS deck_castable_t4 FROM x GROUP BY game_id),
 h AS (SELECT game_id, round(coalesce(avg(c4) FILTER (WHERE NOT is_land), 0), 6) AS hand_castable_t4 FROM hand_cards JOIN role_cards USING (card_id) GROUP BY game_id),

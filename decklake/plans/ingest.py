@@ -15,15 +15,82 @@ def marker_gate(t: Tables) -> DataFrame:
     return I.marker_counts(t.decisions, "BUILDING", "PremierDraft")
 
 
+GAME = ["game_id", "expansion", "event_type", "on_play", "won", "win_rate"]
+
+
+@query("a1_a3_games_round_trip", "SELECT game_id, expansion, event_type, on_play, won, round(win_rate, 6) AS win_rate FROM decisions WHERE expansion = 'BUILDING' AND event_type = 'PremierDraft'")
+def games_round_trip(t: Tables) -> DataFrame:
+    """Games as gz CSV, read with inferred types, checked, stored as zstd Parquet."""
+    csv, stored = W.scratch(t.spark, "games-csv"), W.scratch(t.spark, "games")
+    t.decisions.filter("expansion = 'BUILDING' AND event_type = 'PremierDraft'").select(*GAME).write.option("header", True).option("compression", "gzip").csv(csv)
+    I.store_games(I.read_games(t.spark, csv), stored, "BUILDING", "PremierDraft")
+    return t.spark.read.parquet(stored).select("game_id", "expansion", "event_type", "on_play", "won", F.round("win_rate", 6).alias("win_rate"))
+
+
+@query("a4_ratings_array", "SELECT name, round(gih, 6) AS gih, 'Brand#1' AS expansion, 'PremierDraft' AS event_type FROM ratings WHERE expansion = 'Brand#1' AND event_type = 'PremierDraft'")
+def ratings_array(t: Tables) -> DataFrame:
+    """A JSON array of ratings, with the format's markers added when it is read."""
+    path = W.scratch(t.spark, "ratings")
+    rows = t.ratings.filter("expansion = 'Brand#1' AND event_type = 'PremierDraft'").select("name", "gih")
+    # The file is one array, as it is published: a format's cards, some hundreds.
+    rows.agg(F.to_json(F.collect_list(F.struct("name", "gih"))).alias("value")).write.text(path)
+    return I.read_ratings(t.spark, path, rows.schema, "Brand#1", "PremierDraft").select("name", F.round("gih", 6).alias("gih"), "expansion", "event_type")
+
+
 @query("a5_u2_union_by_name", "SELECT game_id, p_keep IS NULL AS no_p, won IS NULL AS no_won FROM (SELECT game_id, CAST(NULL AS DOUBLE) AS p_keep, won FROM decisions WHERE on_play UNION ALL SELECT game_id, p_keep, NULL FROM decisions WHERE NOT on_play)")
 def union_by_name(t: Tables) -> DataFrame:
-    a, b = t.decisions.filter("on_play").select("game_id", "won"), t.decisions.filter("NOT on_play").select("game_id", "p_keep")
-    return a.unionByName(b, allowMissingColumns=True).select("game_id", F.col("p_keep").isNull().alias("no_p"), F.col("won").isNull().alias("no_won"))
+    paths = [W.scratch(t.spark, "part") for _ in range(2)]
+    t.decisions.filter("on_play").select("game_id", "won").write.parquet(paths[0])
+    t.decisions.filter("NOT on_play").select("game_id", "p_keep").write.parquet(paths[1])
+    I.union_view(t.spark, "decklake_union", paths)
+    return t.spark.table("decklake_union").select("game_id", F.col("p_keep").isNull().alias("no_p"), F.col("won").isNull().alias("no_won"))
+
+
+@query("a8_bulk_cards", "SELECT card_id, name, set_code FROM cards WHERE card_id % 3 <> 0")
+def bulk_cards(t: Tables) -> DataFrame:
+    """gz JSON lines of the newest of two dated snapshots."""
+    root = W.scratch(t.spark, "bulk")
+    for day, rows in (("20240101", t.cards.limit(5)), ("20240301", t.cards.filter("card_id % 3 <> 0"))):
+        rows.select("card_id", "name", "set_code").write.option("compression", "gzip").json(f"{root}/cards-{day}.jsonl.gz")
+    return I.read_json_lines(t.spark, I.newest_snapshot(t.spark, root), t.cards.select("card_id", "name", "set_code").schema)
+
+
+@query("a12_a14_stamped", "SELECT expansion, event_type, count(*) AS n, 'same' AS state FROM decisions WHERE mulligan_number < 2 GROUP BY 1, 2")
+def stamped(t: Tables) -> DataFrame:
+    """Features written by partition with stamps, resumed with more rows, and what the stamps then say."""
+    path, stamp = W.scratch(t.spark, "features"), W.Stamp("s1", "f1", 200)
+    rows = t.decisions.select("game_id", "mulligan_number", "expansion", "event_type", "p_base")
+    W.write_stamped(rows.filter("mulligan_number = 0"), path, stamp)
+    W.write_stamped(rows.filter("mulligan_number < 2"), path, stamp, "resume", ["game_id"])
+    counts = t.spark.read.parquet(f"{path}/data").groupBy("expansion", "event_type").agg(F.count("*").alias("n"))
+    return counts.join(W.stamp_report(t.spark, path, stamp).select(*W.PARTITION, "state"), W.PARTITION)
 
 
 @query("a13_u1_shard_read", "SELECT game_id, round(p_keep, 6) AS p_keep FROM decisions WHERE mulligan_number = 0 AND n_games >= 100")
 def shard_read(t: Tables) -> DataFrame:
-    return t.decisions.filter("mulligan_number = 0 AND n_games >= 100").select("game_id", F.round("p_keep", 6).alias("p_keep"))
+    path = W.scratch(t.spark, "shards")
+    for k in range(3):
+        t.decisions.filter(F.col("game_id") % 3 == k).write.parquet(f"{path}/chunk_{k:05d}")
+    keep = (F.col("mulligan_number") == 0) & (F.col("n_games") >= 100)
+    return W.read_shards(t.spark, path, ["game_id", "p_keep"], keep).select("game_id", F.round("p_keep", 6).alias("p_keep"))
+
+
+@query("a19_csv_export", "SELECT game_id, expansion, round(p_keep, 6) AS p_keep FROM decisions")
+def csv_export(t: Tables) -> DataFrame:
+    path = W.scratch(t.spark, "export")
+    rows = t.decisions.select("game_id", "expansion", F.round("p_keep", 6).alias("p_keep"), "won")
+    names = I.export_csv(rows, path, ["game_id", "no such column", "expansion", "p_keep"])
+    return t.spark.read.option("header", True).schema(rows.select(*names).schema).csv(path)
+
+
+@query("l7_limits", f"""
+WITH w AS (SELECT d.game_id, d.win_rate IS NULL OR d.n_games IS NULL AS bad FROM decisions d), p AS (SELECT *, row_number() OVER (ORDER BY game_id) AS k FROM w), q AS (SELECT *, row_number() OVER (ORDER BY game_id) AS k FROM w WHERE NOT bad)
+SELECT 'games' AS limit_of, game_id FROM p WHERE k <= 300 AND NOT bad UNION ALL SELECT 'decisions', game_id FROM q WHERE k <= 300""")
+def limits(t: Tables) -> DataFrame:
+    """The first 300 games, of which those pass; and the first 300 that pass."""
+    reasons = {"missing_context": F.col("win_rate").isNull() | F.col("n_games").isNull()}
+    parts = [I.gated_with_limit(t.decisions, reasons, 300, ["game_id"], before).select(F.lit(name).alias("limit_of"), "game_id") for name, before in (("games", True), ("decisions", False))]
+    return parts[0].unionByName(parts[1])
 
 
 @query("b3_unpivot", """

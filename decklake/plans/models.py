@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import numbers as N
 from ..operators import metrics as M, models as L
 from ..sources.adapters import Tables
+from ..sources.materialise import held
 from .evaluation import rounded
 from .registry import query
 
@@ -29,7 +30,7 @@ def with_margin(t: Tables) -> DataFrame:
     rows = t.decisions.withColumns({"wr": N.win_rate_label(F.col("win_rate")), "ng": N.n_games_label(F.col("n_games")), "label": F.col("won").cast("int")})
     rows = L.checked_split(rows, L.split_of(F.col("draft_id"), 0.15, 0.2, 0.1))
     known = rows.filter("split = 'train'")
-    return L.baseline_margin(L.baseline(known, ["wr", "ng", "on_play"], "opp_mulligans", "label"), rows, ["wr", "ng", "on_play"], "opp_mulligans")
+    return held(L.baseline_margin(L.baseline(known, ["wr", "ng", "on_play"], "opp_mulligans", "label"), rows, ["wr", "ng", "on_play"], "opp_mulligans"), "margins")
 
 
 @query("j1_baseline")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.catalogue import first_by
@@ -81,6 +83,36 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return parsed.select(*[F.col("row")[f.name].alias(f.name) for f in schema.fields])
 
 
+def newest_snapshot(spark: SparkSession, folder: str, suffix: str = ".jsonl.gz") -> str:
+    """The path in ``folder`` with the latest date (yyyymmdd or more digits) in its name."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    dated = [(m.group(), name) for name in names if name.endswith(suffix) and (m := re.search(r"\d{8,}", name))]
+    if not dated:
+        raise ValueError(f"{folder}: no dated snapshot")
+    return f"{folder}/{max(dated)[1]}"
+
+
+def scan_replays(spark: SparkSession, path: str, columns: list[str], prefix: str = "deck_") -> DataFrame:
+    """Replay CSV: ``columns`` that exist and every column that begins with ``prefix``, found from the header alone; counts as whole numbers.
+
+    Nothing but these columns is parsed.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    decks = [c for c in names if c.startswith(prefix)]
+    if not decks:
+        raise ValueError(f"{path}: no column begins with {prefix}")
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
+    rows = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+    return rows.select(*[F.col(f"`{c}`") for c in columns if c in names], *[F.col(f"`{c}`").try_cast("int").alias(c) for c in decks])
+
+
+def gated_with_limit(rows: DataFrame, reasons: dict[str, Column], limit: int, order: list[str], before: bool) -> DataFrame:
+    """Rows that pass the gate, of the first ``limit`` rows (``before``), or the first ``limit`` of those that pass."""
+    passing = lambda df: ordered_gate(df, reasons).filter("reject_reason IS NULL").drop("reject_reason")
+    return passing(rows.orderBy(*order).limit(limit)) if before else passing(rows).orderBy(*order).limit(limit)
+
+
 def id_index(maps: DataFrame) -> DataFrame:
     """(oracle_id, set_code, arena_id) from a column ``value`` of JSON objects {uuid: record}.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -21,6 +23,48 @@ class Stamp:
         return {"simulation": self.simulation, "features": self.features, "runs": str(self.runs)}
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share; a temporary folder only where there is no other machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="decklake-")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def held(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` written once and reread: what several jobs use isn't worked out again for each, and survives lost executors."""
+    path = scratch(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, columns: list[str], keep: Column | None = None) -> DataFrame:
+    """Columns of the shards ``chunk_*`` of a dataset, and only rows that ``keep`` holds for: both reach the scan."""
+    rows = spark.read.parquet(f"{path}/chunk_*")
+    return (rows if keep is None else rows.filter(keep)).select(*columns)
+
+
+def invalidate(spark: SparkSession, path: str, gone: DataFrame, key: list[str]) -> DataFrame:
+    """Delete the rows whose key is in ``gone`` from the dataset at ``path``; by partition, the rows that went and that stay.
+
+    Only partitions that lose rows are written again, whole, in place of the old ones.
+    """
+    rows = spark.read.parquet(path)
+    keys = gone.select(*key).distinct().withColumn("own_gone", F.lit(True))
+    marked = rows.join(keys, key, "left").withColumn("own_gone", F.coalesce("own_gone", F.lit(False)))
+    report = held(marked.groupBy(*PARTITION).agg(F.count_if("own_gone").alias("deleted"), F.count_if(~F.col("own_gone")).alias("kept")).filter("deleted > 0"), "report")
+    # What stays is set aside first: a dataset can't be read while it is written.
+    stays = held(marked.join(report.select(*PARTITION), PARTITION, "left_semi").filter(~F.col("own_gone")).select(*rows.columns), "stays")
+    empty = report.filter("kept = 0").select(*PARTITION).collect()
+    stays.write.option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).mode("overwrite").parquet(path)
+    for part in empty:
+        at = spark._jvm.org.apache.hadoop.fs.Path("/".join([path, *(f"{k}={part[k]}" for k in PARTITION)]))
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return report
+
+
 def resume(rows: DataFrame, done: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key isn't there yet."""
     return rows.join(done.select(*key).distinct(), key, "left_anti")
