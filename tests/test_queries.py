@@ -10,7 +10,6 @@ import pytest
 from decklake.plans import registry
 
 DATA = "/root/testdata/sf0.001"
-SLOW = {"j4_win_model", "j5_j6_choice_model", "j10_sweep"}
 
 
 @pytest.fixture(scope="module")
@@ -42,7 +41,7 @@ def test_rows_match_sql(spark, duck, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_rows_without_sql(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
 

@@ -94,3 +94,28 @@ def test_migration_is_idempotent(spark):
     assert W.migration_check(before, once, "expansion", ["TMT", "TLA"]) == {"rows": 3, "out_of_vocabulary": 1, "columns": 2}
     stamps = spark.createDataFrame([("a", "3"), ("b", "2"), ("c", None), ("d", "0")], "p string, features string")
     assert [r.state for r in W.classify_for_migration(stamps, "3", ["2"]).orderBy("p").collect()] == ["skipped_at_target", "patched", "skipped_legacy", "refused"]
+
+
+def test_replay_scan_reads_what_the_header_has(spark, tmp_path):
+    path = gz(tmp_path / "r.csv.gz", "draft_id,won,candidate_hand_1,deck_Axe,deck_Bow,junk\nd,True,1|2,2,,x\ne,False,3,1,oops,y\n")
+    rows = I.scan_replays(spark, path, ["draft_id", "candidate_hand_1", "candidate_hand_2"])
+    assert rows.columns == ["draft_id", "candidate_hand_1", "deck_Axe", "deck_Bow"]
+    assert sorted((r.draft_id, r.deck_Axe, r.deck_Bow) for r in rows.collect()) == [("d", 2, None), ("e", 1, None)]
+    with pytest.raises(ValueError, match="begins with"):
+        I.scan_replays(spark, gz(tmp_path / "n.csv.gz", "draft_id\nd\n"), ["draft_id"])
+
+
+def test_newest_snapshot(spark, tmp_path):
+    for name in ("cards-20240101.jsonl.gz", "cards-20240301.jsonl.gz", "cards-20240201.jsonl.gz", "notes.txt"):
+        gz(tmp_path / name, "{}")
+    assert I.newest_snapshot(spark, str(tmp_path)).endswith("cards-20240301.jsonl.gz")
+    with pytest.raises(ValueError):
+        I.newest_snapshot(spark, str(tmp_path), ".csv")
+
+
+def test_invalidation_rewrites_what_loses_rows(spark, tmp_path):
+    path = "file://" + str(tmp_path / "d")
+    rows(spark, range(6)).unionByName(rows(spark, range(10, 12), "SOS")).unionByName(rows(spark, [20], "FIN")).write.partitionBy(*W.PARTITION).parquet(path)
+    report = W.invalidate(spark, path, spark.createDataFrame([(1,), (4,), (20,), (99,)], "game_id long"), ["game_id"])
+    assert {(r.expansion, r.deleted, r.kept) for r in report.collect()} == {("TLA", 2, 4), ("FIN", 1, 0)}
+    assert sorted(r.game_id for r in spark.read.parquet(path).collect()) == [0, 2, 3, 5, 10, 11]
