@@ -80,7 +80,7 @@ def _words(texts: list[str]) -> tuple[np.ndarray, ...]:
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = LEARN_ROWS) -> "Model":
-    """A model from ``docs`` (all of them are learnt from): about ``rows`` texts of each language, by a hash of the id.
+    """A model from ``docs`` (all of them are learnt from): about ``rows`` texts of each language, by a hash of id and text.
 
     Each task adds up the bins of its texts; only the sums are shuffled and
     collected, ``2 * BINS`` numbers a language at most.
@@ -91,7 +91,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not langs:
         return Model([], np.zeros((2 * BINS, 0), np.float32), np.zeros((len(NAMES), 0), bool))
     share = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, rows / n)))]), F.col(lang_col))
-    drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), F.lit(1 << 30)) < share * (1 << 30)
+    drawn = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("language")), F.lit(1 << 30)) < share * (1 << 30)
     number = {lang: k for k, lang in enumerate(langs)}
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
