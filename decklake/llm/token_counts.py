@@ -4,8 +4,8 @@ The unit that is looked up is a run of white space with the characters up to
 the next white space: with a byte-level pre-tokenizer no pre-token crosses its
 ends, so a text's count is the sum over its units.  The first tier is a
 broadcast table of the lengths of the most frequent units, the second a cache
-of each worker; what neither has is encoded by the library.  Units never cross
-a shuffle: to find the frequent ones, each task counts its own and only a
+of each worker; what neither has is encoded by the library, all such units of a
+text in one string.  Units never cross a shuffle: to find the frequent ones, each task counts its own and only a
 bounded summary of each is added up.
 """
 
@@ -25,6 +25,7 @@ from .common import make_room
 
 #: White space of Unicode, so without U+001C to U+001F, which Python's \s has.
 UNIT = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+SPACE = re.compile(r"[^\S\x1c-\x1f]")
 #: Units in a task's summary, in the broadcast table, and in a worker's cache.
 SUMMARY, FREQUENT, CACHED = 2000, 20_000, 150_000
 
@@ -52,7 +53,7 @@ def frequent_units(docs: DataFrame, text_col: str, summary: int = SUMMARY, frequ
 
 
 def _json_counter(path: str):
-    """(encode a list of strings to their counts, whether units may be counted apart, strings that are special)."""
+    """(count the tokens of each string of a list, count them for units, which may be null, strings that are special)."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
     from tokenizers import Tokenizer
 
@@ -63,15 +64,31 @@ def _json_counter(path: str):
         spec = json.load(file)
     pre = spec.get("pre_tokenizer") or {}
     apart = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    special = [x["content"] for x in spec.get("added_tokens", [])]
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return lambda texts: [len(x) for x in batch(texts, add_special_tokens=False)], apart, [x["content"] for x in spec.get("added_tokens", [])]
+
+    def count(texts: list[str]) -> list[int]:
+        return [len(x) for x in batch(texts, add_special_tokens=False)]
+
+    def count_units(units: list[str]) -> dict[str, int]:
+        """Units that begin with white space and don't end with it stay apart in one string: their tokens are told by where they start."""
+        joined = [u for u in units if SPACE.match(u) and not SPACE.match(u[-1])]
+        others = [u for u in units if not SPACE.match(u) or SPACE.match(u[-1])]
+        found = dict(zip(others, count(others))) if others else {}
+        if joined:
+            starts = np.array([a for a, _ in tokenizer.encode("".join(joined), add_special_tokens=False).offsets], dtype=np.int64)
+            ends = np.cumsum(np.fromiter(map(len, joined), dtype=np.int64, count=len(joined)))
+            found.update(zip(joined, np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(joined)).tolist()))
+        return found
+
+    return count, count_units if apart and not any(SPACE.search(x) for x in special) else None, special
 
 
 def _model_counter(path: str):
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], False, []
+    return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)], None, []
 
 
 def _counter(path: str, held: dict = {}):  # noqa: B006  one library object a worker
@@ -95,32 +112,26 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     """
     names = [prefix + x for x in ("n_bytes", "n_tokens", "over_limit")]
     docs = make_room(docs, *names)
-    _, apart, _ = _counter(tokenizer_path)
-    units = frequent_units(docs, text_col) if apart else []
-    table = dict(zip(units, _counter(tokenizer_path)[0](units))) if units else {}
+    _, count_units, _ = _counter(tokenizer_path)
+    table = count_units(frequent_units(docs, text_col)) if count_units else {}
     first = docs.sparkSession.sparkContext.broadcast(table)
 
     def lengths(texts: pd.Series) -> pd.Series:
-        encode, apart, special = _counter(tokenizer_path)
+        count, count_units, special = _counter(tokenizer_path)
         out = np.zeros(len(texts), dtype=np.int64)
         known, cache = first.value, _cache(tokenizer_path)
         for k, text in enumerate(texts):
             if not text:
                 continue
-            if not apart or any(s in text for s in special):
-                out[k] = encode([text])[0]
+            if count_units is None or any(s in text for s in special):
+                out[k] = count([text])[0]
                 continue
             parts = UNIT.findall(text)
             found = list(map(known.get, parts))
             if None in found:
                 rest = [u for u, n in zip(parts, found) if n is None]
-                missing = list({u for u in rest if u not in cache})
-                if len(cache) + len(missing) > CACHED:
-                    cache.clear()
-                    missing = list(set(rest))
-                if missing:
-                    cache.update(zip(missing, encode(missing)))
-                out[k] = sum(n for n in found if n is not None) + sum(map(cache.__getitem__, rest))
+                lengths = cache.lengths(rest, count_units)
+                out[k] = sum(n for n in found if n is not None) + sum(map(lengths.__getitem__, rest))
             else:
                 out[k] = sum(found)
         return pd.Series(out)
@@ -130,5 +141,28 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text_col: str = "text", l
     return docs.withColumn(names[1], count(text)).withColumns({names[0]: F.octet_length(text).cast("long"), names[2]: F.col(names[1]) > limit})
 
 
-def _cache(path: str, held: dict = {}) -> dict:  # noqa: B006  the second tier, one a worker
-    return held.setdefault(path, {})
+class _Cache:
+    """The second tier: lengths of units; when it is full, what wasn't asked for since it was last half full goes."""
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def lengths(self, units: list[str], count_units) -> dict[str, int]:
+        """A dictionary that has all of ``units``."""
+        missing = {u for u in units if u not in self.new}
+        if not missing:
+            return self.new
+        fresh = {u: n for u in missing if (n := self.old.get(u)) is not None}
+        unknown = [u for u in missing if u not in fresh]
+        if unknown:
+            fresh |= count_units(unknown)
+        if len(self.new) + len(fresh) > self.half:
+            self.new, self.old = {u: self.new[u] for u in units if u in self.new}, self.new
+        self.new.update(fresh)
+        return self.new
+
+
+def _cache(path: str, held: dict = {}) -> _Cache:  # noqa: B006  one a worker
+    if path not in held:
+        held[path] = _Cache(CACHED)
+    return held[path]
