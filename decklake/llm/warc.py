@@ -13,7 +13,12 @@ ones before.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import io
+import zlib
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import make_room, written
 
@@ -93,6 +98,88 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     return cut.select(*out).unionByName(rest.select(*out))
 
 
+RECORD = "record_id string, url string, captured timestamp, kind string, etag string, last_modified string, digest string, headers map<string,string>, body binary, file string, problem string"
+
+
+class _Stream(io.RawIOBase):
+    """The bytes of a WARC file, member after member if it is compressed."""
+
+    def __init__(self, content: bytes):
+        self.content, self.at, self.held, self.gz = content, 0, b"", content[:2] == b"\x1f\x8b"
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        if not self.gz:
+            part = self.content[self.at : self.at + len(into)]
+            self.at += len(part)
+        else:
+            while not self.held and self.at < len(self.content):
+                member = zlib.decompressobj(31)
+                self.held = member.decompress(self.content[self.at :])
+                self.at = len(self.content) - len(member.unused_data)
+            part, self.held = self.held[: len(into)], self.held[len(into) :]
+        into[: len(part)] = part
+        return len(part)
+
+
+def _fields(lines: Iterable[bytes]) -> dict[str, str]:
+    pairs = (line.decode("utf-8", "replace").partition(":") for line in lines if b":" in line)
+    return {name.strip(): value.strip() for name, _, value in pairs}
+
+
+def records_of(content: bytes, file: str = "") -> Iterator[dict]:
+    """Records of one file; what can't be read ends it with a row that says why, and so does a file that is cut off."""
+    source = io.BufferedReader(_Stream(content))
+    blank = {"record_id": None, "url": None, "captured": None, "kind": None, "etag": None, "last_modified": None, "digest": None, "headers": {}, "body": None, "file": file, "problem": None}
+    try:
+        while line := source.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                raise ValueError("no record where one should begin")
+            head = _fields(iter(lambda: source.readline().rstrip(b"\r\n"), b""))
+            own = {k.lower(): v for k, v in head.items()}
+            size = int(own["content-length"])
+            block = source.read(size)
+            if len(block) < size:
+                raise ValueError("a record is cut off")
+            http, _, body = block.partition(b"\r\n\r\n") if own.get("content-type", "").startswith("application/http") else (b"", b"", block)
+            headers = _fields(http.split(b"\r\n")[1:])
+            low = {k.lower(): v for k, v in headers.items()}
+            captured = pd.to_datetime(own.get("warc-date"), errors="coerce", utc=True)
+            yield blank | {
+                "record_id": own.get("warc-record-id", "").strip("<>") or None, "url": own.get("warc-target-uri", "").strip("<>") or None, "captured": None if captured is pd.NaT or captured is None else captured.tz_convert(None),
+                "kind": own.get("warc-type"), "etag": low.get("etag"), "last_modified": low.get("last-modified"), "digest": own.get("warc-payload-digest"), "headers": headers, "body": body,
+            }
+    except (ValueError, KeyError, zlib.error) as error:
+        yield blank | {"kind": "unreadable", "problem": f"{type(error).__name__}: {error}"}
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Records of WARC files (.warc, .warc.gz), ready for ``resolve_revisits``: one file is a task's, and under 2 GB.
+
+    Rows of kind ``unreadable`` have the ``problem`` that ended a file.
+    """
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                rows, held = [], 0
+                for record in records_of(bytes(content), name):
+                    rows.append(record)
+                    held += len(record["body"] or b"")
+                    if held > 8 << 20:
+                        yield pd.DataFrame(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield pd.DataFrame(rows)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, RECORD)
+
+
 def captures_of_pages(pages: DataFrame) -> DataFrame:
     """WARC records that a crawler would have of ``pages``: one full response each, and one later conditional request for the same URL.
 

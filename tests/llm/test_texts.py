@@ -449,6 +449,27 @@ def test_odd_records(spark):
     assert W.resolve_revisits(docs.limit(0)).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    import gzip
+
+    def warc(kind, number, date, http, cut=0):
+        block = http.encode()
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{number}>\r\nWARC-Target-URI: http://a.com/x\r\nWARC-Date: {date}\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: {len(block) + cut}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    full = warc("response", 1, "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\nETag: e1\r\nX: 1\r\n\r\nbody\r\n\r\nmore")
+    later = warc("revisit", 2, "2024-01-02T00:00:00Z", "HTTP/1.1 304 Not Modified\r\nETag: e1\r\nDate: d\r\n\r\n")
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(full) + gzip.compress(later))
+    (tmp_path / "b.warc").write_bytes(warc("response", 3, "not a date", "HTTP/1.1 200 OK\r\n\r\n") + warc("response", 4, "2024-01-01T00:00:00Z", "HTTP/1.1 200 OK\r\n\r\n", cut=99))
+    (tmp_path / "c.warc").write_bytes(b"")
+    (tmp_path / "d.warc").write_bytes(b"junk")
+    records = W.read_warc(spark, f"file://{tmp_path}/*.warc*")
+    got = {r.record_id: r for r in W.resolve_revisits(records).collect()}
+    assert bytes(got["urn:1"].body) == b"body\r\n\r\nmore" and got["urn:2"].status == "resolved" and got["urn:2"].refers_to == "urn:1"
+    assert got["urn:2"].merged == {"etag": "e1", "x": "1", "date": "d"} and got["urn:3"].captured is None
+    assert sorted(r.problem for r in records.filter("kind = 'unreadable'").collect()) == ["ValueError: a record is cut off", "ValueError: no record where one should begin"]
+
+
 def test_burst_at_one_time(spark):
     """All captures of one URL in the same second are cut by record."""
     rng = random.Random(7)
