@@ -9,7 +9,6 @@ file, and the place in the block.  Times are texts that are passed on.
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.materialise import scratch
+
 # Fixed values of the log's format.
 MARKER = "[UnityCrossThreadLogger]"
 MOST_BLOCK = 2_000_000
@@ -224,7 +225,7 @@ def live(logs: DataFrame, cards: DataFrame, folder: str | None = None, most_bloc
     ``logs``: (source, value) and, where a source has several files, part.
     """
     spark = logs.sparkSession
-    root = f"{folder or _shared(spark)}/live-{uuid.uuid4().hex}"
+    root = f"{folder}/live-{uuid.uuid4().hex}" if folder else scratch(spark, "live")
     _parts(logs).write.partitionBy("source", "part").option("lineSep", "\n").text(f"{root}/logs")
 
     def sink(batch: DataFrame, number: int) -> None:
@@ -240,14 +241,6 @@ def replay(logs: DataFrame, cards: DataFrame, most_block: int = MOST_BLOCK) -> D
     return resolved(decisions_in_batch(typed_events(blocks(_parts(logs)), most_block)), cards)
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where there is no other machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return found or "file://" + tempfile.mkdtemp(prefix="decklake-")
-
-
 def logs_of_events(events: DataFrame) -> DataFrame:
     """Logs that a client would write: a user's events become decks, game states, requests and ends of matches, and a malformed object for each error."""
     c = F.col
