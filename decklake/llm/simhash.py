@@ -320,6 +320,8 @@ def similarity(a: str, b: str, k: int) -> float:
 
 #: A block of a group holds about so many rows, and shingles, at most.
 BLOCK_ROWS, BLOCK_SHINGLES = 1000, 600_000
+#: Rows of a unit whose prefixes are compared as matrices.
+SMALL = 64
 #: Rows that are broadcast to find their texts, at most; beyond, texts are shuffled.
 MOST_BROADCAST = 3_000_000
 #: Texts whose shingles are counted, about, and shingles called common at most: both only decide in which order shingles are taken.
@@ -427,7 +429,26 @@ def _live(least: float):
     the group of the least one alone.
     """
 
+    def small(value: np.ndarray, side: np.ndarray, root: np.ndarray, size: np.ndarray, length: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+        """``work`` for few rows: all pairs at once, as a product of 0 and 1 matrices."""
+        n, sizes = len(side), np.array([len(p) for p in prefix])
+        known, at = np.unique(np.concatenate(prefix), return_inverse=True)
+        holds = np.zeros((n, len(known)), dtype=np.float32)
+        holds[np.repeat(np.arange(n), sizes), at] = 1
+        rest = size - sizes
+        most = holds @ holds.T + np.maximum(rest[:, None], rest[None, :])
+        meet = (root[:, None] != root[None, :]) & ((side[:, None] != side[None, :]) | (side == 2)[:, None]) & (np.arange(n)[:, None] < np.arange(n)[None, :])
+        live = np.zeros(n, dtype=bool)
+        for i, j in np.argwhere(meet & (most * (1 + least) + 1e-6 >= least * (size[:, None] + size[None, :]))).tolist():
+            both = known[(holds[i] + holds[j]) == 2]
+            met = {int(length[i]), int(length[i]) + 1} & {int(length[j]), int(length[j]) + 1}
+            if len(both) and met and value[0] == min(int((both ^ np.int64(m << 56)).min()) for m in met):
+                live[[i, j]] = True
+        return live
+
     def work(unit: int, value: np.ndarray, side: np.ndarray, node: np.ndarray, root: np.ndarray, size: np.ndarray, length: np.ndarray, prefix: np.ndarray) -> list[tuple[int, ...]]:
+        if len(side) <= SMALL:
+            return [(unit, int(side[i]), int(node[i]), int(root[i])) for i in np.flatnonzero(small(value, side, root, size, length, prefix))]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(left) or not len(right):
             return []

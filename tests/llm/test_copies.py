@@ -177,10 +177,11 @@ def test_one_of_near_stays(spark):
     assert SPACE
 
 
-@pytest.mark.parametrize("block", [1000, 5])
-def test_families_that_are_hardly_alike(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, small", [(1000, 64), (5, 64), (1000, 0), (5, 0)])
+def test_families_that_are_hardly_alike(spark, monkeypatch, block, small):
     """Copies with one to six edits: many are alike only through others, or not at all."""
     monkeypatch.setattr(S, "BLOCK_ROWS", block)
+    monkeypatch.setattr(S, "SMALL", small)
     rng = random.Random(12)
     rows = []
     for family in range(3):
