@@ -268,18 +268,24 @@ _powers = _Powers()
 
 
 def shingle_set(text: str, k: int) -> np.ndarray:
-    """The distinct shingles of ``shingles``, by 64-bit hashes of their bytes, sorted.
+    """The distinct shingles of ``shingles``, by 64-bit hashes of their bytes, sorted."""
+    return sized_shingles(text, k)[0]
+
+
+def sized_shingles(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles, by 64-bit hashes of their bytes, sorted, and their lengths in bytes.
 
     The hash of a run of bytes is the difference of two running sums, so all
     runs of ``k`` words cost one pass over the text.
     """
     words = text.encode("utf-8").lower().split()
-    n, found = min(k, len(words)), []
+    n, found, sizes = min(k, len(words)), [], []
     for at in range(0, len(words) - n + 1 if words else 0, WORDS_AT_ONCE):
         part = words[at : at + WORDS_AT_ONCE + n - 1]
         run = b" ".join(part)
         if len(run) > LONGEST_RUN:
             found.append(np.array([xxhash.xxh64_intdigest(b" ".join(part[i : i + n]), 42) for i in range(len(part) - n + 1)], dtype=np.uint64))
+            sizes.append(np.array([sum(map(len, part[i : i + n])) + n - 1 for i in range(len(part) - n + 1)], dtype=np.int64))
             continue
         letters = np.frombuffer(run, dtype=np.uint8)
         _powers.reach(len(letters) + 1)
@@ -290,7 +296,11 @@ def shingle_set(text: str, k: int) -> np.ndarray:
         mixed = (sums[ends] - sums[starts]) * _powers.down[starts]
         mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
         found.append(mixed ^ mixed >> np.uint64(29))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+        sizes.append(ends - starts)
+    if not found:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    values, first = np.unique(np.concatenate(found), return_index=True)
+    return values, np.concatenate(sizes)[first]
 
 
 @lru_cache
@@ -345,17 +355,26 @@ def _common(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return value[order], count[order]
 
 
-def prefix(values: np.ndarray, least: float, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+def prefix(values: np.ndarray, least: float, common: np.ndarray, count: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """So many of the distinct shingles, rare ones first, that texts ``least`` alike must share one.
 
+    Rare are those that few of the counted texts have; of the others, which
+    next to none has, the longest, for they are the least likely to be shared
+    by chance.
     Of n shingles at least ceil(least * n) are shared; the first of the shared
     ones in an order that holds for all texts is then among the first
     n - ceil(least * n) + 1 of both.
     """
     if len(common) and len(values):
         at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-        values = values[np.argsort(np.where(common[at] == values, count[at], 0), kind="stable")]
-    return values[: len(values) - int(np.ceil(least * len(values) - 1e-9)) + 1]
+        values = values[np.lexsort((values, -sizes, np.where(common[at] == values, count[at], 0)))]
+    elif len(values):
+        values = values[np.lexsort((values, -sizes))]
+    return values[: int(prefix_size(np.array(len(values)), least))]
+
+
+def prefix_size(size: np.ndarray, least: float) -> np.ndarray:
+    return np.minimum(size, size - np.ceil(least * size - 1e-9).astype(np.int64) + 1)
 
 
 def _by_unit(work, names: tuple[str, ...], out: list[str]):
@@ -424,18 +443,19 @@ def _others(side: np.ndarray, node: np.ndarray, root: np.ndarray, i: int, right:
 def _live(least: float):
     """Rows (unit, value, side, node, root, size, length, prefix) to those (unit, side, node, root) that some other root's row may be alike to, by their prefixes.
 
-    What two sets share is either in both prefixes, or in the rest of the one
-    whose prefix ends first.  A pair that shares several values is taken up in
+    ``prefix`` may lack what no other root's row has.  What two sets share is
+    either in both prefixes, or in the rest of the one whose prefix ends first.
+    A pair that shares several values is taken up in
     the group of the least one alone.
     """
 
     def small(value: np.ndarray, side: np.ndarray, root: np.ndarray, size: np.ndarray, length: np.ndarray, prefix: np.ndarray) -> np.ndarray:
         """``work`` for few rows: all pairs at once, as a product of 0 and 1 matrices."""
-        n, sizes = len(side), np.array([len(p) for p in prefix])
+        n = len(side)
         known, at = np.unique(np.concatenate(prefix), return_inverse=True)
         holds = np.zeros((n, len(known)), dtype=np.float32)
-        holds[np.repeat(np.arange(n), sizes), at] = 1
-        rest = size - sizes
+        holds[np.repeat(np.arange(n), [len(p) for p in prefix]), at] = 1
+        rest = size - prefix_size(size, least)
         most = holds @ holds.T + np.maximum(rest[:, None], rest[None, :])
         meet = (root[:, None] != root[None, :]) & ((side[:, None] != side[None, :]) | (side == 2)[:, None]) & (np.arange(n)[:, None] < np.arange(n)[None, :])
         live = np.zeros(n, dtype=bool)
@@ -453,7 +473,7 @@ def _live(least: float):
         if not len(left) or not len(right):
             return []
         shared = _Shared([prefix[i] for i in right])
-        rest = size - np.array([len(p) for p in prefix])
+        rest = size - prefix_size(size, least)
         live = np.zeros(len(side), dtype=bool)
         for i in left.tolist():
             other = _others(side, node, root, i, right)
@@ -545,14 +565,18 @@ def _stars(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, least: float, k
     return links
 
 
-def _several_roots(rows: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(value, node, root, blocks): of ``rows`` (node, root, value) those in groups of like sizes that hold more than one root; of groups of the same nodes, one."""
+def _several_roots(rows: DataFrame, sizes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value, node, root, blocks): of ``rows`` (node, root, value) those in groups of like sizes that hold more than one root; of groups of the same nodes, one.
+
+    And (node, size, length, prefix): of each prefix what several roots have.
+    """
     spark = rows.sparkSession
     several = rows.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
     several, path = written(several, "several")
     few = several.count() <= MOST_BROADCAST
     # What every row has of its node comes back only to the rows that are left.
     left, left_path = written(rows.select("node", "value").join(F.broadcast(several) if few else several, "value", "left_semi"), "left")
+    shared, _ = written(left.groupBy("node").agg(F.collect_list("value").alias("prefix")).join(sizes, "node"), "shared")
     # Lengths that differ by one at most meet under the greater one.
     left = left.join(sizes, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     left = left.withColumn("length", F.explode(F.array("length", F.col("length") + 1))).select("node", "root", "size", F.col("value").bitwiseXOR(F.shiftleft(F.col("length").cast("long"), 56)).alias("value"))
@@ -564,26 +588,27 @@ def _several_roots(rows: DataFrame, sizes: DataFrame, roots: DataFrame) -> DataF
     out, _ = written(left.join(once, "value").drop("size"), "grouped")
     for done in (path, left_path, met_path):
         drop_path(spark, done)
-    return out
+    return out, shared
 
 
-def _blockwise(rows: DataFrame, sizes: DataFrame, roots: DataFrame, sketched: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
+def _blockwise(rows: DataFrame, sizes: DataFrame, roots: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
     """Links (a, b) between different roots of the same value in ``rows``: each group's blocks meet two at a time, in tasks of their own.
 
     They first meet by their prefixes; only texts that may be alike to another
     one of the unit are then compared.
     """
-    rows = _several_roots(rows, sizes, roots).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    rows, shared = _several_roots(rows, sizes, roots)
+    rows = rows.withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     unit = F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other"))
     rows, path = written(rows.select(unit.alias("unit"), "value", side.alias("side"), "node", "root"), "met-units")
     few = rows.count() <= MOST_BROADCAST
-    dealt = sketched.select("node", "size", "length", "prefix").join(F.broadcast(rows) if few else rows, "node").repartition("unit").sortWithinPartitions("unit")
+    dealt = shared.join(F.broadcast(rows) if few else rows, "node").repartition("unit").sortWithinPartitions("unit")
     live, live_path = written(dealt.mapInPandas(_live(least), "unit long, side int, node long, root long"), "live")
     links = _compared(live, texts, least, k)
     for done in (path, live_path):
-        drop_path(sketched.sparkSession, done)
+        drop_path(texts.sparkSession, done)
     return links
 
 
@@ -606,13 +631,13 @@ def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, lea
     def sketch(texts: pa.Array) -> pa.Array:
         columns: dict[str, list] = {"code": [], "bands": [], "size": [], "length": [], "prefix": []}
         for text in texts:
-            values = shingle_set(text.as_py(), k)
+            values, sizes = sized_shingles(text.as_py(), k)
             columns["code"].append(simhash(values))
             columns["bands"].append(band_values(min_hashes(values)))
             columns["size"].append(len(values))
             # The length is the shingles' number in steps of 1 / ``least``: of texts that are alike it differs by one at most.
             columns["length"].append(int(np.log(max(len(values), 1)) / width))
-            columns["prefix"].append(prefix(values, least, common, count).view(np.int64))
+            columns["prefix"].append(prefix(values, least, common, count, sizes).view(np.int64))
         ends = np.cumsum([0, *map(len, columns["prefix"])]).astype(np.int32)
         prefixes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *columns["prefix"]])))
         return pa.StructArray.from_arrays([pa.array(columns["code"], pa.int64()), pa.array(columns["bands"], pa.list_(pa.int64())), pa.array(columns["size"], pa.int32()), pa.array(columns["length"], pa.int32()), prefixes], list(columns))
@@ -629,7 +654,7 @@ def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, lea
     found = _stars(first.unionByName(pairs), sizes, texts, least, k)
     roots, roots_path = written(components(found, "a", "b"), "roots")
     everyone = sketched.select("node", "prefix").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("value"))
-    found = found.unionByName(_blockwise(everyone, sizes, roots, sketched, texts, least, k))
+    found = found.unionByName(_blockwise(everyone, sizes, roots, texts, least, k))
     for done in (sketched_path, codes_path, groups_path, roots_path):
         drop_path(spark, done)
     return found
