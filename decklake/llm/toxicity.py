@@ -233,7 +233,9 @@ def _left_out_votes(drawn: DataFrame, model: Model) -> DataFrame:
 
     # Ids of an equal bag are dealt out a thousand at a time, so that no bag is a single row.
     bags = drawn.groupBy("terms", "n", F.pmod(F.xxhash64("i"), F.lit(1 + EXAMPLES // 1000)).alias("part")).agg(F.collect_set("i").alias("ids"))
-    return bags.select("terms", "n", "ids").mapInPandas(run, "vote double, label double, weight double")
+    # Few bytes, but each row is a search: adaptive execution would put them all into one task.
+    tasks = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return bags.select("terms", "n", "ids").repartition(tasks).mapInPandas(run, "vote double, label double, weight double")
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "t", result_col: str = "toxicity", evidence: int = 5) -> DataFrame:
