@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, exact_dedup, language_id, mixing, pii, simhash, syncmers, token_counts, toxicity, warc
+from . import byte_bpe, exact_dedup, filter_audit, language_id, mixing, packing, pii, simhash, syncmers, token_counts, toxicity, vector_codes, warc
 from .common import table
 
 
@@ -68,4 +68,16 @@ def op9_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("record_id", "canonical", "kind", "captured", "refers_to", "status", headers.alias("merged_headers"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_token_counts, op4_language_id, op5_pii, op6_simhash, op7_byte_bpe, op8_exact_dedup, op9_warc_revisits, op10_syncmers)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), capacity=1024, end=2)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_toxicity, op3_token_counts, op4_language_id, op5_pii, op6_simhash, op7_byte_bpe, op8_exact_dedup, op9_warc_revisits, op10_syncmers, op11_packing, op12_filter_audit, op13_vector_codes)}
