@@ -49,7 +49,7 @@ class Codebooks:
         step = max(1, AT_ONCE // max(1, parts))
         for at in range(0, rows, step):
             block = vectors[at : at + step]
-            best, away = self._search(block.reshape(-1, block.shape[2]), np.tile(np.arange(parts), len(block)))
+            best, away = self._search(block.reshape(len(block) * parts, block.shape[2]), np.tile(np.arange(parts), len(block)))
             entry[at : at + step], error[at : at + step] = best.reshape(-1, parts), away.reshape(-1, parts)
         return entry, error
 
@@ -118,7 +118,7 @@ def refine(rows: DataFrame, entries: np.ndarray) -> np.ndarray:
                 order = np.argsort(slot, kind="stable")
                 used, start = np.unique(slot[order], return_index=True)
                 if width:
-                    sums[used] += np.add.reduceat(vectors.reshape(-1, width)[order], start, axis=0)
+                    sums[used] += np.add.reduceat(vectors.reshape(len(slot), width)[order], start, axis=0)
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"slot": used.astype(np.int32), "n": counts[used], "total": pa.array(list(sums[used]), type=pa.list_(pa.int64()))})
 
