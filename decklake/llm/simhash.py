@@ -245,58 +245,82 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: First candidates for similar texts: bands of this many min-hashes each.  At similarity 0.8 one of 12 bands of 5 agrees with probability 0.99.
 BANDS, BAND_ROWS = 12, 5
-#: Words that are hashed at a time, and the longest run of bytes that goes through the tables of powers.
-WORDS_AT_ONCE, LONGEST_RUN = 20_000, 1 << 22
+#: Words that are hashed at a time, bytes of words that go through numpy together, and of a longer word at a time.
+WORDS_AT_ONCE, BYTES_AT_ONCE, SPAN = 20_000, 1 << 20, 1 << 16
+_BASE = 0x9E3779B97F4A7C15
+_OF_BYTE = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)
+_UP, _DOWN = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(BYTES_AT_ONCE + SPAN, x, np.uint64))), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse, modulo 2 ** 64, as far as they are needed; and a number for each byte."""
+def _mixed(values: np.ndarray) -> np.ndarray:
+    values = (values ^ values >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return values ^ values >> np.uint64(29)
 
-    base = 0x9E3779B97F4A7C15
-    of_byte = np.random.default_rng(42).integers(1, 1 << 63, 256, dtype=np.uint64)
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+def _long_word(word: bytes) -> int:
+    """The sum of ``word_hashes`` for a word of any length, a span at a time."""
+    total, power, step = 0, 1, pow(_BASE, SPAN, 1 << 64)
+    for at in range(0, len(word), SPAN):
+        letters = np.frombuffer(word[at : at + SPAN], dtype=np.uint8)
+        total += power * int((_OF_BYTE[letters] * _UP[: len(letters)]).sum(dtype=np.uint64))
+        power = power * step % (1 << 64)
+    return total % (1 << 64)
 
-    def reach(self, n: int) -> None:
-        if len(self.up) < n:
-            n = 1 << (n - 1).bit_length()
-            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, x, np.uint64))), dtype=np.uint64) for x in (self.base, pow(self.base, -1, 1 << 64)))
 
+def word_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word's bytes, and their number: numbers of the bytes times powers of an odd number, modulo 2 ** 64, mixed.
+
+    Short words go through running sums together, a stretch at a time; a
+    word's hash doesn't depend on where it stands in its stretch.
+    """
+    run = b" ".join(words)
+    if len(run) <= BYTES_AT_ONCE:
+        return _run_hashes(run)
+    hashes, sizes, at = np.zeros(len(words), dtype=np.uint64), np.fromiter(map(len, words), dtype=np.int64, count=len(words)), 0
+    while at < len(words):
+        if sizes[at] > SPAN:
+            hashes[at] = _mixed(np.array([_long_word(words[at])], dtype=np.uint64))[0]
+            at += 1
+            continue
+        end, held = at, 0
+        while end < len(words) and sizes[end] <= SPAN and held < BYTES_AT_ONCE - SPAN:
+            held, end = held + int(sizes[end]) + 1, end + 1
+        hashes[at:end] = _run_hashes(b" ".join(words[at:end]))[0]
+        at = end
+    return hashes, sizes
 
-_powers = _Powers()
+
+def _run_hashes(run: bytes) -> tuple[np.ndarray, np.ndarray]:
+    letters = np.frombuffer(run, dtype=np.uint8)
+    sums = np.zeros(len(letters) + 1, dtype=np.uint64)
+    np.cumsum(_OF_BYTE[letters] * _UP[: len(letters)], out=sums[1:])
+    gaps = np.flatnonzero(letters == 32)
+    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(letters)]))
+    return _mixed((sums[ends] - sums[starts]) * _DOWN[starts]), ends - starts
 
 
 def shingle_set(text: str, k: int) -> np.ndarray:
-    """The distinct shingles of ``shingles``, by 64-bit hashes of their bytes, sorted."""
+    """The distinct shingles of ``shingles``, by 64-bit hashes of their words, sorted."""
     return sized_shingles(text, k)[0]
 
 
 def sized_shingles(text: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles, by 64-bit hashes of their bytes, sorted, and their lengths in bytes.
+    """The distinct shingles, by 64-bit hashes of their words, sorted, and their lengths in bytes.
 
-    The hash of a run of bytes is the difference of two running sums, so all
-    runs of ``k`` words cost one pass over the text.
+    One hash for words of every length: a shingle has the same value wherever
+    it stands and whatever stands beside it.
     """
     words = text.encode("utf-8").lower().split()
     n, found, sizes = min(k, len(words)), [], []
     for at in range(0, len(words) - n + 1 if words else 0, WORDS_AT_ONCE):
         part = words[at : at + WORDS_AT_ONCE + n - 1]
-        run = b" ".join(part)
-        if len(run) > LONGEST_RUN:
-            found.append(np.array([xxhash.xxh64_intdigest(b" ".join(part[i : i + n]), 42) for i in range(len(part) - n + 1)], dtype=np.uint64))
-            sizes.append(np.array([sum(map(len, part[i : i + n])) + n - 1 for i in range(len(part) - n + 1)], dtype=np.int64))
-            continue
-        letters = np.frombuffer(run, dtype=np.uint8)
-        _powers.reach(len(letters) + 1)
-        sums = np.zeros(len(letters) + 1, dtype=np.uint64)
-        np.cumsum(_powers.of_byte[letters] * _powers.up[: len(letters)], out=sums[1:])
-        gaps = np.flatnonzero(letters == 32)
-        starts, ends = np.concatenate(([0], gaps + 1))[: len(part) - n + 1], np.concatenate((gaps, [len(letters)]))[n - 1 :]
-        mixed = (sums[ends] - sums[starts]) * _powers.down[starts]
-        mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
-        found.append(mixed ^ mixed >> np.uint64(29))
-        sizes.append(ends - starts)
+        (hashes, length), many = word_hashes(part), len(part) - n + 1
+        mixed = np.zeros(many, dtype=np.uint64)
+        for j in range(n):
+            mixed = mixed * np.uint64(_BASE) + hashes[j : j + many]
+        found.append(_mixed(mixed))
+        until = np.concatenate(([0], np.cumsum(length)))
+        sizes.append(until[n:] - until[:-n] + n - 1)
     if not found:
         return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     values, first = np.unique(np.concatenate(found), return_index=True)

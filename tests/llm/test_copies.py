@@ -283,3 +283,20 @@ def test_shingle_sets_are_those_of_the_words():
         assert len(S.shingle_set(a, 5)) == len(set(S.shingles(a, 5)))
         for b in texts:
             assert len(np.intersect1d(S.shingle_set(a, 5), S.shingle_set(b, 5))) == len(set(S.shingles(a, 5)) & set(S.shingles(b, 5)))
+
+
+def test_long_words_hash_like_any_other(spark):
+    """Words on each side of every limit: the shingles beside a long word are those of a text without it."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(1000)]
+    for size in (10, S.SPAN - 1, S.SPAN, S.SPAN + 1, S.BYTES_AT_ONCE, 5_000_000):
+        x, y = (S.shingle_set(" ".join(words), 5) for words in (base, [*base, "x" * size]))
+        assert len(np.intersect1d(x, y)) == len(x) == len(y) - 1
+    words = [b"ab" * n for n in (1, S.SPAN // 2, S.SPAN // 2 + 1, 3 * S.SPAN)]
+    words += [b"c" * (S.BYTES_AT_ONCE - 1), b"d" * S.BYTES_AT_ONCE, b"e"]
+    together, sizes = S.word_hashes(words)
+    assert [int(S.word_hashes([w])[0][0]) for w in words] == together.tolist() and len(set(together.tolist())) == 7 and sizes.tolist() == [len(w) for w in words]
+    assert int(S._mixed(np.array([S._long_word(b"short")], dtype=np.uint64))[0]) == int(S.word_hashes([b"x", b"short"])[0][1])
+    rows = [(0, " ".join(base)), (1, " ".join([*base, "x" * 5_000_000])), (2, " ".join([*base, "y" * 70_000])), (3, "z" * 5_000_000)]
+    got = {r.node: r.root for r in graph.components(S.similar_links(spark.createDataFrame(rows, SCHEMA), "doc_id", "text"), "a", "b").collect()}
+    assert got == {0: 0, 1: 0, 2: 0}
