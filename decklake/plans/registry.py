@@ -24,4 +24,8 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import catalogue, evaluation, features, ingest, models, text  # noqa: E402, F401  they register their queries
+def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
+    """All queries and their SQL, once the modules that register them are imported."""
+    from . import catalogue, evaluation, features, ingest, models, text  # noqa: F401
+
+    return QUERIES, ORACLES

@@ -54,7 +54,7 @@ SELECT p_partkey AS card_id,
 FROM part
 """
 
-#: The catalogue's flat roles, statistics and odds of being castable by turn (``c1`` to ``c4``).
+#: The catalogue's flat roles, statistics and odds of being castable by turn (``c1`` to ``c4``; parts of a prime, so that no product or mean of them ends on half a decimal).
 ROLE_CARDS = """
 SELECT k AS card_id, concat('card ', CAST(k AS STRING)) AS name, (k % 5 = 0) AS is_land, (k % 10 = 0) AS is_basic, CASE WHEN k % 5 = 0 THEN NULL ELSE CAST(p_size % 8 AS INT) END AS mana_value,
   (k % 3 = 1 AND k % 5 <> 0) AS is_creature, (k % 11 = 2) AS makes_creatures, (k % 7 = 2) AS destroy_or_exile, (k % 13 = 5) AS burn, (k % 17 = 3) AS bounce, (k % 19 = 7) AS top_library, (k % 23 = 4) AS removal_aura, (k % 29 = 6) AS counterspell,
@@ -63,7 +63,7 @@ SELECT k AS card_id, concat('card ', CAST(k AS STRING)) AS name, (k % 5 = 0) AS
   CASE WHEN k % 6 = 0 THEN k % 3 + 1 ELSE 0 END AS pip_w, CASE WHEN k % 6 = 1 OR k % 17 = 0 THEN 1 ELSE 0 END AS pip_u, CASE WHEN k % 6 = 2 THEN k % 4 ELSE 0 END AS pip_b, CASE WHEN k % 6 = 3 OR k % 19 = 0 THEN 2 ELSE 0 END AS pip_r, CASE WHEN k % 6 = 4 THEN 1 ELSE 0 END AS pip_g,
   CASE WHEN k % 29 = 0 THEN NULL ELSE CAST(k * 37 % 100 AS DOUBLE) / 499 + 0.45 END AS oh, CASE WHEN k % 31 = 0 THEN NULL ELSE CAST(k * 53 % 100 AS DOUBLE) / 499 + 0.44 END AS gd, CASE WHEN k % 37 = 0 THEN NULL ELSE CAST(k * 71 % 100 AS DOUBLE) / 499 + 0.46 END AS gih,
   CASE WHEN k % 41 = 0 THEN NULL ELSE CAST(k % 50 AS DOUBLE) / 53 END AS weight, CASE WHEN k % 29 = 0 THEN NULL ELSE CAST(k * 37 % 100 AS DOUBLE) / 25 - 2 END AS z_oh, CASE WHEN k % 31 = 0 THEN NULL ELSE CAST(k * 53 % 100 AS DOUBLE) / 25 - 2 END AS z_gd,
-  CAST(k * 13 % 7 AS DOUBLE) / 10 AS c1, CAST(k * 13 % 7 + 1 AS DOUBLE) / 10 AS c2, CAST(k * 13 % 7 + 3 AS DOUBLE) / 10 AS c3, CAST(k * 13 % 7 + 4 AS DOUBLE) / 10 AS c4
+  CAST(k * 131 % 601 AS DOUBLE) / 997 AS c1, CAST(k * 131 % 601 + 97 AS DOUBLE) / 997 AS c2, CAST(k * 131 % 601 + 230 AS DOUBLE) / 997 AS c3, CAST(k * 131 % 601 + 310 AS DOUBLE) / 997 AS c4
 FROM (SELECT p_partkey AS k, p_size FROM part) q
 """
 

@@ -10,6 +10,7 @@ import pytest
 from decklake.plans import registry
 
 DATA = "/root/testdata/sf0.001"
+QUERIES, ORACLES = registry.load()
 
 
 @pytest.fixture(scope="module")
@@ -29,10 +30,10 @@ def plain(value):
     return str(value)
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_rows_match_sql(spark, duck, name):
-    df = registry.QUERIES[name](spark, DATA)
-    cursor = duck.execute(registry.ORACLES[name])
+    df = QUERIES[name](spark, DATA)
+    cursor = duck.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     order = sorted(columns)
@@ -41,9 +42,9 @@ def test_rows_match_sql(spark, duck, name):
     assert ours == theirs
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_without_sql(spark, name):
-    assert registry.QUERIES[name](spark, DATA).count() > 0
+    assert QUERIES[name](spark, DATA).count() > 0
 
 
 def test_entry(spark):

@@ -127,10 +127,22 @@ def test_z_of_no_spread_is_null(spark):
     assert [r.z_x for r in E.z_scores(df, ["x"]).collect()] == [None, None]
 
 
+def role_cards(spark, rows):
+    """A flat catalogue: (card_id, name, is_land, is_creature, z_oh, c1 to c4), all other roles false."""
+    roles = ("is_basic", "makes_creatures", "destroy_or_exile", "burn", "bounce", "top_library", "removal_aura", "counterspell", "punch_fight", "trick", "pump_aura", "equipment", "vehicle", "saga", "class_card", "planeswalker", "draw", "alt_mode", "mana_ability", "fetches_land", "is_other")
+    df = spark.createDataFrame(rows, "card_id long, name string, is_land boolean, is_creature boolean, z_oh double, c1 double, c2 double, c3 double, c4 double")
+    return df.withColumns({r: F.lit(False) for r in roles} | {"mana_value": F.lit(2)})
+
+
 def test_product_with_certainty(spark):
-    df = spark.createDataFrame([("a", 1.0), ("a", 0.5), ("b", 0.5), ("b", 0.5), ("c", None)], "g string, p double")
-    got = {r.g: r.x for r in df.groupBy("g").agg(E.product_of_misses(F.col("p")).alias("x")).collect()}
-    assert got["a"] == 0 and got["b"] == pytest.approx(0.25) and got["c"] == 1
+    """Odds of 1, of 0 and null; copies of a name count once; a deck without spells has zeros."""
+    cards = role_cards(spark, [(1, "sure", False, True, 0.9, 1.0, 1.0, 1.0, 1.0), (2, "half", False, False, None, 0.5, 0.5, 0.5, 0.5), (3, "half", False, False, 0.1, 0.5, 0.5, 0.5, 0.5), (4, "never", False, False, 0.9, 0.0, 0.0, 0.0, 0.0), (5, "unknown", False, True, 0.9, None, None, None, None), (6, "other half", False, False, 0.1, 0.5, 0.5, 0.5, 0.5), (7, "land", True, False, None, 1.0, 1.0, 1.0, 1.0)])
+    decks = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2), ("b", 3), ("b", 6), ("c", 4), ("c", 5), ("d", 7)], "game_id string, card_id long")
+    got = {r.game_id: r for r in E.castability_features(decks, cards).collect()}
+    assert {g: (r.any_spell_t1, r.any_spell_t2, r.count_spell_t2, r.any_spell_strong_t2, r.any_creature_t2) for g, r in got.items()} == {
+        "a": (1.0, 1.0, 1.5, 1.0, 1.0), "b": (0.75, 0.75, 1.0, 0.0, 0.0), "c": (0.0, 0.0, 0.0, 0.0, 0.0), "d": (0.0, 0.0, 0.0, 0.0, 0.0),
+    }
+    assert len(got["a"].asDict()) == 97
 
 
 def test_split_fractions(spark):
