@@ -1,16 +1,15 @@
-"""Models as Spark ML jobs: splits, baseline, boosted trees, calibration."""
+"""Models as Spark ML jobs: splits, baseline, calibration; boosted trees are in ``boosting``."""
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel, Pipeline
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import clip, hash_unit, logit
-from ..sources.materialise import held
 from .metrics import metric_columns
 
 #: Columns of a feature table that are no features.
@@ -59,31 +58,6 @@ def feature_columns(rows: DataFrame) -> list[str]:
     return [c for c, kind in rows.dtypes if c not in NOT_FEATURES and kind in ("double", "int", "bigint", "float", "boolean")]
 
 
-def with_features(rows: DataFrame, features: list[str], fill: float = -1.0) -> tuple[DataFrame, list[str]]:
-    """``rows`` with a vector of ``features``; missing columns count as null, nulls as ``fill``.  Which were missing."""
-    missing = [f for f in features if f not in rows.columns]
-    plain = {f"own_{f}": F.coalesce(F.col(f).cast("double") if f not in missing else F.lit(None).cast("double"), F.lit(fill)) for f in features}
-    vector = VectorAssembler(inputCols=list(plain), outputCol="features")
-    return vector.transform(rows.withColumns(plain)).drop(*plain), missing
-
-
-def train_trees(rows: DataFrame, features: list[str], label: str, rounds: int = 20, depth: int = 4, step: float = 0.1, seed: int = 17) -> GBTClassificationModel:
-    """Boosted trees, stopped early on the rows whose split is ``val``.
-
-    Spark's trees take no offset.  Where a baseline margin is to be built on,
-    it goes in as a feature: an approximation of boosting from that margin.
-    """
-    used = rows.filter(F.col("split").isin("train", "val")).withColumn("own_val", F.col("split") == "val")
-    ready, _ = with_features(used.withColumn("own_label", F.col(label).cast("double")), features)
-    return GBTClassifier(labelCol="own_label", maxIter=rounds, maxDepth=depth, stepSize=step, seed=seed, validationIndicatorCol="own_val").fit(ready)
-
-
-def score(model, rows: DataFrame, features: list[str], name: str = "p") -> DataFrame:
-    """``rows`` with the probability of class 1."""
-    ready, _ = with_features(rows, features)
-    return model.transform(ready).withColumn(name, vector_to_array("probability")[1]).select(*rows.columns, name)
-
-
 def platt(rows: DataFrame, p: str, label: str, name: str = "p_platt"):
     """Function that adds the probability rescaled on its logit, fitted on ``rows``."""
     at = lambda df: VectorAssembler(inputCols=["own_logit"], outputCol="own_v").transform(df.withColumn("own_logit", logit(clip(F.col(p), 1e-6, 1 - 1e-6))))
@@ -103,19 +77,3 @@ def compare_calibrations(rows: DataFrame, methods: dict[str, str], label: str) -
     long = rows.select(F.col(label).cast("double").alias("y"), F.explode(entries).alias("e")).select("y", "e.*")
     q = F.col("q")
     return long.groupBy("method").agg(*metric_columns(q, F.col("y")), F.count_if(q == 0).alias("at_0"), F.count_if(q == 1).alias("at_1"), F.count_if(q < 0.02).alias("below_02"), F.count_if(q > 0.98).alias("above_98"))
-
-
-def sweep(rows: DataFrame, features: list[str], label: str, settings: list[dict], subset: Column, by: str) -> DataFrame:
-    """Test metrics by ``by`` of each setting, and whether it is the one with the least log loss on the subset of validation."""
-    from .metrics import log_loss
-
-    out, losses = None, {}
-    for k, setting in enumerate(settings):
-        model = train_trees(rows, features, label, **setting)
-        scored = score(model, rows.filter(F.col("split").isin("val", "test")), features).withColumn("own_y", F.col(label).cast("double"))
-        scored = held(scored, "scored")
-        losses[k] = scored.filter((F.col("split") == "val") & subset).agg(log_loss(F.col("p"), F.col("own_y"))).first()[0]
-        part = scored.filter(F.col("split") == "test").groupBy(by).agg(*metric_columns(F.col("p"), F.col("own_y"))).withColumn("setting", F.lit(k))
-        out = part if out is None else out.unionByName(part)
-    best = min((k for k in losses if losses[k] is not None), key=lambda k: losses[k], default=None)
-    return out.withColumn("chosen", F.col("setting") == F.lit(-1 if best is None else best))

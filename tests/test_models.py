@@ -2,11 +2,12 @@
 
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from decklake.operators import metrics as M, models as L
+from decklake.operators import boosting as B, metrics as M, models as L
 
 
 @pytest.fixture(scope="module")
@@ -23,13 +24,66 @@ def rows(spark):
 
 def test_trees_learn_an_interaction(rows):
     features = ["a", "b", "not_there"]
-    model = L.train_trees(rows, features, "y", rounds=12, depth=3)
-    assert model.getNumTrees <= 12
-    scored = L.score(model, rows.filter("split = 'test'"), features)
+    model = B.train(rows, features, "y", rounds=16, depth=6, step=0.2, least_weight=15)
+    assert 4 <= model.trees <= 16 and model.losses[model.trees] == min(model.losses[1:])
+    scored = model.score(rows.filter("split = 'test'"))
     assert scored.columns == [*rows.columns, "p"]
-    assert M.auc(scored, "p", "y").first().auc > 0.8 > 0.6 > M.auc(scored, "a", "y").first().auc
-    assert L.with_features(rows, features)[1] == ["not_there"]
+    assert M.auc(scored, "p", "y").first().auc > 0.78 > 0.6 > M.auc(scored, "a", "y").first().auc
+    assert model.bins.missing(rows) == ["not_there"]
     assert set(L.feature_columns(rows)) == {"a", "b", "squeezed", "y"}
+    assert model.losses[model.trees] == pytest.approx(loss(model.score(rows.filter("split = 'val'")), "p"), abs=1e-9)
+
+
+def test_boosting_starts_from_the_margin(rows):
+    """Before the first tree the prediction is the margin; where the margin is the truth, trees add next to nothing."""
+    truth = rows.withColumn("m", (6 * F.col("a") - 3) * F.when(F.col("b") > 0.5, 1).otherwise(-1))
+    none = B.train(truth, ["a", "b"], "y", offset="m", rounds=0)
+    assert none.trees == 0
+    got = none.score(truth).select(F.max(F.abs(F.col("p") - B.sigmoid(F.col("m"))))).first()[0]
+    assert got < 1e-12
+    assert none.losses[0] == pytest.approx(loss(none.score(truth.filter("split = 'val'")), "p"))
+    some = B.train(truth, ["a", "b"], "y", offset="m", rounds=3, depth=2, step=0.1)
+    moved = some.score(truth).select(F.avg(F.abs(F.col("p") - B.sigmoid(F.col("m"))))).first()[0]
+    plain = B.train(truth, ["a", "b"], "y", rounds=3, depth=2, step=0.1)
+    assert some.losses[0] < plain.losses[0] - 0.1 and 0 < moved < 0.03
+    hole = truth.withColumn("m", F.when(F.col("game_id") % 7 > 0, F.col("m")))
+    assert B.train(hole, ["a"], "y", offset="m", rounds=1).score(hole).filter("p is null").count() == 0
+
+
+def test_a_leaf_is_a_newton_step(spark):
+    """One split at a known place: leaves are the sums of y - p over those of h."""
+    data = [(f"d{i}", float(i % 2), int(i % 10 < (8 if i % 2 else 2)), -0.5, "train" if i % 5 else "val") for i in range(1000)]
+    df = spark.createDataFrame(data, "draft_id string, x double, y int, m double, split string")
+    model = B.train(df, ["x"], "y", offset="m", rounds=1, depth=1, step=1.0)
+    p = 1 / (1 + math.exp(0.5))
+    for r in model.margin(df, "out").filter("split = 'train'").groupBy("x").agg(F.avg("y").alias("rate"), F.avg("out").alias("out")).collect():
+        assert r.out == pytest.approx(-0.5 + (r.rate - p) / (p * (1 - p)))
+
+
+def test_patience_outlasts_noise(spark):
+    """A first round that makes val worse, then gain: stopping at once would keep one tree."""
+    rng = random.Random(1)
+    data = []
+    for i in range(4000):
+        x = rng.random()
+        valid = i % 4 == 0
+        y = int(rng.random() < (0.9 if x > 0.7 else 0.1 if x < 0.3 else 0.5))
+        # To val rows, a feature that looks best at first says the opposite.
+        data.append((f"d{i}", x, float(y if rng.random() < 0.95 else 1 - y) * (i < 3400) if not valid else float(1 - y if rng.random() < 0.35 else y), y, "val" if valid else "train"))
+    df = spark.createDataFrame(data, "draft_id string, x double, trap double, y int, split string")
+    hasty, patient = (B.train(df, ["x", "trap"], "y", rounds=10, depth=2, step=1.0, patience=k) for k in (1, 9))
+    assert len(patient.losses) == 11 and patient.losses[patient.trees] == min(patient.losses[1:]) <= min(hasty.losses[1:])
+    assert hasty.trees <= patient.trees and len(hasty.losses) <= len(patient.losses)
+    stop = next((k for k in range(2, len(hasty.losses)) if hasty.losses[k] >= min(hasty.losses[1:k])), None)
+    assert stop is None or len(hasty.losses) == stop + 1
+
+
+def test_patience_counts_rounds_without_gain(monkeypatch, rows):
+    """The rule on given losses: the best prefix is kept, twenty rounds later it stops."""
+    given = iter([0.7, 0.69, 0.70, 0.71, 0.68, *[0.69] * 40])
+    monkeypatch.setattr(B, "loss_of", lambda m, y: F.lit(next(given)))
+    model = B.train(rows, ["a"], "y", rounds=40, depth=1, step=0.01, patience=5)
+    assert model.trees == 4 and len(model.losses) == 4 + 5 + 1
 
 
 def loss(df, p):
@@ -51,10 +105,15 @@ def test_calibration_undoes_a_squeeze(rows):
 
 
 def test_sweep_takes_the_least_loss(rows):
-    settings = [{"rounds": 1, "depth": 1}, {"rounds": 10, "depth": 3}]
-    out = L.sweep(rows, ["a", "b"], "y", settings, F.col("mulligan_number") == 0, "mulligan_number").collect()
-    assert len(out) == 6 and {r.setting for r in out if r.chosen} == {1}
+    settings = [{"rounds": 1, "depth": 1}, {"rounds": 8, "depth": 3, "step": 0.3}, {"rounds": 8, "depth": 3, "step": 0.3, "share": 0.5, "least_weight": 40}]
+    table, models = B.sweep(rows, ["a", "b"], "y", settings, F.col("mulligan_number") == 0, "mulligan_number", clock=time.time)
+    out = table.collect()
+    assert len(out) == 9 and len({r.setting for r in out if r.chosen}) == 1 and 0 not in {r.setting for r in out if r.chosen}
     assert sum(r.log_loss for r in out if r.setting == 1) < sum(r.log_loss for r in out if r.setting == 0)
+    assert all(r.trees == models[r.setting].trees and r.seconds > 0 for r in out)
+    # Settings fitted at the same time give what each gives alone.
+    alone = B.train(rows, ["a", "b"], "y", **settings[1])
+    assert alone.losses == pytest.approx(models[1].losses)
 
 
 def test_no_draft_is_in_two_splits(rows):
