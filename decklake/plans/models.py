@@ -91,14 +91,6 @@ def sweep(t: Tables) -> DataFrame:
     return rounded(B.sweep(explained(with_margin(t)), FEATURES, "better", settings, F.col("mulligan_number") == 0, "event_type")[0], digits=4)
 
 
-@query("s1_s9_live_decisions")
-def live_decisions(t: Tables) -> DataFrame:
-    """The event table as logs, read as a stream until all is processed: typed decisions with resolved hands and decks."""
-    from ..streaming import log
-
-    return log.live(log.logs_of_events(t.events), t.cards.select(F.col("card_id").cast("int").alias("id"), "name"))
-
-
 REPLAY = """
 WITH e AS (SELECT user_id, ts, event_type AS kind, CAST(json_extract_string(props, '$.k') AS INT) AS n FROM events WHERE event_type <> 'error'),
 s AS (SELECT *, count(*) FILTER (WHERE kind NOT IN ('purchase', 'click', 'view')) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS game FROM e),
@@ -119,11 +111,26 @@ FROM o, c WHERE what IS NOT NULL
 """
 
 
+def _summary(found: DataFrame) -> DataFrame:
+    what = F.when(F.col("what").endswith("_unresolved"), "decision").otherwise(F.col("what"))
+    return found.select("source", "at", what.alias("what"), "mulligan_count", "on_the_play", "opp_mulligan_count", F.coalesce(F.size("hand"), F.lit(0)).alias("hand_size"), F.coalesce(F.size("deck"), F.lit(0)).alias("deck_size"))
+
+
+def _catalogue(t: Tables) -> DataFrame:
+    return t.cards.select(F.col("card_id").cast("int").alias("id"), "name")
+
+
+@query("s1_s9_live_decisions", REPLAY)
+def live_decisions(t: Tables) -> DataFrame:
+    """The event table as log files, tailed as a stream until all is processed: a row for each typed decision."""
+    from ..streaming import log
+
+    return _summary(log.live(log.logs_of_events(t.events), _catalogue(t)))
+
+
 @query("s9_batch_replay", REPLAY)
 def batch_replay(t: Tables) -> DataFrame:
-    """The same logs as a finished table: one row for each typed decision."""
+    """The same logs as a finished table."""
     from ..streaming import log
 
-    found = log.replay(log.logs_of_events(t.events), t.cards.select(F.col("card_id").cast("int").alias("id"), "name"))
-    what = F.when(F.col("what").endswith("_unresolved"), "decision").otherwise(F.col("what"))
-    return found.select("source", "at", what.alias("what"), "mulligan_count", "on_the_play", "opp_mulligan_count", F.coalesce(F.size("hand"), F.lit(0)).alias("hand_size"), F.coalesce(F.size("deck"), F.lit(0)).alias("deck_size"))
+    return _summary(log.replay(log.logs_of_events(t.events), _catalogue(t)))

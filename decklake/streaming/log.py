@@ -1,9 +1,16 @@
 """A live event log as a stream: framing, typed events, keyed state, decisions.
 
 Blocks of a log follow a marker: a header, with the time or without, and JSON
-on the same line or after it.  Files land in a folder, cut at markers.  Order
-holds within a source only: by the file's number, the block's place in the
-file, and the place in the block.  Times are texts that are passed on.
+on the same line or after it.  They come from growing files (``tail``) or from
+a finished table.  Order holds within a source only: by the number of its
+part, the block's place in it, and the place in the block.  Times are texts
+that are passed on.
+
+Card ids meet the catalogue in a stream-static join before the keyed state:
+each card that a message shows is a row, so the join is a plain one, and what
+leaves the state has its names whatever the sink.  The state is typed: a value
+for each source, and a map from a card's instance to what it is, which is read
+and written by key.
 """
 
 from __future__ import annotations
@@ -13,19 +20,23 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..sources.materialise import scratch
+from .tail import MARKER as MARKER_BYTES, tail
 
 # Fixed values of the log's format.
-MARKER = "[UnityCrossThreadLogger]"
+MARKER = MARKER_BYTES.decode()
 MOST_BLOCK = 2_000_000
 TIME = r"^\s*(\d[^\n{=<]*)"
-ORDER = ["part", "block", "place", "message"]
+ORDER = ["part", "block", "place", "message", "line"]
 
-EVENT = "source string, part long, block int, place int, message int, at string, kind string, objects array<struct<instanceId:int,grpId:int>>, hand array<int>, owner int, local_seat int, seat int, mulligans int, opp_mulligans int, pending boolean, active_player int, deck array<int>"
-OUT = "source string, seq long, at string, what string, seat_id int, mulligan_count int, on_the_play boolean, opp_mulligan_count int, hand array<int>, deck array<int>"
+#: A row of a message: of kind ``state``, ``deck``, ``end`` or ``failure`` (line -1), after the cards that it shows (line 0 on).
+EVENT = "source string, part long, block long, place int, message int, line int, at string, kind string, instance int, id int, hand array<int>, local_seat int, mulligans int, opp_mulligans int, pending boolean, active_player int"
+OUT = "source string, seq long, at string, what string, seat_id int, mulligan_count int, on_the_play boolean, opp_mulligan_count int, hand array<int>, deck array<int>, hand_names array<string>, deck_names array<string>, hand_unknown int, deck_unknown int"
+#: Hours after which the cards of a match that never ended are forgotten, and days after which a source that fell silent is.
+CARDS_HOURS, SOURCE_DAYS = 24, 60
 
 
 def json_objects(text: str) -> list[str]:
@@ -42,9 +53,13 @@ def json_objects(text: str) -> list[str]:
 
 
 def blocks(files: DataFrame, marker: str = MARKER) -> DataFrame:
-    """(source, part, block, at, text) from whole files (source, part, value): what stands before the first marker is junk; ``at`` is null without a time."""
+    """(source, part, block, at, text) from whole texts (source, part, value): what stands before the first marker is junk; ``at`` is null without a time."""
     cut = files.select("source", "part", F.posexplode(F.split("value", "\\Q" + marker + "\\E", -1)).alias("block", "text")).filter("block > 0")
-    return cut.withColumn("at", F.nullif(F.trim(F.regexp_extract("text", TIME, 1)), F.lit("")))
+    return timed(cut.withColumn("block", F.col("block").cast("long")))
+
+
+def timed(framed: DataFrame) -> DataFrame:
+    return framed.withColumn("at", F.nullif(F.trim(F.regexp_extract("text", TIME, 1)), F.lit("")))
 
 
 MESSAGES = """struct<greToClientEvent:struct<greToClientMessages:array<struct<type:string,systemSeatIds:array<int>,gameStateMessage:struct<gameObjects:array<struct<instanceId:int,grpId:int>>,
@@ -53,70 +68,117 @@ matchGameRoomStateChangedEvent:struct<gameRoomInfo:struct<stateType:string>>>"""
 
 
 def typed_events(framed: DataFrame, most: int = MOST_BLOCK) -> DataFrame:
-    """Rows of ``EVENT`` from blocks: game states, deck submissions and match ends, and a failure for each block of over ``most`` characters; other shapes give none."""
+    """Rows of ``EVENT`` from blocks: game states, deck submissions and match ends with the cards that they show, and a failure for each block of over ``most`` characters; other shapes give none."""
     from ..functions.text import search_json
 
     objects = F.pandas_udf(lambda texts: pd.Series([json_objects(t) for t in texts]), "array<string>")
     head = ["source", "part", "block", "place", "at"]
     large = F.length("text") > most
     rows = framed.filter(~large).select("source", "part", "block", "at", F.posexplode(objects("text")).alias("place", "text")).withColumn("m", F.from_json("text", MESSAGES))
-    none = lambda kind: F.lit(None).cast(kind)
-    blank = {"objects": none("array<struct<instanceId:int,grpId:int>>"), "hand": none("array<int>"), "owner": none("int"), "local_seat": none("int"), "seat": none("int"), "mulligans": none("int"), "opp_mulligans": none("int"), "pending": none("boolean"), "active_player": none("int"), "deck": none("array<int>")}
-    order = [c.split()[0] for c in EVENT.split(", ")]
-    blank |= {"message": F.lit(0), "place": F.lit(0)}
-    fill = lambda df, kind: df.withColumns({"kind": F.lit(kind), **{k: v for k, v in blank.items() if k not in df.columns}}).select(*order)
+    kinds = dict(c.split() for c in EVENT.split(", "))
+    blank = {k: F.lit(0 if k in ("message", "place") else -1 if k == "line" else None).cast(t) for k, t in kinds.items()}
+    fill = lambda df, kind: df.withColumns({k: v for k, v in blank.items() if k not in df.columns} | {"kind": F.lit(kind)}).select(*[F.col(k).cast(t).alias(k) for k, t in kinds.items()])
 
     messages = rows.select(*head, F.posexplode("m.greToClientEvent.greToClientMessages").alias("message", "g")).select(*head, "message", F.element_at("g.systemSeatIds", 1).alias("local_seat"), F.col("g.gameStateMessage").alias("s")).filter("s IS NOT NULL")
     zone = F.get(F.filter("s.zones", lambda z: (z.type == "ZoneType_Hand") & (z.ownerSeatId == F.col("local_seat"))), F.lit(0))
     mine = F.get(F.filter("s.players", lambda p: p.systemSeatNumber == F.col("local_seat")), F.lit(0))
     theirs = F.get(F.filter("s.players", lambda p: p.systemSeatNumber != F.col("local_seat")), F.lit(0))
-    states = messages.select(*head, "message", "local_seat", F.col("s.gameObjects").alias("objects"), zone.objectInstanceIds.alias("hand"), zone.ownerSeatId.alias("owner"), mine.systemSeatNumber.alias("seat"), F.coalesce(mine.mulliganCount, F.lit(0)).alias("mulligans"), theirs.mulliganCount.alias("opp_mulligans"), F.coalesce(mine.pendingMessageType == "ClientMessageType_MulliganResp", F.lit(False)).alias("pending"), F.col("s.turnInfo.activePlayer").alias("active_player"))
+    # The message itself is the last of its rows' explosion, so that one pass gives both.
+    shown = F.concat(F.transform(F.coalesce("s.gameObjects", F.array().cast("array<struct<instanceId:int,grpId:int>>")), lambda o, i: F.struct(i.alias("line"), o.instanceId.alias("instance"), o.grpId.alias("id"))), F.array(F.struct(F.lit(-1).alias("line"), F.lit(None).cast("int").alias("instance"), F.lit(None).cast("int").alias("id"))))
+    states = messages.select(*head, "message", "local_seat", zone.objectInstanceIds.alias("hand"), F.coalesce(mine.mulliganCount, F.lit(0)).alias("mulligans"), theirs.mulliganCount.alias("opp_mulligans"), F.coalesce(mine.pendingMessageType == "ClientMessageType_MulliganResp", F.lit(False)).alias("pending"), F.col("s.turnInfo.activePlayer").alias("active_player"), F.explode(shown).alias("card")).select("*", "card.*").drop("card")
     decks = rows.filter(F.col("text").contains("MainDeck")).select(*head, F.posexplode(search_json("MainDeck")("text")).alias("message", "deck")).withColumn("deck", F.col("deck").cast("array<int>"))
+    copies = F.concat(F.transform("deck", lambda c, i: F.struct(i.alias("line"), c.alias("id"))), F.array(F.struct(F.lit(-1).alias("line"), F.lit(None).cast("int").alias("id"))))
+    decks = decks.select(*head, "message", F.explode(copies).alias("card")).select("*", "card.*").drop("card")
     ends = rows.filter(F.col("m.matchGameRoomStateChangedEvent.gameRoomInfo.stateType") == "MatchGameRoomStateType_MatchCompleted").select(*head)
     failures = framed.filter(large).select("source", "part", "block", "at")
     return fill(states, "state").unionByName(fill(decks, "deck")).unionByName(fill(ends, "end")).unionByName(fill(failures, "failure"))
 
 
-def advance(state: dict, event: dict) -> list[dict]:
-    """One event of a source applied to its state; what it emits.
+def with_names(events: DataFrame, cards: DataFrame) -> DataFrame:
+    """``events`` with the ``name`` of each card's id (``cards``: id, name, an id once); null for an id that has none."""
+    return events.join(cards.select("id", "name"), "id", "left")
+
 
-    A decision comes out when the local player has a pending request and every
-    card of the hand is known, unless it repeats the last one.  A deck comes
-    out unless it has the same cards as the last one.  A match's end empties
-    all but the deck.
+def advance(state: dict, cards, event: dict) -> list[dict]:
+    """One message of a source applied to its state; what it emits.
+
+    ``cards``: from an instance to (id, name).  A decision comes out when the
+    local player has a pending request and every card of the hand is known,
+    unless it repeats the last one.  A deck comes out unless it has the same
+    cards as the last one.  A match's end empties all but the deck.
     """
     if event["kind"] == "failure":
         return [{"what": "oversized_block"}]
     if event["kind"] == "deck":
-        same = sorted(event["deck"]) == sorted(state.get("deck", []))
-        state["deck"] = list(event["deck"])
-        return [] if same else [{"what": "deck_submitted", "deck": state["deck"]}]
+        deck = [(c["id"], c["name"]) for c in event["cards"]]
+        same = sorted(i for i, _ in deck) == sorted(i for i, _ in state.get("deck", []))
+        state["deck"] = deck
+        return [] if same else [_named({"what": "deck_submitted", "deck": deck})]
     if event["kind"] == "end":
         deck = state.get("deck")
         state.clear()
+        cards.clear()
         if deck:
             state["deck"] = deck
         return [{"what": "match_ended"}]
-    cards = state.setdefault("cards", {})
-    for pair in event["objects"] or []:
-        if pair["instanceId"] is not None and pair["grpId"] is not None:
-            cards[str(pair["instanceId"])] = pair["grpId"]
+    for c in event["cards"]:
+        if c["instance"] is not None and c["id"] is not None:
+            cards[c["instance"]] = (c["id"], c["name"])
     for key in ("local_seat", "hand"):
         if event[key] is not None:
             state[key] = event[key]
     if event["active_player"] is not None and "first" not in state:
         state["first"] = event["active_player"]
     hand = state.get("hand") or []
-    if not event["pending"] or not hand or any(str(i) not in cards for i in hand):
+    if not event["pending"] or not hand or any(cards.get(i) is None for i in hand):
         return []
     on_the_play = None if "first" not in state else state["first"] == state.get("local_seat")
-    shown = [cards[str(i)] for i in hand]
-    opponent = event["opp_mulligans"] if on_the_play is False else None
-    mark = [state.get("local_seat"), event["mulligans"], sorted(shown)]
-    if mark == state.get("last"):
+    shown = [cards.get(i) for i in hand]
+    mark = json.dumps([state.get("local_seat"), event["mulligans"], sorted(i for i, _ in shown)])
+    if mark == state.get("mark"):
         return []
-    state["last"] = mark
-    return [{"what": "decision" if state.get("deck") else "no_deck", "seat_id": state.get("local_seat"), "mulligan_count": event["mulligans"], "on_the_play": on_the_play, "opp_mulligan_count": opponent, "hand": shown, "deck": state.get("deck")}]
+    state["mark"] = mark
+    what = "decision" if state.get("deck") else "no_deck"
+    return [_named({"what": what, "seat_id": state.get("local_seat"), "mulligan_count": event["mulligans"], "on_the_play": on_the_play, "opp_mulligan_count": event["opp_mulligans"] if on_the_play is False else None, "hand": shown, "deck": state.get("deck")})]
+
+
+def _named(row: dict) -> dict:
+    """Ids and names of hand and deck apart; ``what`` becomes hand_unresolved or deck_unresolved where a decision has unknown ids."""
+    out = dict(row)
+    for part in ("hand", "deck"):
+        found = row.get(part)
+        if found is not None:
+            out |= {part: [i for i, _ in found], f"{part}_names": [n for _, n in found if n is not None], f"{part}_unknown": sum(n is None for _, n in found)}
+    if row["what"] == "decision":
+        out["what"] = next((f"{part}_unresolved" for part in ("hand", "deck") if out[f"{part}_unknown"]), "decision")
+    return out
+
+
+class CardMap:
+    """Cards by instance over a map state: what a batch asks for is read once, what it changed is written once, nothing else is touched."""
+
+    def __init__(self, stored):
+        self.stored, self.held, self.changed, self.emptied = stored, {}, set(), False
+
+    def get(self, instance: int):
+        if instance not in self.held:
+            found = None if self.emptied or not self.stored.containsKey((instance,)) else self.stored.getValue((instance,))
+            self.held[instance] = found and (found[0], found[1])
+        return self.held[instance]
+
+    def __setitem__(self, instance: int, card: tuple) -> None:
+        if self.held.get(instance) != card:
+            self.held[instance] = card
+            self.changed.add(instance)
+
+    def clear(self) -> None:
+        self.held, self.changed, self.emptied = {}, set(), True
+
+    def flush(self) -> None:
+        if self.emptied:
+            self.stored.clear()
+        for instance in self.changed:
+            self.stored.updateValue((instance,), self.held[instance])
 
 
 def _plain(value):
@@ -138,107 +200,161 @@ def _rows(frame: pd.DataFrame) -> list[dict]:
     return [{k: _plain(v) for k, v in row.items()} for row in frame.to_dict("records")]
 
 
+def _messages(frame: pd.DataFrame) -> Iterator[dict]:
+    """The rows of each message put together: its own row with its cards in order."""
+    cards: list[dict] = []
+    for row in _rows(frame.assign(line=frame["line"].where(frame["line"] >= 0, 1 << 30)).sort_values(ORDER, kind="stable")):
+        if row["line"] < 1 << 30:
+            cards.append(row)
+        else:
+            yield row | {"cards": cards}
+            cards = []
+
+
 def _framed(out: list[dict]) -> pd.DataFrame:
     names = [c.split()[0] for c in OUT.split(", ")]
     frame = pd.DataFrame({n: pd.Series([row.get(n) for row in out], dtype=object) for n in names})
     frame["seq"] = frame["seq"].astype("Int64")
     for c in ("seat_id", "mulligan_count", "opp_mulligan_count"):
         frame[c] = frame[c].astype("Int32")
+    for c in ("hand_unknown", "deck_unknown"):
+        frame[c] = pd.Series([row.get(c, 0) for row in out], dtype="int32")
+    for c in ("hand_names", "deck_names"):
+        frame[c] = frame[c].map(lambda x: x if isinstance(x, list) else [])
     frame["on_the_play"] = frame["on_the_play"].astype("boolean")
     return frame
 
 
-def _stateful(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held = json.loads(state.get[0]) if state.exists else {"made": 0, "state": {}}
-    events = pd.concat(list(frames), ignore_index=True)
-    out = []
-    for event in _rows(events.sort_values(ORDER, kind="stable")):
-        out += _made(held, key[0], event)
-    state.update((json.dumps(held),))
-    yield _framed(out)
+GAME = "made long, local_seat int, first int, hand array<int>, mark string, deck_ids array<int>, deck_names array<string>"
 
 
-def _made(held: dict, source: str, event: dict) -> list[dict]:
-    out = []
-    for made in advance(held["state"], event):
-        held["made"] += 1
-        out.append({"source": source, "seq": held["made"], "at": event["at"], **made})
-    return out
+class Decisions(StatefulProcessor):
+    """A source's state: one value (``GAME``) and its cards by instance, each with a time to live (None: for ever)."""
 
+    def __init__(self, cards_hours: float | None = None, source_days: float | None = None):
+        self.cards_ms, self.source_ms = cards_hours and int(cards_hours * 3_600_000), source_days and int(source_days * 86_400_000)
 
-def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The same over rows sorted by source and order: of a source, only its state is held."""
-    source, held = None, {"made": 0, "state": {}}
-    for frame in frames:
-        out = []
-        for event in _rows(frame):
-            if event["source"] != source:
-                source, held = event["source"], {"made": 0, "state": {}}
-            out += _made(held, source, event)
+    def init(self, handle) -> None:
+        self.game = handle.getValueState("game", GAME, self.source_ms)
+        self.cards = handle.getMapState("cards", "instance int", "id int, name string", self.cards_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        made, state = _opened(self.game.get() if self.game.exists() else None)
+        cards, out = CardMap(self.cards), []
+        for event in _messages(pd.concat(list(rows), ignore_index=True)):
+            for row in advance(state, cards, event):
+                made += 1
+                out.append({"source": key[0], "seq": made, "at": event["at"], **row})
+        cards.flush()
+        deck = state.get("deck")
+        self.game.update((made, state.get("local_seat"), state.get("first"), state.get("hand"), state.get("mark"), deck and [i for i, _ in deck], deck and [n for _, n in deck]))
         yield _framed(out)
 
+    def close(self) -> None:
+        pass
+
 
-def decisions(events: DataFrame) -> DataFrame:
-    """Keyed state over a stream of ``EVENT`` rows; a source's state is its own row of the state store."""
-    return events.groupBy("source").applyInPandasWithState(_stateful, OUT, "state string", "append", GroupStateTimeout.NoTimeout)
+def _opened(held: tuple | None) -> tuple[int, dict]:
+    if held is None:
+        return 0, {}
+    made, seat, first, hand, mark, ids, names = held
+    state = {"local_seat": seat, "first": first, "hand": None if hand is None else list(hand), "mark": mark, "deck": None if ids is None else list(zip(ids, names))}
+    return made, {k: v for k, v in state.items() if v is not None}
 
 
-def resolved(rows: DataFrame, cards: DataFrame) -> DataFrame:
-    """``rows`` of one batch with names of hand and deck, ids that have none, and what is wrong.
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same over rows sorted by source and order: of a source, only its state, and the message at the end of a batch, is held."""
+    source, made, state, cards, rest = None, 0, {}, {}, None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        whole = frame["line"].to_numpy() < 0  # a message's own row comes after its cards
+        last = int(whole.nonzero()[0][-1]) + 1 if whole.any() else 0
+        rest, out = frame.iloc[last:], []
+        for _, group in frame.iloc[:last].groupby("source", sort=False, dropna=False):
+            for event in _messages(group):
+                if event["source"] != source:
+                    source, made, state, cards = event["source"], 0, {}, {}
+                for row in advance(state, cards, event):
+                    made += 1
+                    out.append({"source": source, "seq": made, "at": event["at"], **row})
+        yield _framed(out)
 
-    ``cards``: (id, name).  ``what`` becomes hand_unresolved or
-    deck_unresolved where a decision has unknown ids.
+
+def decisions(framed: DataFrame, cards: DataFrame, most_block: int = MOST_BLOCK, cards_hours: float | None = CARDS_HOURS, source_days: float | None = SOURCE_DAYS) -> DataFrame:
+    """Rows of ``OUT`` from a stream of blocks (source, part, block, at, text), names resolved; any sink takes them.
+
+    With a time to live the query looks for what is over it at every trigger,
+    so it never falls idle; without (None for both) it does.
     """
-    ids = rows.select("source", "seq", F.explode(F.array(F.struct(F.lit("hand").alias("part"), F.coalesce("hand", F.array().cast("array<int>")).alias("ids")), F.struct(F.lit("deck").alias("part"), F.coalesce("deck", F.array().cast("array<int>")).alias("ids")))).alias("p")).select("source", "seq", "p.part", F.posexplode("p.ids").alias("pos", "id"))
-    named = ids.join(cards, "id", "left").groupBy("source", "seq").agg(
-        *[F.transform(F.array_sort(F.collect_list(F.when((F.col("part") == part) & F.col("name").isNotNull(), F.struct("pos", "name")))), lambda x: x["name"]).alias(f"{part}_names") for part in ("hand", "deck")],
-        *[F.count_if((F.col("part") == part) & F.col("name").isNull()).alias(f"{part}_unknown") for part in ("hand", "deck")],
-    )
-    out = rows.join(named, ["source", "seq"], "left").fillna(0, ["hand_unknown", "deck_unknown"])
-    what = F.when((F.col("what") == "decision") & (F.col("hand_unknown") > 0), "hand_unresolved").when((F.col("what") == "decision") & (F.col("deck_unknown") > 0), "deck_unresolved").otherwise(F.col("what"))
-    none = F.array().cast("array<string>")
-    return out.withColumns({"what": what, "hand_names": F.coalesce("hand_names", none), "deck_names": F.coalesce("deck_names", none)})
+    spark = framed.sparkSession
+    # Typed state lives in this store; the setting is read when the query starts.
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    events = with_names(typed_events(framed, most_block), cards)
+    return events.groupBy("source").transformWithStateInPandas(Decisions(cards_hours, source_days), OUT, "append", "processingTime" if cards_hours or source_days else "none")
 
 
 def decisions_in_batch(events: DataFrame) -> DataFrame:
-    """What ``decisions`` gives, of a finished table: each source's events go through a task in order, one batch after the other."""
-    return events.repartition("source").sortWithinPartitions("source", *ORDER).mapInPandas(_in_order, OUT)
+    """What ``decisions`` gives, of a finished table of named events: each source's go through a task in order, one batch after the other."""
+    order = [*ORDER[:-1], F.col("line") < 0, "line"]
+    return events.repartition("source").sortWithinPartitions("source", *order).mapInPandas(_in_order, OUT)
 
 
-def read_logs(spark: SparkSession, path: str, most_files: int | None = None) -> DataFrame:
-    """Streaming rows (source, part, value) of landed log files: ``source=<name>/part=<number>``, a file each.
-
-    Within a batch files go by number; ``most_files`` bounds a batch where they
-    land in that order.
-    """
-    reader = spark.readStream.format("text").schema("value string, source string, part long").option("wholetext", True)
-    return (reader.option("maxFilesPerTrigger", most_files) if most_files else reader).load(path)
+def tailed(spark, path: str, **options) -> DataFrame:
+    """Blocks of growing log files, ready for ``decisions``; see ``tail.LogTail`` for the options."""
+    return timed(tail(spark, path, **options).withColumn("part", F.lit(0).cast("long")))
 
 
 def _parts(logs: DataFrame) -> DataFrame:
     return logs if "part" in logs.columns else logs.withColumn("part", F.lit(0).cast("long"))
 
 
-def live(logs: DataFrame, cards: DataFrame, folder: str | None = None, most_block: int = MOST_BLOCK) -> DataFrame:
-    """All logs through the stream until nothing is left.
+def land(logs: DataFrame, path: str) -> None:
+    """A log file ``<source>.log`` for each source of (source, part, value), its parts in order; sources that share a task are written one after the other."""
+    names = logs.schema["source"].name
 
-    ``logs``: (source, value) and, where a source has several files, part.
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(path)
+        source, out = None, None
+        for batch in batches:
+            for name, value in zip(batch[names], batch["value"]):
+                if name != source:
+                    if out is not None:
+                        out.close()
+                    source, out = name, system.open_output_stream(f"{root}/{name}.log")
+                out.write(value.encode("utf-8"))
+        if out is not None:
+            out.close()
+        yield pd.DataFrame({"done": [True]})
+
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path)
+    system.create_dir(root, recursive=True)
+    _parts(logs).repartition("source").sortWithinPartitions("source", "part").select("source", "value").mapInPandas(write, "done boolean").write.format("noop").mode("overwrite").save()
+
+
+def live(logs: DataFrame, cards: DataFrame, folder: str | None = None, most_block: int = MOST_BLOCK, most_bytes: int = 64 << 20) -> DataFrame:
+    """All logs through the stream until nothing is left: landed as files, tailed in batches of at most ``most_bytes`` a file, decided, written.
+
+    ``logs``: (source, value) and, where a source has several parts, part.
     """
     spark = logs.sparkSession
     root = f"{folder}/live-{uuid.uuid4().hex}" if folder else scratch(spark, "live")
-    _parts(logs).write.partitionBy("source", "part").option("lineSep", "\n").text(f"{root}/logs")
-
-    def sink(batch: DataFrame, number: int) -> None:
-        resolved(batch, cards).write.mode("overwrite").parquet(f"{root}/out/batch={number}")
-
-    stream = decisions(typed_events(blocks(read_logs(spark, f"{root}/logs")), most_block))
-    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.option("basePath", f"{root}/out").parquet(f"{root}/out").drop("batch")
+    land(logs, f"{root}/logs")
+    stream = decisions(tailed(spark, f"{root}/logs", closed="true", maxbytes=str(most_bytes)), cards, most_block, None, None)
+    query = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.schema(OUT).parquet(f"{root}/out")
 
 
 def replay(logs: DataFrame, cards: DataFrame, most_block: int = MOST_BLOCK) -> DataFrame:
     """The same logic over logs that are all there, without a stream."""
-    return resolved(decisions_in_batch(typed_events(blocks(_parts(logs)), most_block)), cards)
+    return decisions_in_batch(with_names(typed_events(blocks(_parts(logs)), most_block), cards))
 
 
 def logs_of_events(events: DataFrame) -> DataFrame:
@@ -254,5 +370,5 @@ def logs_of_events(events: DataFrame) -> DataFrame:
     end = F.lit('{"matchGameRoomStateChangedEvent": {"gameRoomInfo": {"stateType": "MatchGameRoomStateType_MatchCompleted"}}}')
     body = F.when(c("event_type") == "purchase", deck).when(c("event_type").isin("click", "view"), game).when(c("event_type") == "error", F.lit('{"broken": ')).otherwise(end)
     block = F.concat(F.lit(MARKER), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("\n"), body, F.lit("\n"))
-    # A log is cut into files of an hour's blocks.
-    return events.withColumn("b", block).groupBy(c("user_id").alias("source"), F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "b"))).alias("x")).select(F.concat(F.lit("junk\n"), F.array_join("x.b", "")).alias("value"), c("source").cast("string").alias("source"), F.unix_timestamp("hour").alias("part"))
+    # A user's log comes in parts of a day's blocks.
+    return events.withColumn("b", block).groupBy(c("user_id").alias("source"), F.date_trunc("day", "ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "b"))).alias("x")).select(F.concat(F.lit("junk\n"), F.array_join("x.b", "")).alias("value"), c("source").cast("string").alias("source"), F.unix_timestamp("day").alias("part"))

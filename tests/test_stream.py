@@ -1,8 +1,10 @@
 """The log stream: framing, state, resolution."""
 
 import json
+import random
 
-from decklake.streaming import log
+from decklake.streaming import log, tail as tail_module
+from decklake.streaming.tail import TailReader
 
 
 def state(pending=True, hand=(1, 2), objects=((1, 10), (2, 20)), mulligans=0, active=1, opp=1):
@@ -24,7 +26,7 @@ def replay(spark, logs, tmp_path):
     df = spark.createDataFrame([(s, t) for s, t in logs.items()], "source string, value string")
     key = lambda r: (r.source, r.at or "", r.what)
     live, batch = (sorted(d.collect(), key=key) for d in (log.live(df, cards, f"file://{tmp_path}", 5000), log.replay(df, cards, 5000)))
-    assert [r.asDict() for r in live] == [{k: r[k] for k in live[0].asDict()} for r in batch]
+    assert [r.asDict() for r in live] == [r.asDict() for r in batch]
     return live
 
 
@@ -64,3 +66,142 @@ def test_order_is_the_files_not_the_times(spark, tmp_path):
         ("a", "deck_submitted", None, None, times[0]), *(("a", "decision", k, True, times[k + 1]) for k in range(3)), ("a", "match_ended", None, None, times[4]), ("a", "decision", 0, False, times[5]),
         ("b", "deck_submitted", None, None, "3/15/2026 7:23:00 PM"), ("b", "decision", 3, True, None), ("b", "match_ended", None, None, None), ("b", "oversized_block", None, None, "3/15/2026 8:00:00 PM"),
     }
+
+
+def read_new(reader, before):
+    """What a batch from offset ``before`` on gives, and its end."""
+    end = reader.latestOffset()
+    shares = reader.partitions(before, end)
+    reader.commit(end)
+    return [row for p in shares for row in reader.read(p)], end
+
+
+def test_a_log_cut_at_every_byte(tmp_path):
+    """Whatever two moments a log is looked at, its blocks come whole, once and in order."""
+    whole = ("junk\n" + "".join(f"{log.MARKER}7{i}\n{{\"a\": \"é{i}\"}}\n" for i in range(4))).encode()
+    parts = whole.decode().split(log.MARKER)[1:]
+    path = tmp_path / "a.log"
+    for cut in range(len(whole) + 1):
+        reader = TailReader({"path": str(tmp_path)})
+        path.write_bytes(whole[:cut])
+        first, at = read_new(reader, reader.initialOffset())
+        again = TailReader({"path": str(tmp_path)})  # a restart in between: nothing but the offset is left
+        path.write_bytes(whole)
+        second, at = read_new(again, at)
+        assert [t for _, _, t in first + second] == parts[:-1], cut
+        closed, _ = read_new(TailReader({"path": str(tmp_path), "closed": "true"}), at)
+        assert [t for _, _, t in closed] == parts[-1:]
+    growing = TailReader({"path": str(tmp_path)})
+    at, got = growing.initialOffset(), []
+    for cut in range(len(whole) + 1):
+        path.write_bytes(whole[:cut])
+        rows, at = read_new(growing, at)
+        got += rows
+    assert [t for _, _, t in got] == parts[:-1] and [b for _, b, _ in got] == sorted({b for _, b, _ in got})
+
+
+def test_a_log_that_gets_shorter_begins_again(tmp_path):
+    block = lambda i, n=1: f"{log.MARKER}at {i}\n{'x' * n}\n"
+    path, reader = tmp_path / "a.log", TailReader({"path": str(tmp_path)})
+    path.write_text("".join(block(i, 50) for i in range(9)))
+    first, at = read_new(reader, {})
+    assert len(first) == 8
+    path.write_text("".join(block(i) for i in (20, 21, 22)))
+    second, at = read_new(reader, at)
+    assert [t.split()[1] for _, _, t in second] == ["20", "21"]
+    path.write_text("".join(block(i, 90) for i in range(30, 50)))  # replaced by a longer one
+    third, at = read_new(reader, at)
+    assert [t.split()[1] for _, _, t in third] == [str(i) for i in range(30, 49)]
+    path.unlink()
+    assert read_new(reader, at) == ([], {})
+    path.write_text(block(60) + block(61))
+    assert [t.split()[1] for _, _, t in read_new(reader, {})[0]] == ["60"]
+
+
+def test_shares_and_bounded_batches(tmp_path, monkeypatch):
+    monkeypatch.setattr(tail_module, "STEP", 37)
+    rng = random.Random(4)
+    texts = {f"s{k}": [f"{i} " + "y" * rng.randrange(0, 120) for i in range(rng.randrange(1, 40))] for k in range(5)}
+    for name, parts in texts.items():
+        (tmp_path / f"{name}.log").write_text("".join(log.MARKER + p for p in parts))
+    for share in (1, 40, 1000):
+        rows, _ = read_new(TailReader({"path": str(tmp_path), "closed": "true", "share": str(share)}), {})
+        assert {n: [t for m, _, t in sorted(rows) if m == n] for n in texts} == texts
+    reader = TailReader({"path": str(tmp_path), "closed": "true", "maxbytes": "300"})
+    at, batches = reader.initialOffset(), []
+    while True:
+        rows, at = read_new(reader, at)
+        if not rows:
+            break
+        batches.append(rows)
+    assert len(batches) > 5 and max(sum(len(t) for n, _, t in rows if n == "s0") for rows in batches) < 300 + 200
+    assert {n: [t for rows in batches for m, _, t in rows if m == n] for n in texts} == texts
+
+
+def shown(rows):
+    return [(r.what, r.hand_names, r.mulligan_count) for r in sorted(rows, key=lambda r: r.seq)]
+
+
+def test_any_sink_and_restarts(spark, tmp_path):
+    """A block whose end comes later, to a running query and to one that starts anew; state, deck and last decision go on; a memory sink has the names."""
+    whole = text(DECK, state(), state(), state(mulligans=1), END).encode()
+    middle = whole.index(b"MulliganResp")  # inside the first state
+    want = [("deck_submitted", [], None), ("decision", ["Ten", "Twenty"], 0), ("decision", ["Ten", "Twenty"], 1)]
+    cards = spark.createDataFrame([(10, "Ten"), (20, "Twenty")], "id int, name string")
+    (tmp_path / "logs").mkdir()
+    path = tmp_path / "logs" / "a.log"
+    stream = lambda: log.decisions(log.tailed(spark, f"file://{tmp_path}/logs"), cards, 5000, None, None).writeStream.option("checkpointLocation", f"file://{tmp_path}/state")
+    for k, piece in enumerate((whole[:middle], whole)):  # two queries, one after the other
+        path.write_bytes(piece)
+        query = stream().format("parquet").option("path", f"file://{tmp_path}/out").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        assert shown(spark.read.schema(log.OUT).parquet(f"file://{tmp_path}/out").collect()) == want[: 1 if k == 0 else 3]
+    held = spark.read.format("statestore").option("stateVarName", "cards").load(f"file://{tmp_path}/state")
+    assert sorted((r[0].instance, r[1].id) for r in held.select("user_map_key", "user_map_value").collect()) == [(1, 10), (2, 20)]
+    path.write_bytes(whole[:middle])
+    query = log.decisions(log.tailed(spark, f"file://{tmp_path}/logs"), cards, 5000, None, None).writeStream.format("memory").queryName("live_sink").start()
+    try:
+        query.processAllAvailable()
+        assert shown(spark.table("live_sink").collect()) == want[:1]
+        path.write_bytes(whole)
+        query.processAllAvailable()
+        assert shown(spark.table("live_sink").collect()) == want
+    finally:
+        query.stop()
+
+
+class Stored(dict):
+    """A map state that counts what is asked of it."""
+
+    def __init__(self, *a):
+        super().__init__(*a)
+        self.asked = 0
+
+    def containsKey(self, k):
+        self.asked += 1
+        return k in self
+
+    def getValue(self, k):
+        self.asked += 1
+        return self[k]
+
+    def updateValue(self, k, v):
+        self.asked += 1
+        self[k] = v
+
+
+def test_a_million_cards_are_touched_by_key():
+    stored = Stored({(i,): (i, f"n{i}") for i in range(1_000_000)})
+    cards = log.CardMap(stored)
+    message = {"kind": "state", "cards": [{"instance": 5, "id": 77, "name": "new"}, {"instance": 6, "id": 6, "name": "n6"}], "local_seat": 1, "hand": [5, 999_999], "active_player": 1, "pending": True, "mulligans": 0, "opp_mulligans": 0}
+    out = log.advance({}, cards, message)
+    cards.flush()
+    assert out[0]["hand_names"] == ["new", "n999999"] and stored[5,] == (77, "new") and len(stored) == 1_000_000
+    assert stored.asked <= 6
+    log.advance({}, cards, {"kind": "end"})
+    assert cards.get(7) is None
+    cards.flush()
+    assert not stored
