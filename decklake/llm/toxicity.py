@@ -1,7 +1,9 @@
 """Toxicity from the nearest labelled examples by exact TF-IDF cosine (operator 2).
 
-Terms are all words that labelled texts of one class have more often than
-those of the other, beyond chance and by a factor that matters.  Examples are
+Terms are all words of the examples; no word is left out.  A term's weight is
+its inverse document frequency among all labelled texts times what the word
+tells about the label there (its information gain, with a prior count), so that
+neighbours are alike in what matters and not just in language.  Examples are
 stored in a block-max inverted index: each term's postings are cut into blocks
 of examples, with the largest weight of each block.  A query adds up these
 largest weights into a bound for each block and opens blocks from the highest
@@ -23,17 +25,16 @@ from pyspark.sql import DataFrame, functions as F
 from .common import drop_path, fold_of, make_room, written
 
 WORDS = re.compile(r"\w+")
-#: A word is a term if labels parted at random would give it so one-sided a share of its texts with less than this probability, and if one class has it so many times as often.
-LEVEL, LIFT = 1e-6, 2.0
 #: Examples of each class in the index at most (drawn by a hash of the id), nearest ones that vote, examples of a block.
-EXAMPLES, NEAREST, BLOCK = 12_000, 25, 64
+EXAMPLES, NEAREST, BLOCK = 1_000, 25, 64
+#: Texts that a word is taken to have been in besides, labelled as all are.
+PRIOR = 2.0
 #: Labelled ids up to this number are broadcast; beyond, they are joined by a shuffle.
 MOST_BROADCAST = 2_000_000
 
 
-def _bag(text: str, at: dict[str, int]) -> Counter:
-    get = at.get
-    return Counter(k for k in map(get, WORDS.findall(text.lower())) if k is not None)
+def _bag(text: str) -> Counter:
+    return Counter(WORDS.findall(text.lower()))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -65,85 +66,93 @@ def _word_texts(rows: DataFrame) -> DataFrame:
     return rows.select("t", "y").mapInPandas(count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
-def choose_terms(rows: DataFrame, level: float = LEVEL, lift: float = LIFT) -> tuple[list[str], np.ndarray]:
-    """Terms and their inverse document frequencies among all labelled texts.
+def term_weights(a: np.ndarray, b: np.ndarray, ones: int, zeros: int) -> np.ndarray:
+    """Inverse document frequency times information gain of words that ``a`` texts of class 1 and ``b`` of class 0 have, of ``ones`` and ``zeros`` in all.
 
-    Of the texts with a word, a share ``p`` would be of class 1 by chance; that
-    so many or few are has at most the probability exp(-KL), by Chernoff's
-    bound, which holds at every size.
+    The gain is the divergence of the word's labels from all texts' labels,
+    by text; ``PRIOR`` texts with the common share of labels go with each
+    word's, so that a word of one text says little.
     """
-    sizes = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
-    ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
-    if not ones or not zeros:
-        return [], np.zeros(0)
-    n, a, b = ones + zeros, F.col("a"), F.col("b")
-    part = lambda x, share: F.when(x > 0, x * F.log(x / ((a + b) * F.lit(share)))).otherwise(F.lit(0.0))
-    chance = part(a, ones / n) + part(b, zeros / n)
-    more, less = (a + 0.5) / (ones + 1), (b + 0.5) / (zeros + 1)
-    terms = _word_texts(rows).filter((chance >= -np.log(level)) & (F.greatest(more / less, less / more) >= lift)).select("word", (a + b).alias("n")).collect()
-    terms.sort(key=lambda r: r.word)
-    return [r.word for r in terms], np.array([np.log((1 + n) / (1 + r.n)) + 1 for r in terms])
+    n, total = a + b, ones + zeros
+    share = min(max(ones / max(1, total), 0.5 / (total + 1)), 1 - 0.5 / (total + 1))
+    p = (a + PRIOR * share) / (n + PRIOR)
+    gain = n * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
+    return (np.log((1 + total) / (1 + n)) + 1) * gain
 
 
 class Index:
-    """Block-max inverted index over unit vectors; examples in order of id."""
+    """Block-max inverted index over unit vectors (terms, weights); examples in order of id."""
 
-    def __init__(self, vectors: list[dict[int, float]], ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, terms: int):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], ids: np.ndarray, labels: np.ndarray, weights: np.ndarray, terms: int):
         self.ids, self.labels, self.weights, self.size = ids, labels, weights, len(ids)
         self.blocks = -(-max(1, self.size) // BLOCK)
-        postings: list[list] = [[] for _ in range(terms)]
-        for doc, vector in enumerate(vectors):
-            for term, w in vector.items():
-                postings[term].append((doc, w))
-        self.docs = [np.array([d for d, _ in p], dtype=np.int32) for p in postings]
-        self.w = [np.array([w for _, w in p]) for p in postings]
-        # Of each term, the blocks that have it, the first posting of each, and its largest weight there.
-        self.held, self.first = zip(*(np.unique(d // BLOCK, return_index=True) for d in self.docs)) if terms else ((), ())
-        self.most = [np.maximum.reduceat(w, f) if len(w) else w for w, f in zip(self.w, self.first)]
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
+        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, dtype=np.int64)
+        doc = np.repeat(np.arange(self.size), [len(t) for t, _ in vectors])
+        order = np.lexsort((doc, term))
+        self.doc = doc[order].astype(np.int32)
+        self.w = (np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0))[order]
+        # Postings of a term in a block are neighbours: where each such stretch begins, and its largest weight.
+        cell = term[order] * self.blocks + self.doc // BLOCK
+        self.first = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int32)
+        self.most = np.zeros(terms * self.blocks)
+        np.maximum.at(self.most, cell, self.w)
+        self.most = self.most.reshape(terms, self.blocks)
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(similarity, example) of the ``k`` most similar ones, of ties the smallest id; only similarities above 0."""
-        if not query or not self.size:
+        if not len(terms) or not self.size:
             return []
-        bound = np.zeros(self.blocks)
-        for t, q in query.items():
-            bound[self.held[t]] += q * self.most[t]
-        bound = np.round(bound, 9)
+        bound = np.round(weights @ self.most[terms], 9)
         order = np.lexsort((np.arange(self.blocks), -bound))
         order = order[bound[order] > 0]
         sims, ids = np.zeros(0), np.zeros(0, dtype=np.int64)
-        at, step = 0, 4
+        at, step = 0, 8
         while at < len(order):
             if len(ids) == k:
                 # Blocks of equal bounds stand in order of their examples.
                 best, block = bound[order[at]], order[at]
                 if best < sims[-1] or best == sims[-1] and block * BLOCK > ids[-1]:
                     break
-            opened = np.zeros(self.blocks, dtype=bool)
-            opened[order[at : at + step]] = True
+            opened = order[at : at + step]
             at, step = at + step, step * 2
-            sums = np.zeros(self.blocks * BLOCK)
-            for t, q in query.items():
-                here = opened[self.docs[t] // BLOCK]
-                sums[self.docs[t][here]] += q * self.w[t][here]
-            hit = np.flatnonzero(sums > 0)
-            sims, ids = np.concatenate((sims, np.round(sums[hit], 9))), np.concatenate((ids, hit))
+            cell = (terms[:, None] * self.blocks + opened).reshape(-1)
+            start = self.first[cell]
+            size = self.first[cell + 1] - start
+            used = np.flatnonzero(size)
+            start, size = start[used], size[used]
+            here = np.repeat(start - np.cumsum(size, dtype=np.int32) + size, size) + np.arange(size.sum(), dtype=np.int32)
+            sums = np.bincount(self.doc[here], weights=np.repeat(weights[used // len(opened)], size) * self.w[here], minlength=self.size)
+            # Of what is new, only what reaches the k-th of it and of what is held can stay; equals do.
+            sums = np.round(sums, 9)
+            least = sims[-1] if len(ids) == k else 0.0
+            if np.count_nonzero(sums > least) > k:
+                least = max(least, np.partition(sums, -k)[-k])
+            hit = np.flatnonzero((sums >= least) & (sums > 0))
+            sims, ids = np.concatenate((sims, sums[hit])), np.concatenate((ids, hit))
             first = np.lexsort((ids, -sims))[:k]
             sims, ids = sims[first], ids[first]
-        return list(zip(sims.tolist(), ids.tolist()))
+        return [(s, i) for s, i in zip(sims.tolist(), ids.tolist()) if s > 0]
 
 
-def unit(bag: Counter, idf: np.ndarray) -> dict[int, float]:
-    raw = {t: (1 + np.log(n)) * idf[t] for t, n in sorted(bag.items())}
-    norm = np.sqrt(sum(v * v for v in raw.values()))
-    return {t: float(v / norm) for t, v in raw.items()}
+def unit(terms: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(terms, weights) of length 1, terms rising; a text whose terms all weigh nothing has none."""
+    order = np.argsort(terms)
+    terms, raw = terms[order], (1 + np.log(counts[order])) * weight[terms[order]]
+    terms, raw = terms[raw > 0], raw[raw > 0]
+    return terms, raw / np.sqrt((raw * raw).sum()) if len(raw) else raw
 
 
 class Model:
-    def __init__(self, terms: list[str], idf: np.ndarray, index: Index, steps: tuple[np.ndarray, np.ndarray], without: float):
+    def __init__(self, terms: list[str], weight: np.ndarray, index: Index, steps: tuple[np.ndarray, np.ndarray], without: float):
         self.at = {w: k for k, w in enumerate(terms)}
-        self.terms, self.idf, self.index, self.steps, self.without = terms, idf, index, steps, without
-        self.known: dict = {}
+        self.weight, self.index, self.steps, self.without = weight, index, steps, without
+
+    def vector(self, bag: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """What of a text the index knows; words of no labelled text tell nothing of the label, and weigh nothing."""
+        get = self.at.get
+        terms = np.array([get(w, -1) for w in bag], dtype=np.int64)
+        known = terms >= 0
+        return unit(terms[known], np.fromiter(bag.values(), dtype=np.int64, count=len(bag))[known], self.weight)
 
     def vote(self, near: list[tuple[float, int]]) -> float:
         """Share of class 1 among the nearest, weighted by similarity and by how many texts an example stands for."""
@@ -152,11 +161,12 @@ class Model:
         w = s * self.index.weights[i]
         return float((w * self.index.labels[i]).sum() / w.sum())
 
-    def score(self, bag: Counter) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(unit(bag, self.idf), NEAREST) if bag else []
+    def score(self, bag: Counter) -> tuple[float, list[tuple[float, int]], np.ndarray]:
+        terms, weights = self.vector(bag)
+        near = self.index.nearest(terms, weights, NEAREST)
         if not near:
-            return self.without, near
-        return float(np.interp(self.vote(near), *self.steps)), near
+            return self.without, near, terms
+        return float(np.interp(self.vote(near), *self.steps)), near, terms[np.argsort(-weights, kind="stable")]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,92 +185,80 @@ def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, n
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """``docs``: i (id), t (text); ``labels``: doc_id, toxic.  Rows of fold 0 are never looked at.
 
-    Terms and frequencies come from all labelled texts; the index holds up to
-    ``EXAMPLES`` texts of each class that have a term, and weights them by how
-    many they stand for.
+    The index holds up to ``EXAMPLES`` texts of each class, drawn by a hash,
+    and weights them by how many they stand for.  Its terms are all words of
+    these texts, with their frequencies in all labelled texts.
     """
-    rows = _labelled(docs, labels)
-    terms, idf = choose_terms(rows)
-    at = {w: k for k, w in enumerate(terms)}
+    spark, rows = docs.sparkSession, _labelled(docs, labels)
+    sizes = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
+    ones, zeros = sizes.get(1, 0), sizes.get(0, 0)
+    without = (ones + 0.05) / (ones + zeros + 1.0)
+    share = F.when(F.col("y") == 1, F.lit(min(1.0, EXAMPLES / max(1, ones)))).otherwise(F.lit(min(1.0, EXAMPLES / max(1, zeros))))
 
-    def vectors(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bags(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(i, y, sorted(bag), [bag[k] for k in sorted(bag)]) for i, y, bag in ((i, y, _bag(t, at)) for i, t, y in zip(batch["i"], batch["t"], batch["y"]))]
-            yield pd.DataFrame(out, columns=["i", "y", "terms", "n"])
-
-    bags, bags_path = written(rows.mapInPandas(vectors, "i long, y int, terms array<int>, n array<int>"), "bags")
-    counts = {(r[0], r[1]): r[2] for r in bags.groupBy("y", (F.size("terms") > 0).alias("has")).count().collect()}
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, EXAMPLES / max(1, counts.get((1, True), 1))))).otherwise(F.lit(min(1.0, EXAMPLES / max(1, counts.get((0, True), 1)))))
-    drawn = bags.filter((F.size("terms") > 0) & (F.pmod(F.xxhash64("i", F.lit("toxic")), F.lit(1 << 30)) < share * (1 << 30)))
-    # Rows that repeat an id are one example: the first by its terms.
-    drawn = drawn.groupBy("i").agg(F.min(F.struct("y", "terms", "n")).alias("x")).select("i", "x.*")
-    found = sorted(drawn.collect(), key=lambda r: r.i) if terms else []
-    labels_of = np.array([r.y for r in found], float)
-    weights = np.array([counts[(r.y, True)] for r in found], float)
-    for y in (0, 1):
-        weights[labels_of == y] /= max(1, (labels_of == y).sum())
-    units = [unit(Counter(dict(zip(r.terms, r.n))), idf) for r in found]
-    index = Index(units, np.array([r.i for r in found], dtype=np.int64), labels_of, weights, len(terms))
-    ones, zeros = counts.get((1, False), 0), counts.get((0, False), 0)
-    without = (ones + 0.05) / (ones + zeros + 1.0)
-    model = Model(terms, idf, index, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), without)
-    if found:
-        votes = _left_out_votes(drawn, model).toArrow().to_pandas()
+            out = [(i, y, list(bag), list(bag.values())) for i, y, bag in ((i, y, _bag(t)) for i, t, y in zip(batch["i"], batch["t"], batch["y"]))]
+            yield pd.DataFrame(out, columns=["i", "y", "words", "n"])
+
+    drawn = rows.filter(F.pmod(F.xxhash64("i", F.lit("toxic")), F.lit(1 << 30)) < share * (1 << 30))
+    # Rows that repeat an id are one example: the first by its label and text.
+    drawn = drawn.groupBy("i").agg(F.min(F.struct("y", "t")).alias("x")).select("i", "x.*")
+    examples, path = written(drawn.mapInPandas(bags, "i long, y int, words array<string>, n array<long>"), "examples")
+    words = examples.select(F.explode("words").alias("word")).distinct()
+    counted = _word_texts(rows).join(words, "word", "left_semi").toArrow().to_pandas().sort_values("word")
+    terms = counted["word"].tolist()
+    weight = term_weights(counted["a"].to_numpy(float), counted["b"].to_numpy(float), ones, zeros)
+    found = examples.toArrow().to_pandas().sort_values("i")
+    drop_path(spark, path)
+    labels_of, weights = found["y"].to_numpy(float), np.ones(len(found))
+    for y, n in ((0, zeros), (1, ones)):
+        weights[labels_of == y] = n / max(1, (labels_of == y).sum())
+    model = Model(terms, weight, None, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), without)
+    vectors = [model.vector(Counter(dict(zip(w, n)))) for w, n in zip(found["words"], found["n"])]
+    model.index = Index(vectors, found["i"].to_numpy(np.int64), labels_of, weights, len(terms))
+    if len(found):
+        votes = _left_out_votes(spark, vectors, model).toArrow().to_pandas()
         votes = votes[votes["vote"].notna()].sort_values(["vote", "label", "weight"])
         if len(votes):
             model.steps = isotonic(votes["vote"].to_numpy(), votes["label"].to_numpy(), votes["weight"].to_numpy())
-    drop_path(docs.sparkSession, bags_path)
     return model
 
 
-def _left_out_votes(drawn: DataFrame, model: Model) -> DataFrame:
-    """(vote, label, weight): what an example's nearest others say of it; examples with the same terms and label have the same nearest ones but for themselves."""
-    shared = drawn.sparkSession.sparkContext.broadcast(model)
+def _left_out_votes(spark, vectors: list[tuple[np.ndarray, np.ndarray]], model: Model) -> DataFrame:
+    """(vote, label, weight): what an example's nearest others say of it."""
+    shared = spark.sparkContext.broadcast((model, vectors))
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = shared.value
-        index = model.index
+        model, vectors = shared.value
         for batch in batches:
             out = []
-            for terms, n, ids in zip(batch["terms"], batch["n"], batch["ids"]):
-                near = index.nearest(unit(Counter(dict(zip(map(int, terms), map(int, n)))), model.idf), NEAREST + 1)
-                own = np.searchsorted(index.ids, np.sort(np.asarray(ids, dtype=np.int64)))
-                inside = {k for _, k in near}
-                out += [(k, [x for x in near if x[1] != k][:NEAREST]) for k in own.tolist() if k in inside]
-                out += [(k, near[:NEAREST]) for k in own.tolist() if k not in inside]
-            rows = [(model.vote(near) if near else None, float(index.labels[k]), float(index.weights[k])) for k, near in out]
-            yield pd.DataFrame(rows, columns=["vote", "label", "weight"], dtype=float)
-
-    # Ids of an equal bag are dealt out a thousand at a time, so that no bag is a single row.
-    bags = drawn.groupBy("terms", "n", F.pmod(F.xxhash64("i"), F.lit(1 + EXAMPLES // 1000)).alias("part")).agg(F.collect_set("i").alias("ids"))
-    # Few bytes, but each row is a search: adaptive execution would put them all into one task.
-    tasks = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return bags.select("terms", "n", "ids").repartition(tasks).mapInPandas(run, "vote double, label double, weight double")
+            for k in batch["id"].tolist():
+                near = [x for x in model.index.nearest(*vectors[k], NEAREST + 1) if x[1] != k][:NEAREST]
+                out.append((model.vote(near) if near else None, float(model.index.labels[k]), float(model.index.weights[k])))
+            yield pd.DataFrame(out, columns=["vote", "label", "weight"], dtype=float)
+
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.range(0, len(vectors), 1, tasks).mapInPandas(run, "vote double, label double, weight double")
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "t", result_col: str = "toxicity", evidence: int = 5) -> DataFrame:
-    """``docs`` with ``result_col``: score (0 to 1), and the evidence: the terms found, and ids and similarities of the nearest examples.
+    """``docs`` with ``result_col``: score (0 to 1), and the evidence: the ``evidence`` heaviest terms, and ids and similarities of the nearest examples.
 
     A text without any term, empty and null ones too, has no neighbour and
-    scores as the labelled texts without a term are labelled.  Repeated rows
-    are scored each; an empty table gives an empty one.  A column of ``docs``
-    with the new one's name goes on as ``<name>_in``.
+    scores as labelled texts are labelled on the whole; with no labelled text
+    of both classes all terms weigh nothing, and every text does.  Repeated
+    rows are scored each; an empty table gives an empty one.  A column of
+    ``docs`` with the new one's name goes on as ``<name>_in``.
     """
     docs = make_room(docs, result_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pd.Series) -> pd.DataFrame:
         model, out = shared.value, []
-        known = model.known  # texts with the same terms as often have the same score
+        words = list(model.at)
         for text in texts:
-            bag = _bag(text, model.at)
-            key = tuple(sorted(bag.items()))
-            if key not in known:
-                if len(known) > 50_000:
-                    known.clear()
-                value, near = model.score(bag)
-                known[key] = {"score": value, "terms": [model.terms[t] for t in sorted(bag)], "nearest": [{"doc_id": int(model.index.ids[i]), "similarity": s} for s, i in near[:evidence]]}
-            out.append(known[key])
+            value, near, terms = model.score(_bag(text))
+            out.append((value, [words[t] for t in terms[:evidence].tolist()], [{"doc_id": int(model.index.ids[i]), "similarity": s} for s, i in near[:evidence]]))
         return pd.DataFrame(out, columns=["score", "terms", "nearest"])
 
     kind = "score double, terms array<string>, nearest array<struct<doc_id:long,similarity:double>>"
