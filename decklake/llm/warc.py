@@ -101,36 +101,67 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 RECORD = "record_id string, url string, captured timestamp, kind string, etag string, last_modified string, digest string, headers map<string,string>, body binary, file string, problem string"
 
 
+#: Compressed bytes that are looked at together, and bytes of the largest body that is kept.
+STEP, MOST_BODY = 1 << 14, 64 << 20
+
+
 class _Stream(io.RawIOBase):
-    """The bytes of a WARC file, member after member if it is compressed."""
+    """The bytes of a WARC file, member after member if it is compressed; no more is inflated than is asked for."""
 
     def __init__(self, content: bytes):
-        self.content, self.at, self.held, self.gz = content, 0, b"", content[:2] == b"\x1f\x8b"
+        self.content, self.at, self.member, self.rest = memoryview(content), 0, None, b""
+        self.gz = bytes(self.content[:2]) == b"\x1f\x8b"
 
     def readable(self) -> bool:
         return True
 
+    def _next(self, most: int) -> bytes:
+        part = bytes(self.content[self.at : self.at + most])
+        self.at += len(part)
+        return part
+
+    def _inflated(self, most: int) -> bytes:
+        """Up to ``most`` bytes; none at the end."""
+        while True:
+            self.rest = self.rest or self._next(STEP)
+            if not self.rest:
+                return b""
+            self.member = self.member or zlib.decompressobj(31)
+            out = self.member.decompress(self.rest, most)
+            if self.member.eof:
+                self.rest, self.member = self.member.unused_data, None
+            else:
+                self.rest = self.member.unconsumed_tail
+            if out:
+                return out
+
     def readinto(self, into) -> int:
-        if not self.gz:
-            part = self.content[self.at : self.at + len(into)]
-            self.at += len(part)
-        else:
-            while not self.held and self.at < len(self.content):
-                member = zlib.decompressobj(31)
-                self.held = member.decompress(self.content[self.at :])
-                self.at = len(self.content) - len(member.unused_data)
-            part, self.held = self.held[: len(into)], self.held[len(into) :]
+        part = self._inflated(len(into)) if self.gz else self._next(len(into))
         into[: len(part)] = part
         return len(part)
 
 
+def _block(source: io.BufferedReader, size: int, most: int) -> tuple[bytes, int]:
+    """A record's block up to ``most`` bytes, and how many it has; what is beyond is passed over a step at a time."""
+    block = source.read(min(size, most))
+    got = len(block)
+    while got < size and (part := source.read(min(size - got, 1 << 20))):
+        got += len(part)
+    if got < size:
+        raise ValueError("a record is cut off")
+    return block, size
+
+
 def _fields(lines: Iterable[bytes]) -> dict[str, str]:
     pairs = (line.decode("utf-8", "replace").partition(":") for line in lines if b":" in line)
     return {name.strip(): value.strip() for name, _, value in pairs}
 
 
-def records_of(content: bytes, file: str = "") -> Iterator[dict]:
-    """Records of one file; what can't be read ends it with a row that says why, and so does a file that is cut off."""
+def records_of(content: bytes, file: str = "", most_body: int = MOST_BODY) -> Iterator[dict]:
+    """Records of one file; what can't be read ends it with a row that says why, and so does a file that is cut off.
+
+    A record of over ``most_body`` bytes keeps its fields; its body is null and ``problem`` says so.
+    """
     source = io.BufferedReader(_Stream(content))
     blank = {"record_id": None, "url": None, "captured": None, "kind": None, "etag": None, "last_modified": None, "digest": None, "headers": {}, "body": None, "file": file, "problem": None}
     try:
@@ -142,16 +173,17 @@ def records_of(content: bytes, file: str = "") -> Iterator[dict]:
             head = _fields(iter(lambda: source.readline().rstrip(b"\r\n"), b""))
             own = {k.lower(): v for k, v in head.items()}
             size = int(own["content-length"])
-            block = source.read(size)
-            if len(block) < size:
-                raise ValueError("a record is cut off")
+            if size < 0:
+                raise ValueError("a length below 0")
+            block, _ = _block(source, size, most_body)
             http, _, body = block.partition(b"\r\n\r\n") if own.get("content-type", "").startswith("application/http") else (b"", b"", block)
             headers = _fields(http.split(b"\r\n")[1:])
             low = {k.lower(): v for k, v in headers.items()}
             captured = pd.to_datetime(own.get("warc-date"), errors="coerce", utc=True)
             yield blank | {
                 "record_id": own.get("warc-record-id", "").strip("<>") or None, "url": own.get("warc-target-uri", "").strip("<>") or None, "captured": None if captured is pd.NaT or captured is None else captured.tz_convert(None),
-                "kind": own.get("warc-type"), "etag": low.get("etag"), "last_modified": low.get("last-modified"), "digest": own.get("warc-payload-digest"), "headers": headers, "body": body,
+                "kind": own.get("warc-type"), "etag": low.get("etag"), "last_modified": low.get("last-modified"), "digest": own.get("warc-payload-digest"), "headers": headers, "body": body if size <= most_body else None,
+                "problem": None if size <= most_body else f"a body of {size} bytes is left out",
             }
     except (ValueError, KeyError, zlib.error) as error:
         yield blank | {"kind": "unreadable", "problem": f"{type(error).__name__}: {error}"}
@@ -167,7 +199,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
                 rows, held = [], 0
-                for record in records_of(bytes(content), name):
+                for record in records_of(content, name):
                     rows.append(record)
                     held += len(record["body"] or b"")
                     if held > 8 << 20:

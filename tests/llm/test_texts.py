@@ -2,7 +2,10 @@
 
 import base64
 import hashlib
+import gzip
 import random
+import tracemalloc
+import time
 import re
 import zlib
 
@@ -519,3 +522,35 @@ def test_copies_stand_at_their_own_positions(spark):
     # The small source is taken three times: a third of its copies each, pass after pass.
     small = [i for i in got if i % 20 == 0]
     assert len(small) == 300 and all(sorted(small[n : n + 100]) == list(range(0, 2000, 20)) for n in (0, 100, 200))
+
+
+def warc_file(members, body=b"x"):
+    record = lambda k: b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <r%d>\r\nContent-Length: %d\r\n\r\n" % (k, len(body)) + body + b"\r\n\r\n"
+    return b"".join(gzip.compress(record(k), 1) for k in range(members))
+
+
+def test_warc_members_take_linear_time():
+    body = random.Random(1).randbytes(2500)
+    few, many = warc_file(2000, body), warc_file(8000, body)
+    took = []
+    for content, n in ((few, 2000), (many, 8000)):
+        began = time.process_time()
+        assert [r["record_id"] for r in W.records_of(content)] == [f"r{k}" for k in range(n)]
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * max(took[0], 0.05)
+
+
+def test_warc_bombs_and_cuts():
+    """A small member that inflates to 300 MB is passed over in steps; records after it are read; a cut ends the file with a row."""
+    bomb = warc_file(1, bytes(300 << 20))
+    assert len(bomb) < 3 << 20
+    tracemalloc.start()
+    got = list(W.records_of(bomb + warc_file(2), most_body=1 << 20))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(r["record_id"], r["body"], r["problem"] and "left out" in r["problem"]) for r in got] == [("r0", None, True), ("r0", b"x", None), ("r1", b"x", None)] and peak < 16 << 20
+    whole = warc_file(3, b"abc" * 100)
+    for cut in (len(whole) - 1, len(whole) - 40, len(whole) // 2):
+        rows = list(W.records_of(whole[:cut]))
+        assert rows[0]["record_id"] == "r0" and all(r["problem"] or r["body"] == b"abc" * 100 for r in rows)
+    assert list(W.records_of(b"WARC/1.0\r\nContent-Length: -5\r\n\r\n"))[0]["kind"] == "unreadable"
