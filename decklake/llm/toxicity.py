@@ -91,13 +91,26 @@ class Index:
         order = np.lexsort((doc, term))
         self.doc = doc[order].astype(np.int32)
         self.w = (np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0))[order]
-        # Postings of a term in a block are neighbours: where each such stretch begins, and its largest weight.
-        cell = term[order] * self.blocks + self.doc // BLOCK
+        self.until = np.searchsorted(term[order], np.arange(terms), side="right").astype(np.int32)
+        self._cells()
+
+    def _cells(self) -> None:
+        """Of each term and block, where its postings begin (they are neighbours), and its largest weight."""
+        terms = len(self.until)
+        cell = np.repeat(np.arange(terms), np.diff(self.until, prepend=0)) * self.blocks + self.doc // BLOCK
         self.first = np.searchsorted(cell, np.arange(terms * self.blocks + 1)).astype(np.int32)
         self.most = np.zeros(terms * self.blocks)
         np.maximum.at(self.most, cell, self.w)
         self.most = self.most.reshape(terms, self.blocks)
 
+    def __getstate__(self) -> dict:
+        """Postings alone are sent; each worker makes its own table of blocks."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("first", "most")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._cells()
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """(similarity, example) of the ``k`` most similar ones, of ties the smallest id; only similarities above 0."""
         if not len(terms) or not self.size:
