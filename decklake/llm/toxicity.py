@@ -268,10 +268,12 @@ def score(docs: DataFrame, model: Model, text_col: str = "t", result_col: str =
 
     def run(texts: pd.Series) -> pd.DataFrame:
         model, out = shared.value, []
-        words = list(model.at)
+        words, known = list(model.at), {}  # copies in a batch are scored once
         for text in texts:
-            value, near, terms = model.score(_bag(text))
-            out.append((value, [words[t] for t in terms[:evidence].tolist()], [{"doc_id": int(model.index.ids[i]), "similarity": s} for s, i in near[:evidence]]))
+            if text not in known:
+                value, near, terms = model.score(_bag(text))
+                known[text] = (value, [words[t] for t in terms[:evidence].tolist()], [{"doc_id": int(model.index.ids[i]), "similarity": s} for s, i in near[:evidence]])
+            out.append(known[text])
         return pd.DataFrame(out, columns=["score", "terms", "nearest"])
 
     kind = "score double, terms array<string>, nearest array<struct<doc_id:long,similarity:double>>"
