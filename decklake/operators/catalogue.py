@@ -155,12 +155,23 @@ def encoding_offenders(cards: DataFrame, decks: DataFrame) -> DataFrame:
     return decks.join(bad, "card_id").groupBy("game_id").agg(F.array_join(F.array_sort(F.collect_set("message")), "; ").alias("offenders"))
 
 
-def with_invariants(cards: DataFrame, creature_kinds: list[str]) -> DataFrame:
-    """Flags that follow from the type are set (``creature_kinds`` are creatures); ``is_other`` holds where no other flag does; costed cards without modes get one."""
-    creature = F.col("is_creature") | F.col("kind").isin(*creature_kinds)
-    rows = cards.withColumn("is_creature", creature)
-    other = ~(F.col("is_creature") | F.col("is_removal") | F.col("is_trick") | F.col("is_ramp") | F.col("is_land"))
-    return rows.withColumns({"is_other": other, "modes": F.when(~F.col("is_land"), F.array(F.lit("cast"))).otherwise(F.array().cast("array<string>"))})
+# The flag that a type or subtype stands for.
+TYPE_FLAGS = {"is_creature": ("types", "Creature"), "planeswalker": ("types", "Planeswalker"), "is_land": ("types", "Land"), "equipment": ("subtypes", "Equipment"), "vehicle": ("subtypes", "Vehicle")}
+
+
+def with_invariants(cards: DataFrame, roles: list[str], flags: dict[str, tuple[str, str]] = TYPE_FLAGS) -> DataFrame:
+    """Flags that follow from ``types`` and ``subtypes`` are forced on; ``is_other`` holds where none of ``roles`` and of these flags does; costed cards without modes get one.
+
+    A flag that is already on stays on whatever the type; null counts as off,
+    and so does a null list.  The same again if run twice.
+    """
+    on = {f: F.coalesce(F.col(f), F.lit(False)) | F.coalesce(F.array_contains(column, value), F.lit(False)) for f, (column, value) in flags.items()}
+    on |= {r: F.coalesce(F.col(r), F.lit(False)) for r in roles if r not in on}
+    rows = cards.withColumns(on)
+    other = ~F.array_contains(F.array(*[F.col(f) for f in on]), True)
+    have = F.col("modes") if "modes" in cards.columns else F.array().cast("array<string>")
+    have = F.coalesce(have, F.array().cast("array<string>"))
+    return rows.withColumns({"is_other": other, "modes": F.when(~F.col("is_land") & (F.size(have) == 0), F.array(F.lit("cast"))).otherwise(have)})
 
 
 def merge_catalogue(prior: DataFrame, fresh: DataFrame, key: str, reparse: bool = False, force: bool = False) -> DataFrame:

@@ -62,13 +62,6 @@ def _flags(cards: DataFrame, wanted: dict[str, Column], values: list[str]) -> Da
     return cards.select("card_id", *values, *[F.coalesce(c, F.lit(False)).alias(f"is_{n}") for n, c in wanted.items()])
 
 
-def _and(*conds: Column) -> Column:
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
-
-
 COLORS = ("W", "U", "B", "R", "G")
 CURVE = ("mv_le2", "mv_3", "mv_4_5", "mv_ge6")
 RATES = ("oh", "gd", "gih")

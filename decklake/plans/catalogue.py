@@ -47,9 +47,21 @@ def categories(t: Tables) -> DataFrame:
     return flat.select("card_id", *[c.alias(n) for n, c in (C.categories() | C.mana_buckets(F.col("mana_value"))).items()], F.size("colors").alias("colors"), "double_pip")
 
 
-@query("b24_invariants", "SELECT card_id, (is_creature OR kind = 'STANDARD') AS is_creature, NOT (is_creature OR kind = 'STANDARD' OR is_removal OR is_trick OR is_ramp OR is_land) AS is_other, CASE WHEN is_land THEN 0 ELSE 1 END AS modes FROM cards")
+ROLES = ["makes_creatures", "destroy_or_exile", "burn", "bounce", "top_library", "removal_aura", "counterspell", "punch_fight", "trick", "pump_aura", "saga", "class_card", "draw", "alt_mode", "mana_ability", "fetches_land"]
+#: Type lines by the kind of a card: each of the five flags follows from one of them.
+TYPED = """
+SELECT r.*, c.kind, CASE c.kind WHEN 'STANDARD' THEN 'Creature' WHEN 'ECONOMY' THEN 'Planeswalker' WHEN 'PROMO' THEN 'Land' ELSE 'Artifact' END AS own_type, CASE c.kind WHEN 'SMALL' THEN 'Equipment' WHEN 'MEDIUM' THEN 'Vehicle' ELSE 'None' END AS own_subtype
+FROM role_cards r JOIN cards c ON r.card_id = c.card_id
+"""
+FORCED = {"is_creature": "own_type = 'Creature'", "planeswalker": "own_type = 'Planeswalker'", "is_land": "own_type = 'Land'", "equipment": "own_subtype = 'Equipment'", "vehicle": "own_subtype = 'Vehicle'"}
+
+
+@query("b24_invariants", f"WITH t AS ({TYPED}), f AS (SELECT *, {', '.join(f'({flag} OR {cond}) AS now_{flag}' for flag, cond in FORCED.items())} FROM t) SELECT card_id, {', '.join(f'now_{f} AS {f}' for f in FORCED)}, NOT ({' OR '.join([*(f'now_{f}' for f in FORCED), *ROLES])}) AS is_other, CASE WHEN now_is_land THEN 0 ELSE 1 END AS modes FROM f")
 def invariants(t: Tables) -> DataFrame:
-    return C.with_invariants(t.cards, ["STANDARD"]).select("card_id", "is_creature", "is_other", F.size("modes").alias("modes"))
+    kinds = t.cards.select("card_id", "kind")
+    is_kind = lambda pairs, rest: F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in pairs.items()], F.lit(rest))
+    typed = t.role_cards.join(kinds, "card_id").withColumns({"types": F.array(is_kind({"STANDARD": "Creature", "ECONOMY": "Planeswalker", "PROMO": "Land"}, "Artifact")), "subtypes": F.array(is_kind({"SMALL": "Equipment", "MEDIUM": "Vehicle"}, "None"))})
+    return C.with_invariants(typed, ROLES).select("card_id", *C.TYPE_FLAGS, "is_other", F.size("modes").alias("modes"))
 
 
 @query("b19_search", "SELECT card_id, name, total FROM (SELECT *, count(*) OVER () AS total FROM cards WHERE lower(name) LIKE '%i%' AND status = 'parsed' AND color IS NULL AND is_removal AND NOT is_land ORDER BY name, card_id LIMIT 200)")

@@ -70,14 +70,20 @@ def union_view(spark: SparkSession, name: str, paths: list[str]) -> int:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """gz JSON lines, each an object; fails with the first bad line's number, or if there are none."""
-    lines = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("line"))
+    """gz JSON lines, each an object; fails with the file and number of the first bad line, or if there are none.
+
+    A gz file is one task's, from its first line on, so the part of the row's
+    number below the partition's counts the lines of the files before it in
+    that task too; a file's own count starts at its least.
+    """
+    lines = spark.read.text(path).select(F.col("value"), F.monotonically_increasing_id().alias("line"), F.col("_metadata.file_path").alias("file"))
     kept = lines.filter(F.trim("value") != "")
     parsed = kept.withColumn("row", F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     bad = ~F.trim("value").startswith("{") | F.col("row._bad").isNotNull()
-    n, first = parsed.agg(F.count("*"), F.min(F.when(bad, F.col("line") + 1))).first()
+    n, first = parsed.agg(F.count("*"), F.min(F.when(bad, F.struct("file", "line")))).first()
     if first is not None:
-        raise ValueError(f"{path}: line {first} is not an object")
+        begin = lines.filter(F.col("file") == first.file).agg(F.min("line")).first()[0]
+        raise ValueError(f"{first.file}: line {first.line - begin + 1} is not an object")
     if not n:
         raise ValueError(f"{path}: no lines")
     return parsed.select(*[F.col("row")[f.name].alias(f.name) for f in schema.fields])

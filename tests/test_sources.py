@@ -119,3 +119,26 @@ def test_invalidation_rewrites_what_loses_rows(spark, tmp_path):
     report = W.invalidate(spark, path, spark.createDataFrame([(1,), (4,), (20,), (99,)], "game_id long"), ["game_id"])
     assert {(r.expansion, r.deleted, r.kept) for r in report.collect()} == {("TLA", 2, 4), ("FIN", 1, 0)}
     assert sorted(r.game_id for r in spark.read.parquet(path).collect()) == [0, 2, 3, 5, 10, 11]
+
+
+def test_the_bad_lines_own_number(spark, tmp_path):
+    """Of several files, the first bad line is named by its file and its number there."""
+    for name, lines in (("a", ['{"x": 1}'] * 50), ("b", ['{"x": 1}', "", '{"x": 2}', "nothing", '{"x": 3}']), ("c", ["[1]"])):
+        with gzip.open(tmp_path / f"{name}.jsonl.gz", "wt") as file:
+            file.write("\n".join(lines) + "\n")
+    with pytest.raises(ValueError, match=r"b\.jsonl\.gz: line 4 is not an object"):
+        I.read_json_lines(spark, f"file://{tmp_path}", T.StructType([T.StructField("x", T.IntegerType())]))
+
+
+def test_type_flags_are_forced(spark):
+    """Each flag by its type, off and on before, null lists and null flags; twice is once."""
+    from decklake.operators import catalogue as C
+
+    kinds = "card_id int, types array<string>, subtypes array<string>, is_creature boolean, planeswalker boolean, is_land boolean, equipment boolean, vehicle boolean, burn boolean, is_other boolean"
+    rows = [(1, ["Creature", "Artifact"], ["Golem"], False, False, False, False, False, False, True), (2, ["Planeswalker"], None, None, None, None, None, None, None, True), (3, ["Land"], [], False, False, False, False, False, False, False),
+            (4, ["Artifact"], ["Equipment"], False, False, False, False, False, False, False), (5, ["Artifact"], ["Vehicle"], False, False, False, False, False, False, False), (6, None, None, True, False, False, False, False, False, True), (7, ["Instant"], None, False, False, False, False, False, True, True), (8, ["Instant"], None, False, False, False, False, False, False, False)]
+    once = C.with_invariants(spark.createDataFrame(rows, kinds), ["burn"])
+    flags = ["is_creature", "planeswalker", "is_land", "equipment", "vehicle", "burn", "is_other"]
+    got = {r.card_id: ([f for f in flags if r[f]], r.modes) for r in once.collect()}
+    assert got == {1: (["is_creature"], ["cast"]), 2: (["planeswalker"], ["cast"]), 3: (["is_land"], []), 4: (["equipment"], ["cast"]), 5: (["vehicle"], ["cast"]), 6: (["is_creature"], ["cast"]), 7: (["burn"], ["cast"]), 8: (["is_other"], ["cast"])}
+    assert sorted(map(tuple, C.with_invariants(once, ["burn"]).select("card_id", *flags).collect())) == sorted(map(tuple, once.select("card_id", *flags).collect()))
