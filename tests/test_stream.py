@@ -3,7 +3,9 @@
 import json
 import random
 
-from decklake.streaming import log, tail as tail_module
+from pyspark.sql import functions as F
+
+from decklake.streaming import log, reservoir, tail as tail_module
 from decklake.streaming.tail import TailReader
 
 
@@ -205,3 +207,19 @@ def test_a_million_cards_are_touched_by_key():
     assert cards.get(7) is None
     cards.flush()
     assert not stored
+
+
+def test_a_reservoir_is_the_same_for_any_cut(spark, tmp_path):
+    rows = spark.range(3000).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("r"), "id").alias("text"))
+    drawn = []
+    for k, files in enumerate((1, 5)):
+        folder = f"file://{tmp_path}/in{k}"
+        rows.orderBy(F.rand(k)).repartition(files).write.parquet(folder)
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        query = reservoir.candidates(stream, 40, ["id"], shards=4).writeStream.format("memory").queryName(f"drawn{k}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        passed = spark.table(f"drawn{k}")
+        assert passed.count() < 1500
+        drawn.append(sorted(map(tuple, reservoir.sample(passed, 40, ["id"]).collect())))
+    want = rows.withColumn("p", F.xxhash64(F.lit(17), F.col("id").cast("string"))).orderBy("p", "id").limit(40).drop("p")
+    assert drawn[0] == drawn[1] == sorted(map(tuple, want.collect())) and len(drawn[0]) == 40
