@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -340,6 +341,24 @@ def train(table: list[list[tuple[str, str]]], rounds: int = 100, ridge: float =
     return Crf(names, emit[:-1], move)
 
 
+class Covered:
+    """What a list of spans covers, as stretches apart from each other: an overlap is found by bisection."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda x: x[1:]):
+            if self.ends and a <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end) - 1
+        return k >= 0 and self.ends[k] > start
+
+
 def added_spans(model: Crf, texts: list[str], base: list[list[tuple[str, int, int]]]) -> list[list[tuple[str, int, int]]]:
     """The model's spans of each text, without those that overlap a base span."""
     runs, where = [], []
@@ -348,6 +367,7 @@ def added_spans(model: Crf, texts: list[str], base: list[list[tuple[str, int, in
             runs.append([text[a:b] for a, b in run])
             where.append((k, run))
     out: list = [[] for _ in texts]
+    covered = [Covered(spans) for spans in base]
     for (k, words), tags in zip(where, model.decode(runs)):
         at = 0
         while at < len(words):
@@ -357,7 +377,7 @@ def added_spans(model: Crf, texts: list[str], base: list[list[tuple[str, int, in
                 end += 1
             if kind in ADDED:
                 span = (words[at][0], words[end - 1][1])
-                if span[0] < span[1] and all(span[1] <= a or b <= span[0] for _, a, b in base[k]):
+                if span[0] < span[1] and not covered[k].meets(*span):
                     out[k].append((kind, *span))
             at = end
     return out

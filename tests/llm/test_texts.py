@@ -554,3 +554,13 @@ def test_warc_bombs_and_cuts():
         rows = list(W.records_of(whole[:cut]))
         assert rows[0]["record_id"] == "r0" and all(r["problem"] or r["body"] == b"abc" * 100 for r in rows)
     assert list(W.records_of(b"WARC/1.0\r\nContent-Length: -5\r\n\r\n"))[0]["kind"] == "unreadable"
+
+
+def test_overlaps_by_bisection():
+    rng = random.Random(12)
+    for _ in range(300):
+        spans = [("x", a, a + rng.randrange(1, 9)) for a in (rng.randrange(80) for _ in range(rng.randrange(8)))]
+        covered = P.Covered(spans)
+        for start in range(85):
+            for end in (start + 1, start + 4):
+                assert covered.meets(start, end) == any(not (end <= a or b <= start) for _, a, b in spans)
