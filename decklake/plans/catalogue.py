@@ -258,14 +258,16 @@ def invalidated(t: Tables) -> tuple[str, DataFrame]:
     from ..sources import materialise as W
 
     path = W.scratch(t.spark, "shards")
-    t.decisions.select("game_id", "expansion", "event_type").write.partitionBy(*W.PARTITION).parquet(path)
+    W.write_stamped(t.decisions.select("game_id", "expansion", "event_type"), path, W.Stamp("s1", "f1", 200), buckets=W.Buckets(("game_id",), 8))
     return path, W.invalidate(t.spark, path, affected_games(t), ["game_id"])
 
 
 @query("c9_invalidation", f"WITH {AFFECTED} SELECT d.game_id FROM decisions d WHERE d.game_id NOT IN (SELECT game_id FROM bad)")
 def invalidation(t: Tables) -> DataFrame:
     """What a stored dataset holds after the games with an affected card were deleted."""
-    return t.spark.read.parquet(invalidated(t)[0]).select("game_id")
+    from ..sources.materialise import open_dataset
+
+    return open_dataset(t.spark, invalidated(t)[0]).select("game_id")
 
 
 @query("c9b_invalidation_report", f"WITH {AFFECTED} SELECT expansion, event_type, count(*) FILTER (WHERE b.game_id IS NOT NULL) AS deleted, count(*) FILTER (WHERE b.game_id IS NULL) AS kept FROM decisions d LEFT JOIN bad b USING (game_id) GROUP BY 1, 2 HAVING count(b.game_id) > 0")
@@ -286,6 +288,24 @@ def reuse(t: Tables) -> DataFrame:
     return hits.withColumn("path", F.lit("reused")).unionByName(misses.withColumn("path", F.lit("computed")), allowMissingColumns=True).select("game_id", "path", "feature")
 
 
+@query("c7b_c8b_stored_reuse", """
+SELECT game_id, mulligan_number, CASE WHEN game_id % 5 = 0 THEN 'stored' WHEN was_kept AND game_id % 3 = 0 THEN 'reused' ELSE 'computed' END AS path, CASE WHEN game_id % 5 = 0 OR (was_kept AND game_id % 3 = 0) THEN round(p_base, 6) END AS feature FROM decisions""")
+def stored_reuse(t: Tables) -> DataFrame:
+    """A stored dataset, bucketed by game, resumed with all decisions: features reused from a second bucketed one where it has them."""
+    from ..sources import materialise as W
+
+    stamp, buckets, key = W.Stamp("s1", "f1", 200), W.Buckets(("game_id", "mulligan_number"), 8), ["game_id", "mulligan_number"]
+    out, cache = W.scratch(t.spark, "features"), W.scratch(t.spark, "cache")
+    rows = t.decisions.select(*key, *W.PARTITION, "was_kept")
+    feature = t.decisions.select(*key, *W.PARTITION, F.round("p_base", 6).alias("feature"))
+    W.write_stamped(feature.filter("game_id % 5 = 0").withColumn("path", F.lit("stored")), out, stamp, buckets=buckets)
+    W.write_stamped(feature.filter("game_id % 3 = 0"), cache, stamp, buckets=buckets)
+    hits, misses = W.reuse_or_compute(W.resume(rows, W.open_dataset(t.spark, out), key), W.open_dataset(t.spark, cache).select(*key, "feature"), key, F.col("was_kept"))
+    found = hits.withColumn("path", F.lit("reused")).unionByName(misses.withColumn("path", F.lit("computed")), allowMissingColumns=True)
+    W.write_stamped(found.select(*key, *W.PARTITION, "feature", "path"), out, stamp, "resume", key)
+    return W.open_dataset(t.spark, out).select(*key, "path", "feature")
+
+
 @query("d41_dropped_text_census", r"""
 WITH p AS (SELECT source AS site, doc_id, unnest(string_split(coalesce(text, ''), '.')) AS piece FROM documents),
 r AS (SELECT site, regexp_replace(trim(regexp_replace(piece, '\s+', ' ', 'g')), '^ +| +$', '', 'g') AS c, doc_id FROM p),

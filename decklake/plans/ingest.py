@@ -151,6 +151,25 @@ def candidate_hands(t: Tables) -> DataFrame:
     return I.candidate_hands(replays, ["game_id"], list(slots), "num_mulligans")
 
 
+@query("a6b_replay_scan", """
+WITH d AS (SELECT game_id, sum(n) FILTER (WHERE card_id % 3 = 0) AS c0, sum(n) FILTER (WHERE card_id % 3 = 1) AS c1, sum(n) FILTER (WHERE card_id % 3 = 2) AS c2 FROM deck_cards GROUP BY 1),
+r AS (SELECT game_id, draft_id, mulligan_number AS k, concat('h', CAST(game_id AS STRING)) AS h, c0, c1, c2 FROM decisions LEFT JOIN d USING (game_id))
+SELECT game_id, draft_id, CAST(i AS INT) AS mulligan_number, concat(h, '|', CAST(i AS STRING)) AS hand, i = k AS was_kept, card, CAST(n AS INT) AS n
+FROM r, range(0, 7) g(i), (SELECT 'c0' AS card UNION ALL SELECT 'c1' UNION ALL SELECT 'c2') f, LATERAL (SELECT CASE card WHEN 'c0' THEN c0 WHEN 'c1' THEN c1 ELSE c2 END AS n) v WHERE i <= k AND n > 0""")
+def replay_scan(t: Tables) -> DataFrame:
+    """Replays as gz CSV, of which the slots, ids and deck columns are scanned: each hand that was offered beside its deck."""
+    csv = W.scratch(t.spark, "replays")
+    k, slots = F.col("mulligan_number"), [f"candidate_hand_{i + 1}" for i in range(7)]
+    decks = t.deck_cards.groupBy("game_id").agg(*[F.sum(F.when(F.col("card_id") % 3 == i, F.col("n"))).alias(f"deck_c{i}") for i in range(3)])
+    hands = [F.when(k >= i, F.concat(F.lit("h"), F.col("game_id").cast("string"), F.lit(f"|{i}"))).alias(slot) for i, slot in enumerate(slots)]
+    rows = t.decisions.select("game_id", "draft_id", k.alias("num_mulligans"), "player_rank", *hands).join(decks, "game_id", "left")
+    rows.write.option("header", True).option("compression", "gzip").csv(csv)
+    scanned = I.scan_replays(t.spark, csv, ["game_id", "draft_id", "num_mulligans", *slots])
+    found = I.candidate_hands(scanned, ["game_id", "draft_id", *[c for c in scanned.columns if c.startswith("deck_")]], slots, "num_mulligans")
+    ids = ["game_id", "draft_id", "mulligan_number", "hand", "was_kept"]
+    return I.long_cards(found, ids, {"deck": "deck_"}).drop("zone").withColumn("game_id", F.col("game_id").cast("long"))
+
+
 @query("a10_id_index", "WITH r AS (SELECT card_id, concat('o', CAST(card_id % 60 AS STRING)) AS oracle_id, set_code, arena_id, row_number() OVER (PARTITION BY card_id % 60, set_code ORDER BY lpad(CAST(card_id AS STRING), 9, '0')) AS rk FROM cards WHERE arena_id IS NOT NULL) SELECT oracle_id, set_code, arena_id FROM r WHERE rk = 1")
 def id_index(t: Tables) -> DataFrame:
     c = F.col

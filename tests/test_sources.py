@@ -142,3 +142,76 @@ def test_type_flags_are_forced(spark):
     got = {r.card_id: ([f for f in flags if r[f]], r.modes) for r in once.collect()}
     assert got == {1: (["is_creature"], ["cast"]), 2: (["planeswalker"], ["cast"]), 3: (["is_land"], []), 4: (["equipment"], ["cast"]), 5: (["vehicle"], ["cast"]), 6: (["is_creature"], ["cast"]), 7: (["burn"], ["cast"]), 8: (["is_other"], ["cast"])}
     assert sorted(map(tuple, C.with_invariants(once, ["burn"]).select("card_id", *flags).collect())) == sorted(map(tuple, once.select("card_id", *flags).collect()))
+
+
+def lost(*_):
+    raise RuntimeError("the driver is lost")
+
+
+def test_a_cut_write_leaves_old_or_new_rows(spark, tmp_path, monkeypatch):
+    """Lost before the note of moves: the old rows; lost after it, or amid the moves: the new ones.  Never a hole."""
+    path, stamp = "file://" + str(tmp_path / "d"), W.Stamp("s1", "f1", 200)
+    both = lambda n: rows(spark, range(n)).unionByName(rows(spark, range(100, 100 + n), "Brand#1"))
+    W.write_stamped(both(6), path, stamp)
+    read = lambda: sorted(r.game_id for r in W.open_dataset(spark, path).collect())
+    old = [*range(6), *range(100, 106)]
+    gone = spark.createDataFrame([(1,), *[(g,) for g in range(100, 106)]], "game_id long")
+    for act, new in ((lambda: W.invalidate(spark, path, gone, ["game_id"]), [0, 2, 3, 4, 5]), (lambda: W.write_stamped(both(7), path, stamp, "overwrite"), [*range(7), *range(100, 107)]), (lambda: W.write_stamped(both(9), path, W.Stamp("s1", "f1", 200), "resume", ["game_id"]), [*range(9), *range(100, 109)])):
+        with monkeypatch.context() as m, pytest.raises(RuntimeError):
+            m.setattr(W, "_publish", lost)
+            act()
+        assert read() == old
+        calls = []
+
+        def second(spark, old, new, rename=W._rename):
+            calls.append(new)
+            if len([c for c in calls if not c.endswith("/ready")]) == 2:
+                lost()
+            rename(spark, old, new)
+
+        with monkeypatch.context() as m:
+            m.setattr(W, "_rename", second)
+            try:
+                act()
+            except RuntimeError:
+                pass
+        assert read() == new
+        assert [n for n in W._names(spark, path) if n.startswith("_")] == []
+        assert {r.state for r in W.stamp_report(spark, path, stamp).collect()} == {"same"}
+        old = new
+
+
+def test_null_and_odd_partitions_are_invalidated(spark, tmp_path):
+    path = "file://" + str(tmp_path / "d")
+    rows(spark, range(3), None).unionByName(rows(spark, range(10, 12), "a/b c=%")).write.partitionBy(*W.PARTITION).parquet(path)
+    report = W.invalidate(spark, path, spark.createDataFrame([(1,), (10,), (11,), (None,)], "game_id long"), ["game_id"])
+    assert {(r.expansion, r.deleted, r.kept) for r in report.collect()} == {(None, 1, 2), ("a/b c=%", 2, 0)}
+    assert sorted(r.game_id for r in spark.read.parquet(path).collect()) == [0, 2]
+
+
+def test_buckets_spare_the_stored_side_its_shuffle(spark, tmp_path):
+    """Resume, reuse and invalidation by the buckets' key: an exchange of the new side only, before and after an append."""
+    path, stamp = "file://" + str(tmp_path / "d"), W.Stamp("s1", "f1", 200)
+    W.write_stamped(rows(spark, range(0, 60, 2)).unionByName(rows(spark, range(100, 120), "SOS")), path, stamp, buckets=W.Buckets(("game_id",), 4))
+    W.write_stamped(rows(spark, range(0, 60)), path, stamp, "resume", ["game_id"])
+    with pytest.raises(ValueError, match="other buckets"):
+        W.write_stamped(rows(spark, [999]), path, stamp, "resume", ["game_id"], buckets=W.Buckets(("game_id",), 8))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = W.open_dataset(spark, path)
+        assert sorted(r.game_id for r in done.collect()) == [*range(60), *range(100, 120)]
+        todo = rows(spark, range(50, 70)).withColumnRenamed("x", "y")
+        left = W.resume(todo, done, ["game_id"])
+        hits, misses = W.reuse_or_compute(todo, done.select("game_id", "x"), ["game_id"], F.col("game_id") < 58)
+        for df, n in ((left, 1), (hits, 1), (misses, 1)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning(") == n and "Bucketed: true" in plan, plan
+        assert sorted(r.game_id for r in left.collect()) == list(range(60, 70))
+        assert sorted((r.game_id, r.x) for r in hits.collect()) == [(g, float(g)) for g in range(50, 58)]
+        assert sorted(r.game_id for r in misses.collect()) == list(range(58, 70))
+        W.invalidate(spark, path, spark.createDataFrame([(3,), (101,)], "game_id long"), ["game_id"])
+        again = W.open_dataset(spark, path)
+        assert sorted(r.game_id for r in again.collect()) == [g for g in [*range(60), *range(100, 120)] if g not in (3, 101)]
+        assert "Bucketed: true" in W.resume(todo, again, ["game_id"])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
