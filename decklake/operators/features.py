@@ -124,16 +124,31 @@ def hand_features(hands: DataFrame, cards: DataFrame) -> DataFrame:
         "creature_mv_le2": creature & buckets["mv_le2"], "creature_mv_3": creature & buckets["mv_3"], "creature_mv_4": creature & (value == 4), "creature_mv_5": creature & (value == 5), "creature_mv_ge6": creature & buckets["mv_ge6"],
         **{f"{r}_{b}": role[r] & buckets[b] for r in GRID_ROLES for b in GRID}, **{f"{z}_{b}": z_band(F.col(z), b) & spell for z in ("z_oh", "z_gd") for b in Z_BANDS}, "double_pip": F.col("double_pip") & spell,
     }
-    rows = hands.join(_flags(cards, wanted, [*RATES, "weight", "colors"]), "card_id")
-    of_spells = lambda c: F.when(F.col("is_spell"), c)
-    rate = lambda f, c: F.coalesce(f(of_spells(c)), F.lit(0.0))
     names = {"land": "lands", "nonbasic_land": "nonbasic_lands", "spell": "spells", "ramp": "ramp_spells"}
-    colors = sum((F.coalesce(F.max(of_spells(F.array_contains("colors", c).cast("int"))), F.lit(0)) for c in COLORS), F.lit(0))
-    return rows.groupBy("game_id").agg(
-        *[F.count_if(F.col(f"is_{w}")).alias(names.get(w, w)) for w in wanted],
-        rate(F.avg, F.col("gih")).alias("avg_gih"), rate(F.max, F.col("oh")).alias("max_oh"), rate(F.max, F.col("gd")).alias("max_gd"), rate(F.sum, F.col("gih")).alias("sum_gih"), rate(F.avg, F.col("oh") - F.col("gd")).alias("avg_earliness"), rate(F.max, F.col("gih")).alias("max_gih"), rate(F.avg, F.col("weight")).alias("avg_weight"),
-        colors.alias("distinct_colors"),
-    )
+    wanted |= {f"color_{c}": F.array_contains("colors", c) & spell for c in COLORS}
+    packed, count = _packed(list(wanted))
+    values = {"gih": "gih", "oh": "oh", "gd": "gd", "early": "oh - gd", "weight": "weight"}
+    per_card = _flags(cards, wanted, [*RATES, "weight"]).selectExpr("card_id", *packed, *[f"CASE WHEN is_spell THEN {c} END AS own_{v}" for v, c in values.items()])
+    sums = [f"sum(own_packed{i}) AS own_packed{i}" for i in range(len(packed))]
+    rates = [("avg", "gih", "avg_gih"), ("max", "oh", "max_oh"), ("max", "gd", "max_gd"), ("sum", "gih", "sum_gih"), ("avg", "early", "avg_earliness"), ("max", "gih", "max_gih"), ("avg", "weight", "avg_weight")]
+    folded = hands.select("game_id", "card_id").join(per_card, "card_id").groupBy("game_id").agg(F.expr("count(*) AS own_n"), *[F.expr(f"{x}") for x in sums], *[F.expr(f"coalesce({f}(own_{v}), 0D) AS {name}") for f, v, name in rates])
+    checked = f"CASE WHEN own_n <= {MOST_COPIES} THEN game_id ELSE raise_error(concat('too many cards: game ', CAST(game_id AS STRING))) END AS game_id"
+    colors = " + ".join(f"CASE WHEN {count[f'color_{c}']} > 0 THEN 1 ELSE 0 END" for c in COLORS)
+    return folded.selectExpr(checked, *[f"{count[w]} AS {names.get(w, w)}" for w in wanted if not w.startswith("color_")], *[name for _, _, name in rates], f"{colors} AS distinct_colors")
+
+
+#: Bits of a counter, counters of a long, and what a counter can hold.
+COUNTER_BITS, COUNTERS, MOST_COPIES = 12, 5, (1 << 12) - 1
+
+
+def _packed(names: list[str]) -> tuple[list[str], dict[str, str]]:
+    """Flags ``is_<name>`` as counters in a few longs of a card, and each counter out of their sums: five counts are one addition."""
+    columns, count = [], {}
+    for i in range(0, len(names), COUNTERS):
+        own, part = f"own_packed{i // COUNTERS}", list(enumerate(names[i : i + COUNTERS]))
+        columns.append(" + ".join(f"CASE WHEN is_{n} THEN {1 << COUNTER_BITS * k}L ELSE 0L END" for k, n in part) + f" AS {own}")
+        count |= {n: f"(shiftright({own}, {COUNTER_BITS * k}) & {MOST_COPIES}L)" for k, n in part}
+    return columns, count
 
 
 def context_features(df: DataFrame, on_play: str, event: str, expansion: str, events: list[str], sets: list[str]) -> DataFrame:
@@ -155,42 +170,56 @@ def castable_sets(turn: int, cat: dict[str, Column], buckets: dict[str, Column])
     return broad, narrow
 
 
-def castability_features(decks: DataFrame, cards: DataFrame, key: str = "name") -> DataFrame:
+def castability_features(decks: DataFrame, cards: DataFrame, key: str = "name", mean: str | None = None) -> DataFrame:
     """Ninety-six features of each deck: by turn and set of spells, the odds that any can be cast, and the mean number that can.
 
     ``decks``: game_id and card_id.  ``cards``: a flat catalogue with z_oh and
     the odds ``c1`` to ``c4`` of a game in which some copy could be cast by
-    that turn; null odds are 0.  Copies of a name count once; names are taken
-    as independent: 1 - the product of 1 - p, 0 for an empty set.
+    that turn; null odds are 0.  Copies of a name count once, with the odds of
+    its least card_id; names are taken as independent: 1 - the product of
+    1 - p, 0 for an empty set.  ``mean``: also the mean ``c4`` of spells by
+    copies (``decks`` with n), under that name.
+
+    What a card adds to each feature is worked out once for each card; decks
+    are shuffled once, by game, as three short columns.
     """
     cat, buckets = categories(), mana_buckets(F.col("mana_value"))
     strong = F.col("z_oh") > STRONG
-    wanted, out = {}, []
+    flags, adds, sums, out = {}, [], [], []
     for turn in (1, 2, 3, 4):
         broad, narrow = castable_sets(turn, cat, buckets)
-        sets = {n + s: c & strong if s else c for n, c in broad.items() for s in ("", "_strong")} | narrow
-        p = F.coalesce(f"c{turn}", F.lit(0.0))
-        for name, cond in sets.items():
-            wanted[name] = cond
-            flag = F.col(f"is_{name}")
-            out.append((1 - F.coalesce(F.product(F.when(flag, 1 - p)), F.lit(1.0))).alias(f"any_{name}_t{turn}"))
+        flags |= broad | narrow
+        for name in [n + s for n in broad for s in ("", " AND strong")] + list(narrow):
+            own = name.replace(" AND ", "_") + f"_t{turn}"
+            adds += [f"CASE WHEN {name} THEN 1 - coalesce(c{turn}, 0D) END AS miss_{own}"]
+            sums.append(F.product(f"miss_{own}").alias(f"miss_{own}"))
+            out.append(f"1 - coalesce(miss_{own}, 1D) AS any_{own}")
             if turn > 1:
-                out.append(F.coalesce(F.sum(F.when(flag, p)), F.lit(0.0)).alias(f"count_{name}_t{turn}"))
-    spells = _flags(cards.filter(cat["spell"]), wanted, [key, "c1", "c2", "c3", "c4"])
-    rows = decks.select("game_id", "card_id").join(spells, "card_id").dropDuplicates(["game_id", key])
-    return decks.select("game_id").distinct().join(rows.groupBy("game_id").agg(*out), "game_id", "left").fillna(0.0)
-
-
-def castable_by_turn_four(decks: DataFrame, hands: DataFrame, cards: DataFrame) -> DataFrame:
-    """Mean odds ``c4`` over the spells of each deck (by copies) and of each hand; null odds are 0."""
-    spells = cards.select("card_id", F.coalesce("c4", F.lit(0.0)).alias("p"), (~F.col("is_land")).alias("spell"))
-    mean = lambda rows, n, name: rows.join(spells, "card_id").groupBy("game_id").agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("spell"), F.col("p") * n)), F.sum(F.when(F.col("spell"), n))), F.lit(0.0)).alias(name))
-    return mean(decks, F.col("n"), "deck_castable_t4").join(mean(hands, F.lit(1), "hand_castable_t4"), "game_id", "full")
+                adds.append(f"CASE WHEN {name} THEN coalesce(c{turn}, 0D) END AS p_{own}")
+                sums.append(F.expr(f"sum(p_{own}) AS p_{own}"))
+                out.append(f"coalesce(p_{own}, 0D) AS count_{own}")
+    spells = cards.filter(cat["spell"])
+    odds = spells.select(F.col("card_id").alias("own_first"), "c1", "c2", "c3", "c4", strong.alias("strong"), *[c.alias(n) for n, c in flags.items()]).selectExpr("own_first", *adds)
+    first = spells.groupBy(key).agg(F.min("card_id").alias("own_first"))
+    names = cards.select("card_id", F.when(cat["spell"], F.col(key)).alias(key), F.when(~F.col("is_land"), F.coalesce("c4", F.lit(0.0))).alias("own_p")).join(first, key, "left").drop(key)
+    n = F.col("n") if mean else F.lit(1)
+    rows = decks.select("game_id", "card_id", n.alias("n")).repartition("game_id").join(names, "card_id", "left").groupBy("game_id", "own_first").agg(F.sum(F.col("own_p") * F.col("n")).alias("own_sum"), F.sum(F.when(F.col("own_p").isNotNull(), F.col("n"))).alias("own_n"))
+    if mean:
+        sums.append(F.expr("try_divide(sum(own_sum), sum(own_n)) AS own_mean"))
+        out.append(f"coalesce(own_mean, 0D) AS {mean}")
+    return rows.join(odds, "own_first", "left").groupBy("game_id").agg(*sums).selectExpr("game_id", *out)
+
+
+def castable_by_turn_four(rows: DataFrame, cards: DataFrame, n: Column, name: str) -> DataFrame:
+    """Mean odds ``c4`` over the spells of each game's cards, ``n`` copies a row; null odds are 0."""
+    spells = cards.select("card_id", F.when(~F.col("is_land"), F.coalesce("c4", F.lit(0.0))).alias("p"))
+    return rows.join(spells, "card_id").groupBy("game_id").agg(F.coalesce(F.try_divide(F.sum(F.col("p") * n), F.sum(F.when(F.col("p").isNotNull(), n))), F.lit(0.0)).alias(name))
 
 
 def simulation_features(decks: DataFrame, hands: DataFrame, cards: DataFrame, games: DataFrame) -> DataFrame:
     """The ninety-six odds, the two means by turn 4, and the seven of lands and mana (``games``: game_id beside ``game_rollup``'s columns)."""
-    return castability_features(decks, cards).join(castable_by_turn_four(decks, hands, cards), "game_id", "left").join(games, "game_id", "left")
+    of_decks = castability_features(decks, cards, mean="deck_castable_t4")
+    return of_decks.join(castable_by_turn_four(hands, cards, F.lit(1), "hand_castable_t4"), "game_id", "left").join(games, "game_id", "left")
 
 
 def hand_explanation(hands: DataFrame, cards: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -10,29 +10,36 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.materialise import held
+
 #: Rows of a bucket, about; the most buckets; keys drawn for each.
 BUCKET_ROWS, MOST_BUCKETS, DRAWN = 50_000, 8192, 20
 
 
-def _bucket(df: DataFrame, keys: list[str], bucket_rows: int) -> Column:
-    """The number of cuts at or below a row's keys: rows with the same keys share a bucket."""
+def _bucket(df: DataFrame, keys: list[str], bucket_rows: int) -> Column | None:
+    """The number of cuts at or below a row's keys: rows with the same keys share a bucket.  None where one bucket holds all rows."""
     n = df.count()
     buckets = min(MOST_BUCKETS, n // bucket_rows)
     if buckets < 2:
-        return F.lit(0)
+        return None
     drawn = df.select(*keys).sample(min(1.0, DRAWN * buckets / n), seed=1).orderBy(*keys).collect()
     cuts = list(dict.fromkeys(drawn[len(drawn) * i // buckets] for i in range(1, buckets))) if drawn else []
     kinds = {f.name: f.dataType for f in df.select(*keys).schema}
-    held = F.array(*[F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in zip(keys, row)]) for row in cuts])
+    if not cuts:
+        return None
+    at = F.array(*[F.struct(*[F.lit(v).cast(kinds[k]).alias(k) for k, v in zip(keys, row)]) for row in cuts])
     own = F.struct(*[F.col(k).alias(k) for k in keys])
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(cuts)).bit_length()))])
-    found = F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.coalesce(F.get(held, low + step - 1) <= own, F.lit(False)), low + step).otherwise(low))
-    return found if cuts else F.lit(0)
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.coalesce(F.get(at, low + step - 1) <= own, F.lit(False)), low + step).otherwise(low))
 
 
 def running(df: DataFrame, keys: list[str], amounts: dict[str, Column], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``df`` with, for each name of ``amounts``, its sum over all rows before by ``keys``, nulls first."""
-    rows = df.withColumn("own_bucket", _bucket(df, keys, bucket_rows))
+    bucket = _bucket(df, keys, bucket_rows)
+    if bucket is None:
+        whole = Window.partitionBy(F.lit(0)).orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumns({n: F.coalesce(F.sum(c).over(whole), F.lit(0)) for n, c in amounts.items()})
+    rows = df.withColumn("own_bucket", bucket)
     sums = rows.groupBy("own_bucket").agg(*[F.sum(c).alias(f"own_{n}") for n, c in amounts.items()])
     before = Window.partitionBy(F.lit(0)).orderBy("own_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("own_bucket", *[F.coalesce(F.sum(f"own_{n}").over(before), F.lit(0)).alias(f"own_{n}") for n in amounts])
@@ -63,7 +70,8 @@ def beside(df: DataFrame, by: list[str], **values: Column) -> DataFrame:
 def ranked_values(df: DataFrame, value: str, by: list[str] | None = None, bucket_rows: int = BUCKET_ROWS, **sums: Column) -> DataFrame:
     """Distinct values of each group: how many rows have them (n), how many of the group come before, and the group's total; and ``sums`` by value."""
     by = by or []
-    values = df.groupBy(*by, value).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in sums.items()])
+    # Written once: they are counted, sampled, summed and placed.
+    values = held(df.groupBy(*by, value).agg(F.count("*").alias("n"), *[c.alias(n) for n, c in sums.items()]), "values")
     rows = running(values, [*by, value], {"before": F.col("n")}, bucket_rows)
     rows = beside(rows, by, own_start=F.min("before"), total=F.sum("n"))
     return rows.withColumn("before", F.col("before") - F.col("own_start")).drop("own_start")

@@ -238,6 +238,23 @@ def transfer(df: DataFrame, p: str, y: str, domain: str, home: str, mulligan: st
     return joined(out, at_home, []).withColumn("against_home", F.col("log_loss") - F.col("home")).drop("home")
 
 
+def with_features(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """``df`` with NaN for each wanted feature that it lacks: a tree's way for missing values."""
+    return df.withColumns({f: F.lit(float("nan")) for f in wanted if f not in df.columns})
+
+
+def feature_coverage(df: DataFrame, wanted: list[str], domain: str, home: str) -> DataFrame:
+    """For each feature of a model: whether the table has it, and how many rows at home and away have a value that is no NaN.
+
+    Rows without a domain are neither.  One aggregate over all rows.
+    """
+    at_home, away = F.col(domain) == home, F.col(domain) != home
+    known = lambda f: F.col(f).isNotNull() & ~F.coalesce(F.isnan(F.col(f).try_cast("double")), F.lit(False))
+    counts = lambda f, cond: F.count_if(cond & known(f)) if f in df.columns else F.lit(0).cast("long")
+    entries = df.agg(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(f in df.columns).alias("present"), counts(f, at_home).alias("known_home"), counts(f, away).alias("known_away"), F.count_if(at_home).alias("rows_home"), F.count_if(away).alias("rows_away")) for f in wanted]).alias("e"))
+    return entries.select(F.inline("e"))
+
+
 def always_keep(df: DataFrame, p: str, kept: str, by: list[str]) -> DataFrame:
     k, keep = F.col(kept), F.col(p) >= 0.5
     base = F.avg(k.cast("double"))

@@ -26,8 +26,8 @@ def sql_metrics(p: str, y: str) -> str:
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     """Sums of doubles depend on their order; checks compare rounded ones."""
-    doubles = names or [c for c, kind in df.dtypes if kind == "double"]
-    return df.withColumns({c: F.round(c, digits) for c in doubles})
+    doubles = set(names or [c for c, kind in df.dtypes if kind == "double"])
+    return df.selectExpr(*[f"round(`{c}`, {digits}) AS `{c}`" if c in doubles else f"`{c}`" for c in df.columns])
 
 
 def scored(t: Tables) -> DataFrame:
@@ -396,6 +396,15 @@ def transfer(t: Tables) -> DataFrame:
     return rounded(R.transfer(scored(t), "p_keep", "y", "expansion", "BUILDING", "mulligan_number", ["game_id"]))
 
 
+FEATURES = ["p_base", "win_rate", "n_games", "arm_draw", "arm_mull"]
+
+
+@query("d48b_feature_coverage", "SELECT feature, feature <> 'arm_draw' AS present, sum(CASE WHEN expansion = 'BUILDING' AND x IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS known_home, sum(CASE WHEN expansion <> 'BUILDING' AND x IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS known_away, count(*) FILTER (WHERE expansion = 'BUILDING') AS rows_home, count(*) FILTER (WHERE expansion <> 'BUILDING') AS rows_away FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, expansion, {'NULL' if f == 'arm_draw' else f}::DOUBLE AS x FROM decisions" for f in FEATURES) + ") GROUP BY feature")
+def feature_coverage(t: Tables) -> DataFrame:
+    """What a model's features have at home and away; one of them isn't in the table."""
+    return R.feature_coverage(t.decisions, FEATURES, "expansion", "BUILDING")
+
+
 @query("d50_always_keep", "SELECT event_type, round(avg(CASE WHEN was_kept THEN 1.0 ELSE 0.0 END), 6) AS always_keep, round(avg(CASE WHEN (p_keep >= 0.5) = was_kept THEN 1.0 ELSE 0.0 END) - avg(CASE WHEN was_kept THEN 1.0 ELSE 0.0 END), 6) AS lift, round(count(*) FILTER (WHERE p_keep < 0.5 AND NOT was_kept) / nullif(count(*) FILTER (WHERE NOT was_kept), 0)::DOUBLE, 6) AS mull_recall, round(count(*) FILTER (WHERE p_keep < 0.5 AND NOT was_kept) / nullif(count(*) FILTER (WHERE p_keep < 0.5), 0)::DOUBLE, 6) AS mull_precision FROM decisions GROUP BY event_type")
 def always_keep(t: Tables) -> DataFrame:
     return rounded(R.always_keep(t.decisions, "p_keep", "was_kept", ["event_type"]))

@@ -174,3 +174,28 @@ def test_samples_do_not_depend_on_partitions(spark):
     df = spark.range(200).withColumn("g", F.col("id") % 20)
     a, b = (sorted(r.id for r in R.sample_groups(x, "g", 5, 1).collect()) for x in (df, df.repartition(7)))
     assert a == b and len(a) == 50
+
+
+def test_counters_of_a_hand_hold_up_to_their_bound(spark):
+    """As many cards as a counter holds are counted; one more is an error, not a carry into the next counter."""
+    from decklake.operators import features as E
+    from decklake.sources.adapters import ROLE_CARDS
+
+    spark.range(1, 41).selectExpr("id AS p_partkey", "id AS p_size").createOrReplaceTempView("part")
+    flat = spark.sql(ROLE_CARDS)
+    cards = flat.withColumns({"colors": F.array(F.lit("W")), "double_pip": F.lit(True)})
+    hand = lambda n: spark.range(n).select(F.lit(1).cast("long").alias("game_id"), F.lit(1).cast("long").alias("card_id"))
+    spark.catalog.dropTempView("part")
+    got = E.hand_features(hand(E.MOST_COPIES), cards).first()
+    assert (got.spells, got.lands, got.double_pip, got.distinct_colors, len(got)) == (E.MOST_COPIES, 0, E.MOST_COPIES, 1, 72)
+    with pytest.raises(Exception, match="too many cards: game 1"):
+        E.hand_features(hand(E.MOST_COPIES + 1), cards).collect()
+
+
+def test_feature_coverage(spark):
+    from decklake.operators import reports as R
+
+    df = spark.createDataFrame([("A", 1.0, "x"), ("A", None, "y"), ("B", float("nan"), None), ("B", 2.0, "z"), (None, 3.0, "z")], "d string, f double, s string")
+    got = {r.feature: tuple(r)[1:] for r in R.feature_coverage(df, ["f", "s", "gone"], "d", "A").collect()}
+    assert got == {"f": (True, 1, 1, 2, 2), "s": (True, 2, 1, 2, 2), "gone": (False, 0, 0, 2, 2)}
+    assert math.isnan(R.with_features(df, ["f", "gone"]).first().gone)
