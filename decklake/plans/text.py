@@ -121,5 +121,5 @@ def flags(t: Tables) -> DataFrame:
 def json_search(t: Tables) -> DataFrame:
     inner = F.concat(F.lit('{"a": {"MainDeck": [{"cardId": '), F.get_json_object("props", "$.k"), F.lit(', "quantity": 2}]}}'))
     outer = F.to_json(F.struct(F.struct(inner.alias("payload")).alias("request")))
-    found = t.events.filter(F.get_json_object("props", "$.k").isNotNull()).select("event_id", X.search_json("MainDeck")(outer).alias("x"))
+    found = t.events.filter(F.get_json_object("props", "$.k").isNotNull()).select("event_id", X.nested_lists(outer, "MainDeck").alias("x"))
     return found.select("event_id", F.col("x")[0][0].alias("first"), F.size(F.col("x")[0]).alias("copies"))

@@ -1,6 +1,9 @@
 """Null, edge and order rules that the tables do not reach."""
 
+import json
 import math
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,9 +85,83 @@ def test_deck_lines(spark):
     assert [(r.list_id, r.n, r.issue) for r in rows] == [(1, 4, None), (1, 0, "bad_count"), (1, None, "unreadable"), (1, 3, "unknown_card"), (3, 99, None), (3, 99, None), (3, 99, "too_many")]
 
 
-def test_json_search():
-    assert sorted(X.nested_lists('{"a": "{\\"MainDeck\\": [{\\"cardId\\": 5, \\"quantity\\": 2}]}", "b": {"MainDeck": [1, 2]}}', "MainDeck")) == [[1, 2], [5, 5]]
-    assert X.nested_lists("{", "MainDeck") == [] and X.nested_lists(None, "x") == []
+def _deck(value):
+    """What a list under the key holds, by plain rules; None for no such list."""
+
+    def whole(x):
+        if isinstance(x, bool) or not isinstance(x, (int, str)):
+            return None
+        return int(x) if re.fullmatch(r"\s*[+-]?[0-9]+\s*", str(x)) else None
+
+    if not isinstance(value, list) or not value:
+        return None
+    if all(isinstance(x, dict) for x in value):
+        pairs = [(whole(x.get("cardId", x.get("id"))), whole(x.get("quantity", x.get("Quantity", 1)))) for x in value]
+        return None if any(i is None or n is None or n < 1 for i, n in pairs) else [i for i, n in pairs for _ in range(n)]
+    ids = [whole(x) for x in value]
+    return None if None in ids else ids
+
+
+def _walk(value, path=()):
+    if isinstance(value, dict):
+        if _deck(value.get("MainDeck")) is not None:
+            yield path, _deck(value["MainDeck"])
+        value = [value[k] for k in sorted(value)]
+    elif isinstance(value, str) and value.lstrip()[:1] in ("{", "["):
+        try:
+            value = [json.loads(value)]
+        except ValueError:
+            return
+    if isinstance(value, list):
+        for i, v in enumerate(value):
+            yield from _walk(v, (*path, i))
+
+
+def test_json_search_against_a_plain_walk(spark):
+    rng = random.Random(11)
+
+    def any_json(depth):
+        pick = rng.randrange(10 if depth else 4)
+        if pick < 4:
+            return rng.choice([None, True, 7, -3, 2.5, "x", " 12 ", "{", "[1", '{"MainDeck": [1]} {}', '{"MainDeck": [1]}}', '["a"]]'])
+        if pick < 6:
+            return [any_json(depth - 1) for _ in range(rng.randrange(4))]
+        if pick < 7:
+            return " " * rng.randrange(2) + json.dumps(any_json(depth - 1))
+        made = {k: any_json(depth - 1) for k in rng.sample(["a", "b", "MainDeck", "zz", "\u00e9"], rng.randrange(1, 4))}
+        if rng.random() < 0.6:
+            one = lambda: rng.choice([{"cardId": rng.randrange(9), "quantity": rng.randrange(1, 4)}, {"id": str(rng.randrange(9)), "Quantity": "2"}, {"cardId": 4}])
+            made["MainDeck"] = rng.choice([[rng.randrange(99) for _ in range(rng.randrange(4))], [one() for _ in range(rng.randrange(1, 4))], [1, {"id": 1}], [{"cardId": 1, "quantity": 0}], [{"quantity": 1}], ["5", 6], [True], [1.5], 3])
+        return made
+
+    values = [any_json(rng.randrange(7)) for _ in range(2_000)]
+    values = [v for v in values if isinstance(v, (dict, list))]
+    want = [[ids for _, ids in sorted(_walk(v), key=lambda x: x[0])] for v in values]
+    assert sum(map(len, want)) > 100
+    rows = spark.createDataFrame([(i, json.dumps(v, ensure_ascii=i % 2 == 0)) for i, v in enumerate(values)], "i int, t string")
+    found = rows.select("i", X.nested_lists(F.col("t"), "MainDeck").alias("x"))
+    assert [r.x for r in sorted(found.collect(), key=lambda r: r.i)] == want
+    arrow = rows.select("i", X.search_json("MainDeck")("t").alias("x"))
+    assert [r.x for r in sorted(arrow.collect(), key=lambda r: r.i)] == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_json_search_of_odd_texts(spark):
+    deep = '{"x":' * 400 + '{"MainDeck":[8]}' + "}" * 400
+    text_in_text = '{"MainDeck":[3]}'
+    for _ in range(6):
+        text_in_text = json.dumps({"p": text_in_text})
+    hidden = '{"p": "\\u007b\\"MainDeck\\": \\u005b6]}"}'
+    wide = json.dumps([{"a": [i]} for i in range(20_000)] + [{"MainDeck": [2, 2]}])
+    cases = {
+        None: [], "": [], "{": [], "[]": [], "7": [], '{"MainDeck":[9]} x': [], '{"MainDeck":[1],"MainDeck":[2]}': [],
+        '{"MainDeck":[99999999999999999999]}': [], '{"MainDeck":[{"cardId":1,"quantity":3000000000}]}': [], '{"MainDeck":[{"cardId":1,"quantity":6000},{"cardId":2,"quantity":6000}]}': [],
+        '{"b":{"MainDeck":[1]},"a":{"MainDeck":[2]},"MainDeck":[3]}': [[3], [2], [1]], deep: [[8]], text_in_text: [[3]], hidden: [[6]], wide: [[2, 2]],
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", X.nested_lists(F.col("t"), "MainDeck").alias("x"), X.search_json("MainDeck")("t").alias("y"))
+    for r in sorted(rows.collect(), key=lambda r: r.i):
+        assert r.x == r.y == list(cases.values())[r.i]
 
 
 def test_positions_and_ranks(spark):
