@@ -276,3 +276,16 @@ def test_feature_coverage(spark):
     got = {r.feature: tuple(r)[1:] for r in R.feature_coverage(df, ["f", "s", "gone"], "d", "A").collect()}
     assert got == {"f": (True, 1, 1, 2, 2), "s": (True, 2, 1, 2, 2), "gone": (False, 0, 0, 2, 2)}
     assert math.isnan(R.with_features(df, ["f", "gone"]).first().gone)
+
+
+def test_smoothed_hands_count_copies_out_within_a_game(spark):
+    """No copy of a card is shuffled or sorted with other games', and a card without copies is in no hand."""
+    from decklake.operators import features as E
+
+    decks = spark.createDataFrame([(1, 10, 0), (1, 11, 5), (1, 12, 4), (2, 11, 2)], "game_id long, card_id long, n int")
+    cards = spark.createDataFrame([(10, True), (11, False), (12, True)], "card_id long, is_land boolean")
+    out = E.smoothed_hands(decks, cards)
+    got = {r.game_id: r for r in out.collect()}
+    assert len(got[1].hand) == 7 and set(got[1].hand) == {11, 12} and got[1].lands == got[1].hand.count(12) and got[2].hand == [11, 11]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert max(i for i, line in enumerate(plan) if "Generate" in line) < min(i for i, line in enumerate(plan) if "Repartition" in line)
