@@ -289,3 +289,16 @@ def test_smoothed_hands_count_copies_out_within_a_game(spark):
     assert len(got[1].hand) == 7 and set(got[1].hand) == {11, 12} and got[1].lands == got[1].hand.count(12) and got[2].hand == [11, 11]
     plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert max(i for i, line in enumerate(plan) if "Generate" in line) < min(i for i, line in enumerate(plan) if "Repartition" in line)
+
+
+def test_value_equal_to_its_floor_is_never_below(spark):
+    """Seven rates whose mean is 2/3, summed in any order, and a rate of 2/3 beside them."""
+    from decklake.operators import reports as R
+
+    rates = [305, 369, 472, 450, 199, 366, 177]
+    assert 3 * sum(rates) == 2 * 501 * len(rates)
+    for turn in range(len(rates)):
+        rows = [("d", n / 501, 326 / 489) for n in rates[turn:] + rates[:turn]]
+        df = spark.createDataFrame(rows, "draft string, deeper double, p double").coalesce(1)
+        assert R.floored_mean(df, ["draft"], "p", "deeper").first()["below"] == 0
+        assert R.floor_diagnostics(df, ["draft"], ["draft"], "draft", "deeper", "p").first()["clamped"] == 0
