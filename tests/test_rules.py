@@ -302,3 +302,20 @@ def test_value_equal_to_its_floor_is_never_below(spark):
         df = spark.createDataFrame(rows, "draft string, deeper double, p double").coalesce(1)
         assert R.floored_mean(df, ["draft"], "p", "deeper").first()["below"] == 0
         assert R.floor_diagnostics(df, ["draft"], ["draft"], "draft", "deeper", "p").first()["clamped"] == 0
+
+
+def test_castability_moves_short_rows_only(spark):
+    """No shuffle of the plan holds a feature, and a name's copies, lands and unknown cards count as before."""
+    from decklake.sources.adapters import Tables
+
+    cards = Tables(spark, "/root/testdata/sf0.001").role_cards.filter("card_id < 12").withColumn("name", F.expr("CASE WHEN card_id IN (1, 2) THEN 'same' ELSE name END"))
+    decks = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 5, 3), (2, 5, 1), (3, 999, 1), (4, 3, 1), (4, 4, 1)], "game_id long, card_id long, n int")
+    out = E.castability_features(decks, cards, mean="deck_mean")
+    c = {r.card_id: r for r in cards.collect()}
+    got = {r.game_id: r.asDict() for r in out.collect()}
+    assert len(got[1]) == 98 and sorted(got) == [1, 2, 3, 4]
+    assert abs(got[1]["any_spell_t2"] - c[1].c2) < 1e-12 and abs(got[1]["deck_mean"] - (2 * c[1].c4 + c[2].c4) / 3) < 1e-12
+    assert not any(v for g in (2, 3) for k, v in got[g].items() if k != "game_id")
+    assert abs(got[4]["any_spell_t2"] - (1 - (1 - c[3].c2) * (1 - c[4].c2))) < 1e-12 and abs(got[4]["count_spell_t2"] - c[3].c2 - c[4].c2) < 1e-12
+    wide = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "any_spell_t2" in line]
+    assert wide and all("MapInArrow" in line for line in wide)
