@@ -319,3 +319,13 @@ def test_castability_moves_short_rows_only(spark):
     assert abs(got[4]["any_spell_t2"] - (1 - (1 - c[3].c2) * (1 - c[4].c2))) < 1e-12 and abs(got[4]["count_spell_t2"] - c[3].c2 - c[4].c2) < 1e-12
     wide = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "any_spell_t2" in line]
     assert wide and all("MapInArrow" in line for line in wide)
+
+
+def test_wide_aggregates_take_all_partitions(spark):
+    """The rows of a game's wide aggregate are not put together by their bytes: the shuffle before it has a set number of partitions."""
+    from decklake.plans import features as P
+    from decklake.sources.adapters import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for build in (P.deck_features, P.hand_features, P.hand_slices):
+        assert "REPARTITION_BY_NUM" in build(t)._jdf.queryExecution().executedPlan().toString()
