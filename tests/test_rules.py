@@ -323,9 +323,9 @@ def test_castability_moves_short_rows_only(spark):
 
 def test_wide_aggregates_take_all_partitions(spark):
     """The rows of a game's wide aggregate are not put together by their bytes: the shuffle before it has a set number of partitions."""
-    from decklake.plans import features as P
+    from decklake.plans import features as P, catalogue as Q
     from decklake.sources.adapters import Tables
 
     t = Tables(spark, "/root/testdata/sf0.001")
-    for build in (P.deck_features, P.hand_features, P.hand_slices):
+    for build in (P.deck_features, P.hand_features, P.hand_slices, Q.primary_set):
         assert "REPARTITION_BY_NUM" in build(t)._jdf.queryExecution().executedPlan().toString()
