@@ -189,8 +189,8 @@ def _listed(value, most: int) -> list[int] | None:
     return [i for i, n in pairs for _ in range(n)]
 
 
-def search_json(name: str, most: int = MOST_LISTED):
-    """Column function with the results of ``nested_lists``, in batches of Arrow: about a third of its time, at the price of a Python worker."""
+def listed_in(name: str, most: int = MOST_LISTED):
+    """Function with the results of ``nested_lists`` of one text."""
 
     def search(text: str | None) -> list[list[int]]:
         found, todo = [], [text]
@@ -209,4 +209,10 @@ def search_json(name: str, most: int = MOST_LISTED):
                 todo += reversed(value)
         return found
 
+    return search
+
+
+def search_json(name: str, most: int = MOST_LISTED):
+    """Column function with the results of ``nested_lists``, in batches of Arrow: about a third of its time, at the price of a Python worker."""
+    search = listed_in(name, most)
     return F.pandas_udf(lambda texts: pd.Series([search(t) for t in texts]), "array<array<bigint>>")

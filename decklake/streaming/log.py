@@ -17,13 +17,17 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from ..sources.materialise import scratch
+from ..functions.text import listed_in
+from ..operators.ranks import clustered
+from ..sources.materialise import held, scratch
 from .tail import MARKER as MARKER_BYTES, tail
 
 # Fixed values of the log's format.
@@ -33,8 +37,11 @@ TIME = r"^\s*(\d[^\n{=<]*)"
 ORDER = ["part", "block", "place", "message", "line"]
 
 #: A row of a message: of kind ``state``, ``deck``, ``end`` or ``failure`` (line -1), after the cards that it shows (line 0 on).
-EVENT = "source string, part long, block long, place int, message int, line int, at string, kind string, instance int, id int, hand array<int>, local_seat int, mulligans int, opp_mulligans int, pending boolean, active_player int"
+EVENT = "source string, part long, block long, place int, message int, line int, instance int, id int, copies int, kind string, at string, hand array<int>, local_seat int, mulligans int, opp_mulligans int, pending boolean, active_player int"
 OUT = "source string, seq long, at string, what string, seat_id int, mulligan_count int, on_the_play boolean, opp_mulligan_count int, hand array<int>, deck array<int>, hand_names array<string>, deck_names array<string>, hand_unknown int, deck_unknown int"
+FOUND = pa.schema([("source", pa.string()), ("seq", pa.int64()), ("at", pa.string()), ("what", pa.string()), ("seat_id", pa.int32()), ("mulligan_count", pa.int32()), ("on_the_play", pa.bool_()), ("opp_mulligan_count", pa.int32()), ("hand", pa.list_(pa.int32())), ("deck", pa.list_(pa.int32())), ("hand_names", pa.list_(pa.string())), ("deck_names", pa.list_(pa.string())), ("hand_unknown", pa.int32()), ("deck_unknown", pa.int32())])
+#: The most rows of the catalogue that are broadcast.
+MOST_NAMED = 200_000
 #: Hours after which the cards of a match that never ended are forgotten, and days after which a source that fell silent is.
 CARDS_HOURS, SOURCE_DAYS = 24, 60
 
@@ -67,31 +74,64 @@ zones:array<struct<type:string,ownerSeatId:int,objectInstanceIds:array<int>>>,pl
 matchGameRoomStateChangedEvent:struct<gameRoomInfo:struct<stateType:string>>>"""
 
 
-def typed_events(framed: DataFrame, most: int = MOST_BLOCK) -> DataFrame:
-    """Rows of ``EVENT`` from blocks: game states, deck submissions and match ends with the cards that they show, and a failure for each block of over ``most`` characters; other shapes give none."""
-    from ..functions.text import search_json
+#: What a message says besides its cards; only its own row has it.
+OWN = "kind string, at string, hand array<int>, local_seat int, mulligans int, opp_mulligans int, pending boolean, active_player int"
+CARDS = "array<struct<instance:int,id:int,copies:int>>"
+HEAD = ["source", "part", "block", "place"]
+
+
+def _parsed() -> Callable[[Column], Column]:
+    """Column function: the objects of a block as texts, each with its card lists, in which copies in a row are one entry; a text goes to Python once for both."""
+    kind = pa.list_(pa.struct([("text", pa.string()), ("decks", pa.list_(pa.list_(pa.struct([("id", pa.int64()), ("copies", pa.int32())]))))]))
+    lists = listed_in("MainDeck")
+    runs = lambda ids: [{"id": i, "copies": sum(1 for _ in same)} for i, same in groupby(ids)]
+
+    def parse(texts: pa.Array) -> pa.Array:
+        found = [json_objects(t or "") for t in texts.to_pylist()]
+        return pa.array([[{"text": o, "decks": [runs(ids) for ids in lists(o)] if "MainDeck" in o else []} for o in objects] for objects in found], kind)
+
+    return F.arrow_udf(parse, "array<struct<text:string,decks:array<array<struct<id:bigint,copies:int>>>>>")
 
-    objects = F.pandas_udf(lambda texts: pd.Series([json_objects(t) for t in texts]), "array<string>")
-    head = ["source", "part", "block", "place", "at"]
+
+def typed_messages(framed: DataFrame, most: int = MOST_BLOCK) -> DataFrame:
+    """A row a message (source, part, block, place, message, own: ``OWN``, cards: ``CARDS``): game states, deck submissions and match ends, and a failure for each block of over ``most`` characters; other shapes give none."""
     large = F.length("text") > most
-    rows = framed.filter(~large).select("source", "part", "block", "at", F.posexplode(objects("text")).alias("place", "text")).withColumn("m", F.from_json("text", MESSAGES))
-    kinds = dict(c.split() for c in EVENT.split(", "))
-    blank = {k: F.lit(0 if k in ("message", "place") else -1 if k == "line" else None).cast(t) for k, t in kinds.items()}
-    fill = lambda df, kind: df.withColumns({k: v for k, v in blank.items() if k not in df.columns} | {"kind": F.lit(kind)}).select(*[F.col(k).cast(t).alias(k) for k, t in kinds.items()])
-
-    messages = rows.select(*head, F.posexplode("m.greToClientEvent.greToClientMessages").alias("message", "g")).select(*head, "message", F.element_at("g.systemSeatIds", 1).alias("local_seat"), F.col("g.gameStateMessage").alias("s")).filter("s IS NOT NULL")
-    zone = F.get(F.filter("s.zones", lambda z: (z.type == "ZoneType_Hand") & (z.ownerSeatId == F.col("local_seat"))), F.lit(0))
-    mine = F.get(F.filter("s.players", lambda p: p.systemSeatNumber == F.col("local_seat")), F.lit(0))
-    theirs = F.get(F.filter("s.players", lambda p: p.systemSeatNumber != F.col("local_seat")), F.lit(0))
-    # The message itself is the last of its rows' explosion, so that one pass gives both.
-    shown = F.concat(F.transform(F.coalesce("s.gameObjects", F.array().cast("array<struct<instanceId:int,grpId:int>>")), lambda o, i: F.struct(i.alias("line"), o.instanceId.alias("instance"), o.grpId.alias("id"))), F.array(F.struct(F.lit(-1).alias("line"), F.lit(None).cast("int").alias("instance"), F.lit(None).cast("int").alias("id"))))
-    states = messages.select(*head, "message", "local_seat", zone.objectInstanceIds.alias("hand"), F.coalesce(mine.mulliganCount, F.lit(0)).alias("mulligans"), theirs.mulliganCount.alias("opp_mulligans"), F.coalesce(mine.pendingMessageType == "ClientMessageType_MulliganResp", F.lit(False)).alias("pending"), F.col("s.turnInfo.activePlayer").alias("active_player"), F.explode(shown).alias("card")).select("*", "card.*").drop("card")
-    decks = rows.filter(F.col("text").contains("MainDeck")).select(*head, F.posexplode(search_json("MainDeck")("text")).alias("message", "deck")).withColumn("deck", F.col("deck").cast("array<int>"))
-    copies = F.concat(F.transform("deck", lambda c, i: F.struct(i.alias("line"), c.alias("id"))), F.array(F.struct(F.lit(-1).alias("line"), F.lit(None).cast("int").alias("id"))))
-    decks = decks.select(*head, "message", F.explode(copies).alias("card")).select("*", "card.*").drop("card")
-    ends = rows.filter(F.col("m.matchGameRoomStateChangedEvent.gameRoomInfo.stateType") == "MatchGameRoomStateType_MatchCompleted").select(*head)
-    failures = framed.filter(large).select("source", "part", "block", "at")
-    return fill(states, "state").unionByName(fill(decks, "deck")).unionByName(fill(ends, "end")).unionByName(fill(failures, "failure"))
+    objects = F.when(large, F.array(F.lit(None).cast("struct<text:string,decks:array<array<struct<id:bigint,copies:int>>>>"))).otherwise(_parsed()(F.when(~large, F.col("text"))))
+    rows = framed.select("source", "part", "block", "at", large.alias("large"), F.posexplode(objects).alias("place", "o")).select(*HEAD, "at", "large", "o.decks", F.from_json("o.text", MESSAGES).alias("m"))
+    kinds = dict(c.split() for c in OWN.split(", "))
+
+    def message(kind: str, cards: Column, **own: Column) -> Column:
+        own |= {"kind": F.lit(kind), "at": F.col("at")}
+        return F.struct(F.struct(*[own.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()]).alias("own"), cards.cast(CARDS).alias("cards"))
+
+    def state(g: Column) -> Column:
+        s, seat = g.gameStateMessage, F.get(g.systemSeatIds, F.lit(0))
+        zone = F.get(F.filter(s.zones, lambda z: (z.type == "ZoneType_Hand") & (z.ownerSeatId == seat)), F.lit(0))
+        mine = F.get(F.filter(s.players, lambda p: p.systemSeatNumber == seat), F.lit(0))
+        theirs = F.get(F.filter(s.players, lambda p: p.systemSeatNumber != seat), F.lit(0))
+        shown = F.transform(s.gameObjects, lambda o: F.struct(o.instanceId.alias("instance"), o.grpId.alias("id"), F.lit(1).alias("copies")))
+        pending = F.coalesce(mine.pendingMessageType == "ClientMessageType_MulliganResp", F.lit(False))
+        return message("state", shown, hand=zone.objectInstanceIds, local_seat=seat, mulligans=F.coalesce(mine.mulliganCount, F.lit(0)), opp_mulligans=theirs.mulliganCount, pending=pending, active_player=s.turnInfo.activePlayer)
+
+    none = F.array().cast(CARDS)
+    states = F.transform(F.filter("m.greToClientEvent.greToClientMessages", lambda g: g.gameStateMessage.isNotNull()), state)
+    decks = F.transform("decks", lambda d: message("deck", F.transform(d, lambda c: F.struct(F.lit(None).cast("int").alias("instance"), c.id.cast("int").alias("id"), c.copies.alias("copies")))))
+    ended = F.col("m.matchGameRoomStateChangedEvent.gameRoomInfo.stateType") == "MatchGameRoomStateType_MatchCompleted"
+    found = [states, decks, F.when(ended, F.array(message("end", none))), F.when(F.col("large"), F.array(message("failure", none)))]
+    # States before decks, should an object have both; numbered on, so that their cards don't mix.
+    return rows.select(*HEAD, F.posexplode(F.concat(*[F.coalesce(x, F.array().cast(f"array<struct<own:struct<{OWN.replace(' ', ':').replace(',:', ',')}>,cards:{CARDS}>>")) for x in found])).alias("message", "x")).select(*HEAD, "message", "x.*")
+
+
+def card_rows(messages: DataFrame) -> DataFrame:
+    """Rows of ``EVENT``: each message after the cards that it shows; what isn't a card's is on the message's own row only."""
+    cards = F.transform(F.coalesce("cards", F.array().cast(CARDS)), lambda c, i: F.struct(i.alias("line"), c.instance.alias("instance"), c.id.alias("id"), c.copies.alias("copies"), F.lit(None).cast(messages.schema["own"].dataType).alias("own")))
+    itself = F.struct(F.lit(-1).alias("line"), *[F.lit(None).cast("int").alias(k) for k in ("instance", "id", "copies")], F.col("own"))
+    return messages.select(*HEAD, "message", F.explode(F.concat(cards, F.array(itself))).alias("x")).select(*HEAD, "message", "x.line", "x.instance", "x.id", "x.copies", "x.own.*")
+
+
+def typed_events(framed: DataFrame, most: int = MOST_BLOCK) -> DataFrame:
+    """Rows of ``EVENT`` from blocks; see ``typed_messages``."""
+    return card_rows(typed_messages(framed, most))
 
 
 def with_names(events: DataFrame, cards: DataFrame) -> DataFrame:
@@ -196,33 +236,38 @@ def _plain(value):
     return bool(value) if type(value).__name__ == "bool_" else int(value)
 
 
-def _rows(frame: pd.DataFrame) -> list[dict]:
-    return [{k: _plain(v) for k, v in row.items()} for row in frame.to_dict("records")]
+def _columns(frame: pd.DataFrame) -> dict[str, list]:
+    """A frame's columns as lists of Python's values: whole numbers beside missing ones come as floats."""
+    whole = lambda values: [None if x != x else int(x) for x in values]
+    return {c: whole(frame[c].tolist()) if frame[c].dtype.kind == "f" else frame[c].tolist() if frame[c].dtype.kind in "iub" else [_plain(x) for x in frame[c].tolist()] for c in frame.columns}
 
 
-def _messages(frame: pd.DataFrame) -> Iterator[dict]:
+#: A message's own row comes after its cards.
+OWN_LINE = 1 << 30
+CARD = ["instance", "id", "name", "copies"]
+SAID = ["source", *(c.split()[0] for c in OWN.split(", "))]
+
+
+def _messages(rows: dict[str, list]) -> Iterator[dict]:
     """The rows of each message put together: its own row with its cards in order."""
+    line, shown, said = rows["line"], [rows[c] for c in CARD], [(c, rows[c]) for c in SAID]
+    order = list(zip(*(rows[c] for c in ORDER[:-1]), (OWN_LINE if n < 0 else n for n in line)))
     cards: list[dict] = []
-    for row in _rows(frame.assign(line=frame["line"].where(frame["line"] >= 0, 1 << 30)).sort_values(ORDER, kind="stable")):
-        if row["line"] < 1 << 30:
-            cards.append(row)
+    for k in sorted(range(len(line)), key=order.__getitem__):
+        if line[k] >= 0:
+            cards += _copies(*(values[k] for values in shown))
         else:
-            yield row | {"cards": cards}
+            yield {c: values[k] for c, values in said} | {"cards": cards}
             cards = []
 
 
-def _framed(out: list[dict]) -> pd.DataFrame:
-    names = [c.split()[0] for c in OUT.split(", ")]
-    frame = pd.DataFrame({n: pd.Series([row.get(n) for row in out], dtype=object) for n in names})
-    frame["seq"] = frame["seq"].astype("Int64")
-    for c in ("seat_id", "mulligan_count", "opp_mulligan_count"):
-        frame[c] = frame[c].astype("Int32")
-    for c in ("hand_unknown", "deck_unknown"):
-        frame[c] = pd.Series([row.get(c, 0) for row in out], dtype="int32")
-    for c in ("hand_names", "deck_names"):
-        frame[c] = frame[c].map(lambda x: x if isinstance(x, list) else [])
-    frame["on_the_play"] = frame["on_the_play"].astype("boolean")
-    return frame
+def _copies(instance: int | None, number: int | None, name: str | None, copies: int) -> list[dict]:
+    return [{"instance": instance, "id": number, "name": name}] * copies
+
+
+def _listed(out: list[dict]) -> dict[str, list]:
+    empty = {"hand_names": [], "deck_names": [], "hand_unknown": 0, "deck_unknown": 0}
+    return {n: [row.get(n, empty.get(n)) for row in out] for n in (c.split()[0] for c in OUT.split(", "))}
 
 
 GAME = "made long, local_seat int, first int, hand array<int>, mark string, deck_ids array<int>, deck_names array<string>"
@@ -241,14 +286,14 @@ class Decisions(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         made, state = _opened(self.game.get() if self.game.exists() else None)
         cards, out = CardMap(self.cards), []
-        for event in _messages(pd.concat(list(rows), ignore_index=True)):
+        for event in _messages(_columns(pd.concat(list(rows), ignore_index=True))):
             for row in advance(state, cards, event):
                 made += 1
                 out.append({"source": key[0], "seq": made, "at": event["at"], **row})
         cards.flush()
         deck = state.get("deck")
         self.game.update((made, state.get("local_seat"), state.get("first"), state.get("hand"), state.get("mark"), deck and [i for i, _ in deck], deck and [n for _, n in deck]))
-        yield _framed(out)
+        yield pd.DataFrame(_listed(out), dtype=object)
 
     def close(self) -> None:
         pass
@@ -262,22 +307,22 @@ def _opened(held: tuple | None) -> tuple[int, dict]:
     return made, {k: v for k, v in state.items() if v is not None}
 
 
-def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same over rows sorted by source and order: of a source, only its state, and the message at the end of a batch, is held."""
-    source, made, state, cards, rest = None, 0, {}, {}, None
-    for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        whole = frame["line"].to_numpy() < 0  # a message's own row comes after its cards
-        last = int(whole.nonzero()[0][-1]) + 1 if whole.any() else 0
-        rest, out = frame.iloc[last:], []
-        for _, group in frame.iloc[:last].groupby("source", sort=False, dropna=False):
-            for event in _messages(group):
-                if event["source"] != source:
-                    source, made, state, cards = event["source"], 0, {}, {}
-                for row in advance(state, cards, event):
-                    made += 1
-                    out.append({"source": source, "seq": made, "at": event["at"], **row})
-        yield _framed(out)
+    source, made, state, cards, shown = None, 0, {}, {}, []
+    for batch in batches:
+        out = []
+        for *card, own in zip(*(column.to_pylist() for column in batch.columns)):
+            if own is None:
+                shown += _copies(*card)
+                continue
+            event, shown = own | {"cards": shown}, []
+            if event["source"] != source:
+                source, made, state, cards = event["source"], 0, {}, {}
+            for row in advance(state, cards, event):
+                made += 1
+                out.append({"source": source, "seq": made, "at": event["at"], **row})
+        yield pa.RecordBatch.from_pydict(_listed(out), FOUND)
 
 
 def decisions(framed: DataFrame, cards: DataFrame, most_block: int = MOST_BLOCK, cards_hours: float | None = CARDS_HOURS, source_days: float | None = SOURCE_DAYS) -> DataFrame:
@@ -296,7 +341,9 @@ def decisions(framed: DataFrame, cards: DataFrame, most_block: int = MOST_BLOCK,
 def decisions_in_batch(events: DataFrame) -> DataFrame:
     """What ``decisions`` gives, of a finished table of named events: each source's go through a task in order, one batch after the other."""
     order = [*ORDER[:-1], F.col("line") < 0, "line"]
-    return events.repartition("source").sortWithinPartitions("source", *order).mapInPandas(_in_order, OUT)
+    rows = clustered(events, "source").sortWithinPartitions("source", *order)
+    # What isn't a card's goes to Python in one value, which is null for a card.
+    return rows.select(*CARD, F.when(F.col("line") < 0, F.struct(*SAID)).alias("own")).mapInArrow(_in_order, OUT)
 
 
 def tailed(spark, path: str, **options) -> DataFrame:
@@ -353,14 +400,26 @@ def live(logs: DataFrame, cards: DataFrame, folder: str | None = None, most_bloc
 
 
 def replay(logs: DataFrame, cards: DataFrame, most_block: int = MOST_BLOCK) -> DataFrame:
-    """The same logic over logs that are all there, without a stream."""
-    return decisions_in_batch(with_names(typed_events(blocks(_parts(logs)), most_block), cards))
+    """The same logic over logs that are all there, without a stream.
+
+    The messages are written once: the ids that they name are counted before
+    the catalogue's rows of these are joined, since few ids have all rows and
+    the catalogue may be large.
+    """
+    messages = held(typed_messages(blocks(_parts(logs)), most_block), "messages")
+    ids = messages.select(F.explode("cards.id").alias("id")).distinct()
+    named = held(cards.select("id", "name").join(ids, "id", "left_semi"), "named")
+    small = named.count() <= MOST_NAMED
+    # Messages are shuffled, not each card; the same shuffle serves the decisions.
+    return decisions_in_batch(with_names(card_rows(clustered(messages, "source")), F.broadcast(named) if small else named))
 
 
 def logs_of_events(events: DataFrame) -> DataFrame:
     """Logs that a client would write: a user's events become decks, game states, requests and ends of matches, and a malformed object for each error."""
+    # Short rows are shuffled, texts are written after that.
+    events = clustered(events.select("user_id", "ts", "event_type", F.get_json_object("props", "$.k").cast("int").alias("n")), "user_id")
     c = F.col
-    n = F.get_json_object("props", "$.k").cast("int")
+    n = c("n")
     ids = F.sequence(F.lit(1), F.lit(7))
     deck = F.to_json(F.struct(F.struct(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct(((n + i) % 190).alias("cardId"), (i + 1).alias("quantity"))).alias("MainDeck")).alias("deck")))
     objects = F.transform(ids, lambda i: F.struct(i.alias("instanceId"), ((n * 3 + i) % 210).cast("int").alias("grpId")))

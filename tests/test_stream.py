@@ -70,6 +70,42 @@ def test_order_is_the_files_not_the_times(spark, tmp_path):
     }
 
 
+def test_a_block_goes_to_python_once(spark):
+    """All kinds of messages come from one pass, and a card that is listed with copies is one row; states and decks of one object keep their own cards."""
+    both = state(objects=((1, 10), (2, 20))) | DECK
+    files = spark.createDataFrame([("a", 0, text(both, END) + log.MARKER + "x" * 6000)], "source string, part long, value string")
+    events = log.typed_events(log.blocks(files), 5000)
+    assert events._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in events.schema] == log.EVENT.replace("long", "bigint").split(", ")
+    got = [(r.block, r.message, r.kind, r.id, r.copies, r.hand) for r in events.orderBy("block", "message", F.col("line") < 0, "line").collect()]
+    assert got == [(1, 0, None, 10, 1, None), (1, 0, None, 20, 1, None), (1, 0, "state", None, None, [1, 2]), (1, 1, None, 10, 2, None), (1, 1, None, 20, 1, None), (1, 1, "deck", None, None, None), (2, 0, "end", None, None, None), (3, 0, "failure", None, None, None)]
+
+
+def test_states_before_decks_of_one_object(spark, tmp_path):
+    rows = replay(spark, {"a": text(state(objects=((1, 10), (2, 20))) | DECK)}, tmp_path)
+    assert {(r.what, tuple(r.hand or ()), tuple(r.deck or ())) for r in rows} == {("no_deck", (10, 20), ()), ("deck_submitted", (), (10, 10, 20))}
+
+
+def test_only_the_ids_of_the_log_are_joined(spark, monkeypatch):
+    """A catalogue that Spark would not broadcast is cut to the log's ids, so rows aren't shuffled by a few ids; beyond the bound the plain join gives the same."""
+    logs = spark.createDataFrame([(f"s{i}", text(DECK, state(objects=((1, 10), (2, 99 + i))), state(mulligans=1))) for i in range(30)], "source string, value string")
+    cards = spark.range(2000).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("n"), "id").alias("name")).filter("id <> 100")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan, rows = [], []
+        for most in (log.MOST_NAMED, 0):
+            monkeypatch.setattr(log, "MOST_NAMED", most)
+            found = log.replay(logs, cards)
+            plan.append(found._jdf.queryExecution().executedPlan().toString())
+            rows.append(sorted(map(str, found.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan[0] and "BroadcastHashJoin" not in plan[1]
+    assert "hashpartitioning(id" not in plan[0] and "hashpartitioning(id" in plan[1]
+    assert rows[0] == rows[1] and len(rows[0]) == 90 and sum("hand_unresolved" in r for r in rows[0]) == 1
+
+
 def read_new(reader, before):
     """What a batch from offset ``before`` on gives, and its end."""
     end = reader.latestOffset()
