@@ -355,8 +355,12 @@ def _parts(logs: DataFrame) -> DataFrame:
     return logs if "part" in logs.columns else logs.withColumn("part", F.lit(0).cast("long"))
 
 
+def _clustered_parts(logs: DataFrame) -> DataFrame:
+    return clustered(_parts(logs), "source").sortWithinPartitions("source", "part").select("source", "value")
+
+
 def land(logs: DataFrame, path: str) -> None:
-    """A log file ``<source>.log`` for each source of (source, part, value), its parts in order; sources that share a task are written one after the other."""
+    """A log file ``<source>.log`` for each source of (source, part, value), its parts in order; sources that share a task are written one after the other.  Logs that are clustered by source already aren't shuffled again."""
     names = logs.schema["source"].name
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -379,7 +383,7 @@ def land(logs: DataFrame, path: str) -> None:
 
     system, root = fs.FileSystem.from_uri(path)
     system.create_dir(root, recursive=True)
-    _parts(logs).repartition("source").sortWithinPartitions("source", "part").select("source", "value").mapInPandas(write, "done boolean").write.format("noop").mode("overwrite").save()
+    _clustered_parts(logs).mapInPandas(write, "done boolean").write.format("noop").mode("overwrite").save()
 
 
 def live(logs: DataFrame, cards: DataFrame, folder: str | None = None, most_block: int = MOST_BLOCK, most_bytes: int = 64 << 20) -> DataFrame:
@@ -417,7 +421,7 @@ def replay(logs: DataFrame, cards: DataFrame, most_block: int = MOST_BLOCK) -> D
 def logs_of_events(events: DataFrame) -> DataFrame:
     """Logs that a client would write: a user's events become decks, game states, requests and ends of matches, and a malformed object for each error."""
     # Short rows are shuffled, texts are written after that.
-    events = clustered(events.select("user_id", "ts", "event_type", F.get_json_object("props", "$.k").cast("int").alias("n")), "user_id")
+    events = clustered(events.select(F.col("user_id").cast("string").alias("source"), "ts", "event_type", F.get_json_object("props", "$.k").cast("int").alias("n")), "source")
     c = F.col
     n = c("n")
     ids = F.sequence(F.lit(1), F.lit(7))
@@ -430,4 +434,4 @@ def logs_of_events(events: DataFrame) -> DataFrame:
     body = F.when(c("event_type") == "purchase", deck).when(c("event_type").isin("click", "view"), game).when(c("event_type") == "error", F.lit('{"broken": ')).otherwise(end)
     block = F.concat(F.lit(MARKER), F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("\n"), body, F.lit("\n"))
     # A user's log comes in parts of a day's blocks.
-    return events.withColumn("b", block).groupBy(c("user_id").alias("source"), F.date_trunc("day", "ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "b"))).alias("x")).select(F.concat(F.lit("junk\n"), F.array_join("x.b", "")).alias("value"), c("source").cast("string").alias("source"), F.unix_timestamp("day").alias("part"))
+    return events.withColumn("b", block).groupBy("source", F.date_trunc("day", "ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "b"))).alias("x")).select(F.concat(F.lit("junk\n"), F.array_join("x.b", "")).alias("value"), "source", F.unix_timestamp("day").alias("part"))

@@ -86,6 +86,17 @@ def test_states_before_decks_of_one_object(spark, tmp_path):
     assert {(r.what, tuple(r.hand or ()), tuple(r.deck or ())) for r in rows} == {("no_deck", (10, 20), ()), ("deck_submitted", (), (10, 10, 20))}
 
 
+def test_logs_are_shuffled_once_as_short_rows(spark):
+    """Landing takes the partitions that the logs were made in: texts aren't shuffled."""
+    events = spark.sql("SELECT id % 20 AS user_id, timestamp_seconds(1700000000 + id * 977) AS ts, element_at(array('view', 'click', 'purchase', 'error', 'signup'), CAST(id % 5 AS INT) + 1) AS event_type, '{\"k\": 7}' AS props FROM range(500)")
+    landed = log._clustered_parts(log.logs_of_events(events))
+    landed = landed.mapInPandas(lambda frames: frames, landed.schema)
+    assert landed.count() == 500 - landed.select(F.sum(F.size(F.split("value", r"\[Unity")) - 2)).first()[0]
+    plan = landed._jdf.queryExecution().executedPlan().toString()
+    shuffles = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert len(shuffles) == 1 and "Exchange" in plan.split("ObjectHashAggregate")[-1]
+
+
 def test_only_the_ids_of_the_log_are_joined(spark, monkeypatch):
     """A catalogue that Spark would not broadcast is cut to the log's ids, so rows aren't shuffled by a few ids; beyond the bound the plain join gives the same."""
     logs = spark.createDataFrame([(f"s{i}", text(DECK, state(objects=((1, 10), (2, 99 + i))), state(mulligans=1))) for i in range(30)], "source string, value string")
