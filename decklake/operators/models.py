@@ -58,16 +58,21 @@ def feature_columns(rows: DataFrame) -> list[str]:
     return [c for c, kind in rows.dtypes if c not in NOT_FEATURES and kind in ("double", "int", "bigint", "float", "boolean")]
 
 
+def _counted(rows: DataFrame, p: str, label: str) -> DataFrame:
+    """(``p``, own_label, own_n): how many rows have a probability and a label; a fit with these weights is that of the rows."""
+    return rows.groupBy(p, F.col(label).cast("double").alias("own_label")).agg(F.count("*").cast("double").alias("own_n"))
+
+
 def platt(rows: DataFrame, p: str, label: str, name: str = "p_platt"):
     """Function that adds the probability rescaled on its logit, fitted on ``rows``."""
     at = lambda df: VectorAssembler(inputCols=["own_logit"], outputCol="own_v").transform(df.withColumn("own_logit", logit(clip(F.col(p), 1e-6, 1 - 1e-6))))
-    model = LogisticRegression(featuresCol="own_v", labelCol="own_label", regParam=0.0, probabilityCol="own_p", rawPredictionCol="own_r", predictionCol="own_y").fit(at(rows).withColumn("own_label", F.col(label).cast("double")))
+    model = LogisticRegression(featuresCol="own_v", labelCol="own_label", weightCol="own_n", regParam=0.0, probabilityCol="own_p", rawPredictionCol="own_r", predictionCol="own_y").fit(at(_counted(rows, p, label)))
     return lambda df: model.transform(at(df)).withColumn(name, vector_to_array("own_p")[1]).select(*df.columns, name)
 
 
 def isotonic(rows: DataFrame, p: str, label: str, name: str = "p_isotonic", low: float = 0.0, high: float = 1.0):
     """Function that adds the isotonic fit of the probability, kept within low and high."""
-    model = IsotonicRegression(featuresCol=p, labelCol="own_label", predictionCol="own_fit").fit(rows.withColumn("own_label", F.col(label).cast("double")))
+    model = IsotonicRegression(featuresCol=p, labelCol="own_label", weightCol="own_n", predictionCol="own_fit").fit(_counted(rows, p, label))
     return lambda df: model.transform(df).withColumn(name, clip(F.col("own_fit"), low, high)).select(*df.columns, name)
 
 

@@ -28,9 +28,14 @@ def three_way(t: Tables) -> DataFrame:
     return t.decisions.select("draft_id").distinct().select("draft_id", L.split_of(F.col("draft_id"), 0.1, 0.15).alias("split"))
 
 
+def split_rows(rows: DataFrame) -> DataFrame:
+    """``rows`` with their split, written once: what is fitted on them reads them several times, and they come from a join."""
+    return L.checked_split(held(rows.withColumn("split", L.split_of(F.col("draft_id"), 0.15, 0.2, 0.1)), "decisions"), F.col("split"))
+
+
 def with_margin(t: Tables) -> DataFrame:
     rows = t.decisions.withColumns({"wr": N.win_rate_label(F.col("win_rate")), "ng": N.n_games_label(F.col("n_games")), "label": F.col("won").cast("int")})
-    rows = L.checked_split(rows, L.split_of(F.col("draft_id"), 0.15, 0.2, 0.1))
+    rows = split_rows(rows)
     known = rows.filter("split = 'train'")
     return held(L.baseline_margin(L.baseline(known, ["wr", "ng", "on_play"], "opp_mulligans", "label"), rows, ["wr", "ng", "on_play"], "opp_mulligans"), "margins")
 
@@ -76,11 +81,11 @@ def choice_model(t: Tables) -> DataFrame:
 @query("j7_j8_j9_calibration")
 def calibration(t: Tables) -> DataFrame:
     """Raw, Platt-scaled and isotonic probabilities, fitted on one split and compared on another."""
-    rows = with_margin(t).withColumn("y", F.col("was_kept").cast("int"))
+    rows = split_rows(t.decisions.select("draft_id", "p_keep", F.col("was_kept").cast("int").alias("y")))
     fit, test = rows.filter("split IN ('train', 'calib')"), rows.filter("split = 'test'")
     out = L.platt(fit, "p_keep", "y")(test)
     out = L.isotonic(fit, "p_keep", "y")(out)
-    out = L.isotonic(fit, "p_keep", "y", "p_clamped", 0.02, 0.98)(out)
+    out = out.withColumn("p_clamped", N.clip(F.col("p_isotonic"), 0.02, 0.98))  # the same fit within a narrower range
     return rounded(L.compare_calibrations(out, {"raw": "p_keep", "platt": "p_platt", "isotonic": "p_isotonic", "clamped": "p_clamped"}, "y"), digits=4)
 
 

@@ -104,6 +104,24 @@ def test_calibration_undoes_a_squeeze(rows):
     assert table["raw"].log_loss == pytest.approx(raw) and table["raw"].below_02 == sum(r[0] < 0.02 for r in held)
 
 
+def test_calibration_fits_on_counts(spark, monkeypatch):
+    """Fits see a row a probability and label, however many rows have them, and give what the rows give."""
+    data = [(k / 10, int((i * 7 + k) % 11 < k)) for k in range(1, 10) for i in range(40 * k)]
+    df = spark.createDataFrame(data, "p double, y int")
+    seen = []
+    for kind in (L.LogisticRegression, L.IsotonicRegression):
+        monkeypatch.setattr(kind, "fit", lambda self, rows, *a, f=kind.fit: seen.append(rows.count()) or f(self, rows, *a))
+    out = L.isotonic(df, "p", "y")(L.platt(df, "p", "y")(df)).distinct().orderBy("p").collect()
+    assert len(seen) == 2 and max(seen) <= 18
+    rate = {k / 10: sum(y for p, y in data if p == k / 10) / (40 * k) for k in range(1, 10)}
+    assert sorted(rate.values()) == list(rate.values())
+    for r in out:
+        assert r.p_isotonic == pytest.approx(rate[r.p])
+    # At the optimum, residuals and their products with the logit sum to nothing.
+    fitted = {r.p: r.p_platt for r in out}
+    assert abs(sum(y - fitted[p] for p, y in data)) < 0.1 and abs(sum((y - fitted[p]) * math.log(p / (1 - p)) for p, y in data)) < 0.2
+
+
 def test_sweep_takes_the_least_loss(rows):
     settings = [{"rounds": 1, "depth": 1}, {"rounds": 8, "depth": 3, "step": 0.3}, {"rounds": 8, "depth": 3, "step": 0.3, "share": 0.5, "least_weight": 40}]
     table, models = B.sweep(rows, ["a", "b"], "y", settings, F.col("mulligan_number") == 0, "mulligan_number", clock=time.time)
