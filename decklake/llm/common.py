@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,12 +32,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Shuffle files go at the end of a query, not when the driver next collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """``df`` as a Parquet table in the shared folder, reread: its lineage is cut and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
+    """``df`` as a Parquet table in the shared folder, reread: its lineage is cut and survives lost executors, and its shuffle files are gone."""
+    return written_in_parts([df], name)
+
+
+def written_in_parts(parts: Iterable[DataFrame], name: str) -> tuple[DataFrame, str]:
+    """The rows of all ``parts`` (one at least) as one table as ``written`` makes it; one part's shuffle files are on disk at a time."""
+    path, schema = None, None
+    for df in parts:
+        spark = df.sparkSession
+        path, schema = path or f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", schema or df.schema
+        before = spark.conf.get(CLEANUP, None)
+        spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("append").parquet(path)
+        finally:
+            spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(schema).parquet(path), path
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

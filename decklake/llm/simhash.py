@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import drop_path, written
+from .common import drop_path, written, written_in_parts
 from .graph import components
 
 BITS, BLOCKS = 64, 4
@@ -358,6 +358,10 @@ BLOCK_ROWS, BLOCK_SHINGLES = 1000, 600_000
 SMALL = 64
 #: Rows that are broadcast to find their texts, at most; beyond, texts are shuffled.
 MOST_BROADCAST = 3_000_000
+#: Shingles of prefixes that are grouped in a pass, about, and passes over all prefixes at most: one pass's shuffle files are on disk at a time.
+PASS_VALUES, PASSES = 10_000_000, 8
+#: Shingles that are dealt out to units at a time: so many, or a share of those of all texts if that is more.
+DEALT, DEALT_SHARE = 30_000_000, 0.25
 #: Texts whose shingles are counted, about, and shingles called common at most: both only decide in which order shingles are taken.
 COUNTED, COMMON = 10_000, 50_000
 
@@ -559,22 +563,40 @@ def _unit_links(least: float, k: int):
     return _by_unit(links, ("side", "node", "root", "text"), ["a", "b"])
 
 
-def _compared(rows: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
+def _small(df: DataFrame) -> DataFrame:
+    """``df``, a written table, to be broadcast unless it has too many rows."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else df
+
+
+def _passes(rows: DataFrame, shingles: int | None, most: int) -> list[DataFrame]:
+    """``rows`` by unit, in parts that deal out about ``most`` of ``shingles`` each."""
+    passes = 1 + (shingles or 0) // most
+    return [rows.filter(F.pmod(F.xxhash64("unit", F.lit(3)), F.lit(passes)) == i) for i in range(passes)]
+
+
+def _compared(rows: DataFrame, sizes: DataFrame, texts: DataFrame, least: float, k: int, most: int) -> DataFrame:
     """Links (a, b) within the units of ``rows`` (unit, side, node, root), each unit in one task.
 
-    Only texts that a unit needs cross the shuffle: the rows are broadcast to
-    the texts unless there are too many.
+    Only texts that a unit needs cross the shuffle, about ``most`` shingles
+    of them at a time: the rows are broadcast to the texts unless there are too
+    many, and then their nodes.
     """
+    spark = rows.sparkSession
     rows, path = written(rows, "units")
-    few = rows.count() <= MOST_BROADCAST
-    with_text = texts.select("node", "text").join(F.broadcast(rows) if few else rows, "node")
-    dealt = with_text.repartition("unit").sortWithinPartitions("unit")
-    links, _ = written(dealt.mapInPandas(_unit_links(least, k), "a long, b long").distinct(), "links")
-    drop_path(rows.sparkSession, path)
+    paths, texts = [path], texts.select("node", "text")
+    if rows.count() > MOST_BROADCAST:
+        needed, path = written(rows.select("node").distinct(), "needed")
+        paths, texts = [*paths, path], texts.join(_small(needed), "node", "left_semi")
+    shingles = rows.join(sizes, "node").agg(F.sum("size")).first()[0]
+    dealt = (texts.join(_small(part), "node").repartition("unit").sortWithinPartitions("unit") for part in _passes(rows, shingles, most))
+    found, path = written_in_parts((d.mapInPandas(_unit_links(least, k), "a long, b long") for d in dealt), "found")
+    links, _ = written(found.distinct(), "links")
+    for done in (*paths, path):
+        drop_path(spark, done)
     return links
 
 
-def _stars(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
+def _stars(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, least: float, k: int, most: int) -> DataFrame:
     """Links among ``pairs`` (a, b) of nodes: each b meets its a's, in blocks of a bounded number of shingles."""
     pairs, path = written(pairs.filter("a <> b").distinct(), "pairs")
     sized = pairs.join(sizes.withColumnsRenamed({"node": "a"}), "a")
@@ -583,56 +605,71 @@ def _stars(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, least: float, k
     unit = lambda block: F.xxhash64("b", block).alias("unit")
     members = pairs.join(blocks, "b").select(unit(F.pmod(F.hash("a"), F.col("blocks"))), F.lit(0).alias("side"), F.col("a").alias("node"), F.col("a").alias("root"))
     centres = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(unit(F.col("block")), F.lit(1).alias("side"), F.col("b").alias("node"), F.col("b").alias("root"))
-    links = _compared(members.unionByName(centres), texts, least, k)
+    links = _compared(members.unionByName(centres), sizes, texts, least, k, most)
     for done in (path, blocks_path):
         drop_path(pairs.sparkSession, done)
     return links
 
 
-def _several_roots(rows: DataFrame, sizes: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(value, node, root, blocks): of ``rows`` (node, root, value) those in groups of like sizes that hold more than one root; of groups of the same nodes, one.
+def _shared_prefixes(sketched: DataFrame, roots: DataFrame, passes: int) -> tuple[DataFrame, str]:
+    """(node, shingle): of each prefix what several roots have; a part of all shingles at a time."""
+    spark, roots = sketched.sparkSession, _small(roots)
 
-    And (node, size, length, prefix): of each prefix what several roots have.
-    """
-    spark = rows.sparkSession
-    several = rows.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("value")
-    several, path = written(several, "several")
-    few = several.count() <= MOST_BROADCAST
-    # What every row has of its node comes back only to the rows that are left.
-    left, left_path = written(rows.select("node", "value").join(F.broadcast(several) if few else several, "value", "left_semi"), "left")
-    shared, _ = written(left.groupBy("node").agg(F.collect_list("value").alias("prefix")).join(sizes, "node"), "shared")
+    def parts() -> Iterator[DataFrame]:
+        for i in range(passes):
+            rows = sketched.select("node", F.explode("prefix").alias("shingle")).filter(F.pmod("shingle", F.lit(passes)) == i)
+            rooted = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            several = rooted.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("shingle")
+            several, path = written(several, "several")
+            # What every row has of its node comes back only to the rows that are left.
+            yield rows.join(_small(several), "shingle", "left_semi").select("node", "shingle")
+            drop_path(spark, path)
+
+    return written_in_parts(parts(), "left")
+
+
+def _several_roots(left: DataFrame, sizes: DataFrame, roots: DataFrame, passes: int) -> tuple[DataFrame, str]:
+    """(value, node, root, length, blocks): of ``left`` (node, shingle) the groups of like sizes that hold more than one root; of groups of the same nodes, one."""
+    met = left.join(sizes, "node").join(_small(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Lengths that differ by one at most meet under the greater one.
-    left = left.join(sizes, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    left = left.withColumn("length", F.explode(F.array("length", F.col("length") + 1))).select("node", "root", "size", F.col("value").bitwiseXOR(F.shiftleft(F.col("length").cast("long"), 56)).alias("value"))
-    left, met_path = written(left, "met")
+    met = met.withColumn("length", F.explode(F.array("length", F.col("length") + 1))).select("node", "root", "size", "length", F.col("shingle").bitwiseXOR(F.shiftleft(F.col("length").cast("long"), 56)).alias("value"))
+    met, met_path = written(met, "met")
     total = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(20,0)"))
-    sets = left.groupBy("value").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), total(1).alias("x"), total(2).alias("y"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    sets = (met.filter(F.pmod("value", F.lit(passes)) == i).groupBy("value").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), total(1).alias("x"), total(2).alias("y"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high") for i in range(passes))
+    sets, sets_path = written_in_parts(sets, "sets")
     blocks = F.greatest(F.lit(1), F.ceil(F.greatest(F.col("n") / BLOCK_ROWS, F.col("shingles") / BLOCK_SHINGLES)).cast("int"))
-    once, _ = written(sets.groupBy("n", "shingles", "x", "y").agg(F.min("value").alias("value")).select("value", blocks.alias("blocks")), "once")
-    out, _ = written(left.join(once, "value").drop("size"), "grouped")
-    for done in (path, left_path, met_path):
-        drop_path(spark, done)
-    return out, shared
+    once, once_path = written(sets.groupBy("n", "shingles", "x", "y").agg(F.min("value").alias("value")).select("value", blocks.alias("blocks")), "once")
+    out, out_path = written(met.join(once, "value").drop("size"), "grouped")
+    for done in (met_path, sets_path, once_path):
+        drop_path(left.sparkSession, done)
+    return out, out_path
 
 
-def _blockwise(rows: DataFrame, sizes: DataFrame, roots: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
-    """Links (a, b) between different roots of the same value in ``rows``: each group's blocks meet two at a time, in tasks of their own.
+def _blockwise(sketched: DataFrame, sizes: DataFrame, roots: DataFrame, texts: DataFrame, least: float, k: int, most: int) -> DataFrame:
+    """Links (a, b) between different roots whose prefixes in ``sketched`` share a value: each group's blocks meet two at a time, in tasks of their own.
 
-    They first meet by their prefixes; only texts that may be alike to another
-    one of the unit are then compared.
+    They first meet by their prefixes, about ``most`` shingles of them at a time;
+    only texts that may be alike to another one of the unit are then compared.
     """
-    rows, shared = _several_roots(rows, sizes, roots)
+    spark = texts.sparkSession
+    passes = min(PASSES, 1 + (sketched.agg(F.sum(F.size("prefix"))).first()[0] or 0) // PASS_VALUES)
+    left, left_path = _shared_prefixes(sketched, roots, passes)
+    shared, shared_path = written(left.groupBy("node").agg(F.collect_list("shingle").alias("prefix")).join(sizes, "node"), "shared")
+    rows, grouped_path = _several_roots(left, sizes, roots, passes)
+    drop_path(spark, left_path)
     rows = rows.withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     unit = F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other"))
     rows, path = written(rows.select(unit.alias("unit"), "value", side.alias("side"), "node", "root"), "met-units")
-    few = rows.count() <= MOST_BROADCAST
-    dealt = shared.join(F.broadcast(rows) if few else rows, "node").repartition("unit").sortWithinPartitions("unit")
-    live, live_path = written(dealt.mapInPandas(_live(least), "unit long, side int, node long, root long"), "live")
-    links = _compared(live, texts, least, k)
-    for done in (path, live_path):
-        drop_path(texts.sparkSession, done)
+    drop_path(spark, grouped_path)
+    shingles = rows.join(shared.select("node", F.size("prefix").alias("n")), "node").agg(F.sum("n")).first()[0]
+    dealt = (shared.join(_small(part), "node").repartition("unit").sortWithinPartitions("unit") for part in _passes(rows, shingles, most))
+    live, live_path = written_in_parts((d.mapInPandas(_live(least), "unit long, side int, node long, root long") for d in dealt), "live")
+    for done in (shared_path, path):
+        drop_path(spark, done)
+    links = _compared(live, sizes, texts, least, k, most)
+    drop_path(spark, live_path)
     return links
 
 
@@ -669,16 +706,16 @@ def similar_links(docs: DataFrame, node_col: str, text_col: str, k: int = 5, lea
     sketched = texts.select("node", F.arrow_udf(sketch, "code long, bands array<long>, size int, length int, prefix array<long>")("text").alias("s"))
     sketched, sketched_path = written(sketched.select("node", "s.*"), "sketches")
     sizes = sketched.select("node", "size", "length")
+    most = max(DEALT, int((sizes.agg(F.sum("size")).first()[0] or 0) * DEALT_SHARE))
     codes, codes_path = written(sketched.groupBy("code").agg(F.min("node").alias("least")), "codes")
     by_code = hamming_links(codes.select("code"), radius).join(codes.withColumnsRenamed({"code": "a", "least": "x"}), "a").join(codes.withColumnsRenamed({"code": "b", "least": "y"}), "b")
     pairs = by_code.select(F.col("x").alias("a"), F.col("y").alias("b"))
     rows = sketched.select("node", F.posexplode("bands").alias("band", "value")).unionByName(sketched.select("node", F.lit(-1).alias("band"), F.col("code").alias("value")))
     groups, groups_path = written(rows.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("node").alias("least")).filter("n > 1").drop("n"), "groups")
     first = rows.join(groups, ["band", "value"]).filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    found = _stars(first.unionByName(pairs), sizes, texts, least, k)
+    found = _stars(first.unionByName(pairs), sizes, texts, least, k, most)
     roots, roots_path = written(components(found, "a", "b"), "roots")
-    everyone = sketched.select("node", "prefix").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.explode("prefix").alias("value"))
-    found = found.unionByName(_blockwise(everyone, sizes, roots, texts, least, k))
+    found = found.unionByName(_blockwise(sketched, sizes, roots, texts, least, k, most))
     for done in (sketched_path, codes_path, groups_path, roots_path):
         drop_path(spark, done)
     return found
@@ -698,4 +735,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     ranked, _ = written(ranked, "ranked")
     best, _ = written(ranked.groupBy("root").agg(F.min("rank").alias("best")), "best")
     gone, _ = written(ranked.join(best, "root").filter(F.col("node") != F.col("best.node")).select(F.col("node").alias("gone_node")).distinct(), "gone")
-    return docs.join(gone, node == gone["gone_node"], "left_anti")
+    return docs.join(_small(gone), node == F.col("gone_node"), "left_anti")

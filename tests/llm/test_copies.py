@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from decklake.llm import exact_dedup as E, graph, simhash as S
+from decklake.llm import common, exact_dedup as E, graph, simhash as S
 from decklake.llm.common import SPACE
 
 SCHEMA = "doc_id long, text string"
@@ -213,6 +215,52 @@ def test_families_that_are_hardly_alike(spark, monkeypatch, block, small):
     assert 3 < len(set(roots["all"])) and roots["all"] == roots["found"]
 
 
+@pytest.mark.parametrize("most", [0, 20])
+def test_passes_find_the_same_and_bound_what_is_dealt_out(spark, monkeypatch, most):
+    """Links between texts that share a part only, in passes by shingle and by unit, joined by shuffle, and by a broadcast of the small tables alone."""
+    rng = random.Random(12)
+    rows = []
+    for family in range(3):
+        base = [f"f{family}w{rng.randrange(10**6)}" for _ in range(200)]
+        for _ in range(12):
+            copy = list(base)
+            for at in rng.sample(range(200), rng.randrange(3, 7)):
+                copy[at] = f"e{rng.randrange(10**9)}"
+            rows.append((len(rows), " ".join(copy)))
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    root_of = lambda: {r.node: r.root for r in graph.components(S.similar_links(docs, "doc_id", "text"), "a", "b").collect()}
+    want, parts = root_of(), {}
+    for name, value in (("MOST_BROADCAST", most), ("PASS_VALUES", 1000), ("DEALT", 4000), ("DEALT_SHARE", 0.01)):
+        monkeypatch.setattr(S, name, value)
+
+    def counted(dfs, name):
+        dfs = list(dfs) if name in ("live", "found") else dfs  # the others' parts are made one after the other
+        parts[name] = len(dfs) if isinstance(dfs, list) else parts.get(name)
+        return common.written_in_parts(dfs, name)
+
+    monkeypatch.setattr(S, "written_in_parts", counted)
+    assert root_of() == want
+    assert parts["live"] > 1 and parts["found"] > 1
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    def shuffled():
+        top = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+        return {f for d in top for f in Path(d).rglob("shuffle_*.data")}
+
+    before = shuffled()
+    df = spark.range(1000).repartition(3).groupBy((F.col("id") % 7).alias("k")).count()
+    for table in (common.written(df, "one")[0], common.written_in_parts([df, df.filter("k > 2")], "two")[0]):
+        assert {r.k for r in table.collect()} == set(range(7))
+    assert spark.conf.get(common.CLEANUP, None) is None
+    for _ in range(50):  # they go a little later
+        left = shuffled() - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+
+
 def edited(rng, words, edits):
     copy = list(words)
     for at in rng.sample(range(len(copy)), edits):
