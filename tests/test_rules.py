@@ -291,6 +291,30 @@ def test_smoothed_hands_count_copies_out_within_a_game(spark):
     assert max(i for i, line in enumerate(plan) if "Generate" in line) < min(i for i, line in enumerate(plan) if "Repartition" in line)
 
 
+@pytest.mark.parametrize("likely", [1, 7, 16])
+def test_smoothed_hands_are_the_first_copies_by_their_numbers(spark, monkeypatch, likely):
+    """Against plain hashes, whether most hands, some or next to none need all copies of their deck; only likely copies are kept, and hashed once, in generated code."""
+    import hashlib
+
+    from decklake.operators import features as E
+
+    monkeypatch.setattr(E, "LIKELY", likely)
+    decks = [(g, g * 10 + k, 1 + (g * 7 + k * 5) % 30) for g in range(40) for k in range(1 + g % 5)]
+    out = E.smoothed_hands(spark.createDataFrame(decks, "game_id long, card_id long, n int").repartition(3), spark.range(500).select(F.col("id").alias("card_id"), (F.col("id") % 3 == 0).alias("is_land")))
+    unit = lambda *parts: float(int(hashlib.sha256(":".join(map(str, parts)).encode()).hexdigest()[:16], 16)) / 2.0**64
+    want = {}
+    for game in range(40):
+        deck = [(card, n) for g, card, n in decks if g == game]
+        share = sum(n for card, n in deck if card % 3 == 0) / sum(n for _, n in deck)
+        hands = [[card for _, card, _ in sorted((unit(0, game, c, card, copy), card, copy) for card, n in deck for copy in range(1, n + 1))[:7]] for c in (1, 2, 3)]
+        weights = [math.exp(-((sum(card % 3 == 0 for card in h) / len(h) - share) ** 2) / 0.015) for h in hands]
+        at = next(i for i in range(3) if sum(weights[: i + 1]) > sum(weights) * unit(0, game))
+        want[game] = (at + 1, sorted(hands[at]))
+    assert {r.game_id: (r.candidate, r.hand) for r in out.collect()} == want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(array(sha2(") == 1 and "(bits" in plan.split("explode(array(sha2(")[0].splitlines()[-2]
+
+
 def test_value_equal_to_its_floor_is_never_below(spark):
     """Seven rates whose mean is 2/3, summed in any order, and a rate of 2/3 beside them."""
     from decklake.operators import reports as R
